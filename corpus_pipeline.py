@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finlattice.llm import minhash, mixing, packing, secrets, toxicity
+from finlattice.llm import minhash, mixing, packing, secret_scan, toxicity
 from finlattice.llm.queries import table, vocabulary
 from finlattice.llm.sharding import row_identity
 from finlattice.llm.work import Scratch
@@ -35,7 +35,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced by a mark."""
-    return secrets.redact(docs).select(*COLUMNS)
+    return secret_scan.redact(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
