@@ -52,13 +52,34 @@ def signatures(shingle: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Longs of a set's parity bitmap.
+PARITY = 16
+
+
+def parities(shingle: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """Bitmaps (texts x PARITY longs) in which each shingle of a set turns over the bit of its hash.
+
+    Two bitmaps differ in no more bits than their sets have elements that the other lacks.
+    """
+    out = np.zeros((docs, PARITY), np.int64)
+    edge = np.searchsorted(doc, np.arange(0, docs + 2048, 2048))
+    for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+        lo, n = k * 2048, min(2048, docs - k * 2048)
+        if n > 0:
+            at = (doc[a:b] - lo) * (64 * PARITY) + (shingle[a:b] % np.uint64(64 * PARITY)).astype(np.int64)
+            bits = (np.bincount(at, minlength=n * 64 * PARITY) & 1).astype(np.uint8)
+            out[lo : lo + n] = np.packbits(bits.reshape(n, -1), axis=1).view(np.int64)
+    return out
+
+
 def signed(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, set size, two sums that name the set, band keys (none of an empty set)."""
     ship(docs.sparkSession)
 
     def run(batches):
         for rows, data, offsets in passes(batches):
-            shingle, _, n = shingle_sets(data, offsets, k)
+            shingle, doc, n = shingle_sets(data, offsets, k)
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * PARITY + 1, PARITY, dtype=np.int32)), pa.array(parities(shingle, doc, len(n)).ravel()))
             full = n > 0
             begin = (np.cumsum(n) - n)[full]
             bands = np.zeros((len(n), BANDS), np.uint64)
@@ -69,9 +90,9 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 names[1, full] = np.add.reduceat(T.mix(shingle ^ np.uint64(0xABCDEF)), begin)
             edge = np.append(0, np.cumsum(np.where(full, BANDS, 0))).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(edge), pa.array(bands[full].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), keys], ["doc_id", "n", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), keys, parity], ["doc_id", "n", "s1", "s2", "bands", "parity"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bands array<long>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bands array<long>, parity array<long>")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -129,7 +150,8 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     largest node only; the pairs are confirmed on full sets and joined to components. Buckets that still hold
     several components then pair their members outside the bucket's largest component with all members of other
     components, so that no candidate link between components is left untried, while groups that are one
-    component never emit all their pairs. Empty documents (null text, no words) and null ids stand alone. Rows
+    component never emit all their pairs; bitmaps that bound the difference of two sets from below rule out
+    pairs without loss before they are emitted. Empty documents (null text, no words) and null ids stand alone. Rows
     that share a doc_id are one node. Other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -152,11 +174,15 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     # buckets that are not yet one component
     at = banded.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
     split = at.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    open_ = scratch.keep(at.join(split, "key"))
+    open_ = at.join(split, "key")
+    open_ = scratch.keep(open_.join(reps.select(F.col("doc_id").alias("node"), "n", "parity").distinct(), ["node", "n"]))
     sizes = open_.groupBy("key", "c").agg(F.count("*").alias("size"))
     major = sizes.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("major"))
-    minor = open_.join(major, "key").where("c <> major").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    more = minor.join(open_, "key").where("c <> cx").where(f"100 * least(n, nx) >= {percent} * greatest(n, nx)")
+    minor = open_.join(major, "key").where("c <> major").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("parity").alias("px"))
+    # a link needs (100 + percent) * (elements of one set only) <= (100 - percent) * (n + nx): bitmaps that differ more rule it out
+    differ = "aggregate(zip_with(parity, px, (a, b) -> bit_count(a ^ b)), 0, (s, x) -> s + x)"
+    close = F.expr(f"100 * least(n, nx) >= {percent} * greatest(n, nx) and {100 + percent} * {differ} <= {100 - percent} * (n + nx)")
+    more = minor.join(open_, "key").where("c <> cx").where(close)
     more = more.select(F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     late = scratch.keep(linked(scratch.keep(more), texts, k, percent))
     if late.limit(1).count():
