@@ -1,6 +1,237 @@
-"""All queries of the library by name, with their SQL twins."""
+"""All queries of the library by name, over the driver's tables, with their SQL twins."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .operators import matching, memory, statements, telemetry
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+_SUMS = """select n_name as company, sum(l_extendedprice::decimal(12,2) * (1 - l_discount::decimal(4,2)))::decimal(24,2) as r, sum(l_quantity::decimal(12,2) * p_retailprice::decimal(12,2))::decimal(24,2) as c, sum(l_extendedprice::decimal(12,2) * l_tax::decimal(4,2))::decimal(24,2) as x
+ from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join part on l_partkey = p_partkey group by n_name"""
+_PEERS = f"""with s as ({_SUMS}), v as (select company, r::double as revenue, (r - c)::double as gross_profit, (r - c - x)::double as operating_income, (r - c - 2 * x)::double as net_income from s)
+select *, case when revenue <> 0 and gross_profit <> 0 then round(gross_profit / revenue * 100, 1) end as gross_margin, case when revenue <> 0 then round(operating_income / revenue * 100, 1) end as operating_margin, case when revenue <> 0 then round(net_income / revenue * 100, 1) end as net_margin from v"""
+
+
+def _peer_cells(spark, sf):
+    """Income statements of nations, figures written as text."""
+    l, o, c, n, p = (t(spark, sf, x) for x in ("lineitem", "orders", "customer", "nation", "part"))
+    j = l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(p, l.l_partkey == p.p_partkey)
+    d = lambda col, k: F.col(col).cast(f"decimal({k},2)")
+    s = j.groupBy(F.col("n_name").alias("company")).agg(F.sum(d("l_extendedprice", 12) * (1 - d("l_discount", 4))).cast("decimal(24,2)").alias("r"), F.sum(d("l_quantity", 12) * d("p_retailprice", 12)).cast("decimal(24,2)").alias("c"), F.sum(d("l_extendedprice", 12) * d("l_tax", 4)).cast("decimal(24,2)").alias("x"))
+    write = lambda e: F.when(F.expr(e) < 0, F.concat(F.lit("("), F.format_number(-F.expr(e), 2), F.lit(")"))).otherwise(F.concat(F.lit("$"), F.format_number(F.expr(e), 2)))
+    rows = F.array(*(F.struct(F.lit(i).alias("row_pos"), F.lit(a).alias("label"), write(e).alias("value_raw")) for i, (a, e) in enumerate([("Total revenue", "r"), ("Cost of sales", "c"), ("Gross profit", "r - c"), ("Operating income", "r - c - x"), ("Net income", "r - c - 2 * x")])))
+    return s.select("company", F.lit(0).alias("section_pos"), F.explode(rows).alias("q")).select("company", "section_pos", "q.*")
+
+
+@query(_PEERS)
+def peer_comparison(spark, sf):
+    m = statements.metric_values(_peer_cells(spark, sf), "company")
+    return statements.ratios(m.groupBy("company").pivot("metric", ["revenue", "gross_profit", "operating_income", "net_income"]).agg(F.first("value")))
+
+
+@query(f"""with s as ({_SUMS}), v as (select company, r::double as revenue, (r - c)::double as gross_profit from s)
+select 'revenue' as metric, max(case when company = 'NATION_0' then revenue end) as a, count(revenue) as companies from v union all select 'gross_profit', max(case when company = 'NATION_0' then gross_profit end), count(gross_profit) from v""")
+def peer_pivot(spark, sf):
+    m = statements.metric_values(_peer_cells(spark, sf), "company").where("metric in ('revenue', 'gross_profit')")
+    return m.groupBy("metric").agg(F.max(F.when(F.col("company") == "NATION_0", F.col("value"))).alias("a"), F.count("value").alias("companies"))
+
+
+@query("select c_custkey, case c_custkey % 6 when 0 then -abs(c_acctbal) when 1 then abs(c_acctbal) when 2 then null when 3 then abs(c_acctbal) when 4 then null else c_acctbal end as value from customer")
+def parse_value(spark, sf):
+    c = t(spark, sf, "customer").withColumn("k", F.col("c_custkey") % 6)
+    a, b = F.format_number(F.abs("c_acctbal"), 2), F.col("c_acctbal").cast("decimal(12,2)").cast("string")
+    raw = F.when(F.col("k") == 0, F.concat(F.lit("("), a, F.lit(")"))).when(F.col("k") == 1, F.concat(F.lit(" $"), a)).when(F.col("k") == 2, F.lit("N/A")).when(F.col("k") == 3, F.concat(a, F.lit("%"))).when(F.col("k") == 4, F.concat(F.lit("$("), a, F.lit(")"))).otherwise(b)
+    return c.select("c_custkey", X.parse_value(raw).alias("value"))
+
+
+_LABEL = "p_name || case p_partkey % 4 when 0 then ' Supplies / Vaccinations' when 1 then ' and Consultations Revenue' when 2 then ' Payments & Diagnostics' else ' Boarding' end"
+
+
+def _labels(spark, sf):
+    return t(spark, sf, "part").select("p_partkey", F.expr(_LABEL).alias("label"))
+
+
+@query(f"with l as (select p_partkey, {_LABEL} as label from part) select p_partkey, array_to_string(list_sort({X.duck_tokens('label')}), ' ') as tokens from l")
+def tokenize_labels(spark, sf):
+    return _labels(spark, sf).select("p_partkey", F.array_join(F.array_sort(X.tokenize(F.col("label"))), " ").alias("tokens"))
+
+
+@query(f"""with l as (select p_partkey, {_LABEL} as label, ['Total Revenue', 'Gross Profit', 'EI Expense', ' revenue ', 'Operating Expenses'][1 + p_partkey % 5] as head from part)
+select p_partkey, contains(label, '/') or contains(label, ' & ') or contains(label, ' and ') or contains(label, ' + ') as compound, p_partkey % 5 <> 2 as header,
+ array_to_string(list_filter(list_transform(regexp_split_to_array(label, '\\s*[/&]\\s*|\\s+and\\s+'), lambda x: trim(x)), lambda x: x <> ''), '|') as parts from l""")
+def label_predicates(spark, sf):
+    head = F.expr("element_at(array('Total Revenue', 'Gross Profit', 'EI Expense', ' revenue ', 'Operating Expenses'), cast(1 + p_partkey % 5 as int))")
+    return _labels(spark, sf).select("p_partkey", X.is_compound(F.col("label")).alias("compound"), X.is_section_header(head).alias("header"), F.array_join(X.compound_parts(F.col("label")), "|").alias("parts"))
+
+
+_ACCOUNTS = "select distinct split_part(p_name, ' ', 1) || ' goods' as name from part"
+
+
+@query(f"""with a as (select name, row_number() over (order by name) as pos from ({_ACCOUNTS})), l as (select distinct p_name as label from part),
+m as (select label, name, pos, case when label = name then 1 when len(label) > 4 and contains(name, label) then 2 when len(name) > 4 and contains(label, name) then 3 else 4 end as layer,
+  len(list_filter(lt, lambda p: len(list_filter(nt, lambda c: p = c or (len(p) >= 5 and len(c) >= 5 and (starts_with(p, c) or starts_with(c, p))))) > 0)) / len(lt) as ratio
+  from (select label, {X.duck_tokens('label')} as lt from l) , (select name, pos, {X.duck_tokens('name')} as nt from a)),
+h as (select *, count(*) filter (ratio > 0) over (partition by label) as n, row_number() over (partition by label order by (layer = 4)::int, case when layer < 4 then 0 else -ratio end, pos) as rn from m where layer < 4 or ratio > 0)
+select l.label, pos as code, case when layer is null then 'unmatched' when layer <= 2 then 'high' when layer = 3 then 'medium' when ratio = 1 then (case when n = 1 then 'high' else 'ambiguous' end) else 'medium' end as confidence,
+ case when layer is null then 'unmatched' when layer = 1 then 'exact' when layer < 4 then 'exact_substring' when ratio = 1 then 'token' else 'token_partial' end as match_type, case when layer = 4 then round(ratio, 6) end as match_ratio
+ from l left join h on h.label = l.label and rn = 1""")
+def match_accounts(spark, sf):
+    p = t(spark, sf, "part")
+    a = p.select(F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" goods")).alias("name")).distinct().withColumn("pos", F.row_number().over(Window.orderBy("name")).cast("long"))
+    return matching.match(p.select(F.col("p_name").alias("label")), a.withColumn("code", F.col("pos")))
+
+
+@query("select l_orderkey, round(avg(case when l_quantity < 5 or l_linenumber = 3 then 1 else 0 end), 6) as missing_ratio from lineitem group by l_orderkey")
+def missing_ratio(spark, sf):
+    raw = F.when(F.col("l_quantity") < 5, F.lit(None)).when(F.col("l_linenumber") == 3, F.lit("null")).otherwise(F.col("l_quantity").cast("string"))
+    return statements.missing_ratio(t(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("row_pos"), raw.alias("value_raw")), "l_orderkey")
+
+
+@query("""with s as (select l_orderkey, sum(l_extendedprice::decimal(12,2)) as v from lineitem group by 1)
+select o_orderkey, o_totalprice as assets, round(abs(o_totalprice - (v::double * 0.5 + v::double * 0.5)), 2) as difference, not (abs(o_totalprice - (v::double * 0.5 + v::double * 0.5)) > greatest(abs(o_totalprice) * 0.01, 1000.0)) as balanced from orders join s on l_orderkey = o_orderkey""")
+def balance_check(spark, sf):
+    s = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).cast("double").alias("v"))
+    o = t(spark, sf, "orders").join(s, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.col("o_totalprice").alias("assets"), (F.col("v") * 0.5).alias("liabilities"), (F.col("v") * 0.5).alias("equity"))
+    return statements.balance_check(o).select("o_orderkey", "assets", F.round("difference", 2).alias("difference"), "balanced")
+
+
+@query("""select doc_id, section, period, total from (select l_orderkey as doc_id, l_returnflag as section, l_linestatus as period, l_extendedprice as total, row_number() over (partition by l_orderkey, l_returnflag, l_linestatus order by l_linenumber desc, l_extendedprice desc) as rn from lineitem) where rn = 1""")
+def section_totals(spark, sf):
+    l = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("section"), F.col("l_linestatus").alias("period"), F.col("l_linenumber").alias("row_pos"), F.lit("Total").alias("label"), F.lit(False).alias("is_subtotal"), F.col("l_extendedprice").alias("value_num"))
+    return statements.section_totals(l)
+
+
+@query("""with m as (select l_orderkey as doc_id, l_returnflag as section, min(l_linenumber) as fp, string_agg(l_partkey::varchar, '|' order by l_linenumber, l_partkey, l_partkey::varchar) as labels, count(*)::int as n_rows from lineitem group by 1, 2)
+select doc_id, (row_number() over (partition by doc_id order by fp, section))::int as section_no, section, labels, n_rows from m""")
+def merge_pages(spark, sf):
+    l = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("section"), F.col("l_linenumber").alias("page"), F.col("l_partkey").alias("row_pos"), F.col("l_partkey").cast("string").alias("label"))
+    return statements.merge_pages(l)
+
+
+@query("""with r as (select o_custkey, o_orderkey, o_orderpriority, 2 + row_number() over (partition by o_custkey order by o_orderkey) as row_no from orders)
+select o_custkey, row_no::int as row_no, 1 as col_no, o_orderkey::varchar as value from r union all select o_custkey, row_no::int, 2, o_orderpriority from r
+union all select distinct o_custkey, 2, 1, 'o_orderkey' from orders union all select distinct o_custkey, 2, 2, 'o_orderpriority' from orders""")
+def sheet_cells(spark, sf):
+    return statements.sheet_cells(t(spark, sf, "orders"), "o_custkey", ["o_orderkey"], ["o_orderkey", "o_orderpriority"])
+
+
+def _rules(spark, sf, where):
+    e = t(spark, sf, "events").where(where)
+    return e.select(F.concat(F.lit("u"), F.col("user_id")).alias("label"), F.col("event_type").alias("section"), F.concat(F.lit("w"), F.col("event_id") % 3).alias("wrong_code"), F.concat(F.lit("c"), F.col("event_id") % 5).alias("correct_code"), F.col("event_id").alias("seq"))
+
+
+@query("""with d as (select 'u' || user_id as k, event_type as s, 'c' || event_id % 5 as c, event_id as seq, (value >= 10)::int as p from events)
+select k as label_key, s as section_key, arg_max(c, p * 1000000000 + seq) as correct_code from d group by 1, 2""")
+def corrections_override(spark, sf):
+    pick = lambda w: _rules(spark, sf, w).select("label", "section", "correct_code", "seq")
+    return memory.override(pick("value < 10"), pick("value >= 10"))
+
+
+@query("""with e as (select 'u' || user_id as label, event_type as section, 'w' || event_id % 3 as w, 'c' || event_id % 5 as c, event_id as seq, value from events),
+old as (select label, section, arg_min(w, seq) as wrong_code, arg_max(c, seq) as correct_code, count(*) as count from e where value < 10 group by 1, 2), nw as (select label, section, arg_min(w, seq) as w, arg_max(c, seq) as c, count(*) as n from e where value >= 10 group by 1, 2)
+select label, section, coalesce(wrong_code, w) as wrong_code, coalesce(c, correct_code) as correct_code, coalesce(count, 0) + coalesce(n, 0) as count, count is null as inserted from old full join nw using (label, section)""")
+def corrections_upsert(spark, sf):
+    old = _rules(spark, sf, "value < 10").groupBy("label", "section").agg(F.min_by("wrong_code", "seq").alias("wrong_code"), F.max_by("correct_code", "seq").alias("correct_code"), F.count("*").alias("count"))
+    return memory.upsert(old, _rules(spark, sf, "value >= 10"))
+
+
+@query("""select event_type as label, 's' as section, 'c' || event_id % 50 as correct_code, count(distinct user_id) as practices, count(*) as total from events group by 1, 2, 3 having count(distinct user_id) >= 3 and count(*) >= 3""")
+def corrections_promoted(spark, sf):
+    e = t(spark, sf, "events").select(F.col("event_type").alias("label"), F.lit("s").alias("section"), F.concat(F.lit("c"), F.col("event_id") % 50).alias("correct_code"), F.col("user_id").alias("practice_id"), F.lit(1).cast("long").alias("count"))
+    return memory.promotable(e)
+
+
+@query("""select event_id as row_id, event_type as label, 'w' || event_id % 4 as code, 'c' as correct_code, r.n >= 2 as hard_fail from events join (values ('click', 'w1', 1), ('view', 'w2', 3), ('error', 'c', 5)) r(k, w, n) on event_type = k and 'w' || event_id % 4 = w where w <> 'c'""")
+def corrections_ignored(spark, sf):
+    rules = spark.createDataFrame([("Click", "w1", "c", 1), ("View", "w2", "c", 3), ("Error", "c", "c", 5)], "label string, wrong_code string, correct_code string, count int")
+    e = t(spark, sf, "events").select(F.col("event_id").alias("row_id"), F.col("event_type").alias("label"), F.concat(F.lit("w"), F.col("event_id") % 4).alias("code"))
+    return memory.ignored(e, F.broadcast(rules))
+
+
+@query("""with a as (select event_id, user_id, '2024-' || lpad((1 + user_id % 12)::varchar, 2, '0') as month, user_id % 5 = 0 as pro, row_number() over (partition by user_id order by ts, event_id) as n from events where event_type = 'purchase')
+select event_id, user_id, month, pro or n <= 2 as allowed, (case when pro then n else least(n, 2) end)::int as used, (case when pro then null else greatest(0, 2 - n) end)::int as remaining from a""")
+def monthly_quota(spark, sf):
+    e = t(spark, sf, "events").where("event_type = 'purchase'")
+    return telemetry.quota(e.select("event_id", "user_id", "ts", F.concat(F.lit("2024-"), F.lpad((1 + F.col("user_id") % 12).cast("string"), 2, "0")).alias("month"), (F.col("user_id") % 5 == 0).alias("pro")))
+
+
+@query("""select count(*) as total_runs, round(count(*) filter (event_type <> 'error') * 100 / count(*), 1) as success_rate, round(avg(value), 2) as avg_seconds, sum(event_id % 7)::bigint as calls from events where ts > (select max(ts) from events) - interval 7 days""")
+def run_stats(spark, sf):
+    e = t(spark, sf, "events")
+    now = e.agg(F.max("ts").alias("now"))
+    runs = e.join(F.broadcast(now)).select("ts", "now", (F.col("event_type") != "error").alias("success"), F.col("value").alias("seconds"), (F.col("event_id") % 7).alias("calls"))  # one row
+    return telemetry.run_stats(runs, F.col("now"))
+
+
+@query("select event_id as run_id, ts, event_type from events order by ts desc, event_id desc limit 10")
+def recent_runs(spark, sf):
+    return telemetry.recent(t(spark, sf, "events").select(F.col("event_id").alias("run_id"), "ts", "event_type"))
+
+
+@query("select user_id as run_id, count(*) as calls, round(sum(round(event_id % 5000 / 1000, 3)), 3) as seconds, arg_max(event_id % 5000, event_id) as last_ms from events group by 1")
+def call_counters(spark, sf):
+    return telemetry.call_counters(t(spark, sf, "events").select(F.col("user_id").alias("run_id"), (F.col("event_id") % 5000).alias("ms"), F.lit(0).alias("ts"), "event_id"))
+
+
+@query("""with r as (select user_id, event_type = 'error' as header, case when event_type <> 'signup' then event_type end as code, case when event_type in ('click', 'purchase') then 'high' else 'low' end as confidence, value < 5 as needs_review from events),
+g as (select user_id, count(*) as total, count(*) filter (not header) as postable, count(*) filter (code is not null and not header) as mapped, count(*) filter (confidence = 'high' and code is not null and not header) as high, count(*) filter (needs_review) as review from r group by 1),
+s as (select *, round(coalesce(mapped / nullif(postable, 0), 0), 3) as coverage, round(coalesce(high / nullif(mapped, 0), 0), 3) as high_share, round(coalesce(review / nullif(total, 0), 0), 3) as review_rate from g)
+select *, (case when coverage >= 0.9 then 10 when coverage >= 0.7 then 7 when coverage >= 0.5 then 5 else 0 end)::int as coverage_points, coverage >= 0.7 as passed from s""")
+def quality_counters(spark, sf):
+    e = t(spark, sf, "events").select("user_id", (F.col("event_type") == "error").alias("header"), F.when(F.col("event_type") != "signup", F.col("event_type")).alias("code"), F.when(F.col("event_type").isin("click", "purchase"), "high").otherwise("low").alias("confidence"), (F.col("value") < 5).alias("needs_review"))
+    return telemetry.quality_counters(e, "user_id")
+
+
+@query("select event_id, props as body, json_extract_string(props, '$.k')::bigint as k from events")
+def model_answers(spark, sf):
+    e = t(spark, sf, "events")
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("<think>a\n{b}</think>\n```json\n"), F.col("props"), F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("```"), F.col("props"), F.lit("```"))).otherwise(F.concat(F.lit("  "), F.col("props")))
+    body = X.first_object(X.model_text(raw))
+    return e.select("event_id", body.alias("body"), F.get_json_object(body, "$.k").cast("long").alias("k"))
+
+
+@query("select doc_id, len(text) > 100 as has_text_layer, substr(text, 1, 500) as preview from documents")
+def text_layer(spark, sf):
+    d = t(spark, sf, "documents")
+    return d.select("doc_id", (F.length("text") > 100).alias("has_text_layer"), F.substring("text", 1, 500).alias("preview"))
+
+
+@query("""select p_partkey, (5000 + p_partkey % 5000)::varchar as code, substr((5000 + p_partkey % 5000)::varchar, 1, 2) || '00' as series, case substr((5000 + p_partkey % 5000)::varchar, 1, 2) when '50' then 'Revenue' when '60' then 'Direct Cost' when '70' then 'Operating Expense' when '80' then 'Other Expense' when '90' then 'Other' else 'Unknown' end as category from part""")
+def account_series(spark, sf):
+    code = (5000 + F.col("p_partkey") % 5000).cast("string")
+    return t(spark, sf, "part").select("p_partkey", code.alias("code"), X.series_of(code).alias("series"), X.category_of(code).alias("category"))
+
+
+@query("select o_orderkey, o_custkey, ((row_number() over (partition by o_custkey order by o_orderkey) - 1) // 5)::int as batch from orders")
+def batches(spark, sf):
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return t(spark, sf, "orders").select("o_orderkey", "o_custkey", F.floor((n - 1) / 5).cast("int").alias("batch"))
+
+
+@query("""with n as (select user_id as label, arg_max('c' || event_id % 9, event_id) as c from events where event_type = 'click' group by 1)
+select event_id, user_id as label, case when value < 10 and c is not null then c else event_type end as code, case when value < 10 and c is not null then 'llm_retry' else 'llm' end as match_type from events left join n on user_id = label where event_type <> 'click'""")
+def retry_merge(spark, sf):
+    e = t(spark, sf, "events")
+    rows = e.where("event_type <> 'click'").select("event_id", F.col("user_id").alias("label"), F.col("event_type").alias("code"), F.lit("llm").alias("match_type"), (F.col("value") < 10).alias("needs_review"))
+    new = e.where("event_type = 'click'").select(F.col("user_id").alias("label"), F.concat(F.lit("c"), F.col("event_id") % 9).alias("code"), F.col("event_id").alias("seq"))
+    return matching.retry_merge(rows, new).drop("needs_review")
