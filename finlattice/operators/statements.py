@@ -78,6 +78,7 @@ def merge_pages(rows: DataFrame) -> DataFrame:
 def sheet_cells(rows: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """Cells of a sheet per key: title in row 1, header in row 2, then a row per input row."""
     number = F.row_number().over(Window.partitionBy(key).orderBy(*order)) + 2
-    body = rows.select(key, number.alias("row_no"), F.posexplode(F.array(*(F.col(c).cast("string") for c in columns))).alias("col", "value"))
+    rows = rows.withColumn("row_no", number)
+    body = rows.select(key, "row_no", F.posexplode(F.array(*(F.col(c).cast("string") for c in columns))).alias("col", "value"))
     head = rows.select(key).distinct().select(key, F.lit(2).alias("row_no"), F.posexplode(F.array(*(F.lit(c) for c in columns))).alias("col", "value"))
     return body.unionByName(head).select(key, F.col("row_no").cast("int").alias("row_no"), (F.col("col") + 1).cast("int").alias("col_no"), F.coalesce("value", F.lit("")).alias("value"))
