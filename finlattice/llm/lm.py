@@ -115,6 +115,8 @@ def backoff_scores(docs: DataFrame, order: int = 2, chunk_bytes: int = 4 << 20,
                 words, first = read(batch, i)
                 for n in range(1, order + 1):
                     part, key, count, _ = requests(grams(words, first, n)[1], parts)
+                    if not len(part):
+                        continue
                     cut = np.flatnonzero(np.diff(part, prepend=-1))
                     ends = np.append(cut[1:], len(part))
                     chunk = batch.column("chunk")[i].as_py()
