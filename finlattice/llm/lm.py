@@ -43,6 +43,17 @@ def unpack_keys(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """Integers below 2 ** 32: how many, then their byte planes, compressed."""
+    return len(x).to_bytes(4, "little") + pa.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def expand(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(pa.decompress(raw[4:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").reshape(n)
+
+
 def score_words(words: np.ndarray, first: np.ndarray, doc: np.ndarray, counts: list[np.ndarray], total: int) -> np.ndarray:
     """Per text, the sum of log10 scores of its words. counts[n - 1]: per n-gram position, its count in the corpus.
 
@@ -95,8 +106,10 @@ def backoff_scores(docs: DataFrame, order: int = 2, chunk_bytes: int = 4 << 20,
         for batch in batches:
             for part, data, offsets in _sized(batch, chunk_bytes):
                 w = T.words(data, offsets)
-                vocabulary, index = np.unique(w.hashes(), return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([here + k]), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([w.counts.tolist()], pa.list_(pa.int64())), pa.array([vocabulary.tobytes()], pa.binary()), pa.array([index.astype("<u4").tobytes()], pa.binary()), pa.array([len(index)])], ["chunk", "doc_ids", "sizes", "vocabulary", "words", "n"])
+                vocabulary, index, often = np.unique(w.hashes(), return_inverse=True, return_counts=True)
+                by = np.argsort(-often, kind="stable")  # frequent words get small numbers
+                vocabulary, index = vocabulary[by], np.argsort(by)[index]
+                yield pa.RecordBatch.from_arrays([pa.array([here + k]), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([w.counts.tolist()], pa.list_(pa.int64())), pa.array([vocabulary.tobytes()], pa.binary()), pa.array([squeeze(index)], pa.binary()), pa.array([len(index)])], ["chunk", "doc_ids", "sizes", "vocabulary", "words", "n"])
                 k += 1
 
     chunks = scratch.keep(rows.mapInArrow(write, "chunk long, doc_ids array<long>, sizes array<long>, vocabulary binary, words binary, n long"))
@@ -105,7 +118,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, chunk_bytes: int = 4 << 20,
 
     def read(batch, i):
         vocabulary = np.frombuffer(batch.column("vocabulary")[i].as_py(), np.uint64)
-        words = vocabulary[np.frombuffer(batch.column("words")[i].as_py(), "<u4")]
+        words = vocabulary[expand(batch.column("words")[i].as_py())]
         first = np.append(0, np.cumsum(np.asarray(batch.column("sizes")[i].as_py(), np.int64))).astype(np.int64)
         return words, first
 
@@ -120,7 +133,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, chunk_bytes: int = 4 << 20,
                     cut = np.flatnonzero(np.diff(part, prepend=-1))
                     ends = np.append(cut[1:], len(part))
                     chunk = batch.column("chunk")[i].as_py()
-                    yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(np.full(len(cut), chunk, np.int64)), pa.array(np.full(len(cut), n, np.int32)), pa.array([pack_keys(key[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([count[a:b].astype("<u4").tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["part", "chunk", "n", "keys", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(np.full(len(cut), chunk, np.int64)), pa.array(np.full(len(cut), n, np.int32)), pa.array([pack_keys(key[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([squeeze(count[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())], ["part", "chunk", "n", "keys", "counts"])
 
     asked = chunks.select("chunk", "sizes", "vocabulary", "words").mapInArrow(ask, "part int, chunk long, n int, keys binary, counts binary")
 
@@ -136,11 +149,11 @@ def backoff_scores(docs: DataFrame, order: int = 2, chunk_bytes: int = 4 << 20,
                 if not own.num_rows:
                     continue
                 keys = [unpack_keys(x) for x in own.column("keys").to_pylist()]
-                counts = np.concatenate([np.frombuffer(x, "<u4") for x in own.column("counts").to_pylist()])
+                counts = np.concatenate([expand(x) for x in own.column("counts").to_pylist()])
                 _, back = np.unique(np.concatenate(keys), return_inverse=True)
-                sums = np.bincount(back, weights=counts).astype(np.int64)[back].astype("<u4")
+                sums = np.bincount(back, weights=counts).astype(np.int64)[back]
                 edge = np.append(0, np.cumsum([len(k) for k in keys]))
-                out = [sums[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                out = [squeeze(sums[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([own.column("chunk").combine_chunks(), own.column("n").combine_chunks(), pa.array([part] * len(out), pa.int32()), pa.array(out, pa.binary())], ["chunk", "n", "part", "sums"])
 
     told = asked.repartitionById(parts, F.col("part")).mapInArrow(answer, "chunk long, n int, part int, sums binary")
@@ -155,7 +168,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, chunk_bytes: int = 4 << 20,
                 counts = []
                 for n in range(1, order + 1):
                     _, _, _, back = requests(grams(words, first, n)[1], parts)
-                    own = [np.frombuffer(x["sums"], "<u4") for x in answers if x["n"] == n]
+                    own = [expand(x["sums"]) for x in answers if x["n"] == n]
                     counts.append(np.concatenate(own)[back].astype(np.int64) if own else np.zeros(0, np.int64))
                 size = np.diff(first)
                 sums = score_words(words, first, doc, counts, total) if len(words) else np.zeros(len(size))
