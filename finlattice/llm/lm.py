@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as T
-from .work import Scratch, ship, shuffle_parts, slices, text_of, utf8
+from .work import Scratch, frugal, ship, shuffle_parts, slices, text_of, utf8
 
 BACKOFF = 0.4
 #: Bytes of a key within its partition; with the partition's number they tell n-grams apart.
@@ -112,7 +112,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, chunk_bytes: int = 4 << 20,
                 yield pa.RecordBatch.from_arrays([pa.array([here + k]), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([w.counts.tolist()], pa.list_(pa.int64())), pa.array([vocabulary.tobytes()], pa.binary()), pa.array([squeeze(index)], pa.binary()), pa.array([len(index)])], ["chunk", "doc_ids", "sizes", "vocabulary", "words", "n"])
                 k += 1
 
-    chunks = scratch.keep(rows.mapInArrow(write, "chunk long, doc_ids array<long>, sizes array<long>, vocabulary binary, words binary, n long"))
+    chunks = scratch.keep(rows.mapInArrow(frugal(write), "chunk long, doc_ids array<long>, sizes array<long>, vocabulary binary, words binary, n long"))
     total = chunks.agg(F.sum("n")).first()[0] or 0
     parts = max(shuffle_parts(spark), -(-total * order // part_words))
 
@@ -135,7 +135,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, chunk_bytes: int = 4 << 20,
                     chunk = batch.column("chunk")[i].as_py()
                     yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(np.full(len(cut), chunk, np.int64)), pa.array(np.full(len(cut), n, np.int32)), pa.array([pack_keys(key[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([squeeze(count[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())], ["part", "chunk", "n", "keys", "counts"])
 
-    asked = chunks.select("chunk", "sizes", "vocabulary", "words").mapInArrow(ask, "part int, chunk long, n int, keys binary, counts binary")
+    asked = chunks.select("chunk", "sizes", "vocabulary", "words").mapInArrow(frugal(ask), "part int, chunk long, n int, keys binary, counts binary")
 
     def answer(batches):
         """The count table of one partition, and what each chunk asked of it."""
@@ -156,7 +156,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, chunk_bytes: int = 4 << 20,
                 out = [squeeze(sums[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([own.column("chunk").combine_chunks(), own.column("n").combine_chunks(), pa.array([part] * len(out), pa.int32()), pa.array(out, pa.binary())], ["chunk", "n", "part", "sums"])
 
-    told = asked.repartitionById(parts, F.col("part")).mapInArrow(answer, "chunk long, n int, part int, sums binary")
+    told = asked.repartitionById(parts, F.col("part")).mapInArrow(frugal(answer), "chunk long, n int, part int, sums binary")
     told = told.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("n", "part", "sums"))).alias("told"))
 
     def score(batches):
@@ -175,7 +175,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, chunk_bytes: int = 4 << 20,
                 mean = pa.array(sums / np.maximum(size, 1), mask=size == 0)
                 yield pa.RecordBatch.from_arrays([pa.array(batch.column("doc_ids")[i].as_py(), pa.int64()), pa.array(size), pa.array(sums), mean], ["doc_id", "n_words", "log10_sum", "log10_mean"])
 
-    return chunks.join(told, "chunk", "left").select("doc_ids", "sizes", "vocabulary", "words", "told").mapInArrow(score, "doc_id long, n_words long, log10_sum double, log10_mean double")
+    return chunks.join(told, "chunk", "left").select("doc_ids", "sizes", "vocabulary", "words", "told").mapInArrow(frugal(score), "doc_id long, n_words long, log10_sum double, log10_mean double")
 
 
 def _sized(batch: pa.RecordBatch, most: int):

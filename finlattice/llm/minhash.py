@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as T
-from .work import Scratch, passes, ship, text_of
+from .work import Scratch, frugal, passes, ship, text_of
 
 #: A band joins the minimum and the maximum of PER_BAND permutations: 2 * PER_BAND values. At a Jaccard
 #: similarity of 0.8 a pair shares one band at least but for (1 - 0.8 ** 6) ** 42 = 3e-6 of pairs.
@@ -92,7 +92,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
             keys = pa.ListArray.from_arrays(pa.array(edge), pa.array(bands[full].ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), keys, parity], ["doc_id", "n", "s1", "s2", "bands", "parity"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bands array<long>, parity array<long>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(frugal(run), "doc_id long, n long, s1 long, s2 long, bands array<long>, parity array<long>")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -114,7 +114,7 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
                     both = np.bincount(d[1:][(h[1:] == h[:-1]) & (d[1:] == d[:-1])], minlength=len(row)) if len(h) else np.zeros(len(row), np.int64)
                     yield part.select(["a", "b"]).filter(pa.array(100 * both >= percent * (n1[row] + n2 - both)))
 
-    return pairs.join(ta, "a").select("a", "b", "text_a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(ta, "a").select("a", "b", "text_a").join(tb, "b").select("a", "b", "text_a", "text_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

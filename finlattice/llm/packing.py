@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import textcore as T
 from .sharding import row_identity
 from .tokens import Ids
-from .work import Scratch, shuffle_parts, slices, text_of, utf8
+from .work import Scratch, frugal, shuffle_parts, slices, text_of, utf8
 
 #: Bytes of text that are tokenised at once: the more, the fewer words are merged twice.
 TOKEN_PASS = 8 << 20
@@ -82,7 +82,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, seed: int, scra
                 blob = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edge * kind().nbytes), pa.py_buffer(out)])
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n + 1), *(pa.array(xyz[:, d].astype(np.float64)) for d in range(DIMS)), blob.cast(pa.binary()), pa.array(np.full(len(n), kind().nbytes, np.int32))], ["doc_id", "spot", "n_tokens", "x", "y", "z", "ids", "width"])
 
-    return scratch.keep(rows.mapInArrow(run, "doc_id long, spot long, n_tokens long, x double, y double, z double, ids binary, width int"))
+    return scratch.keep(rows.mapInArrow(frugal(run), "doc_id long, spot long, n_tokens long, x double, y double, z double, ids binary, width int"))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1, seed: int = 29, bucket_tokens: int = 4 << 20) -> DataFrame:
@@ -111,7 +111,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
             key = order_key(xyz, mean, spread, b.column("spot").to_numpy())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n_tokens", "width", "ids") if c in b.schema.names), pa.array(key)], [*(c for c in ("doc_id", "n_tokens", "width", "ids") if c in b.schema.names), "key"])
 
-    narrow = scratch.keep(rows.select("n_tokens", "spot", "x", "y", "z").mapInArrow(keyed, "n_tokens long, key long"))
+    narrow = scratch.keep(rows.select("n_tokens", "spot", "x", "y", "z").mapInArrow(frugal(keyed), "n_tokens long, key long"))
     cuts = narrow.agg(F.percentile_approx("key", F.array(*(F.lit(i / parts) for i in range(1, parts))) if parts > 1 else F.array(F.lit(0.5)), F.lit(max(10000, 20 * parts)))).first()[0] or []
     bounds = np.unique(np.asarray(cuts if parts > 1 else [], np.int64))
 
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
             at = np.searchsorted(bounds, b.column("key").to_numpy(), side="right")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32))], [*b.schema.names, "range"])
 
-    sums = dict(narrow.mapInArrow(ranged, "n_tokens long, key long, range int").groupBy("range").agg(F.sum("n_tokens")).collect())
+    sums = dict(narrow.mapInArrow(frugal(ranged), "n_tokens long, key long, range int").groupBy("range").agg(F.sum("n_tokens")).collect())
     base, at = {}, 0
     for r in range(len(bounds) + 1):
         base[r] = at
@@ -147,9 +147,9 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
             out = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(lo - begin[doc]), pa.array(hi - lo), out, pa.array(n[doc]), pa.array(lo // length), pa.array(lo % length)], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    full = rows.mapInArrow(keyed, "doc_id long, n_tokens long, width int, ids binary, key long").mapInArrow(ranged, "doc_id long, n_tokens long, width int, ids binary, key long, range int")
+    full = rows.mapInArrow(frugal(lambda batches: ranged(keyed(batches))), "doc_id long, n_tokens long, width int, ids binary, key long, range int")
     dealt = full.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("key", "doc_id", "n_tokens", "ids")
-    return dealt.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return dealt.mapInArrow(frugal(cut), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def digest(pieces: DataFrame) -> DataFrame:

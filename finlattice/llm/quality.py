@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textcore as T
-from .work import passes, ship, text_of
+from .work import frugal, passes, ship, text_of
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered_words long, longest_repeat long"
 _SYMBOL = np.zeros(256, bool)
@@ -156,4 +156,4 @@ def quality_rules(docs: DataFrame, least_words: int = 6, max_covered_percent: in
             got = measure(data, offsets, least_words, max_covered_percent, max_longest)
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(v) for v in got.values())], ["doc_id", *got])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(frugal(run), SCHEMA)

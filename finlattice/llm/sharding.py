@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import Scratch, shuffle_parts
+from .work import Scratch, frugal, shuffle_parts
 
 #: What a record needs besides its text.
 RECORD_BYTES = 8
@@ -72,7 +72,7 @@ def shuffled(docs: DataFrame, n_shards: int, seed: int = 17, bucket_bytes: int =
 
     parts = max(1, min(buckets, max(shuffle_parts(spark), -(-size // (64 << 20)))))
     dealt = rows.withColumn("bucket", bucket).repartition(parts, "bucket").sortWithinPartitions("bucket", "spot", "doc_id", "text")
-    return dealt.select("doc_id", "text", "bucket").mapInArrow(place, "doc_id long, text string, shard int, slot long")
+    return dealt.select("doc_id", "text", "bucket").mapInArrow(frugal(place), "doc_id long, text string, shard int, slot long")
 
 
 def _groups(batches):

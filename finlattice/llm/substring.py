@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as T
 from .sharding import row_identity
-from .work import Scratch, passes, ship, text_of
+from .work import Scratch, frugal, passes, ship, text_of
 
 #: Words of the phrase by which the reference is indexed.
 PHRASE = 8
@@ -124,10 +124,10 @@ def deduplicated(docs: DataFrame, length: int = 35) -> DataFrame:
             p.keep(own)
             yield pa.RecordBatch.from_arrays([_signed(p.key), _signed(p.factor_hash()), _signed(a[p.doc]), _signed(b[p.doc]), pa.array((p.lo - p.words.first[p.doc]).astype(np.int32)), pa.array((p.hi - p.lo).astype(np.int32)), pa.array(times[back][p.doc].astype(np.int64))], ["phrase", "factor", "t1", "t2", "lo", "size", "times"])
 
-    names = rows.select("text", "spot").mapInArrow(name, "t1 long, t2 long, spot long, n long").groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("spot").alias("spot"))
+    names = rows.select("text", "spot").mapInArrow(frugal(name), "t1 long, t2 long, spot long, n long").groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("spot").alias("spot"))
     names = scratch.keep(names)
     twins = names.where("copies > 1").select("t1", "t2")
-    found = scratch.keep(rows.select("text").mapInArrow(passage, "phrase long, factor long, t1 long, t2 long, lo int, size int, times long"))
+    found = scratch.keep(rows.select("text").mapInArrow(frugal(passage), "phrase long, factor long, t1 long, t2 long, lo int, size int, times long"))
     # one row per distinct passage: how often, and one place where it stands
     distinct = found.groupBy("phrase", "factor").agg(F.sum("times").alias("times"), F.min("t1").alias("t1"))
     distinct = scratch.keep(distinct)
@@ -165,9 +165,9 @@ def deduplicated(docs: DataFrame, length: int = 35) -> DataFrame:
             a, b = names_of(w, w.hashes())
             yield pa.RecordBatch.from_arrays([*part.columns, _signed(a), _signed(b)], [*part.schema.names, "t1", "t2"])
 
-    texts = rows.mapInArrow(named, "doc_id long, text string, spot long, t1 long, t2 long")
+    texts = rows.mapInArrow(frugal(named), "doc_id long, text string, spot long, t1 long, t2 long")
     marked = rows.select("text", "spot").join(flagged, "spot")
-    windows = scratch.keep(marked.select("text", "marks", "t1", "t2").mapInArrow(look, "h1 long, h2 int, t1 long, t2 long, lo int, times long"))
+    windows = scratch.keep(marked.select("text", "marks", "t1", "t2").mapInArrow(frugal(look), "h1 long, h2 int, t1 long, t2 long, lo int, times long"))
     repeated = windows.groupBy("h1", "h2").agg(F.sum("times").alias("times")).where("times > 1").select("h1", "h2")
     ends = windows.where("times = 1").join(repeated, ["h1", "h2"], "left_semi").select("t1", "t2", "lo", F.lit(length).alias("size"))
     drop = spans.unionByName(ends).join(twins, ["t1", "t2"], "left_anti")
@@ -209,7 +209,7 @@ def deduplicated(docs: DataFrame, length: int = 35) -> DataFrame:
                     kept.append(out[:-1].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.counts), pa.array(np.asarray(removed, np.int64)), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return texts.select("doc_id", "text", "t1", "t2").join(drop, ["t1", "t2"], "left").select("doc_id", "text", "drop").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    return texts.select("doc_id", "text", "t1", "t2").join(drop, ["t1", "t2"], "left").select("doc_id", "text", "drop").mapInArrow(frugal(cut), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def digest(kept: DataFrame) -> DataFrame:

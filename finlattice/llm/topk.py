@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import Scratch, ship
+from .work import Scratch, frugal, ship
 
 #: Rows of a block of queries and of a block of candidates; bins of a histogram.
 QUERY_BLOCK, ROW_BLOCK, BINS = 2048, 4096, 256
@@ -41,7 +41,7 @@ def blocks(rows: DataFrame, size: int, number: str) -> DataFrame:
         for d, rows in held.items():
             yield _block(d, rows, number)
 
-    return rows.mapInArrow(run, f"dims int, {number}_ids binary, {number}_rows binary, {number}_hash long")
+    return rows.mapInArrow(frugal(run), f"dims int, {number}_ids binary, {number}_rows binary, {number}_hash long")
 
 
 def _block(d, rows, number):
@@ -103,7 +103,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
             some = ~own.all(1)
             yield pa.RecordBatch.from_arrays([pa.array([row["q_block"]] * int(some.sum()), pa.int64()), pa.array(qi[some]), pa.array(lo[some]), pa.array(hi[some]), pa.array((~own).sum(1)[some])], ["q_block", "query_id", "lo", "hi", "n"])
 
-    first = met(None).mapInArrow(ranges, "q_block long, query_id long, lo long, hi long, n long")
+    first = met(None).mapInArrow(frugal(ranges), "q_block long, query_id long, lo long, hi long, n long")
     state = first.groupBy("q_block", "query_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
     # the kth best score lies in [lo, hi]; `above` rows lie over hi
     state = scratch.keep(state.select("q_block", "query_id", "lo", "hi", F.lit(0).cast("long").alias("above"), F.least(F.lit(k).cast("long"), "n").alias("want")))
@@ -129,7 +129,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), row["q_block"], np.int64)), pa.array(qi[key // BINS]), pa.array((key % BINS).astype(np.int32)), pa.array(n.astype(np.int64))], ["q_block", "query_id", "bin", "n"])
 
     while state.where("hi > lo").limit(1).count():
-        counts = met(packed(state)).mapInArrow(histogram, "q_block long, query_id long, bin int, n long").groupBy("q_block", "query_id", "bin").agg(F.sum("n").alias("n"))
+        counts = met(packed(state)).mapInArrow(frugal(histogram), "q_block long, query_id long, bin int, n long").groupBy("q_block", "query_id", "bin").agg(F.sum("n").alias("n"))
         bins = counts.groupBy("q_block", "query_id").agg(F.sort_array(F.collect_list(F.struct("bin", "n")), asc=False).alias("bins"))
         step = state.join(bins, ["q_block", "query_id"], "left")
         # from the highest bin down, until `want` rows lie at or above
@@ -152,6 +152,6 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
             keep = np.arange(len(at)) - begin < k
             yield pa.RecordBatch.from_arrays([pa.array(qi[at[keep]]), pa.array(ids[keep]), pa.array(score[keep])], ["query_id", "vec_id", "score"])
 
-    near = met(packed(state)).mapInArrow(best, "query_id long, vec_id long, score long")
+    near = met(packed(state)).mapInArrow(frugal(best), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as T
-from .work import Scratch, passes, text_of
+from .work import Scratch, frugal, passes, text_of
 
 #: Function words of the grammar in English, German, French and Spanish.
 TARGETS = "you your yours u he she they them du dich dir ihr euch sie tu toi te vous il elle ils tú usted ustedes vosotros él ella".split()
@@ -248,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int, max_lexicon: in
             n = np.bincount(back, minlength=len(keys)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(p), pa.array(n - p)], ["term", "pos", "neg"])
 
-    terms_ = scratch.keep(sample.mapInArrow(terms, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    terms_ = scratch.keep(sample.mapInArrow(frugal(terms), "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     tried = max(2, terms_.where("pos + neg > 1").count())
     base = pos / (pos + neg)
     # twice the log likelihood ratio against chance; so strong that not one of all terms tried would get there by luck
@@ -268,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int, max_lexicon: in
             lists = [np.unique(at[(doc == i) & (at >= 0)]).tolist() for i in range(rows.num_rows)] if rows.num_rows else []
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int64()))], ["terms"])
 
-    holds = [r[0] for r in sample.where("toxic = 1").mapInArrow(held, "terms array<long>").collect()]  # of max_labelled texts at most
+    holds = [r[0] for r in sample.where("toxic = 1").mapInArrow(frugal(held), "terms array<long>").collect()]  # of max_labelled texts at most
     chosen = covering(holds, got[:, 2], pos, neg, math.log(tried) + 1)
     weights = np.log((got[chosen, 1] + 0.5) / (pos + 1)) - np.log((got[chosen, 2] + 0.5) / (neg + 1))
     lexicon = (keys[chosen], weights)
@@ -279,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int, max_lexicon: in
             x = feature(data, offsets)
             yield pa.RecordBatch.from_arrays([rows.column("toxic"), *(pa.array(x[:, i]) for i in range(x.shape[1]))], ["toxic", *(f"x{i}" for i in range(x.shape[1]))])
 
-    rows = sample.mapInArrow(measured, "toxic int, " + ", ".join(f"x{i} double" for i in range(len(SCORED)))).collect()
+    rows = sample.mapInArrow(frugal(measured), "toxic int, " + ", ".join(f"x{i} double" for i in range(len(SCORED)))).collect()
     rows.sort()
     m = np.asarray([tuple(r) for r in rows], float)
     weights, bias = fit(np.log1p(m[:, 1:]), m[:, 0])
@@ -317,5 +317,5 @@ def scored(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, max_labell
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score)], ["doc_id", "score"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(frugal(run), "doc_id long, score double")
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -107,3 +108,16 @@ def passes(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tu
         data, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
         for lo, hi in slices(offsets):
             yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+
+
+def frugal(run: Callable) -> Callable:
+    """`run` over Arrow batches, after which the worker hands freed memory back: idle workers live on."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return whole
