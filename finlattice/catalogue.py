@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import matching, memory, statements, telemetry
+from .streaming import events as event_windows_
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -235,3 +236,42 @@ def retry_merge(spark, sf):
     rows = e.where("event_type <> 'click'").select("event_id", F.col("user_id").alias("label"), F.col("event_type").alias("code"), F.lit("llm").alias("match_type"), (F.col("value") < 10).alias("needs_review"))
     new = e.where("event_type = 'click'").select(F.col("user_id").alias("label"), F.concat(F.lit("c"), F.col("event_id") % 9).alias("code"), F.col("event_id").alias("seq"))
     return matching.retry_merge(rows, new).drop("needs_review")
+
+
+@query("select date_trunc('hour', ts) as window_start, event_type as kind, count(*) as events, sum(event_id % 5000)::bigint as total_ms from events group by 1, 2")
+def event_windows(spark, sf):
+    return event_windows_.windowed(t(spark, sf, "events").withColumn("ms", F.col("event_id") % 5000), "ts", "event_type", "ms")
+
+
+_INCOME = "select o_orderkey, case when o_orderkey % 11 <> 0 then o_totalprice end as revenue, o_totalprice * 0.5 as cost, o_totalprice * (0.4 + (o_orderkey % 5) * 0.05) as gross_profit, o_totalprice * ((o_orderkey % 7) * 0.5 - 1.6) as net_income from orders"
+
+
+@query(f"""select *, coalesce(abs(gross_profit - (revenue - cost)) > greatest(abs(revenue) * 0.05, 10000.0), false) as gross_gap, coalesce(revenue > 0 and abs(net_income) > revenue, false) as odd_margin
+ from ({_INCOME.replace('0.05)', '0.05::double)').replace('0.5 - 1.6', '0.5::double - 1.6::double').replace('* 0.5 as', '* 0.5::double as').replace('(0.4 ', '(0.4::double ')})""")
+def income_check(spark, sf):
+    o, d = t(spark, sf, "orders"), lambda x: F.lit(float(x))
+    k, p = F.col("o_orderkey"), F.col("o_totalprice")
+    rows = o.select("o_orderkey", F.when(k % 11 != 0, p).alias("revenue"), (p * d(0.5)).alias("cost"), (p * (d(0.4) + (k % 5) * d(0.05))).alias("gross_profit"), (p * ((k % 7) * d(0.5) - d(1.6))).alias("net_income"))
+    return statements.income_check(rows)
+
+
+@query("""select doc_id, case doc_id % 3 when 2 then '' else array_to_string(list_filter([0, doc_id % 9, 3, n_chars // 100], lambda x: x between 1 and 1 + doc_id % 6), ',') end as pages from documents""")
+def page_map(spark, sf):
+    d = t(spark, sf, "documents")
+    listed = F.format_string('[0, %s, 3, true, "2", 2.5, %s]', F.col("doc_id") % 9, F.floor(F.col("n_chars") / 100))
+    answer = F.when(F.col("doc_id") % 3 == 0, listed).when(F.col("doc_id") % 3 == 1, listed).when(F.col("doc_id") % 2 == 0, '{"a": 1}').otherwise("no JSON [")
+    out = statements.valid_pages(d.select("doc_id", answer.alias("answer"), (1 + F.col("doc_id") % 6).alias("total_pages")))
+    return out.select("doc_id", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+
+
+@query("""select o_custkey, string_agg('- "' || o_orderstatus || '" in "' || o_orderpriority || '" → ' || o_orderkey % 10 || ' n (' || case when o_orderkey % 3 >= 2 then 'NEVER ' else 'previously mis-mapped to ' end || o_orderkey % 7 || ')', chr(10) order by o_orderkey) as prompt from orders group by 1""")
+def correction_prompt(spark, sf):
+    k = F.col("o_orderkey")
+    rules = t(spark, sf, "orders").select("o_custkey", F.col("o_orderstatus").alias("label"), F.col("o_orderpriority").alias("section"), (k % 7).cast("string").alias("wrong_code"), (k % 10).cast("string").alias("correct_code"), F.lit("n").alias("correct_name"), (k % 3).alias("count"), k.alias("seq"))
+    return memory.prompt_lines(rules, "o_custkey")
+
+
+@query("""select n_nationkey as code, n_name as name, row_number() over (order by (not (lower(n_name) = 'india'))::int, n_nationkey)::int as place from nation where contains(lower(n_name), 'india') or contains('note ' || lower(n_name), 'india') or contains('note ' || n_regionkey, 'india')""")
+def account_search(spark, sf):
+    n = t(spark, sf, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"), F.concat(F.lit("note "), F.col("n_name")).alias("description"), F.col("n_nationkey").alias("pos"))
+    return matching.search(n, "India")

@@ -47,3 +47,13 @@ def retry_merge(rows: DataFrame, new: DataFrame) -> DataFrame:
     out = rows.join(last, "label", "left")
     use = F.col("needs_review") & F.col("new_code").isNotNull()
     return out.withColumn("match_type", F.when(use, "llm_retry").otherwise(F.col("match_type"))).withColumn("code", F.when(use, F.col("new_code")).otherwise(F.col("code"))).drop("new_code")
+
+
+def search(accounts: DataFrame, text: str) -> DataFrame:
+    """Accounts whose name is `text` (the last loaded first), then those whose name or description holds it, in order."""
+    q = text.lower()
+    name = F.lower("name")
+    hit = accounts.where(name.contains(q) | F.lower(F.coalesce("description", F.lit(""))).contains(q))
+    same = F.max(F.when(name == q, F.col("pos"))).over(Window.partitionBy(F.lit(1)))  # the chart is a small dimension
+    order = F.row_number().over(Window.orderBy((~F.coalesce(F.col("pos") == F.col("same"), F.lit(False))).cast("int"), "pos"))
+    return hit.withColumn("same", same).select("code", "name", order.alias("place"))

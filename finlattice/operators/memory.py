@@ -31,3 +31,11 @@ def ignored(rows: DataFrame, rules: DataFrame) -> DataFrame:
     r = rules.where("wrong_code <> correct_code").select(F.lower("label").alias("k"), "wrong_code", "correct_code", "count")
     j = rows.join(r, (F.lower("label") == F.col("k")) & (F.col("code") == F.col("wrong_code")))
     return j.select("row_id", "label", "code", "correct_code", (F.col("count") >= 2).alias("hard_fail"))
+
+
+def prompt_lines(rules: DataFrame, key: str) -> DataFrame:
+    """One text per practice, a line per rule in order of seq; rules seen twice or more forbid the wrong code."""
+    tail = F.when(F.col("count") >= 2, F.format_string("(NEVER %s)", "wrong_code")).otherwise(F.format_string("(previously mis-mapped to %s)", "wrong_code"))
+    line = F.concat(F.format_string('- "%s" in "%s" → %s %s ', "label", "section", "correct_code", "correct_name"), tail)
+    g = rules.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("r"))
+    return g.select(key, F.array_join("r.line", "\n").alias("prompt"))

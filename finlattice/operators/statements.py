@@ -82,3 +82,23 @@ def sheet_cells(rows: DataFrame, key: str, order: list[str], columns: list[str])
     body = rows.select(key, "row_no", F.posexplode(F.array(*(F.col(c).cast("string") for c in columns))).alias("col", "value"))
     head = rows.select(key).distinct().select(key, F.lit(2).alias("row_no"), F.posexplode(F.array(*(F.lit(c) for c in columns))).alias("col", "value"))
     return body.unionByName(head).select(key, F.col("row_no").cast("int").alias("row_no"), (F.col("col") + 1).cast("int").alias("col_no"), F.coalesce("value", F.lit("")).alias("value"))
+
+
+def income_check(rows: DataFrame) -> DataFrame:
+    """gross_gap: gross profit is off revenue - cost by over 5 % of revenue and 10000; odd_margin: |net / revenue| > 1.
+
+    A missing figure raises no flag; neither does a revenue of 0 or less the second one.
+    """
+    gap = F.abs(F.col("gross_profit") - (F.col("revenue") - F.col("cost"))) > F.greatest(F.abs("revenue") * F.lit(0.05), F.lit(10000.0))
+    odd = (F.col("revenue") > 0) & (F.abs("net_income") > F.col("revenue"))
+    return rows.withColumn("gross_gap", F.coalesce(gap, F.lit(False))).withColumn("odd_margin", F.coalesce(odd, F.lit(False)))
+
+
+def valid_pages(answers: DataFrame) -> DataFrame:
+    """doc_id, pages: the whole numbers from 1 to total_pages in the JSON list `answer`, as they come; no list: none.
+
+    Fractions, strings and flags aren't pages.
+    """
+    items = F.expr("try_variant_get(try_parse_json(answer), '$', 'array<variant>')")
+    kept = F.expr("filter(items, x -> schema_of_variant(x) = 'BIGINT' and try_variant_get(x, '$', 'bigint') between 1 and total_pages)")
+    return answers.withColumn("items", items).select("doc_id", F.coalesce(F.transform(kept, lambda x: F.try_variant_get(x, "$", "int")), F.array().cast("array<int>")).alias("pages"))
