@@ -99,7 +99,7 @@ select l.label, pos as code, case when layer is null then 'unmatched' when layer
 def match_accounts(spark, sf):
     p = t(spark, sf, "part")
     a = p.select(F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" goods")).alias("name")).distinct().withColumn("pos", F.row_number().over(Window.orderBy("name")).cast("long"))
-    return matching.match(p.select(F.col("p_name").alias("label")), a.withColumn("code", F.col("pos")))
+    return matching.match(p.select(F.col("p_name").alias("label")), a.withColumn("code", F.col("pos"))).select("label", "code", "confidence", "match_type", "match_ratio")
 
 
 @query("select l_orderkey, round(avg(case when l_quantity < 5 or l_linenumber = 3 then 1 else 0 end), 6) as missing_ratio from lineitem group by l_orderkey")

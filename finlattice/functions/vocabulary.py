@@ -37,3 +37,24 @@ METRIC_ALIASES = {
     "operating_cash_flow": ["operating cash flow", "cash from operations", "net cash from operating"],
     "free_cash_flow": ["free cash flow", "fcf", "free cash"],
 }
+SECTION_WORDS = {
+    "5": ["REVENUE", "INCOME", "SALES", "FEES EARNED", "TURNOVER"],
+    "6": ["COST OF", "COGS", "DIRECT COST"],
+    "7": ["EXPENSE", "OPERATING", "G&A", "GENERAL", "ADMINISTRATIVE", "SELLING", "DISTRIBUTION", "OVERHEAD", "PAYROLL"],
+}
+ALIAS_FILLERS = "revenue expense expenses cost costs services service sales fees total other and the a an".split()
+CHART_HEADINGS = {
+    "5": "=== REVENUE ACCOUNTS (5000 series) ===",
+    "6": "=== DIRECT COSTS (6000 series) ===",
+    "7": "=== OPERATING EXPENSES (7000 series) ===",
+    "8": "=== OTHER EXPENSES - DEPRECIATION / AMORTIZATION (8000 series) ===",
+    "9": "=== OTHER INCOME / OTHER EXPENSE / INTEREST / TAXES (9000 series) ===",
+}
+REQUIRED_SECTIONS = {
+    "balance_sheet": ["ASSET", "LIABILIT", "EQUITY"],
+    "income_statement": ["REVENUE", "EXPENSE", "NET INCOME"],
+    "cash_flow": ["OPERATING", "INVESTING", "FINANCING"],
+}
+BALANCE_METRICS = ["total_assets", "total_liabilities", "total_equity", "cash_and_equivalents", "total_debt"]
+CASH_METRICS = ["operating_cash_flow", "free_cash_flow"]
+REVIEW_COLUMNS = ["CoA Code", "CoA Name", "CoA Category", "Match Type", "Confidence", "Reasoning", "Needs Review", "Citation"]

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.tables import small
 
 
 def match(labels: DataFrame, accounts: DataFrame) -> DataFrame:
-    """label -> code, confidence, match_type, match_ratio, n_candidates.
+    """label -> code, confidence, match_type, match_ratio, matched_on, unmatched, alternatives (two at most, if ambiguous).
 
     accounts: code, name, pos (order of loading). Headers and compounds are told first; then the first account in
     order that is equal, contains the label (over 4 letters) or is contained in it; then shares of tokens, the
@@ -22,18 +23,28 @@ def match(labels: DataFrame, accounts: DataFrame) -> DataFrame:
     layer1 = F.when(F.col("lo") == F.col("name"), 1).when((F.length("lo") > 4) & F.col("name").contains(F.col("lo")), 2).when((F.length("name") > 4) & F.col("lo").contains(F.col("name")), 3)
     # each label against each account of a small, fixed dimension, kept only where a layer hits
     met = F.exists("tokens", lambda p: F.exists("atokens", lambda c: (p == c) | ((F.length(p) >= 5) & (F.length(c) >= 5) & (p.startswith(c) | c.startswith(p)))))
-    hit = plain.join(F.broadcast(a), layer1.isNotNull() | met)
+    hit = plain.join(small(a), layer1.isNotNull() | met)
     ratio = F.when(F.size("tokens") > 0, F.size(X.overlap(F.col("tokens"), F.col("atokens"))) / F.size("tokens")).otherwise(0.0)
     hit = hit.withColumn("layer", F.coalesce(layer1, F.lit(4))).withColumn("ratio", ratio)
     w = Window.partitionBy("label").orderBy((F.col("layer") == 4).cast("int"), F.when(F.col("layer") < 4, F.lit(0.0)).otherwise(-F.col("ratio")), "pos")
     n = F.count(F.when(F.col("ratio") > 0, 1)).over(Window.partitionBy("label"))
-    best = hit.withColumn("n", n).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("label", "code", "layer", "ratio", "n")
-    out = l.join(best, "label", "left")
+    ranked = hit.withColumn("n", n).withColumn("rn", F.row_number().over(w)).where("rn <= 3")
+    best = ranked.where("rn = 1").select("label", "code", "layer", "ratio", "n", X.overlap(F.col("tokens"), F.col("atokens")).alias("met"), F.col("name").alias("account"))
+    others = ranked.where("rn > 1 and layer = 4").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rn", "code")))["code"].alias("next_codes"))
+    out = l.join(best, "label", "left").join(others, "label", "left")
     kind = F.when(F.col("header"), "header").when(F.col("compound"), "compound").when(F.col("layer").isNull(), "unmatched")
     kind = kind.when(F.col("layer") == 1, "exact").when(F.col("layer") < 4, "exact_substring").when(F.col("ratio") == 1, "token").otherwise("token_partial")
     sure = F.when(F.col("header"), "high").when(F.col("compound"), "compound").when(F.col("layer").isNull(), "unmatched").when(F.col("layer") <= 2, "high").when(F.col("layer") == 3, "medium")
     sure = sure.when(F.col("ratio") == 1, F.when(F.col("n") == 1, "high").otherwise("ambiguous")).otherwise("medium")
-    return out.select("label", "code", sure.alias("confidence"), kind.alias("match_type"), F.round(F.when(F.col("layer") == 4, F.col("ratio")), 6).alias("match_ratio"))
+    on = F.when(F.col("layer") <= 2, F.array("label")).when(F.col("layer") == 3, F.array("account")).otherwise(F.array_sort("met"))
+    return out.select("label", "code", sure.alias("confidence"), kind.alias("match_type"), F.round(F.when(F.col("layer") == 4, F.col("ratio")), 6).alias("match_ratio"), on.alias("matched_on"), F.array_except("tokens", F.coalesce("met", F.array().cast("array<string>"))).alias("unmatched"), F.when(sure == "ambiguous", F.col("next_codes")).alias("alternatives"))
+
+
+def compound_candidates(labels: DataFrame, accounts: DataFrame) -> DataFrame:
+    """label, part, code: the account of each part of a compound label that has one, in order of part_pos."""
+    parts = labels.select("label").distinct().where(X.is_compound(F.col("label"))).select("label", F.posexplode(X.compound_parts(F.col("label"))).alias("part_pos", "part"))
+    found = match(parts.select(F.col("part").alias("label")), accounts).where("code is not null").select(F.col("label").alias("part"), "code")
+    return parts.join(found, "part").select("label", "part_pos", "part", "code")
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def metric_values(cells: DataFrame, key: str) -> DataFrame:
     """
     spark = cells.sparkSession
     alias = spark.createDataFrame([(m, a, i) for m, xs in V.METRIC_ALIASES.items() for i, a in enumerate(xs)], "metric string, alias string, alias_pos int")
-    label = F.lower("label")
+    label = F.lower(X.strip(F.col("label")))
     hit = cells.where("value_raw is not null and value_raw <> ''").join(F.broadcast(alias), label.contains(F.col("alias")) | F.col("alias").contains(label))
     first = hit.groupBy(key, "metric").agg(F.min_by("value_raw", F.struct("section_pos", "row_pos", "alias_pos")).alias("raw"))
     return first.select(key, "metric", X.parse_value(F.col("raw")).alias("value"))
@@ -102,3 +102,67 @@ def valid_pages(answers: DataFrame) -> DataFrame:
     items = F.expr("try_variant_get(try_parse_json(answer), '$', 'array<variant>')")
     kept = F.expr("filter(items, x -> schema_of_variant(x) = 'BIGINT' and try_variant_get(x, '$', 'bigint') between 1 and total_pages)")
     return answers.withColumn("items", items).select("doc_id", F.coalesce(F.transform(kept, lambda x: F.try_variant_get(x, "$", "int")), F.array().cast("array<int>")).alias("pages"))
+
+
+def company_metrics(cells: DataFrame) -> DataFrame:
+    """company, metric, value of cells (company, statement_type, section_pos, row_pos, label, value_raw of the first period).
+
+    Income statements speak for every metric, balance sheets for their own where the former don't, cash flows over both for theirs.
+    """
+    of = lambda kind: metric_values(cells.where(F.col("statement_type") == kind), "company").where("value is not null")
+    ranked = of("income_statement").withColumn("rank", F.lit(1)).unionByName(of("balance_sheet").where(F.col("metric").isin(V.BALANCE_METRICS)).withColumn("rank", F.lit(2)))
+    ranked = ranked.unionByName(of("cash_flow").where(F.col("metric").isin(V.CASH_METRICS)).withColumn("rank", F.lit(0)))
+    return ranked.groupBy("company", "metric").agg(F.min_by("value", "rank").alias("value"))
+
+
+def latest_companies(bundles: DataFrame) -> DataFrame:
+    """One bundle per company name, the last added (by seq)."""
+    names = [c for c in bundles.columns if c != "company"]
+    g = bundles.groupBy("company").agg(F.max_by(F.struct(*names), "seq").alias("b"))
+    return g.select("company", *(F.col("b")[c].alias(c) for c in names))
+
+
+def fiscal_year(bundles: DataFrame) -> DataFrame:
+    """One row: the last year given for the comparison (`given`), else the first that a bundle states (`stated`)."""
+    last, first = F.max_by("given", F.when(F.col("given") != "", F.col("seq"))), F.min_by("stated", F.when(F.col("stated") != "", F.col("seq")))
+    return bundles.agg(F.coalesce(last, first).alias("fiscal_year"))
+
+
+def metric_maps(values: DataFrame) -> DataFrame:
+    """metric, by_company: a map of the companies that have the metric."""
+    return values.groupBy("metric").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("company", "value")))).alias("by_company"))
+
+
+def union_periods(base, new):
+    """Periods of `base` as they are, then those of `new` that it lacks, each once."""
+    return F.concat(base, F.array_distinct(F.filter(new, lambda x: ~F.array_contains(base, x))))
+
+
+def merge_statements(pages: DataFrame) -> DataFrame:
+    """doc_id, statement_type and the merged title, periods and sections of a statement's pages, in order of page_pos.
+
+    The first page that has sections is the base. A later page's section goes to every section of its name, else to the
+    end; values aren't moved to other periods. Pages that failed (null sections) take no part.
+    """
+    ok = pages.where("sections is not null")
+    g = ok.groupBy("doc_id", "statement_type").agg(F.array_sort(F.collect_list(F.struct("page_pos", "title", F.coalesce("periods", F.array().cast("array<string>")).alias("periods"), "sections"))).alias("p"))
+    kind = "array<struct<name:string,rows:array<struct<label:string,values:array<string>,is_subtotal:boolean>>>>"
+    as_kind = lambda c: c.cast(kind)
+    first, rest = F.col("p")[0], F.slice("p", 2, F.size("p"))
+    none = F.array().cast("array<struct<label:string,values:array<string>,is_subtotal:boolean>>")
+
+    def add(acc, s):
+        grown = F.transform(acc, lambda x: F.when(x["name"].eqNullSafe(s["name"]), F.struct(x["name"].alias("name"), F.concat(F.coalesce(x["rows"], none), F.coalesce(s["rows"], none)).alias("rows"))).otherwise(x))
+        return as_kind(F.when(F.exists(acc, lambda x: x["name"].eqNullSafe(s["name"])), grown).otherwise(F.concat(acc, F.array(s))))
+
+    sections = F.aggregate(as_kind(F.flatten(F.transform(rest, lambda q: q["sections"]))), as_kind(first["sections"]), add)
+    periods = F.aggregate(F.transform(rest, lambda q: q["periods"]), first["periods"], union_periods)
+    return g.select("doc_id", "statement_type", first["title"].alias("title"), periods.alias("periods"), sections.alias("sections"))
+
+
+def shown_rows(statements: DataFrame) -> DataFrame:
+    """doc_id, section, label and one text per period ("" where a row has none; figures beyond the periods don't show)."""
+    s = statements.select("doc_id", "periods", F.posexplode("sections").alias("section_pos", "s"))
+    r = s.select("doc_id", "periods", "section_pos", F.col("s.name").alias("section"), F.posexplode("s.rows").alias("row_pos", "r"))
+    figures = F.transform("periods", lambda p, i: F.coalesce(F.get("r.values", i), F.lit("")))
+    return r.select("doc_id", "section_pos", "section", "row_pos", F.col("r.label").alias("label"), figures.alias("figures"))
