@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions import vocabulary as V
 
 CATEGORY = ["coa_code", "coa_name", "coa_category", "match_type", "confidence", "reasoning", "needs_review", "citation", "is_split"]
+ANSWER = ["account_id", "account_name", "category", "confidence", "reasoning", "needs_review", "is_split"]
 
 
 def rows_of(statements: DataFrame) -> DataFrame:
@@ -25,10 +26,21 @@ def postable(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def answered(answers: DataFrame) -> DataFrame:
-    """One record per label, the last (by seq) that has an account; error records have none."""
-    cols = [c for c in answers.columns if c not in ("label", "seq")]
-    g = answers.where("account_id is not null").groupBy("label").agg(F.max_by(F.struct(*cols), "seq").alias("r"))
-    return g.select("label", *(F.col("r")[c].alias(c) for c in cols))
+    """One record per label (and document, if answers have doc_id), the last by seq with an account; error records have none."""
+    key = answer_key(answers)
+    cols = [c for c in answers.columns if c not in (*key, "seq")]
+    g = answers.where("account_id is not null").groupBy(*key).agg(F.max_by(F.struct(*cols), "seq").alias("r"))
+    return g.select(*key, *(F.col("r")[c].alias(c) for c in cols))
+
+
+def answer_key(answers: DataFrame) -> list[str]:
+    return [c for c in ("doc_id", "label") if c in answers.columns]
+
+
+def with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """Rows with what was answered for their label, in columns a_*."""
+    key = answer_key(answers)
+    return rows.join(answered(answers).select(*key, *(F.col(c).alias(f"a_{c}") for c in ANSWER)), key, "left")
 
 
 def reason(kind: Column, code: Column, name: Column, matched_on: Column) -> Column:
@@ -45,7 +57,7 @@ def categorise(rows: DataFrame, answers: DataFrame, matched: DataFrame | None =
     label counts. matched (label, code, name, category, match_type, confidence, matched_on) goes before them. Rows that
     neither knows need review. Subtotals and empty labels have no category; headers have one without an account.
     """
-    j = rows.join(answered(answers).select("label", *(F.col(c).alias(f"a_{c}") for c in ("account_id", "account_name", "category", "confidence", "reasoning", "needs_review", "is_split"))), "label", "left")
+    j = with_answers(rows, answers)
     if matched is None:
         j = j.withColumns({f"m_{c}": F.lit(None).cast(k) for c, k in (("code", "string"), ("name", "string"), ("category", "string"), ("match_type", "string"), ("confidence", "string"), ("matched_on", "array<string>"))})
     else:
@@ -75,6 +87,15 @@ def categorise(rows: DataFrame, answers: DataFrame, matched: DataFrame | None =
     return j.select(*rows.columns, *(c.alias(n) for n, c in out.items()))
 
 
+def merge_retry(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """Rows that need review take the new answer for their label, if there is one; all others stay as they are."""
+    j = with_answers(rows, answers)
+    use = F.coalesce("needs_review", F.lit(False)) & F.col("a_account_id").isNotNull()
+    split, sure, empty = F.coalesce("a_is_split", F.lit(False)), F.coalesce("a_confidence", F.lit("low")), F.lit("")
+    new = {"coa_code": F.col("a_account_id"), "coa_name": F.coalesce("a_account_name", empty), "coa_category": F.coalesce("a_category", empty), "match_type": F.when(split, "llm_split").otherwise("llm_retry"), "confidence": sure, "reasoning": F.coalesce("a_reasoning", empty), "needs_review": (sure == "low") | F.coalesce("a_needs_review", F.lit(False)), "citation": F.lit("VMG/AAHA DATALINK Definitions (retry)"), "is_split": split}
+    return j.select(*(F.when(use, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns))
+
+
 def gate(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Income statements, which are categorised, and the others, which pass as they are."""
     income = F.col("statement_type") == "income_statement"

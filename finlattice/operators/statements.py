@@ -99,9 +99,14 @@ def valid_pages(answers: DataFrame) -> DataFrame:
 
     Fractions, strings and flags aren't pages.
     """
-    items = F.expr("try_variant_get(try_parse_json(answer), '$', 'array<variant>')")
-    kept = F.expr("filter(items, x -> schema_of_variant(x) = 'BIGINT' and try_variant_get(x, '$', 'bigint') between 1 and total_pages)")
-    return answers.withColumn("items", items).select("doc_id", F.coalesce(F.transform(kept, lambda x: F.try_variant_get(x, "$", "int")), F.array().cast("array<int>")).alias("pages"))
+    listed = page_list("answer", "total_pages")
+    return answers.select("doc_id", listed.alias("pages"))
+
+
+def page_list(answer: str, total: str):
+    """valid_pages() of the columns so named."""
+    kept = F.expr(f"filter(try_variant_get(try_parse_json({answer}), '$', 'array<variant>'), x -> schema_of_variant(x) = 'BIGINT' and try_variant_get(x, '$', 'bigint') between 1 and {total})")
+    return F.coalesce(F.transform(kept, lambda x: F.try_variant_get(x, "$", "int")), F.array().cast("array<int>"))
 
 
 def company_metrics(cells: DataFrame) -> DataFrame:
