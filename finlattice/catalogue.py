@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import matching, memory, statements, telemetry
+from .operators import accounts, matching, memory, review, statements, telemetry, validation
+from .plans import providers, workflow
 from .streaming import events as event_windows_
 
 QUERIES: dict = {}
@@ -275,3 +276,230 @@ def correction_prompt(spark, sf):
 def account_search(spark, sf):
     n = t(spark, sf, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"), F.concat(F.lit("note "), F.col("n_name")).alias("description"), F.col("n_nationkey").alias("pos"))
     return matching.search(n, "India")
+
+
+_CHART = "select (5000 + p_partkey % 5000)::varchar as code, arg_max(p_name, p_partkey) as name, min(p_partkey) as pos from part group by 1"
+
+
+def _chart(spark, sf):
+    p = t(spark, sf, "part").select((5000 + F.col("p_partkey") % 5000).cast("string").alias("code"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("description"), F.col("p_partkey").alias("pos"))
+    return accounts.latest(p)
+
+
+@query(f"select code, name, pos from ({_CHART})")
+def accounts_latest(spark, sf):
+    return _chart(spark, sf).select("code", "name", "pos")
+
+
+@query(f"select code, code || ' - ' || name as shown from ({_CHART}) where contains(lower(code || ' - ' || name), 'ring') order by pos limit 20")
+def account_lookup(spark, sf):
+    return accounts.lookup(_chart(spark, sf), "RING")
+
+
+@query(f"""with c as ({_CHART}), h(d, t) as (values ('5', '=== REVENUE ACCOUNTS (5000 series) ==='), ('6', '=== DIRECT COSTS (6000 series) ==='), ('7', '=== OPERATING EXPENSES (7000 series) ==='), ('8', '=== OTHER EXPENSES - DEPRECIATION / AMORTIZATION (8000 series) ==='), ('9', '=== OTHER INCOME / OTHER EXPENSE / INTEREST / TAXES (9000 series) ===')),
+b as (select d, t || coalesce(chr(10) || string_agg(code || ' - ' || name, chr(10) order by code), '') as x from h left join c on starts_with(code, d) group by d, t)
+select string_agg(x, chr(10) || chr(10) order by d) as text from b""")
+def chart_text(spark, sf):
+    return accounts.chart_text(_chart(spark, sf))
+
+
+@query("""with n as (select p_partkey, p_name || case p_partkey % 3 when 0 then ' Services' when 1 then '/Tick, Cost' else ' & other' end as name from part),
+w as (select p_partkey, unnest(list_filter(string_split(trim(replace(replace(replace(name, ',', ''), '&', ''), '/', ' ')), ' '), lambda x: len(x) > 2 and lower(x) not in ('services', 'cost', 'other', 'the', 'and'))) as a from n
+ union select p_partkey, name from n union select p_partkey, trim(unnest(string_split(name, '/'))) from n where contains(name, '/'))
+select p_partkey, string_agg(a, '|' order by a) as aliases from w group by 1""")
+def account_aliases(spark, sf):
+    tail = F.when(F.col("p_partkey") % 3 == 0, " Services").when(F.col("p_partkey") % 3 == 1, "/Tick, Cost").otherwise(" & other")
+    return t(spark, sf, "part").select("p_partkey", F.array_join(accounts.aliases(F.concat("p_name", tail)), "|").alias("aliases"))
+
+
+@query("""select p_partkey, case p_partkey % 6 when 0 then '5' when 1 then '6' when 2 then '5' when 3 then '7' else '5,6,7,8,9' end as allowed, p_partkey % 6 in (0, 2, 4, 5) as may_hold_5 from part""")
+def section_series(spark, sf):
+    name = F.element_at(F.array(*map(F.lit, [" Revenue ", "cost of goods sold", "Cost of sales", "Payroll", "Taxes", ""])), (F.col("p_partkey") % 6 + 1).cast("int"))
+    allowed = accounts.allowed_series(name)
+    return t(spark, sf, "part").select("p_partkey", F.array_join(allowed, ",").alias("allowed"), F.array_contains(allowed, "5").alias("may_hold_5"))
+
+
+_ROLE = "case l_returnflag when 'A' then 'Assets' when 'N' then 'Liabilities' else 'Equity' end"
+
+
+def _balance_cells(spark, sf):
+    """Orders as balance sheets: a section per line and flag, a total row per item; line status names the period."""
+    return t(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.lit("balance_sheet").alias("statement_type"), F.expr(_ROLE).alias("section_name"), F.col("l_linenumber").alias("section_pos"), F.struct("l_partkey", "l_extendedprice").alias("row_pos"),
+        F.when(F.col("l_linenumber") % 3 == 0, "Accumulated loss").otherwise("Total").alias("label"), F.lit(True).alias("is_subtotal"), (F.col("l_linestatus") == "O").cast("int").alias("period_pos"), (F.col("l_extendedprice") - F.col("l_tax") * 200000).alias("value_num"))
+
+
+_BALANCE = f"""with c as (select l_orderkey as doc_id, {_ROLE} as s, l_linenumber as sp, (l_linestatus = 'O')::int as period_pos, arg_max(l_extendedprice - l_tax * 200000::double, (l_partkey, l_extendedprice)) as v from lineitem group by 1, 2, 3, 4),
+e as (select *, max(sp) over (partition by doc_id, s) as top from c),
+b as (select doc_id, period_pos, max(v) filter (s = 'Assets') as assets, max(v) filter (s = 'Liabilities') as liabilities, max(v) filter (s = 'Equity') as equity from e where sp = top group by 1, 2)"""
+
+
+@query(f"{_BALANCE} select * from b")
+def role_totals(spark, sf):
+    return validation.role_totals(_balance_cells(spark, sf))
+
+
+@query(f"""{_BALANCE} select 'unbalanced' as "check", 'error' as level, count(*) as n from b where abs(assets - (liabilities + equity)) > greatest(abs(assets) * 0.01::double, 1000.0)
+ union all select 'negative_asset', 'warning', count(*) from lineitem where l_returnflag = 'A' and l_linenumber % 3 <> 0 and l_extendedprice - l_tax * 200000::double < 0""")
+def validation_findings(spark, sf):
+    return validation.findings(_balance_cells(spark, sf)).groupBy("check", "level").agg(F.count("*").alias("n"))
+
+
+@query("""with k as (select l_orderkey, unnest(['ASSET', 'LIABILIT', 'EQUITY', 'OPERATING', 'INVESTING', 'FINANCING']) as w, unnest(['A', 'N', 'R', '', '', '']) as f, unnest([1, 2, 3, 4, 5, 6]) as i from (select distinct l_orderkey from lineitem)),
+m as (select * from k where (case when l_orderkey % 3 = 0 then i <= 3 when l_orderkey % 3 = 1 then i > 3 else false end) and not exists (from lineitem l where l.l_orderkey = k.l_orderkey and l_returnflag = f))
+select d.l_orderkey as doc_id, coalesce(string_agg(w, ',' order by i), '') as missing from (select distinct l_orderkey from lineitem) d left join m on m.l_orderkey = d.l_orderkey group by 1""")
+def missing_sections(spark, sf):
+    l = t(spark, sf, "lineitem")
+    kind = F.expr("case l_orderkey % 3 when 0 then 'balance_sheet' when 1 then 'cash_flow' else 'none' end")
+    s = l.groupBy(F.col("l_orderkey").alias("doc_id"), kind.alias("statement_type")).agg(F.collect_list(F.struct(F.expr(_ROLE).alias("name"))).alias("sections"))
+    return validation.missing_sections(s).select("doc_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("""select event_id, case event_id % 4 when 0 then 'Missing required key: title|Missing required key: periods|Missing required key: sections' when 1 then 'Section 0 missing ''rows'' field' when 2 then 'Periods must be a non-empty list|Sections must be a non-empty list' else '' end as errors from events""")
+def structure_errors(spark, sf):
+    text = F.expr("""case event_id % 4 when 0 then props when 1 then '{"title": 1, "periods": [1], "sections": [{"name": 1}]}' when 2 then '{"title": 1, "periods": 1, "sections": []}' else '{"title": 1, "periods": [1], "sections": [{"name": 1, "rows": [{"label": 1, "values": 2}]}]}' end""")
+    e = t(spark, sf, "events").select(F.col("event_id").alias("doc_id"), text.alias("text"))
+    return validation.structure_errors(e).select(F.col("doc_id").alias("event_id"), F.array_join("errors", "|").alias("errors"))
+
+
+@query("""with p as (select l_orderkey as doc_id, l_linestatus as p, min(l_linenumber) as n from lineitem group by 1, 2), s as (select l_orderkey as doc_id, l_returnflag as s, min(l_linenumber) as n from lineitem group by 1, 2)
+select doc_id, (select string_agg(s.s, ',' order by n, s.s) from s where s.doc_id = d.doc_id) as sections, (select string_agg(p.p, ',' order by n, p.p) from p where p.doc_id = d.doc_id) as periods, n_rows from (select l_orderkey as doc_id, count(*)::int as n_rows from lineitem group by 1) d""")
+def merge_statement_pages(spark, sf):
+    """Lines as pages of a statement: flags are sections, line status the period."""
+    row = F.struct(F.col("l_partkey").cast("string").alias("label"), F.array(F.lit("1")).alias("values"), F.lit(False).alias("is_subtotal"))
+    s = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_pos"), F.col("l_returnflag").alias("name")).agg(F.collect_list(row).alias("rows"), F.sort_array(F.collect_set("l_linestatus")).alias("p"))
+    pages = s.groupBy("doc_id", "page_pos").agg(F.array_sort(F.collect_list(F.struct("name", "rows"))).alias("sections"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))).alias("periods"))
+    m = statements.merge_statements(pages.withColumns({"statement_type": F.lit("x"), "title": F.lit("t")}))
+    return m.select("doc_id", F.array_join("sections.name", ",").alias("sections"), F.array_join("periods", ",").alias("periods"), F.size(F.flatten("sections.rows")).alias("n_rows"))
+
+
+@query("select n_regionkey::varchar as metric, string_agg(n_name || '=' || n_nationkey, ',' order by n_name) as by_company from nation group by 1")
+def metric_maps(spark, sf):
+    v = t(spark, sf, "nation").select(F.col("n_regionkey").cast("string").alias("metric"), F.col("n_name").alias("company"), F.col("n_nationkey").alias("value"))
+    shown = F.array_join(F.transform(F.map_entries("by_company"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return statements.metric_maps(v).select("metric", shown.alias("by_company"))
+
+
+def _event_rows(spark, sf):
+    """Events as rows of their users' statements, with answers for some labels (c6 doubtful, c5 split)."""
+    e = t(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.lit(0).alias("section_pos"), F.col("event_type").alias("section"), F.col("event_id").alias("row_pos"), F.when(F.col("event_type") == "error", "Total Revenue").otherwise(F.concat(F.lit("c"), F.col("event_id") % 8)).alias("label"), (F.col("event_id") % 11 == 0).alias("is_subtotal"))
+    a = e.sparkSession.createDataFrame([(f"c{i}", s, None if i == 3 else f"a{i + s}", "n", "k", "low" if i == 6 else "high", "r", False, i == 5) for i in (1, 2, 3, 4, 5, 6) for s in (0, 1)], "label string, seq int, " + workflow.RECORD.split(", ", 1)[1])
+    return review.categorise(e, a)
+
+
+_ROWS = """with r as (select user_id as doc_id, event_id, event_type, event_id % 8 as k, event_id % 11 = 0 as sub, event_type = 'error' as head from events),
+c as (select *, case when not sub and not head and k in (1, 2, 4, 5, 6) then 'a' || k + 1 end as code, case when sub then null when head then 'section_header' when k = 5 then 'llm_split' when k in (1, 2, 4, 6) then 'llm' else 'unmatched' end as match_type, case when sub then null else not head and k in (0, 3, 6, 7) end as needs_review from r)"""
+
+
+@query(f"{_ROWS} select doc_id, event_id as row_pos, code as coa_code, match_type, needs_review from c")
+def categorised_rows(spark, sf):
+    return _event_rows(spark, sf).select("doc_id", "row_pos", "coa_code", "match_type", "needs_review")
+
+
+@query(f"{_ROWS}, g as (select doc_id, count(*) as total, count(*) filter (head) as headers, count(code) as mapped, count(*) filter (needs_review) as review from c where match_type is not null group by 1) select *, round(coalesce(mapped / nullif(total - headers, 0), 0), 3) as match_rate from g")
+def category_summary(spark, sf):
+    return review.summary(_event_rows(spark, sf))
+
+
+@query(f"{_ROWS}, s as (select doc_id, event_id, case when code is not null then 'mapped' when not sub and head then 'section_header' else 'uncategorized' end as status, row_number() over (partition by doc_id order by event_id) as place from c where not sub) select doc_id, place::int as place, status from s where place <= 5")
+def category_samples(spark, sf):
+    return review.samples(_event_rows(spark, sf), 5).select("doc_id", "place", "status")
+
+
+@query(f"{_ROWS} select doc_id, event_id as row_pos, match_type from c where needs_review")
+def review_queue(spark, sf):
+    return review.queue(_event_rows(spark, sf)).select("doc_id", "row_pos", "match_type")
+
+
+@query(f"""{_ROWS} select doc_id, event_id as row_pos, case when needs_review and k in (0, 6) and not head then 'new' else code end as coa_code, case when needs_review and k in (0, 6) and not head then 'llm_retry' else match_type end as match_type from c""")
+def retried_rows(spark, sf):
+    rows = _event_rows(spark, sf)
+    new = spark.createDataFrame([(x, 1, "new", "n", "k", "high", "r", False, False) for x in ("c0", "c1", "c6")], "label string, seq int, " + workflow.RECORD.split(", ", 1)[1])
+    return review.merge_retry(rows, new).select("doc_id", "row_pos", "coa_code", "match_type")
+
+
+@query(f"""{_ROWS} select doc_id, 'c' || k as label, coalesce(code, 'None') as wrong_code, '5001' as correct_code, '' as correct_name, event_id as row from c where needs_review and event_id % 2 = 0""")
+def review_corrections(spark, sf):
+    q = review.queue(_event_rows(spark, sf))
+    chosen = q.where("row_pos % 2 = 0").select("doc_id", "section_pos", "row_pos", F.lit("5001").alias("new_code"))
+    named = review.corrections(q.withColumn("section", F.col("row_pos").cast("string")), chosen, _chart(spark, sf).where("code < '5000'"))
+    return named.select("doc_id", "label", "wrong_code", "correct_code", "correct_name", F.col("section").cast("long").alias("row"))
+
+
+@query(f"{_ROWS} select doc_id, case when head then 'Total Revenue' else 'c' || k end as label, arg_min(event_type, event_id) as section from c group by 1, 2")
+def first_sections(spark, sf):
+    return review.first_sections(_event_rows(spark, sf))
+
+
+@query(f"{_ROWS} select r.doc_id, event_id as row_pos from c r where not head and exists (from c q where q.doc_id = r.doc_id and q.needs_review and q.k = r.k) ")
+def retry_items(spark, sf):
+    rows = _event_rows(spark, sf)
+    return review.retry_items(rows.where("label <> 'Total Revenue'"), rows).select("doc_id", "row_pos")
+
+
+@query("""select conv_id as doc_id, count(*) as total_pages, coalesce(sum(len(text)), 0) > 100 as has_text from conversations group by 1""")
+def page_text_layer(spark, sf):
+    return workflow.has_text(t(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_num"), "text"))
+
+
+@query("""select conv_id as doc_id, string_agg('Page ' || turn || ':' || chr(10) || case when coalesce(text, '') = '' then '[No text extracted]' else substr(text, 1, 500) end, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by turn, text) as preview from conversations group by 1""")
+def page_previews(spark, sf):
+    return workflow.previews(t(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_num"), "text"))
+
+
+def _lengths(prompts, images):
+    """A stand-in for a model: it fails for a batch with an empty prompt."""
+    if "" in prompts:
+        raise ValueError("empty prompt")
+    return [str(len(p)) for p in prompts]
+
+
+@query("select conv_id, turn, case when text <> '' then len(text)::varchar end as answer, text = '' as failed from conversations where text is not null")
+def model_calls(spark, sf):
+    c = t(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    return providers.answers(c, _lengths, batch=1).select("conv_id", "turn", "answer", F.col("error").isNotNull().alias("failed"))
+
+
+@query("""with s as (select doc_id, quality, toxic, ((case when quality = 1 then 10 else 6 end) + (case when toxic = 1 then 9 else 10 end) + 4) / 3 as average from labels)
+select doc_id, round(average, 6) as average, quality = 1 and toxic = 0 and average >= 7 as passed from s""")
+def judge_scores(spark, sf):
+    s = F.create_map(F.lit("completeness"), F.when(F.col("quality") == 1, 10.0).otherwise(6.0), F.lit("format"), F.when(F.col("toxic") == 1, 9.0).otherwise(10.0), F.lit("other"), F.lit(4.0))
+    return t(spark, sf, "labels").select("doc_id", F.round(validation.average_score(s), 6).alias("average"), F.coalesce(validation.extraction_passed(s), F.lit(False)).alias("passed"))
+
+
+@query("select d.user_id as doc_id, coalesce(bool_and(event_type <> 'error'), false) as passed from (select distinct user_id from events) d left join events e on e.user_id = d.user_id and value >= 50 group by 1")
+def all_passed(spark, sf):
+    e = t(spark, sf, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_type") != "error").alias("passed"), "value")
+    return validation.all_passed(e.where("value >= 50"), e)
+
+
+@query("with l as (select user_id, event_type, arg_max(event_id % 5000, (ts, event_id)) as v from events group by 1, 2) select user_id, string_agg(event_type || '=' || v, ',' order by event_type) as by_name from l group by 1")
+def node_timings(spark, sf):
+    e = t(spark, sf, "events").withColumn("ms", F.col("event_id") % 5000)
+    m = telemetry.last_values(e, "user_id", "event_type", "ms")
+    return m.select("user_id", F.array_join(F.transform(F.map_entries("by_name"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",").alias("by_name"))
+
+
+@query("select count(*) filter (o_orderstatus = 'F') as processed, count(*) filter (o_orderstatus <> 'F') as failed, count(*) as total from orders")
+def folder_summary(spark, sf):
+    return telemetry.outcomes(t(spark, sf, "orders").select(F.when(F.col("o_orderstatus") == "F", "processed").otherwise("failed").alias("status")))
+
+
+@query("select user_id as run_id, min(ts) filter (event_type = 'click') as started, max(ts) filter (event_type = 'purchase') as ended, round(epoch(max(ts) filter (event_type = 'purchase')) - epoch(min(ts) filter (event_type = 'click')), 3) as seconds from events group by 1 having min(ts) filter (event_type = 'click') is not null")
+def run_table(spark, sf):
+    e = t(spark, sf, "events").select(F.col("user_id").alias("run_id"), "ts", F.lit(True).alias("success"), F.when(F.col("event_type") == "click", "run_start").when(F.col("event_type") == "purchase", "run_end").alias("event"))
+    return telemetry.run_table(e).select("run_id", "started", "ended", "seconds")
+
+
+@query("select p_name || '_cash_flow.XLSX' as name, 'cash_flow' as statement_type, 'xlsx' as kind, p_partkey from part where p_partkey % 2 = 0")
+def output_types(spark, sf):
+    p = t(spark, sf, "part").select(F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, "_cash_flow.XLSX").otherwise("_x.json")).alias("name"), "p_partkey")
+    return telemetry.output_types(p, workflow.TYPES).join(p.select("name", "p_partkey"), "name").groupBy("p_partkey", "name").agg(F.first("statement_type").alias("statement_type"), F.first("kind").alias("kind"))
+
+
+@query("select p_partkey, case p_partkey % 2 when 0 then format('{:,}', p_partkey * 7919) else p_partkey * 7919 || ' x' end as shown, 'Cash Flow ' || p_partkey as title, len(p_name) // 4 as tokens, round(p_partkey / 1000, 3) as seconds, greatest(0, 2 - p_partkey % 4) as remaining, p_name as answer from part")
+def display_texts(spark, sf):
+    k = F.col("p_partkey")
+    shown = F.when(k % 2 == 0, X.whole_number(k * 7919)).otherwise(F.concat((k * 7919).cast("string"), F.lit(" x")))
+    answer = X.after_thought(F.when(k % 2 == 0, F.concat(F.lit("<think> a</think> response "), F.col("p_name"))).otherwise(F.col("p_name")))
+    return t(spark, sf, "part").select("p_partkey", shown.alias("shown"), X.title_of(F.concat(F.lit("cash_flow_"), k)).alias("title"), X.token_estimate(F.col("p_name")).alias("tokens"), X.seconds_of(k).alias("seconds"), telemetry.quota_left(k % 4)[0].alias("remaining"), answer.alias("answer"))

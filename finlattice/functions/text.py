@@ -91,3 +91,28 @@ def duck_tokens(text: str) -> str:
     fillers = ", ".join(f"'{x}'" for x in V.FILLERS)
     words = f"list_filter(regexp_split_to_array(regexp_replace(lower({text}), '[^\\w\\s-]', ' ', 'g'), '\\s+'), lambda x: len(x) > 2 and x not in ({fillers}))"
     return f"list_distinct(list_transform({words}, lambda x: {duck_stem('x')}))"
+
+
+def after_thought(raw: Column) -> Column:
+    """The part after the last ` response` of an answer that holds a closing thought tag; others stay."""
+    return strip(F.when(raw.contains("</think>"), F.element_at(F.split(raw, " response"), -1)).otherwise(raw))
+
+
+def whole_number(x: Column) -> Column:
+    return F.format_number(x, 0)
+
+
+def percent(x: Column) -> Column:
+    return F.concat(F.format_number(x * 100, 1), F.lit("%"))
+
+
+def title_of(name: Column) -> Column:
+    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
+def token_estimate(text: Column) -> Column:
+    return F.floor(F.length(F.coalesce(text, F.lit(""))) / 4)
+
+
+def seconds_of(ms: Column) -> Column:
+    return F.round(ms / 1000, 3)

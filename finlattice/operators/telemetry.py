@@ -34,3 +34,38 @@ def quality_counters(rows: DataFrame, key: str) -> DataFrame:
     g = g.withColumn("coverage", share("mapped", "postable")).withColumn("high_share", share("high", "mapped")).withColumn("review_rate", share("review", "total"))
     points = F.when(F.col("coverage") >= 0.9, 10).when(F.col("coverage") >= 0.7, 7).when(F.col("coverage") >= 0.5, 5).otherwise(0)
     return g.withColumn("coverage_points", points).withColumn("passed", F.col("coverage") >= 0.7)
+
+
+def last_values(events: DataFrame, key: str, name: str, value: str) -> DataFrame:
+    """key, by_name: a map of each name's last value (by ts, event_id); repeated steps overwrite earlier ones."""
+    g = events.groupBy(key, name).agg(F.max_by(value, F.struct("ts", "event_id")).alias("v"))
+    return g.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "v")))).alias("by_name"))
+
+
+def run_table(events: DataFrame) -> DataFrame:
+    """One row per started run (run_id, event, ts, success): begin, end, seconds, success; ends without a start are left out."""
+    begin, end = F.min(F.when(F.col("event") == "run_start", F.col("ts"))), F.max(F.when(F.col("event") == "run_end", F.col("ts")))
+    won = F.max_by("success", F.when(F.col("event") == "run_end", F.col("ts")))
+    g = events.groupBy("run_id").agg(begin.alias("started"), end.alias("ended"), won.alias("success")).where("started is not null")
+    return g.withColumn("seconds", F.round(F.col("ended").cast("timestamp").cast("double") - F.col("started").cast("timestamp").cast("double"), 3))
+
+
+def outcomes(results: DataFrame) -> DataFrame:
+    """processed, failed, total over one row per document with its status."""
+    return results.agg(F.count_if(F.col("status") == "processed").alias("processed"), F.count_if(F.col("status") != "processed").alias("failed"), F.count("*").alias("total"))
+
+
+def trend(runs: DataFrame, limit: int = 20) -> DataFrame:
+    """The most recent runs, oldest first."""
+    return recent(runs, limit).orderBy("ts", "run_id")
+
+
+def quota_left(used: Column, limit: int = 2) -> tuple[Column, Column]:
+    """What remains of a quota, and the share of it in use."""
+    return F.greatest(F.lit(0), limit - used), used / limit
+
+
+def output_types(files: DataFrame, types: list[str]) -> DataFrame:
+    """name, statement_type, kind of output files whose name holds the name of a type."""
+    hit = F.filter(F.array(*map(F.lit, types)), lambda t: F.col("name").contains(t))
+    return files.select("name", F.explode(hit).alias("statement_type"), F.lower(F.substring_index("name", ".", -1)).alias("kind"))

@@ -37,3 +37,20 @@ def write_rules(rules: DataFrame, path: str) -> None:
 def append_log(events: DataFrame, path: str) -> None:
     """One JSON line per event, in a folder per day."""
     events.withColumn("date", F.to_date("timestamp")).write.mode("append").partitionBy("date").json(path)
+
+
+def write_usage(usage: DataFrame, path: str) -> None:
+    """Replace the usage file by one document {"users": {user_id: record}}; users of one installation are few."""
+    record = F.struct(*(c for c in usage.columns if c != "user_id"))
+    one = usage.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("user_id", record.alias("r")))).alias("users")), {"ignoreNullFields": "false"}).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)
+
+
+def clean(folder: str, pattern: str = "*") -> int:
+    """Delete the files of a folder of the driver that match; returns how many."""
+    from pathlib import Path
+
+    gone = [p for p in Path(folder).glob(pattern) if p.is_file()]
+    for p in gone:
+        p.unlink()
+    return len(gone)

@@ -24,7 +24,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_twin(spark, name):
     con = duckdb.connect()
-    for n in "region nation customer supplier part orders lineitem events documents".split():
+    for n in "region nation customer supplier part orders lineitem events documents labels conversations pages".split():
         con.execute(f"create view {n} as select * from '{SF}/{n}.parquet'")
     df = catalogue.QUERIES[name](spark, SF)
     cols = sorted(df.columns)

@@ -60,3 +60,12 @@ def test_stream_as_batch(spark, tmp_path):
     stream = events.windowed(files.event_stream(spark, f"{tmp_path}/log"), "timestamp", "event", "duration_ms", late="1 hour")
     events.append_windows(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2  # the newest window is still open
+
+
+def test_usage_and_clean(spark, tmp_path):
+    u = spark.createDataFrame([("a@b", "pro", 2, None, 5), ("c@d", "free", 0, "2025-01", 1)], "user_id string, tier string, current_month_count int, month_start string, total_extractions int")
+    sinks.write_usage(u, f"{tmp_path}/usage")
+    assert sorted(files.usage(spark, f"{tmp_path}/usage").collect()) == sorted(u.collect())
+    for n in ("a.jpg", "b.jpg", "c.txt"):
+        (tmp_path / n).write_text("x")
+    assert sinks.clean(str(tmp_path), "*.jpg") == 2 and (tmp_path / "c.txt").exists()
