@@ -82,8 +82,10 @@ def score_words(words: np.ndarray, first: np.ndarray, doc: np.ndarray, counts: l
         hit = np.flatnonzero(rest[n - 1] > 0)
         context = rest[n - 2][hit - 1]
         score[hit] = np.log10(rest[n - 1][hit] / np.maximum(context, rest[n - 1][hit])) + (orders - n) * np.log10(BACKOFF)
-    sums = np.append(0, np.cumsum(score))
-    return sums[first[1:]] - sums[first[:-1]]
+    sums, some = np.zeros(len(size)), size > 0
+    if n_words:
+        sums[some] = np.add.reduceat(score, first[:-1][some])  # each text by itself: a running sum would lose digits
+    return sums
 
 
 def backoff_scores(docs: DataFrame, order: int = 2, chunk_bytes: int = 4 << 20, part_words: int = 2 << 20) -> DataFrame:
