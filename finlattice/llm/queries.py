@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, minhash, mixing, packing, quality, secret_scan, sharding, substring, topk, toxicity
+from . import lm, minhash, mixing, oracles, packing, quality, secret_scan, sharding, substring, topk, toxicity
 
 SHARDS = 24
 
@@ -72,7 +72,7 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
-#: Exact top-k is plain SQL; the other operators learn, hash or place rows and are tested against brute force.
+#: The operators that learn, hash or place rows have no SQL and are tested against brute force.
 TOP_K_SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as q from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
@@ -83,4 +83,4 @@ select query_id, rank, vec_id, score from (select *, (row_number() over (partiti
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_top_k": TOP_K_SQL}
+    return {"op4_substring_dedup": oracles.SUBSTRING, "op6_lm_scores": oracles.LM_SCORES, "op9_top_k": TOP_K_SQL, "op10_near_duplicates": oracles.NEAR_DUPLICATES}
