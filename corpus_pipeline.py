@@ -27,8 +27,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate component (one row of it, if it is repeated)."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    """The document with the smallest doc_id of each near-duplicate component (one row of it, if it is repeated).
+
+    Near copies share 0.8 of their five-word shingles; op10's two words would link filled templates as well.
+    """
+    kept = minhash.near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
     null = docs.where("doc_id is null")
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"]).unionByName(null.select(*COLUMNS))
 

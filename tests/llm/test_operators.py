@@ -280,3 +280,14 @@ def test_pipeline_stages(spark):
         docs = out
     last = p.STAGES[-1][1](spark, docs, sf)
     assert last.where("start = 0").count() == docs.count()
+
+
+def test_pipeline_near_copies_go_by_five_words(spark):
+    import corpus_pipeline as p
+
+    form = [f"w{i}" for i in range(200)]
+    filled = [x if i % 20 else f"name{i}" for i, x in enumerate(form)]
+    texts = [" ".join(form), " ".join(filled), " ".join(form) + " end"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == {0: 0, 1: 0, 2: 0}
+    assert sorted(r.doc_id for r in p.one_of_each_group(spark, df, "").collect()) == [0, 1]
