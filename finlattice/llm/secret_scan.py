@@ -96,14 +96,25 @@ def train(labelled: DataFrame, trees: int = 20, depth: int = 7, seed: int = 11)
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=32).fit(x.select("label", "features"))
 
 
+def matches(df: DataFrame, text: Column, pattern: str) -> DataFrame:
+    """`df` with `met`: an array of (before, c), each match of `pattern` and the up to 48 characters before it.
+
+    Matches have 16 characters or more, so the last three of them and the gaps between hold these 48.
+    """
+    df = df.withColumn("_c", F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)).withColumn("_g", F.split(text, pattern, -1))
+    last = lambda name, i: F.coalesce(F.right(F.get(name, i), F.lit(48)), F.lit(""))
+    before = lambda i: F.right(F.concat(last("_c", i - 3), last("_g", i - 2), last("_c", i - 2), last("_g", i - 1), last("_c", i - 1), last("_g", i)), F.lit(48))
+    return df.withColumn("met", F.transform("_c", lambda c, i: F.struct(before(i).alias("before"), c.alias("c")))).drop("_c", "_g")
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, path, ordinal, before, candidate: each match in each text, in order, from 0."""
     # a text without a digit needs no search
     text = F.when(F.col("text").rlike("[0-9]"), F.col("text").cast("string"))
-    runs, gaps = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1), F.split(text, TOKEN, -1)
-    met = F.filter(F.arrays_zip(runs.alias("c"), gaps.alias("g")), lambda x: x["c"].rlike("^[A-Za-z+/=_-]{0,63}[0-9]"))  # the text after the last run has none
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("path"), F.posexplode(met).alias("ordinal", "m"))
-    return found.select("doc_id", "path", "ordinal", F.regexp_extract(F.right(F.col("m.g"), F.lit(48)), "[^\n]*$", 0).alias("before"), F.col("m.c").alias("candidate"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("path"), text.alias("text"))
+    met = F.filter("met", lambda x: x["c"].rlike("^[A-Za-z+/=_-]{0,63}[0-9]"))
+    found = matches(docs, F.col("text"), TOKEN).select("doc_id", "path", F.posexplode(met).alias("ordinal", "m"))
+    return found.select("doc_id", "path", "ordinal", F.regexp_extract("m.before", "[^\n]*$", 0).alias("before"), F.col("m.c").alias("candidate"))
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None, least: float = 0.5) -> DataFrame:

@@ -291,3 +291,14 @@ def test_pipeline_near_copies_go_by_five_words(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()} == {0: 0, 1: 0, 2: 0}
     assert sorted(r.doc_id for r in p.one_of_each_group(spark, df, "").collect()) == [0, 1]
+
+
+def test_secrets_behind_long_names(spark):
+    token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    long = "first line\nset " + "long_first_names/" * 9 + f' database_password_of_all = "{token}"'
+    texts = [f'x\naws_secret_access_key = "{token}" y', f"{token} stripe_secret_api_key: {token}", long]
+    df = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {(r.doc_id, r.before): r.is_secret for r in secret_scan.scan(df).where(f"candidate = '{token}'").collect()}
+    tail = lambda t: t[: t.rindex(token)].rsplit("\n", 1)[-1][-48:]
+    assert {k for k in got if k[1]} == {(i, tail(t)) for i, t in enumerate(texts)}
+    assert all(v for k, v in got.items() if k[1])
