@@ -8,9 +8,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate: 16 characters or more of the alphabets of keys and tokens, with a digit among the first 64; before
-#: it up to 48 characters of its line, which hold the neighbouring words.
-TOKEN = r"[A-Za-z0-9+/=_\-]{16,}"
+#: A run: 16 characters or more of the alphabets of keys and tokens; its candidates are its parts between `=` (and
+#: padding at its end) that have 16 characters too, or the run if none has: in api_key=9f86d0... the name is no part of
+#: the key. Before a candidate up to 48 characters of its line, which hold the neighbouring words.
+TOKEN, PART = r"[A-Za-z0-9+/=_\-]{16,}", r"[A-Za-z0-9+/_\-]{16,}(?:=+(?![A-Za-z0-9+/=_\-]))?"
 #: Words that stand before secrets, words that stand before other long strings, and pieces of
 #: ordinary words, by which the share of a candidate that a dictionary covers is measured.
 SECRET_WORDS = "token secret password passwd pwd apikey api_key api-key access_key auth bearer credential private".split()
@@ -41,14 +42,13 @@ def features(df: DataFrame) -> DataFrame:
     before = F.lower("before")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]", "a"), "[A-Z]", "b"), "[0-9]", "0"), "[^ab0]", "_")
     chars = F.split(c, "")
-    # Shannon entropy from the counts of the distinct characters; a candidate's first 256 characters tell its alphabet
-    shown = F.slice(chars, 1, 256)
-    size = F.least(n, F.lit(256.0))
-    entropy = F.aggregate(F.array_distinct(shown), F.lit(0.0), lambda s, x: s + (lambda k: -(k / size) * F.log2(k / size))(F.size(F.filter(shown, lambda y: y == x)).cast("double")))
+    # Shannon entropy from the counts of the distinct characters
+    alphabet = F.array_distinct(chars)
+    entropy = F.aggregate(alphabet, F.lit(0.0), lambda s, x: s + (lambda k: -(k / n) * F.log2(k / n))((n - F.length(F.replace(c, x, F.lit("")))).cast("double")))
     covered = n - F.length(F.regexp_replace(F.lower(c), "(" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")", ""))
     words = lambda ws: "(?<![a-z0-9])(" + "|".join(w.replace("-", r"\-") for w in ws) + ")(?![a-z0-9])"
     return df.select(
-        "*", n.alias("length"), F.size(F.array_distinct(shown)).cast("double").alias("distinct"), (count_of(c, "[0-9]") / n).alias("digits"), (count_of(c, "[A-Z]") / n).alias("uppers"),
+        "*", n.alias("length"), F.size(alphabet).cast("double").alias("distinct"), (count_of(c, "[0-9]") / n).alias("digits"), (count_of(c, "[A-Z]") / n).alias("uppers"),
         (count_of(c, "[0-9a-f]") / n).alias("hexish"), (count_of(kinds, r"(?=(ab|a0|a_|ba|b0|b_|0a|0b|0_|_a|_b|_0))[ab0_]") / n).alias("turns"), entropy.alias("entropy"), (covered / n).alias("dictionary"),
         before.rlike(r"[=:]\s*[\"'`]?$").cast("double").alias("assigned"), before.rlike(r"[\"'`]$").cast("double").alias("quoted"),
         before.rlike(words(SECRET_WORDS)).cast("double").alias("said_secret"), before.rlike(words(OTHER_WORDS)).cast("double").alias("said_other"),
@@ -59,8 +59,9 @@ def features(df: DataFrame) -> DataFrame:
 def labelled_findings(spark: SparkSession, rows: int = 3000, seed: int = 5) -> DataFrame:
     """before, candidate, path, label: a made-up set of judged findings, the same at every call.
 
-    Secrets: hexadecimal, base64 and prefixed tokens that are assigned or named as secrets. Others: hashes of
-    commits and files, card and phone numbers, identifiers, dates, versions, placeholders, words joined by signs.
+    Secrets: hexadecimal, base64 (with and without digits) and prefixed tokens that are assigned or named as secrets,
+    and words run together that are named so. Others: hashes of commits and files, card and phone numbers,
+    identifiers, dates, versions, placeholders, rules of signs, long words of any case, words joined by signs or run together.
     """
     n = F.col("id")
     rnd = lambda k: F.pmod(F.xxhash64(n, F.lit(seed), F.lit(k)), F.lit(1 << 30)).cast("double") / (1 << 30)
@@ -69,21 +70,27 @@ def labelled_findings(spark: SparkSession, rows: int = 3000, seed: int = 5) -> D
     b64 = F.regexp_replace(F.base64(F.unhex(sha("b"))), "[=\r\n]", "")
     digits = lambda k, size: F.substring(F.regexp_replace(F.concat(F.conv(F.substring(sha(k), 1, 12), 16, 10), F.conv(F.substring(sha(k), 13, 12), 16, 10)), "^0", "7"), 1, size)
     word = lambda k: pick(k, DICTIONARY)
+    joined = F.concat(*(F.initcap(word(k)) for k in ("w1", "w2", "w3", "w4")))
+    compound = F.substring(F.translate(sha("c"), "0123456789abcdef", "aeiounrstlehgcmi"), F.lit(1), (rnd("long") * 20).cast("int") + 16)
     good = F.element_at(F.array(
         F.substring(sha("h"), 1, 40), F.substring(sha("h"), 1, 32), sha("h"), F.substring(b64, 1, 40), F.substring(b64, 1, 24), F.concat(F.lit("AKIA"), F.upper(F.substring(sha("a"), 1, 16))),
         F.concat(F.lit("ghp_"), F.substring(b64, 1, 36)), F.concat(F.lit("sk_live_"), F.substring(b64, 1, 24)), F.concat(F.lit("xoxb-"), digits("x", 12), F.lit("-"), F.substring(b64, 1, 24)),
-    ), (rnd("kind") * 9).cast("int") + 1)
+        F.translate(F.substring(b64, 1, 24), "0123456789", "gHjKmNpQrS"), F.translate(F.substring(b64, 1, 40), "0123456789", "gHjKmNpQrS"), joined,
+    ), (rnd("kind") * 12).cast("int") + 1)
     bad = F.element_at(F.array(
         F.substring(sha("h"), 1, 40), F.substring(sha("h"), 1, 32), digits("d", 16), digits("d", 19), F.concat_ws("-", F.substring(sha("u"), 1, 8), F.substring(sha("u"), 9, 4), F.substring(sha("u"), 13, 4), F.substring(sha("u"), 17, 12)),
         F.concat_ws("-", F.lit("2024"), digits("m", 2), digits("e", 2), word("w1"), word("w2")), F.concat_ws("_", word("w1"), word("w2"), word("w3"), digits("v", 2)), F.concat_ws("/", word("w1"), word("w2"), word("w3"), digits("v", 1)),
         F.concat(F.lit("xxxxxxxxxxxxxxx"), digits("v", 1)), F.concat(F.repeat(F.lit("0"), 12), digits("v", 4)), F.concat(word("w1"), F.lit("="), word("w2"), F.lit("="), digits("v", 4), word("w3")), F.concat_ws("-", digits("p", 3), digits("q", 3), digits("r", 4), digits("s", 4)),
-    ), (rnd("kind") * 12).cast("int") + 1)
+        F.concat_ws("/", word("w1"), word("w2"), word("w3"), word("w4")), F.concat_ws("_", word("w1"), word("w2"), word("w3"), word("w4")), F.concat_ws("-", word("w1"), word("w2"), word("w3"), word("w4")),
+        F.repeat(pick("w1", ["-", "=", "_", "/", "+", "-=", "x", "a"]), 40), joined,
+        compound, F.upper(compound), F.initcap(compound),
+    ), (rnd("kind") * 20).cast("int") + 1)
     filler = F.concat_ws(" ", word("f1"), word("f2"), word("f3"))
     named = F.concat(filler, F.lit(" "), pick("key", SECRET_WORDS), pick("op", [" = \"", "=", ": ", " = '", "\": \"", " = "]))
     loose = F.concat(filler, pick("gap", [" ", ", ", ". ", " ("]))
     told = F.concat(filler, F.lit(" "), pick("key", OTHER_WORDS), pick("op", [" ", ": ", "=", " = \""]))
     label = (rnd("label") < 0.4).cast("double")
-    hexes = F.col("candidate").rlike("^[0-9a-f]{32,}$")
+    hexes = F.col("candidate").rlike("^([0-9a-f]{32,}|([A-Z][a-z]+)+)$")  # told apart by the words before them only
     df = spark.range(rows).select("id", label.alias("label"), F.when(label == 1, good).otherwise(bad).alias("candidate"), filler.alias("filler"), named.alias("named"), loose.alias("loose"), told.alias("told"), rnd("place").alias("r"), rnd("path").alias("p"))
     before = F.when(F.col("label") == 1, F.when((F.col("r") < 0.85) | hexes, F.col("named")).otherwise(F.col("loose"))).otherwise(F.when(hexes | (F.col("r") < 0.4), F.col("told")).when((F.col("r") < 0.5) & ~F.col("candidate").rlike("^[0-9a-f-]+$"), F.col("named")).otherwise(F.col("loose")))
     path = F.when(F.col("p") < 0.1, F.when(F.col("label") == 1, "app/config.yml").otherwise("tests/sample.txt")).otherwise("src")
@@ -96,24 +103,28 @@ def train(labelled: DataFrame, trees: int = 20, depth: int = 7, seed: int = 11)
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=32).fit(x.select("label", "features"))
 
 
-def matches(df: DataFrame, text: Column, pattern: str) -> DataFrame:
-    """`df` with `met`: an array of (before, c), each match of `pattern` and the up to 48 characters before it.
+def matches(text: Column, pattern: str) -> Column:
+    """An array of (before, c): each match of `pattern` and the up to 48 characters before it.
 
     Matches have 16 characters or more, so the last three of them and the gaps between hold these 48.
     """
-    df = df.withColumn("_c", F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)).withColumn("_g", F.split(text, pattern, -1))
-    last = lambda name, i: F.coalesce(F.right(F.get(name, i), F.lit(48)), F.lit(""))
-    before = lambda i: F.right(F.concat(last("_c", i - 3), last("_g", i - 2), last("_c", i - 2), last("_g", i - 1), last("_c", i - 1), last("_g", i)), F.lit(48))
-    return df.withColumn("met", F.transform("_c", lambda c, i: F.struct(before(i).alias("before"), c.alias("c")))).drop("_c", "_g")
+    found = F.struct(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1).alias("c"), F.split(text, pattern, -1).alias("g"))
+    last = lambda of, i: F.coalesce(F.right(F.get(of, i), F.lit(48)), F.lit(""))
+    before = lambda c, g, i: F.right(F.concat(last(c, i - 3), last(g, i - 2), last(c, i - 2), last(g, i - 1), last(c, i - 1), last(g, i)), F.lit(48))
+    each = lambda f: F.transform(f["c"], lambda c, i: F.struct(before(f["c"], f["g"], i).alias("before"), c.alias("c")))
+    return F.get(F.transform(F.array(found), each), F.lit(0))  # an array of one, so that each text is searched once
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, path, ordinal, before, candidate: each match in each text, in order, from 0."""
-    # a text without a digit needs no search
-    text = F.when(F.col("text").rlike("[0-9]"), F.col("text").cast("string"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("path"), text.alias("text"))
-    met = F.filter("met", lambda x: x["c"].rlike("^[A-Za-z+/=_-]{0,63}[0-9]"))
-    found = matches(docs, F.col("text"), TOKEN).select("doc_id", "path", F.posexplode(met).alias("ordinal", "m"))
+    """doc_id, path, ordinal, before, candidate: each candidate in each text, in order, from 0."""
+
+    def parts(run: Column) -> Column:
+        met = matches(run["c"], PART)
+        inner = F.transform(met, lambda x: F.struct(F.right(F.concat(run["before"], x["before"]), F.lit(48)).alias("before"), x["c"].alias("c")))
+        return F.when(F.size(met) > 0, inner).otherwise(F.array(run))
+
+    met = F.flatten(F.transform(matches(F.col("text").cast("string"), TOKEN), parts))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("path"), F.posexplode(met).alias("ordinal", "m"))
     return found.select("doc_id", "path", "ordinal", F.regexp_extract("m.before", "[^\n]*$", 0).alias("before"), F.col("m.c").alias("candidate"))
 
 

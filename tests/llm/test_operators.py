@@ -302,3 +302,24 @@ def test_secrets_behind_long_names(spark):
     tail = lambda t: t[: t.rindex(token)].rsplit("\n", 1)[-1][-48:]
     assert {k for k in got if k[1]} == {(i, tail(t)) for i, t in enumerate(texts)}
     assert all(v for k, v in got.items() if k[1])
+
+
+def test_secrets_without_digits_and_in_assignments(spark):
+    token, letters, words_ = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "kQzXvBnMwPdRtYhGfJcLsAeU", "CorrectHorseBatteryStaple"
+    texts = [f"api_key={token} x", f"password: {words_}", f'token = "{letters}"', f"aws_secret_access_key={token}", "some/long/path/with/words/only", "-" * 60, "password=hunter2hunter2", "QUJDREVGR0hJSktMTU5PUA== x", "MIT! ERSCHSCHBERBERTZ der Schpfgegebeunger"]
+    df = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    rs = secret_scan.scan(df).collect()
+    got = {(r.doc_id, r.before, r.candidate): r.is_secret for r in rs}
+    want = {(0, "api_key=", token): True, (1, "password: ", words_): True, (2, 'token = "', letters): True, (3, "aws_secret_access_key=", token): True, (4, "", texts[4]): False, (5, "", texts[5]): False}
+    assert {k: got.get(k) for k in want} == want
+    assert {k[1:] for k in got if k[0] == 6} == {("", texts[6])} and {k[1:] for k in got if k[0] == 7} == {("", texts[7][:-2])}
+    assert not got[(3, "", "aws_secret_access_key")] and [r.is_secret for r in rs if r.doc_id == 8] == [False, False]
+    assert sorted(r.ordinal for r in rs if r.doc_id == 3) == [0, 1]
+    clean = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert clean[0] == "api_key=[SECRET] x" and clean[1] == "password: [SECRET]"
+
+
+def test_entropy_of_whole_candidates(spark):
+    df = spark.createDataFrame([("", "a" * 256 + "b" * 256, "src")], "before string, candidate string, path string")
+    r = secret_scan.features(df).first()
+    assert (r.entropy, r.distinct) == (1.0, 2.0)
