@@ -323,3 +323,11 @@ def test_entropy_of_whole_candidates(spark):
     df = spark.createDataFrame([("", "a" * 256 + "b" * 256, "src")], "before string, candidate string, path string")
     r = secret_scan.features(df).first()
     assert (r.entropy, r.distinct) == (1.0, 2.0)
+
+
+def test_registered_scores_use_trigrams(spark, tmp_path):
+    from finlattice.llm.queries import queries
+
+    spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.log10_sum for r in queries()["op6_lm_scores_trigram"](spark, str(tmp_path)).collect()]
+    assert got == [round(math.log10(1 / 3) + 3 * math.log10(0.4), 6)] * 2
