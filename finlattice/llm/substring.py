@@ -95,9 +95,10 @@ def deduplicated(docs: DataFrame, length: int = 35) -> DataFrame:
 
     The reference is the corpus itself. Each window is indexed under its smallest phrase of 8 words by hash;
     consecutive windows under one phrase form a reference passage, and passages are dealt to blocks by the
-    phrase. A text is parsed against every block: while its next passage stands whole in a block once more, the
-    factor runs on; where that fails although the phrase is known, the factor may end inside the passage, and
-    there, at the boundary, each window is looked up alone. Counts are exact (96-bit hashes of words). Texts with
+    phrase. This replaces a greedy relative Lempel-Ziv parse: each text is cut at its own smallest phrases, whatever
+    the blocks hold, and its passages are joined to theirs by (phrase, hash), as a parse against every block would
+    read all blocks for each text. Where a passage doesn't stand whole elsewhere although its phrase does, each of
+    its windows is looked up alone. Counts are exact (96-bit hashes of words). Texts with
     an equal twin go at once, if they are long enough. A passage's copies are counted before they are
     shuffled, so a phrase in a third of all texts is as many rows as tasks. Repeated rows count as copies of each
     other; ids may repeat or be null; other columns are not read.
