@@ -254,7 +254,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int, max_lexicon: in
     # twice the log likelihood ratio against chance; so strong that not one of all terms tried would get there by luck
     gain = F.expr(f"pos * ln(pos / ((pos + neg) * {base!r}D)) + if(neg > 0, neg * ln(neg / ((pos + neg) * {1 - base!r}D)), 0D)")
     strong = terms_.where("pos > 0").withColumn("gain", gain).where((F.col("gain") > math.log(tried) + 1) & F.expr(f"pos / {pos}D > 4 * neg / {neg}D and pos > neg"))
-    got = np.asarray([tuple(r) for r in strong.orderBy(F.desc("gain"), "term").limit(max_lexicon).select("term", "pos", "neg").collect()], np.int64).reshape(-1, 3)
+    got = np.asarray([tuple(r) for r in strong.orderBy(F.desc("gain"), "term").limit(max_lexicon + 1).select("term", "pos", "neg").collect()], np.int64).reshape(-1, 3)
+    if len(got) > max_lexicon:
+        raise ValueError(f"more than max_lexicon={max_lexicon} terms are strong: raise it, as none may be left out before the lexicon is chosen")
     by = np.argsort(got[:, 0].view(np.uint64))
     got = got[by]
     keys = got[:, 0].copy().view(np.uint64)
@@ -299,7 +301,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max
     odds as weights). Transducers for reported speech, negation, threats and targets, composed, rewrite each
     clause; the weights written under each outcome are joined by logistic regression with weights of 0 at least.
     Learning uses at most `max_labelled` labelled rows whose crc32(doc_id) mod 3 is not 1; scores use the text
-    alone. Null or empty text: the score without any match. Null id: held_out is false. Rows are scored one by
+    alone. More than `max_lexicon` terms that strong are an error, not cut. Null or empty text: the score without any match. Null id: held_out is false. Rows are scored one by
     one, without a shuffle; labels without documents are ignored; of several labels the highest counts.
     """
     return scored(docs, docs, labels, max_labelled, max_lexicon, threshold)

@@ -331,3 +331,10 @@ def test_registered_scores_use_trigrams(spark, tmp_path):
     spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [r.log10_sum for r in queries()["op6_lm_scores_trigram"](spark, str(tmp_path)).collect()]
     assert got == [round(math.log10(1 / 3) + 3 * math.log10(0.4), 6)] * 2
+
+
+def test_toxicity_cuts_no_strong_term(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    with pytest.raises(ValueError, match="max_lexicon=1 "):
+        toxicity.toxicity(docs, labels, max_lexicon=1)
