@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sharding import row_identity
-from .work import Scratch, text_of
+from .sharding import number, spotted
+from .work import Scratch
 
 
 def tempered(shares: dict, exponent: float) -> dict:
@@ -48,53 +48,72 @@ def exponent_for(tokens: dict, budget: int, max_repeats: float, target_entropy:
     return max(limit, bisect(lambda a: entropy(tempered(shares, a)) <= most))
 
 
+#: Blocks of a source at most, so that the order of its blocks is one small sort; larger sources have larger blocks.
+MAX_BLOCKS = 1 << 16
+#: Sources at most: their sums are what the driver gets. More are an error.
+MAX_SOURCES = 1 << 16
+#: A threshold that every spot meets.
+_ALL = (1 << 62) - 1
+
+
+def turn(*parts: Column) -> Column:
+    """A seeded order: a number that follows from the parts."""
+    return number(F.concat_ws("|", *(p.cast("string") for p in parts)))
+
+
 def mix(docs: DataFrame, budget: float = 1.0, max_repeats: float = 2.0, target_entropy: float | None = None, seed: int = 41, block_tokens: int = 1 << 20) -> DataFrame:
     """Rows of `docs` as often as the mixture draws them, with _epoch, _block, _order and _tokens.
 
-    A row's tokens: its words, one at least (null text: 1). The tokens of a source, raised to an exponent found
-    by bisection (see exponent_for), give its weight; `budget` times all tokens are shared out by weight. A source
-    is dealt to blocks of about `block_tokens` by a seeded hash of the row; in each epoch its blocks come in a new
-    random order. Whole epochs repeat every row; the last takes whole blocks while they fit its budget, and of the
-    next block rows in hash order until the budget is met. `_order` is the place of the block in the whole
-    mixture, a seeded number. The driver gets one sum per source and per block. A null source is a source of its
-    own. Repeated rows are rows of their own; an empty table gives no rows. Rows keep all their columns.
+    A row's tokens: its words, one at least (null or empty text: 1). The tokens of a source, raised to an exponent
+    found by bisection (see exponent_for), give its weight; `budget` times all tokens are shared out by weight. A source
+    is dealt to blocks of about `block_tokens` by a seeded hash of what its rows hold (doc_id if there is one, text,
+    source); in each epoch its blocks come in a new random order. Whole epochs repeat every row; the last takes
+    whole blocks while they fit its budget, and of the next block rows in hash order until the budget is met.
+    `_order` is the place of the block in the whole mixture, a seeded number. The driver gets one sum per source
+    (MAX_SOURCES at most, else an error). A null source is a source of its own. Repeated rows are rows of their
+    own (see spotted; those that tie go together); a long text counts its words like any other; an empty table
+    gives no rows. Rows keep all their columns and their names; only the four new names are taken from the
+    input, if it has them. No row is joined to itself: copies of a row multiply nothing.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    columns = docs.columns
-    docs, ident = row_identity(docs, scratch)
-    words = F.greatest(F.regexp_count(text_of(docs), F.lit(r"[^ \t-\r]+")), F.lit(1)).cast("long")
-    # the row's own number; a name of its own for each new column, whatever the input calls its columns
-    spot, size, src = "__spot", "__size", "__src"
-    source = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null"))
-    measured = scratch.keep(docs.select(F.xxhash64(F.lit(seed), *ident).alias(spot), words.alias(size), source.alias(src)))
-    tokens = {r[0]: r[1] for r in measured.groupBy(src).agg(F.sum(size)).collect()}
-    kept = docs.select(*(docs[c] for c in columns), F.xxhash64(F.lit(seed), *ident).alias(spot), source.alias(src))
     extra = {"_epoch": "int", "_block": "int", "_order": "long", "_tokens": "long"}
+    columns = [c for c in docs.columns if c not in extra]
+    # columns by number while rows are dealt: no name of the input's can clash
+    at = {c: f"c{i}" for i, c in enumerate(columns)}
+    rows = docs.select(*(docs[c].alias(at[c]) for c in columns))
+    source = F.coalesce(F.concat(F.lit("s:"), F.col(at["source"]).cast("string")), F.lit("null"))
+    rows = spotted(rows, [at[c] for c in ("doc_id", "text", "source") if c in at], seed, scratch).withColumn("src", source)
+    words = F.greatest(F.regexp_count(F.coalesce(F.col(at["text"]).cast("string"), F.lit("")), F.lit(r"[^ \t-\r]+")), F.lit(1)).cast("long")
+    measured = scratch.keep(rows.select("spot", words.alias("size"), "src"))
+    sums = measured.groupBy("src").agg(F.sum("size")).limit(MAX_SOURCES + 1).collect()
+    if len(sums) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    tokens = dict(sorted(tuple(r) for r in sums))
     if not tokens:
-        return docs.select(*columns, *(F.lit(None).cast(t).alias(c) for c, t in extra.items())).limit(0)
+        return docs.select(*(docs[c] for c in columns), *(F.lit(None).cast(t).alias(c) for c, t in extra.items())).limit(0)
     total = int(sum(tokens.values()) * budget)
     weights = tempered({s: n / sum(tokens.values()) for s, n in tokens.items()}, exponent_for(tokens, total, max_repeats, target_entropy))
-    plan = [(s, int(weights[s] * total) // tokens[s], int(weights[s] * total) % tokens[s], max(1, -(-tokens[s] // block_tokens))) for s in sorted(tokens)]
-    plan_df = spark.createDataFrame(plan, f"{src} string, full int, rest long, blocks int")
-    block = F.pmod(F.xxhash64(F.col(spot), F.lit(1)), F.col("blocks")).cast("int")
-    placed = measured.join(F.broadcast(plan_df), src).withColumn("block", block)  # one row per source
-    sums = placed.groupBy(src, "block", "full", "rest").agg(F.sum(size).alias("n"))
-    # the order of the last epoch's blocks says which of them fit; the block sums are few
-    turn = F.xxhash64(F.lit(seed), F.col(src), F.col("full"), F.col("block"))
-    before = F.sum("n").over(Window.partitionBy(src).orderBy(turn, "block").rowsBetween(Window.unboundedPreceding, -1))
-    dealt = sums.withColumn("left", F.col("rest") - F.coalesce(before, F.lit(0))).where("left > 0").select(src, "block", "n", "left")
-    dealt = scratch.keep(dealt)
-    whole = dealt.where("n <= left").select(src, "block")
-    part = dealt.where("n > left").select(src, "block", "left")
-    head = F.sum(size).over(Window.partitionBy(src, "block").orderBy(spot).rowsBetween(Window.unboundedPreceding, -1))
-    cut = placed.join(F.broadcast(part), [src, "block"]).withColumn("head", F.coalesce(head, F.lit(0))).where("head < left").select(spot)  # one block per source
-    last = placed.join(whole, [src, "block"], "left_semi").select(spot).unionByName(cut).withColumn("extra", F.lit(1))
-    often = placed.join(last, spot, "left").select(spot, "block", "full", size, (F.col("full") + F.coalesce("extra", F.lit(0))).alias("times")).where("times > 0")
-    often = often.select(spot, "block", size, F.explode(F.expr("sequence(0, times - 1)")).alias("epoch"))
-    out = kept.join(often, spot)
-    order = F.xxhash64(F.lit(seed), F.col(src), F.col("epoch"), F.col("block"))
-    return out.select(*columns, F.col("epoch").alias("_epoch"), F.col("block").alias("_block"), order.alias("_order"), F.col(size).alias("_tokens"))
+    plan = [(s, int(weights[s] * total) // n, int(weights[s] * total) % n, min(MAX_BLOCKS, max(1, -(-n // block_tokens)))) for s, n in tokens.items()]
+    plan = F.broadcast(spark.createDataFrame(plan, "src string, full long, rest long, blocks int"))  # MAX_SOURCES rows at most
+    block = F.pmod(F.col("spot"), F.col("blocks")).cast("int").alias("block")
+    placed = measured.join(plan, "src").select("spot", "size", "src", "full", "rest", block)
+    # the order of the last epoch's blocks says which of them fit
+    sums = placed.groupBy("src", "block", "full", "rest").agg(F.sum("size").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("src").orderBy(turn(F.lit(seed), F.col("src"), F.col("full"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, -1))
+    dealt = sums.withColumn("left", F.col("rest") - F.coalesce(before, F.lit(0))).where("left > 0")
+    dealt = scratch.keep(dealt.select("src", "block", "n", "left"))
+    whole = dealt.where("n <= left").select("src", "block", F.lit(_ALL).alias("upto"))
+    # of one block of each source, the rows up to a spot
+    head = F.sum("size").over(Window.partitionBy("src", "block").orderBy("spot").rowsBetween(Window.unboundedPreceding, -1))
+    part = placed.join(dealt.where("n > left").select("src", "block", "left"), ["src", "block"]).groupBy("src", "block", "left", "spot").agg(F.sum("size").alias("size"))
+    part = part.withColumn("head", F.coalesce(head, F.lit(0))).where("head < left").groupBy("src", "block").agg(F.max("spot").alias("upto"))
+    taken = scratch.keep(whole.unionByName(part))
+    often = rows.join(plan, "src").select("*", block).join(taken, ["src", "block"], "left")
+    often = often.withColumn("times", F.col("full") + F.coalesce((F.col("spot") <= F.col("upto")).cast("long"), F.lit(0))).where("times > 0")
+    out = often.select("*", F.explode(F.expr("sequence(0, cast(times as int) - 1)")).alias("epoch"))
+    order = turn(F.lit(seed), F.col("src"), F.col("epoch"), F.col("block"))
+    return out.select(*(F.col(at[c]).alias(c) for c in columns), F.col("epoch").alias("_epoch"), F.col("block").alias("_block"), order.alias("_order"), words.alias("_tokens"))
 
 
 def digest(mixed: DataFrame) -> DataFrame:

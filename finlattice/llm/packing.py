@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as T
-from .sharding import row_identity
+from .sharding import spotted
 from .tokens import Ids
 from .work import Scratch, frugal, shuffle_parts, slices, text_of, utf8
 
 #: Bytes of text that are tokenised at once: the more, the fewer words are merged twice.
 TOKEN_PASS = 8 << 20
 HASHED_DIMS, DIMS, BITS = 1024, 3, 10
+#: Ranges at most: quantiles and sums that the driver gets.
+MAX_RANGES = 1 << 16
 
 
 def projection(vocabulary: int, seed: int) -> np.ndarray:
@@ -60,8 +62,8 @@ def order_key(xyz: np.ndarray, mean: np.ndarray, spread: np.ndarray, spot: np.nd
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, seed: int, scratch: Scratch) -> DataFrame:
     """doc_id, spot, n_tokens, projected vector, ids (two bytes each if they fit) of every row, written."""
-    docs, ident = row_identity(docs, scratch)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(seed), *ident).alias("spot"), text_of(docs).alias("text"))
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    rows = spotted(own, ["doc_id", "text"], seed, scratch).select("doc_id", "spot", "text")
 
     def run(batches):
         ids = Ids.of(tokenizer_path)
@@ -91,10 +93,11 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
     Every row is tokenised whole and closed by `end_id` (null or empty text: that id alone). Counts of its ids,
     hashed and projected to three dimensions and standardised by the corpus, give a Hilbert key; rows are
     range-sorted by it and laid end to end, and the line is cut every `length` ids. So only the last sequence is
-    not full. ids: little-endian unsigned 32-bit. Repeated rows are packed each; an empty table gives no rows;
-    other columns are not read. Ranges come from approximate quantiles of the key; equal keys (exact copies)
-    differ in their lower bits and so may be parted. The driver gets one sum per range of about
-    `bucket_tokens` ids.
+    not full. ids: little-endian unsigned 32-bit. Repeated rows are packed each; a long text runs through as many
+    sequences as it needs; an empty table gives no rows; other columns are not read, whatever their names. Ranges
+    come from approximate quantiles of the key; equal keys (exact copies) differ in their lower bits and so may be
+    parted. The driver gets one sum per range of about `bucket_tokens` ids, of MAX_RANGES ranges at most: beyond
+    that ranges grow, which are sorted by Spark's external sort and cut as a stream, so none must fit in memory.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
@@ -103,7 +106,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
     total = stats[0] or 0
     mean = np.asarray([stats[1], stats[3], stats[5]], float) if total else np.zeros(3)
     spread = np.maximum(np.asarray([stats[2], stats[4], stats[6]], float), 1e-9) if total else np.ones(3)
-    parts = max(shuffle_parts(spark), -(-total // bucket_tokens), 1)
+    parts = max(shuffle_parts(spark), min(MAX_RANGES, -(-total // bucket_tokens)), 1)
 
     def keyed(batches):
         for b in batches:
@@ -112,7 +115,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n_tokens", "width", "ids") if c in b.schema.names), pa.array(key)], [*(c for c in ("doc_id", "n_tokens", "width", "ids") if c in b.schema.names), "key"])
 
     narrow = scratch.keep(rows.select("n_tokens", "spot", "x", "y", "z").mapInArrow(frugal(keyed), "n_tokens long, key long"))
-    cuts = narrow.agg(F.percentile_approx("key", F.array(*(F.lit(i / parts) for i in range(1, parts))) if parts > 1 else F.array(F.lit(0.5)), F.lit(max(10000, 20 * parts)))).first()[0] or []
+    cuts = narrow.agg(F.percentile_approx("key", F.array(*(F.lit(i / parts) for i in range(1, parts))) if parts > 1 else F.array(F.lit(0.5)), F.lit(max(10000, 4 * parts)))).first()[0] or []
     bounds = np.unique(np.asarray(cuts if parts > 1 else [], np.int64))
 
     def ranged(batches):

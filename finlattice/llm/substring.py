@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as T
-from .sharding import row_identity
+from .sharding import settled
 from .work import Scratch, frugal, passes, ship, text_of
 
 #: Words of the phrase by which the reference is indexed.
 PHRASE = 8
+#: The identity of a row.
+SPOT = "spot struct<file:long,row:long>"
 
 
 def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
@@ -106,8 +108,9 @@ def deduplicated(docs: DataFrame, length: int = 35) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
     ship(spark)
-    docs, ident = row_identity(docs, scratch)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"), F.xxhash64(*ident).alias("spot"))
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    own, ident = settled(own, scratch)
+    rows = own.select("doc_id", "text", ident.alias("spot"))
 
     def name(batches):
         for part, data, offsets in passes(batches):
@@ -125,7 +128,7 @@ def deduplicated(docs: DataFrame, length: int = 35) -> DataFrame:
             p.keep(own)
             yield pa.RecordBatch.from_arrays([_signed(p.key), _signed(p.factor_hash()), _signed(a[p.doc]), _signed(b[p.doc]), pa.array((p.lo - p.words.first[p.doc]).astype(np.int32)), pa.array((p.hi - p.lo).astype(np.int32)), pa.array(times[back][p.doc].astype(np.int64))], ["phrase", "factor", "t1", "t2", "lo", "size", "times"])
 
-    names = rows.select("text", "spot").mapInArrow(frugal(name), "t1 long, t2 long, spot long, n long").groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("spot").alias("spot"))
+    names = rows.select("text", "spot").mapInArrow(frugal(name), f"t1 long, t2 long, {SPOT}, n long").groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("spot").alias("spot"))
     names = scratch.keep(names)
     twins = names.where("copies > 1").select("t1", "t2")
     found = scratch.keep(rows.select("text").mapInArrow(frugal(passage), "phrase long, factor long, t1 long, t2 long, lo int, size int, times long"))
@@ -166,7 +169,7 @@ def deduplicated(docs: DataFrame, length: int = 35) -> DataFrame:
             a, b = names_of(w, w.hashes())
             yield pa.RecordBatch.from_arrays([*part.columns, _signed(a), _signed(b)], [*part.schema.names, "t1", "t2"])
 
-    texts = rows.mapInArrow(frugal(named), "doc_id long, text string, spot long, t1 long, t2 long")
+    texts = rows.mapInArrow(frugal(named), f"doc_id long, text string, {SPOT}, t1 long, t2 long")
     marked = rows.select("text", "spot").join(flagged, "spot")
     windows = scratch.keep(marked.select("text", "marks", "t1", "t2").mapInArrow(frugal(look), "h1 long, h2 int, t1 long, t2 long, lo int, times long"))
     repeated = windows.groupBy("h1", "h2").agg(F.sum("times").alias("times")).where("times > 1").select("h1", "h2")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -18,17 +20,28 @@ from pyspark.sql import functions as F
 PASS_BYTES = 2 << 20
 
 
+#: Spark's setting that removes the shuffle files of a query when it has ended; every step here is a query of its own.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A folder for the steps of a local session that names none.
+LOCAL_DIR = Path(tempfile.gettempdir()) / "finlattice-checkpoints"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that setting is missing (tests)."""
+    """The folder in spark.checkpoint.dir; an error if a cluster names none, as executors don't share local folders."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return LOCAL_DIR.as_uri()
 
 
 class Scratch:
-    """Written tables of one operator call: lineage is cut by a table that survives lost executors."""
+    """Written tables of one operator call: lineage is cut by a table that survives lost executors.
+
+    A table that nothing reads any more is dropped by its operator; the rest goes when the driver ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
@@ -36,23 +49,34 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
+    def _path(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
     def keep(self, df: DataFrame, **options) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}"
         writer = df.write.option("compression", "zstd")
         for k, v in options.items():
             writer = writer.option(k, v)
-        writer.parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            writer.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        if self.n == 1:
+            fs, p = self._path(self.root)
+            fs.deleteOnExit(p)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Remove tables that nothing lazy reads any more."""
-        jvm = self.spark._jvm
         for f in frames:
-            p = jvm.org.apache.hadoop.fs.Path(f._scratch_path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            fs, p = self._path(f._scratch_path)
+            fs.delete(p, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -61,7 +85,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_finlattice_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp(prefix="finlattice-")) / "finlattice.zip"
+    folder = Path(tempfile.mkdtemp(prefix="finlattice-"))  # the driver serves it to the executors until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    to = folder / "finlattice.zip"
     with zipfile.ZipFile(to, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"{root.name}/{f.relative_to(root)}")

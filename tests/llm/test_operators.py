@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("finlattice.llm.queries")
 from finlattice.llm import lm, minhash, mixing, packing, quality, secret_scan, sharding, substring, topk, toxicity  # noqa: E402
@@ -338,3 +339,99 @@ def test_toxicity_cuts_no_strong_term(spark):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     with pytest.raises(ValueError, match="max_lexicon=1 "):
         toxicity.toxicity(docs, labels, max_lexicon=1)
+
+CLASHING = "_metadata string, _key int, _found int, __spot int, __src int, __size int, _block int, _epoch string, spot_ int, c0 int, src int, twice int, content int, row int, k int, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Copied rows (by a join), and columns named like anything the operators use inside."""
+    out = spark.createDataFrame([(r[0], r[1], r[2], r[3], "m", 1, 2, 3, 4, 5, 6, "e", 7, 8, 9, 10, 11, 12, 13, r[4]) for r in rows()], "doc_id long, text string, lang string, source string, " + CLASHING)
+    return out.crossJoin(spark.range(2).select(F.col("id").alias("copy")))
+
+
+def brute_spots(rows_, columns, seed, at):
+    """What spotted() says: content by md5, 15 digits of it; no repeated rows here."""
+    for r in rows_:
+        said = "|".join("-" if r[at[c]] is None else "+" + hashlib.md5(str(r[at[c]]).encode()).hexdigest() for c in columns)
+        yield int(hashlib.md5(f"{seed}|{said}".encode()).hexdigest()[:15], 16)
+
+
+def test_sharding_by_brute_force(spark):
+    once = [r for r in dict.fromkeys(rows()) if r[0] is not None]
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shuffled(spark.createDataFrame(once, SCHEMA), 5, seed=3, bucket_bytes=2000).collect()}
+    size = sum(len((r[1] or "").encode()) + 8 for r in once)
+    n = -(-size // 2000)
+    buckets = collections.defaultdict(list)
+    for r, spot in zip(once, brute_spots(once, ["doc_id", "text"], 3, {"doc_id": 0, "text": 1}), strict=True):
+        buckets[(spot >> 20) % n].append((spot, r[0]))
+    line = []
+    for b in sorted(buckets):
+        own = [i for _, i in sorted(buckets[b])]
+        line += [own[j] for j in sharding.fisher_yates(len(own), 3, b)]
+    edge = [s * len(line) // 5 for s in range(6)]
+    assert got == {i: (s, k - edge[s]) for s in range(5) for k, i in enumerate(line[edge[s] : edge[s + 1]], edge[s])}
+
+
+def same(df_a, df_b):
+    return collections.Counter(map(str, df_a.collect())) == collections.Counter(map(str, df_b.collect()))
+
+
+def test_seeds_give_one_result_wherever_rows_lie(spark, docs, tmp_path):
+    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    once.repartition(7).write.parquet(f"{tmp_path}/a")
+    once.coalesce(1).write.parquet(f"{tmp_path}/b")
+    a, b = (spark.read.parquet(f"{tmp_path}/{x}") for x in "ab")
+    assert same(sharding.shuffled(a, 5, bucket_bytes=2000), sharding.shuffled(b, 5, bucket_bytes=2000))
+    assert same(mixing.digest(mixing.mix(a, block_tokens=300)), mixing.digest(mixing.mix(b, block_tokens=300)))
+    assert same(packing.digest(packing.pack(a, vocabulary(), length=64)), packing.digest(packing.pack(b, vocabulary(), length=64)))
+    assert same(mixing.mix(docs, block_tokens=300), mixing.mix(docs, block_tokens=300))
+
+
+def test_copied_rows_and_clashing_names(odd, tmp_path):
+    n = odd.count()
+    assert sharding.shuffled(odd, 5, bucket_bytes=2000).count() == n
+    assert packing.pack(odd, vocabulary(), length=64).where("start = 0").count() == n
+    got = collections.Counter(r.doc_id for r in substring.deduplicated(odd).collect())
+    assert sum(got.values()) == n and got[3] == 2
+    assert substring.deduplicated(odd).where("n_words >= 35 and n_removed < n_words").count() == 0
+    mixed = mixing.mix(odd, block_tokens=300)
+    assert sorted(mixed.columns) == sorted([*(c for c in odd.columns if c not in ("_epoch", "_block")), "_epoch", "_block", "_order", "_tokens"])
+    odd.write.parquet(f"{tmp_path}/odd")
+    again = mixing.mix(odd.sparkSession.read.parquet(f"{tmp_path}/odd"), block_tokens=300)
+    assert abs(mixed.count() - again.count()) <= 2
+    for f in (quality.quality_rules, minhash.near_duplicates, lambda d: lm.backoff_scores(d, chunk_bytes=3000)):
+        assert f(odd).count() == n
+    assert secret_scan.redact(odd).columns == odd.columns and secret_scan.redact(odd).count() == n
+
+
+def test_mixing_by_brute_force(spark):
+    """Exact draws: ties of sizes, a null source, a long text, texts without words."""
+    once = [r for r in dict.fromkeys(rows()) if r[0] is not None] + [(500, "long " * 9000, "en", "s2", 1, 1, "a", 2, 3, 4, 5)]
+    limit, seed = 300, 41
+    size = {r[0]: max(1, len(words(r[1]))) for r in once}
+    src = {r[0]: "null" if r[3] is None else f"s:{r[3]}" for r in once}
+    spot = dict(zip((r[0] for r in once), brute_spots(once, ["doc_id", "text", "source"], seed, {"doc_id": 0, "text": 1, "source": 3}), strict=True))
+    tokens = {s: sum(size[i] for i in size if src[i] == s) for s in sorted(set(src.values()))}
+    total = sum(tokens.values())
+    w = mixing.tempered({s: n / total for s, n in tokens.items()}, mixing.exponent_for(tokens, total, 2.0))
+    turn = lambda *x: int(hashlib.md5("|".join(map(str, x)).encode()).hexdigest()[:15], 16)
+    want = collections.Counter()
+    for s, n in tokens.items():
+        full, rest, blocks = int(w[s] * total) // n, int(w[s] * total) % n, -(-n // limit)
+        held = collections.defaultdict(list)
+        for i in size:
+            if src[i] == s:
+                held[spot[i] % blocks].append((spot[i], i))
+        times = {i: full for b in held.values() for _, i in b}
+        for b in sorted(held, key=lambda b: (turn(seed, s, full, b), b)):
+            for _, i in sorted(held[b]):
+                if rest > 0:
+                    times[i] += 1
+                    rest -= size[i]
+        for b, own in held.items():
+            for _, i in own:
+                for e in range(times[i]):
+                    want[(i, e, b, turn(seed, s, e, b), size[i])] += 1
+    got = mixing.mix(spark.createDataFrame(once, SCHEMA), block_tokens=limit, seed=seed).collect()
+    assert collections.Counter((r.doc_id, r._epoch, r._block, r._order, r._tokens) for r in got) == want
