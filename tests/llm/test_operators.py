@@ -313,7 +313,7 @@ def test_secrets_without_digits_and_in_assignments(spark):
     got = {(r.doc_id, r.before, r.candidate): r.is_secret for r in rs}
     want = {(0, "api_key=", token): True, (1, "password: ", words_): True, (2, 'token = "', letters): True, (3, "aws_secret_access_key=", token): True, (4, "", texts[4]): False, (5, "", texts[5]): False}
     assert {k: got.get(k) for k in want} == want
-    assert {k[1:] for k in got if k[0] == 6} == {("", texts[6])} and {k[1:] for k in got if k[0] == 7} == {("", texts[7][:-2])}
+    assert {k[1:] for k in got if k[0] == 6} == {("password=", "hunter2hunter2")} and {k[1:] for k in got if k[0] == 7} == {("", texts[7][:-2])}
     assert not got[(3, "", "aws_secret_access_key")] and [r.is_secret for r in rs if r.doc_id == 8] == [False, False]
     assert sorted(r.ordinal for r in rs if r.doc_id == 3) == [0, 1]
     clean = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
@@ -435,3 +435,55 @@ def test_mixing_by_brute_force(spark):
                     want[(i, e, b, turn(seed, s, e, b), size[i])] += 1
     got = mixing.mix(spark.createDataFrame(once, SCHEMA), block_tokens=limit, seed=seed).collect()
     assert collections.Counter((r.doc_id, r._epoch, r._block, r._order, r._tokens) for r in got) == want
+
+
+def planted_secrets():
+    """Lines of many kinds: (line, the finding, is it a secret)."""
+    rng = np.random.default_rng(12)
+    pick = lambda letters, n: "".join(rng.choice(list(letters), n))
+    low, up, num, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+    out = []
+    for _ in range(20):
+        word = [str(w) for w in rng.choice(secret_scan.DICTIONARY, 4)]
+        yes = [f'password = "{"-".join(word)}"', f'api_key="{pick(low + up, 24)}"', f"password: {pick(low, 5)}{pick(num, 3)}!", f'secret_key = "{pick(low + up, 70)}{pick(num, 8)}"', f"auth: eyJ{pick(low + up + num, 33)}.{pick(low + up + num, 60)}.{pick(low + up + num + '-_', 43)}",
+               f"AKIA{pick(up + num, 16)}", f"ghp_{pick(low + up + num, 36)}", f"export TOKEN={pick(hexa, 40)}", f"sk_live_{pick(low + up + num, 24)}", f"passwd='{pick(low + up + num, 9)}#{pick(num, 2)}'"]
+        no = [f"commit {pick(hexa, 40)}", f"card {pick(num, 16)}", f"see {'/'.join(word)}/index", f"id {pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}", "password: required", f"sha256: {pick(hexa, 64)}", "-" * 40, "password: ********", f"the_{'_'.join(word)}_of", f"token = <your_{word[0]}>"]
+        out += [(f"{word[0]} {x} {word[1]}", x, True) for x in yes] + [(f"{word[0]} {x} {word[1]}", x, False) for x in no]
+    return out
+
+
+def test_planted_secrets_of_many_kinds(spark):
+    lines = planted_secrets()
+    df = spark.createDataFrame([(i, x[0], "src") for i, x in enumerate(lines)], "doc_id long, text string, source string")
+    said = collections.defaultdict(bool)
+    for r in secret_scan.scan(df).collect():
+        said[r.doc_id] |= r.is_secret
+    recall = np.mean([said[i] for i, x in enumerate(lines) if x[2]])
+    precision = np.mean([x[2] for i, x in enumerate(lines) if said[i]])
+    assert recall >= 0.9 and precision >= 0.9, (recall, precision, [x[1] for i, x in enumerate(lines) if said[i] != x[2]])
+
+
+def test_features_by_brute_force(spark):
+    rows_ = [("say api_key = '", "abcDEF012345wordtime++", "tests/a"), ("", "p@ss!w0rd", None), ("id=", "a" * 3000 + "Z9", "app/conf")]
+    got = [r.asDict() for r in secret_scan.features(spark.createDataFrame(rows_, "before string, candidate string, path string").coalesce(1)).collect()]
+    long_first = "|".join(sorted(secret_scan.DICTIONARY, key=lambda w: (-len(w), w)))
+    for (before, c, path), r in zip(rows_, got, strict=True):
+        kind = lambda x: "a" if x.islower() else "b" if x.isupper() else "0" if x.isdigit() else "_"
+        n = len(c)
+        share = [c.count(x) / n for x in set(c)]
+        want = {
+            "length": n, "distinct": len(set(c)), "digits": sum(x.isdigit() for x in c) / n, "uppers": sum(x.isupper() for x in c) / n, "hexish": sum(x in "0123456789abcdef" for x in c) / n,
+            "turns": sum(kind(a) != kind(b) for a, b in zip(c, c[1:], strict=False)) / n, "entropy": -sum(p * math.log2(p) for p in share), "dictionary": (n - len(re.sub(long_first, "", c.lower()))) / n,
+            "assigned": bool(re.search(r"[=:]\s*[\"'`]?$", before)), "quoted": before.endswith(("'", '"', "`")), "said_secret": "api_key" in before, "said_other": before == "id=", "symbols": sum(not x.isalnum() for x in c) / n,
+            "test_path": path == "tests/a", "config_path": path == "app/conf",
+        }
+        assert {k: round(float(v), 9) for k, v in want.items()} == {k: round(r[k], 9) for k in want}
+
+
+def test_redaction_by_place(spark):
+    token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = [f'commit {token} then token = "{token}" and {token}ff00 end', f'token = "{token}"', f'token = "{token}"', None, ""]
+    df = spark.createDataFrame([(7, t, "s", -1, 3) for t in texts], "doc_id long, text string, source string, n_chars long, row int")
+    got = sorted((str(r.text), r.n_chars, r.row) for r in secret_scan.redact(df).collect())
+    first = f'commit {token} then token = "[SECRET]" and {token}ff00 end'
+    assert got == sorted([(first, len(first), 3), ('token = "[SECRET]"', 18, 3), ('token = "[SECRET]"', 18, 3), ("None", -1, 3), ("", -1, 3)])
