@@ -1,4 +1,4 @@
-"""Stupid-backoff scores from n-gram counts of the whole corpus, counted and looked up by hash partition."""
+"""Stupid-backoff scores: count tables by hash partition, joined to the n-grams of all texts, summed per document."""
 
 from __future__ import annotations
 
@@ -10,96 +10,123 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as T
-from .work import Scratch, frugal, ship, shuffle_parts, slices, text_of, utf8
+from .work import Scratch, frugal, shuffle_parts, slices, text_of, utf8
 
 BACKOFF = 0.4
-#: Bytes of a key within its partition; with the partition's number they tell n-grams apart.
-KEY_BYTES = 5
 
 
-def grams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the last words of the n-grams of all texts, and the n-grams' hashes."""
-    at, h = T.windows(words, first, n)
-    return at + n - 1, h ^ np.uint64(n)
+def squeeze(x: np.ndarray) -> bytes:
+    """64-bit numbers: how many, then their byte planes, compressed (planes of zeros take no room)."""
+    planes = np.ascontiguousarray(x).view(np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def requests(h: np.ndarray, parts: int):
-    """Distinct n-grams of a chunk: partition and key, sorted by both; how often each; and the place of each n-gram."""
-    part = (h >> np.uint64(40)) % np.uint64(parts)
-    key = h & np.uint64((1 << 8 * KEY_BYTES) - 1)
-    whole, back, n = np.unique(part << np.uint64(8 * KEY_BYTES) | key, return_inverse=True, return_counts=True)
-    return (whole >> np.uint64(8 * KEY_BYTES)).astype(np.int64), whole & np.uint64((1 << 8 * KEY_BYTES) - 1), n, back
+def expand(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").reshape(n).view(np.int64)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """The keys' bytes, lowest first, plane by plane: the high bytes of sorted keys repeat and compress."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].T.tobytes()
+    """Sorted whole 64-bit keys by their steps, of which the high bytes are zeros."""
+    return squeeze(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack_keys(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(KEY_BYTES, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :KEY_BYTES] = planes.T
-    return out.view("<u8").ravel()
-
-
-def squeeze(x: np.ndarray) -> bytes:
-    """Integers below 2 ** 32: how many, then their byte planes, compressed."""
-    return len(x).to_bytes(4, "little") + pa.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
-
-
-def expand(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:4], "little")
-    planes = np.frombuffer(pa.decompress(raw[4:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").reshape(n)
-
-
-def score_words(words: np.ndarray, first: np.ndarray, doc: np.ndarray, counts: list[np.ndarray], total: int) -> np.ndarray:
-    """Per text, the sum of log10 scores of its words. counts[n - 1]: per n-gram position, its count in the corpus.
-
-    Each text is scored by the other texts: its own n-grams are taken off the counts.
-    """
-    n_words = len(words)
-    size = np.diff(first)
-    orders = len(counts)
-    rest = []
-    for n in range(1, orders + 1):
-        at, h = grams(words, first, n)
-        by = np.lexsort((h, doc[at])) if len(at) else np.zeros(0, np.int64)
-        hs, ds = h[by], doc[at][by]
-        new = np.ones(len(by), bool)
-        new[1:] = (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])
-        begin = np.flatnonzero(new)
-        own = np.empty(len(by), np.int64)
-        own[by] = np.repeat(np.diff(np.append(begin, len(by))), np.diff(np.append(begin, len(by)))) if len(by) else 0
-        left = np.zeros(n_words, np.int64)
-        left[at] = counts[n - 1] - own
-        rest.append(left)
-    others = (total - size)[doc]
-    # from the unigram up: the highest order that others have wins
-    score = np.log10(np.maximum(rest[0], 0.5) / np.maximum(others, 1)) + (orders - 1) * np.log10(BACKOFF)
-    for n in range(2, orders + 1):
-        hit = np.flatnonzero(rest[n - 1] > 0)
-        context = rest[n - 2][hit - 1]
-        score[hit] = np.log10(rest[n - 1][hit] / np.maximum(context, rest[n - 1][hit])) + (orders - n) * np.log10(BACKOFF)
-    sums, some = np.zeros(len(size)), size > 0
-    if n_words:
-        sums[some] = np.add.reduceat(score, first[:-1][some])  # each text by itself: a running sum would lose digits
-    return sums
-
-
-def backoff_scores(docs: DataFrame, order: int = 2, chunk_bytes: int = 4 << 20, part_words: int = 2 << 20) -> DataFrame:
+    with np.errstate(over="ignore"):
+        return np.cumsum(expand(raw).view(np.uint64), dtype=np.uint64)
+
+
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Partitions are ranges of the hash, so that a partition's keys are near each other."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+class Chunk:
+    """Some texts as word hashes; `left[n - 1]`: per position, how often other texts hold the n-gram that ends there."""
+
+    def __init__(self, row: dict):
+        self.row = row
+        self.first = np.append(0, np.cumsum(np.asarray(row["sizes"], np.int64))).astype(np.int64)
+        self.words = np.frombuffer(row["vocabulary"], np.uint64)[expand(row["words"])]
+        self.doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        self.left = [expand(x) for x in row["left"] or []]
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct n-grams that others may hold, in order; the place in them of each such position; these positions.
+
+        Others hold an n-gram only if they hold what it begins and what it ends with, so the rest needn't be asked for.
+        """
+        at, h = T.windows(self.words, self.first, n)
+        end = at + n - 1
+        if n > 1:
+            able = (self.left[n - 2][end] > 0) & (self.left[n - 2][end - 1] > 0)
+            end, h = end[able], h[able]
+        keys, back = np.unique(h ^ np.uint64(n), return_inverse=True)
+        return keys, back, end
+
+    def ask(self, n: int, parts: int):
+        """Partition, keys and own counts of the distinct n-grams, a row per partition."""
+        keys, back, _ = self.grams(n)
+        if not len(keys):
+            return
+        count, part = np.bincount(back), part_of(keys, parts)
+        cut = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = np.append(cut[1:], len(part))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(part[cut].astype(np.int32)), pa.array(np.full(len(cut), self.row["chunk"], np.int64)),
+            pa.array([pack_keys(keys[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([squeeze(count[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary()),
+        ], ["part", "chunk", "keys", "counts"])
+
+    def hear(self, n: int, sums: list[bytes]) -> None:
+        """Turn the corpus counts of the asked n-grams, partition by partition, into what other texts hold."""
+        _, back, end = self.grams(n)
+        left = np.zeros(len(self.words), np.int64)
+        if len(end):
+            counts = np.concatenate([expand(x) for x in sums])
+            # a text's own occurrences
+            mine = self.doc[end] * np.int64(len(counts)) + back
+            _, own, times = np.unique(mine, return_inverse=True, return_counts=True)
+            left[end] = counts[back] - times[own]
+        self.left.append(left)
+
+    def scores(self, total: int) -> np.ndarray:
+        """Per text, the sum of log10 scores of its words."""
+        size, orders = np.diff(self.first), len(self.left)
+        others = (total - size)[self.doc]
+        # from the unigram up: the highest order that others have wins
+        score = np.log10(np.maximum(self.left[0], 0.5) / np.maximum(others, 1)) + (orders - 1) * np.log10(BACKOFF)
+        for n in range(2, orders + 1):
+            hit = np.flatnonzero(self.left[n - 1] > 0)
+            here, context = self.left[n - 1][hit], self.left[n - 2][hit - 1]
+            score[hit] = np.log10(here / np.maximum(context, here)) + (orders - n) * np.log10(BACKOFF)
+        sums, some = np.zeros(len(size)), size > 0
+        if len(score):
+            sums[some] = np.add.reduceat(score, self.first[:-1][some])  # each text by itself: a running sum would lose digits
+        return sums
+
+
+#: A chunk: its texts' ids and word counts, its distinct words (hashes, frequent ones first), its words as numbers of these,
+#: and for each order so far what other texts hold at each position.
+CHUNK = "chunk long, doc_ids array<long>, sizes array<long>, vocabulary binary, words binary, n long, left array<binary>"
+_FIELDS = [f.split(" ")[0] for f in CHUNK.split(", ")]
+
+
+def backoff_scores(docs: DataFrame, order: int = 3, chunk_bytes: int = 8 << 20, part_words: int = 2 << 20) -> DataFrame:
     """doc_id, n_words, log10_sum, log10_mean of every row, scored by the n-gram counts of all other rows.
 
     Stupid backoff up to `order`: count(n-gram) / count(its first n - 1 words) if other texts have the n-gram, else
     0.4 times the score of the next lower order; an unseen word counts half. Texts are cut into words at white
-    space and written as chunks (numbers into a list of the chunk's words). A chunk asks each hash partition for
-    the counts of its distinct n-grams, of every order; a partition sums all chunks' counts and answers; so a
-    frequent n-gram is one entry per chunk, whatever its share. Null or empty text: 0 words, sum 0, null mean.
-    Repeated rows score each other. Other columns are not read; an empty table gives no rows.
+    space and gathered in chunks. Order by order, the n-grams of each chunk are exploded, counted within the
+    chunk and dealt by hash to partitions, in rows of one chunk and one partition; a partition sums them to its
+    count table, joins the table to what came in and sends the counts back. So a frequent n-gram is one entry per
+    chunk, whatever its share. An n-gram is asked for only where others hold both n-grams of the order below in it.
+    Keys are whole 64-bit hashes, sums 64-bit numbers. Work and rows grow with the n-grams: a row holds the many
+    that a chunk has in a partition, and one at worst. Each order is a written table; its shuffle is gone before the next.
+    Null or empty text: 0 words, sum 0, null mean. A long text is a chunk of its own. Repeated rows score each
+    other. Other columns are not read, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    ship(spark)
     scratch = Scratch(spark, "lm")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
 
@@ -111,73 +138,74 @@ def backoff_scores(docs: DataFrame, order: int = 2, chunk_bytes: int = 4 << 20,
                 vocabulary, index, often = np.unique(w.hashes(), return_inverse=True, return_counts=True)
                 by = np.argsort(-often, kind="stable")  # frequent words get small numbers
                 vocabulary, index = vocabulary[by], np.argsort(by)[index]
-                yield pa.RecordBatch.from_arrays([pa.array([here + k]), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([w.counts.tolist()], pa.list_(pa.int64())), pa.array([vocabulary.tobytes()], pa.binary()), pa.array([squeeze(index)], pa.binary()), pa.array([len(index)])], ["chunk", "doc_ids", "sizes", "vocabulary", "words", "n"])
+                yield _chunk({"chunk": here + k, "doc_ids": part.column("doc_id").to_pylist(), "sizes": w.counts.tolist(), "vocabulary": vocabulary.tobytes(), "words": squeeze(index), "n": len(index), "left": []})
                 k += 1
 
-    chunks = scratch.keep(rows.mapInArrow(frugal(write), "chunk long, doc_ids array<long>, sizes array<long>, vocabulary binary, words binary, n long"))
+    chunks = scratch.keep(rows.mapInArrow(frugal(write), CHUNK))
     total = chunks.agg(F.sum("n")).first()[0] or 0
-    parts = max(shuffle_parts(spark), -(-total * order // part_words))
+    parts = max(shuffle_parts(spark), -(-total // part_words))
 
-    def read(batch, i):
-        vocabulary = np.frombuffer(batch.column("vocabulary")[i].as_py(), np.uint64)
-        words = vocabulary[expand(batch.column("words")[i].as_py())]
-        first = np.append(0, np.cumsum(np.asarray(batch.column("sizes")[i].as_py(), np.int64))).astype(np.int64)
-        return words, first
+    def table(n: int, known: DataFrame) -> DataFrame:
+        """The counts of order n that each chunk asked for: chunk, told."""
 
-    def ask(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                words, first = read(batch, i)
-                for n in range(1, order + 1):
-                    part, key, count, _ = requests(grams(words, first, n)[1], parts)
-                    if not len(part):
-                        continue
-                    cut = np.flatnonzero(np.diff(part, prepend=-1))
-                    ends = np.append(cut[1:], len(part))
-                    chunk = batch.column("chunk")[i].as_py()
-                    yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(np.full(len(cut), chunk, np.int64)), pa.array(np.full(len(cut), n, np.int32)), pa.array([pack_keys(key[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([squeeze(count[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary())], ["part", "chunk", "n", "keys", "counts"])
-
-    asked = chunks.select("chunk", "sizes", "vocabulary", "words").mapInArrow(frugal(ask), "part int, chunk long, n int, keys binary, counts binary")
-
-    def answer(batches):
-        """The count table of one partition, and what each chunk asked of it."""
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        for part in np.unique(t.column("part").to_numpy()).tolist():
-            for n in range(1, order + 1):
-                own = t.filter(pc.and_(pc.equal(t.column("part"), part), pc.equal(t.column("n"), n)))
-                if not own.num_rows:
+        def ask(batches):
+            for row in _rows(batches):
+                yield from Chunk(row).ask(n, parts)
+
+        asked = known.mapInArrow(frugal(ask), "part int, chunk long, keys binary, counts binary")
+        return asked.repartitionById(parts, F.col("part")).mapInArrow(frugal(count_table), "chunk long, part int, sums binary")
+
+    for n in range(1, order + 1):
+        told = scratch.keep(table(n, chunks))
+        answers = told.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "sums"))).alias("told"))
+
+        def hear(batches, n=n):
+            for row in _rows(batches):
+                c = Chunk(row)
+                c.hear(n, [x["sums"] for x in row["told"] or []])
+                if n < order:
+                    yield _chunk(row | {"left": [*(row["left"] or []), squeeze(c.left[-1])]})
                     continue
-                keys = [unpack_keys(x) for x in own.column("keys").to_pylist()]
-                counts = np.concatenate([expand(x) for x in own.column("counts").to_pylist()])
-                _, back = np.unique(np.concatenate(keys), return_inverse=True)
-                sums = np.bincount(back, weights=counts).astype(np.int64)[back]
-                edge = np.append(0, np.cumsum([len(k) for k in keys]))
-                out = [squeeze(sums[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([own.column("chunk").combine_chunks(), own.column("n").combine_chunks(), pa.array([part] * len(out), pa.int32()), pa.array(out, pa.binary())], ["chunk", "n", "part", "sums"])
-
-    told = asked.repartitionById(parts, F.col("part")).mapInArrow(frugal(answer), "chunk long, n int, part int, sums binary")
-    told = told.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("n", "part", "sums"))).alias("told"))
-
-    def score(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                words, first = read(batch, i)
-                doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                answers = batch.column("told")[i].as_py() or []
-                counts = []
-                for n in range(1, order + 1):
-                    _, _, _, back = requests(grams(words, first, n)[1], parts)
-                    own = [expand(x["sums"]) for x in answers if x["n"] == n]
-                    counts.append(np.concatenate(own)[back].astype(np.int64) if own else np.zeros(0, np.int64))
-                size = np.diff(first)
-                sums = score_words(words, first, doc, counts, total) if len(words) else np.zeros(len(size))
+                size = np.diff(c.first)
+                sums = c.scores(total) if len(c.words) else np.zeros(len(size))
                 mean = pa.array(sums / np.maximum(size, 1), mask=size == 0)
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column("doc_ids")[i].as_py(), pa.int64()), pa.array(size), pa.array(sums), mean], ["doc_id", "n_words", "log10_sum", "log10_mean"])
-
-    return chunks.join(told, "chunk", "left").select("doc_ids", "sizes", "vocabulary", "words", "told").mapInArrow(frugal(score), "doc_id long, n_words long, log10_sum double, log10_mean double")
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(size), pa.array(sums), mean], ["doc_id", "n_words", "log10_sum", "log10_mean"])
+
+        heard = chunks.join(answers, "chunk", "left").select(*_FIELDS, "told")
+        if n == order:
+            return heard.mapInArrow(frugal(hear), "doc_id long, n_words long, log10_sum double, log10_mean double")
+        before, chunks = chunks, scratch.keep(heard.mapInArrow(frugal(hear), CHUNK))
+        scratch.drop(before, told)
+    raise ValueError("order must be 1 or more")
+
+
+def count_table(batches):
+    """The count table of each n-gram partition of this task, joined to what each chunk asked for."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held)
+    for part in np.unique(t.column("part").to_numpy()).tolist():
+        own = t.filter(pc.equal(t.column("part"), part))
+        keys = [unpack_keys(x) for x in own.column("keys").to_pylist()]
+        counts = np.concatenate([expand(x) for x in own.column("counts").to_pylist()])
+        table, back = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.zeros(len(table), np.int64)
+        np.add.at(sums, back, counts)
+        sums, edge = sums[back], np.append(0, np.cumsum([len(k) for k in keys]))
+        out = [squeeze(sums[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([own.column("chunk").combine_chunks(), pa.array([part] * len(out), pa.int32()), pa.array(out, pa.binary())], ["chunk", "part", "sums"])
+
+
+def _rows(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+
+
+def _chunk(row: dict) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array([row[f]], k) for f, k in zip(_FIELDS, kinds, strict=True)], _FIELDS)
 
 
 def _sized(batch: pa.RecordBatch, most: int):

@@ -23,15 +23,21 @@ p as (select a.doc_id as a, b.doc_id as b from x a join x b on a.g = b.g and a.d
 r(doc_id, seen) as (select doc_id, doc_id from s union select r.doc_id, p.b from r join p on r.seen = p.a)
 select doc_id, len(sh)::bigint as n_shingles, c as component_id, doc_id = c as kept from s join (select doc_id, min(seen) as c from r group by 1) using (doc_id)"""
 
-#: Bigrams, each text scored by the counts of all others.
+#: Trigrams, each text scored by the counts of all others.
 LM_SCORES = f"""
 with d as (select row_number() over () as rid, doc_id, {_WORDS.format('text')} as ws from documents),
 t as (select rid, unnest(ws) as w, generate_subscripts(ws, 1) as i from d),
-b as (select rid, w, lag(w) over (partition by rid order by i) as v from t),
-o1 as (select rid, w, count(*) as n from t group by 1, 2), c1 as (select w, sum(n) as n from o1 group by 1),
-o2 as (select rid, v, w, count(*) as n from b group by 1, 2, 3), c2 as (select v, w, sum(n) as n from o2 where v is not null group by 1, 2),
+b as (select rid, w, lag(w) over p as v, lag(w, 2) over p as u from t window p as (partition by rid order by i)),
+o1 as (select rid, w, count(*) as n from b group by 1, 2), c1 as (select w, sum(n) as n from o1 group by 1),
+o2 as (select rid, v, w, count(*) as n from b where v is not null group by 1, 2, 3), c2 as (select v, w, sum(n) as n from o2 group by 1, 2),
+o3 as (select rid, u, v, w, count(*) as n from b group by 1, 2, 3, 4), c3 as (select u, v, w, sum(n) as n from o3 where u is not null group by 1, 2, 3),
+l1 as (select rid, w, c1.n - o1.n as k from o1 join c1 using (w)),
+l2 as (select rid, v, w, c2.n - o2.n as k from o2 join c2 using (v, w)),
+k as (select o3.rid, o3.n, coalesce(c3.n - o3.n, 0) as k3, cuv.k as kuv, coalesce(cvw.k, 0) as k2, cv.k as kv, cw.k as k1 from o3
+  left join c3 using (u, v, w) left join l2 cuv on cuv.rid = o3.rid and cuv.v = o3.u and cuv.w = o3.v
+  left join l2 cvw on cvw.rid = o3.rid and cvw.v = o3.v and cvw.w = o3.w
+  left join l1 cv on cv.rid = o3.rid and cv.w = o3.v join l1 cw on cw.rid = o3.rid and cw.w = o3.w),
 z as (select sum(len(ws)) as total from d),
-k as (select o2.rid, o2.n, coalesce(c2.n - o2.n, 0) as k2, cw.n - ow.n as k1, cv.n - ov.n as kv from o2
-  join c1 cw on cw.w = o2.w join o1 ow on ow.rid = o2.rid and ow.w = o2.w left join c2 on c2.v = o2.v and c2.w = o2.w left join c1 cv on cv.w = o2.v left join o1 ov on ov.rid = o2.rid and ov.w = o2.v),
-s as (select k.rid, fsum(k.n * case when k2 > 0 then log10(k2 / greatest(kv, k2)) else log10(greatest(k1, 0.5::double) / greatest(total - len(ws), 1)) + log10(0.4::double) end) as s from k join d using (rid), z group by 1)
+s as (select k.rid, fsum(k.n * case when k3 > 0 then log10(k3 / greatest(kuv, k3)) when k2 > 0 then log10(k2 / greatest(kv, k2)) + log10(0.4::double)
+  else log10(greatest(k1, 0.5::double) / greatest(total - len(ws), 1)) + 2 * log10(0.4::double) end) as s from k join d using (rid), z group by 1)
 select doc_id, len(ws)::bigint as n_words, round(coalesce(s, 0.0), 6) as log10_sum, round(s / len(ws), 6) as log10_mean from d left join s using (rid)"""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as T
-from .work import Scratch, frugal, passes, text_of
+from .work import Scratch, frugal, passes, slices, text_of, utf8
 
 #: Function words of the grammar in English, German, French and Spanish.
 TARGETS = "you your yours u he she they them du dich dir ihr euch sie tu toi te vous il elle ils tú usted ustedes vosotros él ella".split()
@@ -309,15 +309,38 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max
 
 def scored(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_lexicon: int = 4096, threshold: float = 0.7) -> DataFrame:
     """As toxicity(), for the rows of `docs`, with a model learned from those of `learn_from`."""
-    scratch = Scratch(docs.sparkSession, "toxicity")
-    model = train(learn_from, labels, max_labelled, max_lexicon, scratch)
-    feature, weights, bias = _features(model["lexicon"]), model["weights"], model["bias"]
+    judge = judged_by(train(learn_from, labels, max_labelled, max_lexicon, Scratch(docs.sparkSession, "toxicity")))
 
     def run(batches):
-        for rows, data, offsets in passes(lower(batches)):
-            score = sigmoid(np.log1p(feature(data, offsets)) @ weights + bias)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score)], ["doc_id", "score"])
+        for batch in batches:
+            for lo, hi, score in judge(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score)], ["doc_id", "score"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(frugal(run), "doc_id long, score double")
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_lexicon: int = 4096, threshold: float = 0.7) -> DataFrame:
+    """The rows of `docs` that score less than `threshold`, with all their columns; no shuffle, no join."""
+    judge = judged_by(train(learn_from, labels, max_labelled, max_lexicon, Scratch(docs.sparkSession, "toxicity")))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, score in judge(batch.column(at)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(frugal(run), docs.schema)
+
+
+def judged_by(model: dict) -> Callable:
+    """Row ranges of a text column and the scores of their texts, in passes of bounded size."""
+    feature, weights, bias = _features(model["lexicon"]), model["weights"], model["bias"]
+
+    def judge(text: pa.Array):
+        data, offsets = utf8(pc.utf8_lower(text))
+        for lo, hi in slices(offsets):
+            yield lo, hi, sigmoid(np.log1p(feature(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])) @ weights + bias)
+
+    return judge

@@ -131,7 +131,7 @@ def test_quality(docs, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
-@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_lm(docs, empty, order):
     w = [words(r[1]) for r in rows()]
     grams = lambda x: collections.Counter(tuple(x[i : i + n]) for n in range(1, order + 1) for i in range(len(x) - n + 1))
@@ -271,7 +271,7 @@ def test_toxicity_held_out(spark, empty):
 
 
 def test_pipeline_stages(spark):
-    import corpus_pipeline as p
+    from finlattice.llm import stages as p
 
     sf = "/root/testdata/sf0.001"
     docs = p.table(spark, sf, "documents")
@@ -284,7 +284,7 @@ def test_pipeline_stages(spark):
 
 
 def test_pipeline_near_copies_go_by_five_words(spark):
-    import corpus_pipeline as p
+    from finlattice.llm import stages as p
 
     form = [f"w{i}" for i in range(200)]
     filled = [x if i % 20 else f"name{i}" for i, x in enumerate(form)]
@@ -330,7 +330,7 @@ def test_registered_scores_use_trigrams(spark, tmp_path):
     from finlattice.llm.queries import queries
 
     spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = [r.log10_sum for r in queries()["op6_lm_scores_trigram"](spark, str(tmp_path)).collect()]
+    got = [r.log10_sum for r in queries()["op6_lm_scores"](spark, str(tmp_path)).collect()]
     assert got == [round(math.log10(1 / 3) + 3 * math.log10(0.4), 6)] * 2
 
 
@@ -487,3 +487,53 @@ def test_redaction_by_place(spark):
     got = sorted((str(r.text), r.n_chars, r.row) for r in secret_scan.redact(df).collect())
     first = f'commit {token} then token = "[SECRET]" and {token}ff00 end'
     assert got == sorted([(first, len(first), 3), ('token = "[SECRET]"', 18, 3), ('token = "[SECRET]"', 18, 3), ("None", -1, 3), ("", -1, 3)])
+
+
+def test_lm_numbers_are_whole():
+    x = np.asarray([0, 5, 2**32 + 5, 2**63 - 1], np.int64)
+    assert (lm.expand(lm.squeeze(x)) == x).all() and len(lm.expand(lm.squeeze(x[:0]))) == 0
+    keys = np.asarray([3, 2**40, 2**64 - 1], np.uint64)
+    assert (lm.unpack_keys(lm.pack_keys(keys)) == keys).all() and lm.part_of(keys, 7).tolist() == [0, 0, 6]
+
+
+def test_pipeline_by_stages(spark, tmp_path):
+    """Null, empty, repeated rows and repeated ids with other texts, stage by stage against plain Python; then an empty table."""
+    from finlattice.llm import stages as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _key int"
+    low = [r[:5] for r in rows()]
+    low += [(3, "quite another text under the number of a text above " * 3, "en", "s1", 9), (None, None, "en", "s2", 0), (900, " ".join(f"u{i}" for i in range(80)), "en", "s2", 9), (901, " ".join(f"u{i}" for i in range(80)) + " end", "en", "s2", 9)]
+    docs = spark.createDataFrame([(*r, 1) for r in low], schema)
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = p.drop_toxic(spark, docs, str(tmp_path))
+    assert collections.Counter(map(tuple, clean.collect())) == collections.Counter(low)
+    # near copies by 5-word sets, over rows
+    case = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for r in low:
+        x = words((r[1] or "").translate(case))
+        sets.append({tuple(x[i : i + 5]) for i in range(len(x) - 4)} if len(x) >= 5 else {tuple(x)} if x else set())
+    root = list(range(len(low)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(low)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    groups = collections.defaultdict(list)
+    for i, r in enumerate(low):
+        groups[find(i)].append(r)
+    kept = [tuple(r) for r in p.one_of_each_group(spark, docs, "").collect()]
+    assert len(kept) == len(groups)
+    assert all(any(r in g for r in kept) for g in groups.values())
+    assert (900, low[-2][1], "en", "s2", 9) in kept and (901, low[-1][1], "en", "s2", 9) not in kept and low[-4] in kept
+    hidden = [tuple(r) for r in p.hide_secrets(spark, docs, "").collect()]
+    assert len(hidden) == len(low) and sum(a != b for a, b in zip(sorted(hidden, key=str), sorted(low, key=str), strict=True)) == 0
+    assert {r.doc_id for r in p.mix_sources(spark, docs, "").collect()} <= {r[0] for r in low}
+    empty = docs.limit(0)
+    for name, stage in p.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
