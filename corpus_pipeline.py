@@ -1,71 +1,8 @@
-"""The training-data pipeline: five operators, each on all that its predecessor kept.
+"""The training-data pipeline; its stages are in finlattice.llm.stages."""
 
-run() writes what each stage returns to the shared folder and rereads it, so a lost executor costs one stage.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from finlattice.llm import minhash, mixing, packing, secret_scan, toxicity
-from finlattice.llm.queries import table, vocabulary
-from finlattice.llm.sharding import row_identity
-from finlattice.llm.work import Scratch
-
-#: The columns that every stage but the last returns.
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grammar doesn't score as toxic; a repeated or null doc_id goes by each row's own text."""
-    docs, ident = row_identity(docs, Scratch(spark, "pipeline"))
-    keyed = docs.select(*COLUMNS, F.xxhash64(*ident).alias("__row"))
-    score = toxicity.scored(docs.select(F.xxhash64(*ident).alias("doc_id"), "text"), docs, table(spark, sf_dir, "labels"))
-    bad = score.where("predicted = 1").select(F.col("doc_id").alias("__row"))
-    return keyed.join(bad, "__row", "left_anti").select(*COLUMNS)
-
-
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate component (one row of it, if it is repeated).
-
-    Near copies share 0.8 of their five-word shingles; op10's two words would link filled templates as well.
-    """
-    kept = minhash.near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
-    null = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"]).unionByName(null.select(*COLUMNS))
-
-
-def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced by a mark."""
-    return secret_scan.redact(docs).select(*COLUMNS)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture draws them."""
-    return mixing.mix(docs).select(*COLUMNS)
-
-
-def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences along the Hilbert curve."""
-    return packing.digest(packing.pack(docs, vocabulary()))
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", one_of_each_group),
-    ("secrets", hide_secrets),
-    ("mixing", mix_sources),
-    ("packing", pack_documents),
-]
+from finlattice.llm.stages import STAGES, run
 
 #: Learned scores, hashes and subword ids have no SQL; the pipeline is tested stage by stage.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
