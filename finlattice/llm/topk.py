@@ -7,10 +7,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import Scratch, frugal, ship
+from .work import Scratch, frugal
 
 #: Rows of a block of queries and of a block of candidates; bins of a histogram.
 QUERY_BLOCK, ROW_BLOCK, BINS = 2048, 4096, 256
+#: Of a cell of the grid: blocks of queries, whose histograms a task holds at once, and blocks of candidates at most.
+CELL_QUERIES, CELL_ROWS = 16, 256
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
@@ -33,21 +35,21 @@ def blocks(rows: DataFrame, size: int, number: str) -> DataFrame:
             for d in np.unique(n).tolist():
                 own = np.flatnonzero(n == d)
                 m = flat[at[own][:, None] + np.arange(d)] if d else np.zeros((len(own), 0), np.int64)
-                for i, r in zip(ids[own].tolist(), m, strict=True):
-                    rows = held.setdefault(d, [])
-                    rows.append((i, r))
-                    if len(rows) == size:
-                        yield _block(d, held.pop(d), number)
-        for d, rows in held.items():
-            yield _block(d, rows, number)
+                old_ids, old = held.get(d, (np.zeros(0, np.int64), np.zeros((0, d), np.int64)))
+                i, m = np.append(old_ids, ids[own]), np.concatenate([old, m])
+                while len(i) >= size:
+                    yield _block(d, i[:size], m[:size], number)
+                    i, m = i[size:], m[size:]
+                held[d] = i, m
+        for d, (i, m) in held.items():
+            if len(i):
+                yield _block(d, i, m, number)
 
-    return rows.mapInArrow(frugal(run), f"dims int, {number}_ids binary, {number}_rows binary, {number}_hash long")
+    return rows.mapInArrow(frugal(run), f"dims int, {number}_ids binary, {number}_rows binary, {number}_block long")
 
 
-def _block(d, rows, number):
-    ids = np.asarray([i for i, _ in rows], np.int64)
-    m = np.asarray([r for _, r in rows], np.int64).reshape(len(rows), d)
-    return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([int(ids[0])])], ["dims", f"{number}_ids", f"{number}_rows", f"{number}_hash"])
+def _block(d, ids, m, number):
+    return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([m.astype(np.int64).tobytes()], pa.binary()), pa.array([int(ids[0])])], ["dims", f"{number}_ids", f"{number}_rows", f"{number}_block"])
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -70,40 +72,73 @@ def _pairs(batches):
             yield row, qi, ci, s
 
 
+class Gathered:
+    """What a task has found for each block of queries, handed on when it has met enough blocks, or all rows."""
+
+    def __init__(self, add, out):
+        self.add, self.out, self.held = add, out, {}
+
+    def __call__(self, batches):
+        for row, qi, ci, s in _pairs(batches):
+            block = row["q_block"]
+            if block not in self.held and len(self.held) >= CELL_QUERIES:
+                yield from self.flush()
+            self.held[block] = qi, self.add(self.held[block][1] if block in self.held else None, row, qi, ci, s)
+        yield from self.flush()
+
+    def flush(self):
+        for block, (qi, found) in self.held.items():
+            got = self.out(block, qi, found)
+            if got.num_rows:
+                yield got
+        self.held = {}
+
+
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of each row whose id is divisible by `every`.
 
-    Components count as floor(scale * x). Blocks of queries meet blocks of all rows; every score is computed in
-    each round and only counts leave a task: a histogram of BINS bins over the interval that holds a query's kth
-    score, until an interval is one score wide. Then rows at or above the kth score are ranked, of equal scores
-    the smaller ids first; each block hands on k rows of a query at most, so one vector in a third of all rows
-    stays small. Vectors that are null or hold null, NaN or infinite components take no part, nor do null ids;
-    vectors of other lengths meet only their like. Repeated ids are candidates of their own and one query (the smallest vector), which never meets its
-    own id. Fewer than k others: all of them. Empty table: no rows.
+    Components count as floor(scale * x). Blocks of queries meet blocks of all rows in the cells of a grid: a cell
+    has CELL_QUERIES blocks of queries and a group of blocks of rows, each block of queries lies in the cells of all
+    groups, each block of rows in those of all queries. Every score is computed in each round and only counts
+    leave a task: a histogram of BINS bins over the interval that holds a query's kth score, one for a query and a cell,
+    until an interval is one score wide. Then rows at or above the kth score are ranked, of equal scores the
+    smaller ids first; each cell hands on k rows of a query at most, so one vector in a third of all rows stays
+    small. Vectors that are null or hold null, NaN or infinite components take no part, nor do null ids; vectors of
+    other lengths meet only their like. Repeated ids are candidates of their own and one query (the smallest vector),
+    which never meets its own id. Fewer than k others: all of them. Empty table: no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
-    ship(spark)
     scratch = Scratch(spark, "topk")
     rows = scratch.keep(quantised(vectors, scale))
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    q = scratch.keep(blocks(queries, QUERY_BLOCK, "q").withColumnRenamed("q_hash", "q_block"))
+    q = scratch.keep(blocks(queries, QUERY_BLOCK, "q"))
     c = scratch.keep(blocks(rows, ROW_BLOCK, "c"))
-    parts = max(1, min(c.count() * max(1, q.select("q_block").count()), 4 * spark.sparkContext.defaultParallelism))
-    # each block of queries against each block of rows, of one length of vector: the stated query set against all rows
-    goals = q.select("dims", "q_block", "q_ids", "q_rows")
+    n_q, n_c = q.count(), c.count()
+    bands = max(1, -(-n_q // CELL_QUERIES))
+    groups = max(1, min(n_c, max(-(-n_c // CELL_ROWS), -(-4 * spark.sparkContext.defaultParallelism // bands))))
+    cells = bands * groups
+    # round robin deals the blocks of rows evenly to their groups
+    c = scratch.keep(c.drop("c_block").repartition(groups).withColumn("group", F.spark_partition_id()))
+    c = c.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))))
+    goals = q.withColumn("band", F.pmod(F.xxhash64("q_block"), F.lit(bands)).cast("int"))
+    goals = goals.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def met(extra: DataFrame | None) -> DataFrame:
         left = goals if extra is None else goals.join(extra, "q_block")
-        return c.drop("c_hash").repartition(parts).join(left, "dims")
+        cell = ["band", "group", "dims"]
+        return c.repartition(cells, *cell).join(left.repartition(cells, *cell), cell)
 
-    def ranges(batches):
-        for row, qi, ci, s in _pairs(batches):
-            own = qi[:, None] == ci[None, :]
-            lo, hi = np.where(own, np.iinfo(np.int64).max, s).min(1), np.where(own, np.iinfo(np.int64).min, s).max(1)
-            some = ~own.all(1)
-            yield pa.RecordBatch.from_arrays([pa.array([row["q_block"]] * int(some.sum()), pa.int64()), pa.array(qi[some]), pa.array(lo[some]), pa.array(hi[some]), pa.array((~own).sum(1)[some])], ["q_block", "query_id", "lo", "hi", "n"])
+    def add_range(found, row, qi, ci, s):
+        own = qi[:, None] == ci[None, :]
+        n = (~own).sum(1)
+        lo, hi = np.where(own, np.iinfo(np.int64).max, s).min(1), np.where(own, np.iinfo(np.int64).min, s).max(1)
+        return (lo, hi, n) if found is None else (np.minimum(found[0], lo), np.maximum(found[1], hi), found[2] + n)
+
+    def ranges(block, qi, found):
+        some = found[2] > 0
+        return pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), block, np.int64)), pa.array(qi[some]), *(pa.array(x[some].astype(np.int64)) for x in found)], ["q_block", "query_id", "lo", "hi", "n"])
 
-    first = met(None).mapInArrow(frugal(ranges), "q_block long, query_id long, lo long, hi long, n long")
+    first = met(None).mapInArrow(frugal(lambda b: Gathered(add_range, ranges)(b)), "q_block long, query_id long, lo long, hi long, n long")
     state = first.groupBy("q_block", "query_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
     # the kth best score lies in [lo, hi]; `above` rows lie over hi
     state = scratch.keep(state.select("q_block", "query_id", "lo", "hi", F.lit(0).cast("long").alias("above"), F.least(F.lit(k).cast("long"), "n").alias("want")))
@@ -118,18 +153,20 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
         known = ids[at] == qi
         return np.where(known, lo[at], 1), np.where(known, hi[at], 0)
 
-    def histogram(batches):
-        for row, qi, ci, s in _pairs(batches):
-            lo, hi = limits(row, qi)
-            width = (hi - lo) // BINS + 1
-            inside = (s >= lo[:, None]) & (s <= hi[:, None]) & (qi[:, None] != ci[None, :]) & (hi > lo)[:, None]
-            at, col = np.nonzero(inside)
-            bin_ = (s[at, col] - lo[at]) // width[at]
-            key, n = np.unique(at * BINS + bin_, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), row["q_block"], np.int64)), pa.array(qi[key // BINS]), pa.array((key % BINS).astype(np.int32)), pa.array(n.astype(np.int64))], ["q_block", "query_id", "bin", "n"])
+    def add_histogram(found, row, qi, ci, s):
+        lo, hi = limits(row, qi)
+        width = (hi - lo) // BINS + 1
+        inside = (s >= lo[:, None]) & (s <= hi[:, None]) & (qi[:, None] != ci[None, :]) & (hi > lo)[:, None]
+        at, col = np.nonzero(inside)
+        n = np.bincount(at * BINS + (s[at, col] - lo[at]) // width[at], minlength=len(qi) * BINS)
+        return n if found is None else found + n
+
+    def histogram(block, qi, found):
+        key = np.flatnonzero(found)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block, np.int64)), pa.array(qi[key // BINS]), pa.array((key % BINS).astype(np.int32)), pa.array(found[key].astype(np.int64))], ["q_block", "query_id", "bin", "n"])
 
     while state.where("hi > lo").limit(1).count():
-        counts = met(packed(state)).mapInArrow(frugal(histogram), "q_block long, query_id long, bin int, n long").groupBy("q_block", "query_id", "bin").agg(F.sum("n").alias("n"))
+        counts = met(packed(state)).mapInArrow(frugal(lambda b: Gathered(add_histogram, histogram)(b)), "q_block long, query_id long, bin int, n long").groupBy("q_block", "query_id", "bin").agg(F.sum("n").alias("n"))
         bins = counts.groupBy("q_block", "query_id").agg(F.sort_array(F.collect_list(F.struct("bin", "n")), asc=False).alias("bins"))
         step = state.join(bins, ["q_block", "query_id"], "left")
         # from the highest bin down, until `want` rows lie at or above
@@ -140,18 +177,20 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
         step = step.select("q_block", "query_id", F.expr("if(f.bin >= 0, lo + f.bin * w, lo)").alias("lo2"), F.expr("if(f.bin >= 0, least(hi, lo + (f.bin + 1) * w - 1), hi)").alias("hi2"), F.expr("if(f.bin >= 0, f.above, above)").alias("above"), "want")
         state = scratch.keep(step.select("q_block", "query_id", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), "above", "want"))
 
-    def best(batches):
-        for row, qi, ci, s in _pairs(batches):
-            lo, hi = limits(row, qi)
-            good = (s >= lo[:, None]) & (lo <= hi)[:, None] & (qi[:, None] != ci[None, :])
-            at, col = np.nonzero(good)
-            score, ids = s[at, col], ci[col]
-            by = np.lexsort((ids, -score, at))
-            at, score, ids = at[by], score[by], ids[by]
-            begin = np.searchsorted(at, at)
-            keep = np.arange(len(at)) - begin < k
-            yield pa.RecordBatch.from_arrays([pa.array(qi[at[keep]]), pa.array(ids[keep]), pa.array(score[keep])], ["query_id", "vec_id", "score"])
-
-    near = met(packed(state)).mapInArrow(frugal(best), "query_id long, vec_id long, score long")
+    def add_best(found, row, qi, ci, s):
+        lo, hi = limits(row, qi)
+        at, col = np.nonzero((s >= lo[:, None]) & (lo <= hi)[:, None] & (qi[:, None] != ci[None, :]))
+        score, ids = s[at, col], ci[col]
+        if found is not None:
+            at, score, ids = np.append(found[0], at), np.append(found[1], score), np.append(found[2], ids)
+        by = np.lexsort((ids, -score, at))
+        at, score, ids = at[by], score[by], ids[by]
+        keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+        return at[keep], score[keep], ids[keep]
+
+    def best(block, qi, found):
+        return pa.RecordBatch.from_arrays([pa.array(qi[found[0]]), pa.array(found[2]), pa.array(found[1])], ["query_id", "vec_id", "score"])
+
+    near = met(packed(state)).mapInArrow(frugal(lambda b: Gathered(add_best, best)(b)), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -537,3 +537,24 @@ def test_pipeline_by_stages(spark, tmp_path):
     empty = docs.limit(0)
     for name, stage in p.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
+def test_top_k_in_a_grid(spark, monkeypatch):
+    """Many small cells, no broadcast, vectors of two lengths, one vector in a third of the rows, repeated and clashing names."""
+    for name, n in (("QUERY_BLOCK", 8), ("ROW_BLOCK", 16), ("CELL_QUERIES", 2), ("CELL_ROWS", 3)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(8)
+    v = [(i, ([1.0] * 4 if i % 3 == 0 else rng.normal(size=4 if i % 5 else 2).tolist())) for i in range(500)]
+    df = spark.createDataFrame([(*x, 1, 2) for x in v], "vec_id long, embedding array<double>, q_block int, v int")
+    use = [(i, [math.floor(64 * x) for x in e]) for i, e in v]
+    want = []
+    for q, a in use:
+        if q % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in use if i != q and len(a) == len(b))[:7]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(tuple(r) for r in topk.top_k(df, 7).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
