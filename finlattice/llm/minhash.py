@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as T
-from .work import Scratch, frugal, passes, ship, text_of
+from .work import Scratch, frugal, passes, text_of
 
 #: A band joins the minimum and the maximum of PER_BAND permutations: 2 * PER_BAND values. At a Jaccard
 #: similarity of 0.8 a pair shares one band at least but for (1 - 0.8 ** 6) ** 42 = 3e-6 of pairs.
@@ -73,9 +75,7 @@ def parities(shingle: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, set size, two sums that name the set, band keys (none of an empty set)."""
-    ship(docs.sparkSession)
-
+    """doc_id, set size, a digest of the whole set (128 bits, collision-resistant), band keys (none of an empty set)."""
     def run(batches):
         for rows, data, offsets in passes(batches):
             shingle, doc, n = shingle_sets(data, offsets, k)
@@ -83,14 +83,15 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
             full = n > 0
             begin = (np.cumsum(n) - n)[full]
             bands = np.zeros((len(n), BANDS), np.uint64)
-            names = np.zeros((2, len(n)), np.uint64)
+            names = np.zeros((len(n), 2), np.uint64)
             if len(begin):
                 bands[full] = signatures(shingle, begin)
-                names[0, full] = np.add.reduceat(shingle, begin)
-                names[1, full] = np.add.reduceat(T.mix(shingle ^ np.uint64(0xABCDEF)), begin)
+                raw = memoryview(np.ascontiguousarray(shingle)).cast("B")
+                digests = b"".join(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(begin.tolist(), (begin + n[full]).tolist(), strict=True))
+                names[full] = np.frombuffer(digests, np.uint64).reshape(-1, 2)
             edge = np.append(0, np.cumsum(np.where(full, BANDS, 0))).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(edge), pa.array(bands[full].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), pa.array(names[0].view(np.int64)), pa.array(names[1].view(np.int64)), keys, parity], ["doc_id", "n", "s1", "s2", "bands", "parity"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n.astype(np.int64)), *(pa.array(np.ascontiguousarray(names[:, i]).view(np.int64)) for i in range(2)), keys, parity], ["doc_id", "n", "s1", "s2", "bands", "parity"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(frugal(run), "doc_id long, n long, s1 long, s2 long, bands array<long>, parity array<long>")
 
@@ -121,19 +122,20 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component: smallest node reachable, for every node on an edge (a, b).
 
     Large-star and small-star steps in turn; each halves the depth of the trees and keeps no more rows than
-    there are edges. Every step is written, so a lost executor costs one step.
+    there are edges. Every step is written, so a lost executor costs one step; so are the smallest neighbours, which
+    are joined as tables, so that Spark can split the edges of a hub among tasks.
     """
     edges = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     size = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = scratch.keep(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        first = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = scratch.keep(both.join(first, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        second = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(second, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = scratch.keep(small)
         now = tuple(small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        scratch.drop(edges, large)
+        scratch.drop(edges, first, large, second)
         edges = small
         if now == size:
             break
@@ -145,14 +147,16 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     """doc_id, n_shingles, component_id, kept per row of `docs`.
 
     Two documents are linked if their sets of k-word shingles have 100 * intersection >= percent * union; a
-    component is named by its smallest doc_id. Equal sets are one node from the start (pre-aggregated, so copies
-    cost nothing later). In each bucket of equal band keys every node is paired with the bucket's smallest and
-    largest node only; the pairs are confirmed on full sets and joined to components. Buckets that still hold
-    several components then pair their members outside the bucket's largest component with all members of other
-    components, so that no candidate link between components is left untried, while groups that are one
-    component never emit all their pairs; bitmaps that bound the difference of two sets from below rule out
-    pairs without loss before they are emitted. Empty documents (null text, no words) and null ids stand alone. Rows
-    that share a doc_id are one node. Other columns are not read; an empty table gives no rows.
+    component is named by its smallest doc_id. Sets with equal digests (128 bits of the whole sorted set) are one
+    node from the start, so copies cost nothing later. In each bucket of equal band keys every node is paired with the
+    bucket's smallest and largest node only; the pairs are confirmed on full sets and joined to components. Buckets
+    that still hold several components then pair their members outside the bucket's largest component with all
+    members of other components, so that no candidate link between components is left untried, while groups that are
+    one component never emit all their pairs; bitmaps that bound the difference of two sets from below rule out
+    pairs without loss before they are emitted. What is joined by band key is a written table on both sides, so that
+    Spark splits a hot bucket among tasks. Empty documents (null text, no words) and null ids stand alone. Rows
+    that share a doc_id are one node. A long text is one set, whatever its size. Other columns are not read, whatever
+    their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -162,7 +166,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     classes = scratch.keep(named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node")))
     reps = named.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     banded = scratch.keep(reps.select(F.col("doc_id").alias("node"), "n", F.explode("bands").alias("key")))
-    ends = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    ends = scratch.keep(banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"))
     near = banded.join(ends, "key")
     nodes = banded.select("node", "n").distinct()
     pairs = near.select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
@@ -172,19 +176,23 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     edges = scratch.keep(linked(pairs, texts, k, percent))
     found = components(edges, scratch)
     # buckets that are not yet one component
-    at = banded.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-    split = at.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    open_ = at.join(split, "key")
-    open_ = scratch.keep(open_.join(reps.select(F.col("doc_id").alias("node"), "n", "parity").distinct(), ["node", "n"]))
+    at = scratch.keep(banded.join(ends.select("key"), "key", "left_semi").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c")))
+    split = scratch.keep(at.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key"))
+    scratch.drop(banded, ends)
+    open_ = at.join(split, "key").join(reps.select(F.col("doc_id").alias("node"), "n", "parity").distinct(), ["node", "n"])
+    open_ = scratch.keep(open_)
     sizes = open_.groupBy("key", "c").agg(F.count("*").alias("size"))
-    major = sizes.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("major"))
+    major = scratch.keep(sizes.groupBy("key").agg(F.max_by("c", F.struct("size", "c")).alias("major")))
     minor = open_.join(major, "key").where("c <> major").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("parity").alias("px"))
+    minor = scratch.keep(minor)
     # a link needs (100 + percent) * (elements of one set only) <= (100 - percent) * (n + nx): bitmaps that differ more rule it out
     differ = "aggregate(zip_with(parity, px, (a, b) -> bit_count(a ^ b)), 0, (s, x) -> s + x)"
     close = F.expr(f"100 * least(n, nx) >= {percent} * greatest(n, nx) and {100 + percent} * {differ} <= {100 - percent} * (n + nx)")
     more = minor.join(open_, "key").where("c <> cx").where(close)
     more = more.select(F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    late = scratch.keep(linked(scratch.keep(more), texts, k, percent))
+    more = scratch.keep(more)
+    late = scratch.keep(linked(more, texts, k, percent))
+    scratch.drop(at, split, open_, major, minor, more, pairs)
     if late.limit(1).count():
         found = components(edges.unionByName(late), scratch)
     named_class = classes.join(found, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component_id"))

@@ -558,3 +558,39 @@ def test_top_k_in_a_grid(spark, monkeypatch):
         assert sorted(tuple(r) for r in topk.top_k(df, 7).collect()) == sorted(want)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_near_duplicates_of_hot_groups(spark):
+    """A third of the rows are exact copies, a third near copies of one text, and filled templates share bands without links."""
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(120)]
+    form = [f"f{i}" for i in range(120)]
+    texts = ["copy of one text " * 9] * 60
+    for i in range(60):
+        x = list(base)
+        x[int(rng.integers(120))] = f"n{i}"
+        texts.append(" ".join(x))
+    for i in range(60):
+        x = list(form)
+        for j in rng.choice(120, 6 + i % 5, replace=False):
+            x[j] = f"t{i}_{j}"
+        texts.append(" ".join(x))
+    texts += ["", None, "x " * 30_000]
+    sets = []
+    for t in texts:
+        x = words(t)
+        sets.append(set(zip(x, x[1:], strict=False)))
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
