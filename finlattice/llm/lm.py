@@ -43,14 +43,14 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 class Chunk:
-    """Some texts as word hashes; `left[n - 1]`: per position, how often other texts hold the n-gram that ends there."""
+    """Some texts as word hashes; `left[n]`: per position, how often other texts hold the n-gram that ends there."""
 
     def __init__(self, row: dict):
         self.row = row
         self.first = np.append(0, np.cumsum(np.asarray(row["sizes"], np.int64))).astype(np.int64)
         self.words = np.frombuffer(row["vocabulary"], np.uint64)[expand(row["words"])]
         self.doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        self.left = [expand(x) for x in row["left"] or []]
+        self.left = {n: expand(row[f"left{n}"]) for n in range(1, 99) if row.get(f"left{n}")}
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct n-grams that others may hold, in order; the place in them of each such position; these positions.
@@ -60,7 +60,7 @@ class Chunk:
         at, h = T.windows(self.words, self.first, n)
         end = at + n - 1
         if n > 1:
-            able = (self.left[n - 2][end] > 0) & (self.left[n - 2][end - 1] > 0)
+            able = (self.left[n - 1][end] > 0) & (self.left[n - 1][end - 1] > 0)
             end, h = end[able], h[able]
         keys, back = np.unique(h ^ np.uint64(n), return_inverse=True)
         return keys, back, end
@@ -88,17 +88,17 @@ class Chunk:
             mine = self.doc[end] * np.int64(len(counts)) + back
             _, own, times = np.unique(mine, return_inverse=True, return_counts=True)
             left[end] = counts[back] - times[own]
-        self.left.append(left)
+        self.left[n] = left
 
     def scores(self, total: int) -> np.ndarray:
         """Per text, the sum of log10 scores of its words."""
-        size, orders = np.diff(self.first), len(self.left)
+        size, orders = np.diff(self.first), max(self.left)
         others = (total - size)[self.doc]
         # from the unigram up: the highest order that others have wins
-        score = np.log10(np.maximum(self.left[0], 0.5) / np.maximum(others, 1)) + (orders - 1) * np.log10(BACKOFF)
+        score = np.log10(np.maximum(self.left[1], 0.5) / np.maximum(others, 1)) + (orders - 1) * np.log10(BACKOFF)
         for n in range(2, orders + 1):
-            hit = np.flatnonzero(self.left[n - 1] > 0)
-            here, context = self.left[n - 1][hit], self.left[n - 2][hit - 1]
+            hit = np.flatnonzero(self.left[n] > 0)
+            here, context = self.left[n][hit], self.left[n - 1][hit - 1]
             score[hit] = np.log10(here / np.maximum(context, here)) + (orders - n) * np.log10(BACKOFF)
         sums, some = np.zeros(len(size)), size > 0
         if len(score):
@@ -106,9 +106,8 @@ class Chunk:
         return sums
 
 
-#: A chunk: its texts' ids and word counts, its distinct words (hashes, frequent ones first), its words as numbers of these,
-#: and for each order so far what other texts hold at each position.
-CHUNK = "chunk long, doc_ids array<long>, sizes array<long>, vocabulary binary, words binary, n long, left array<binary>"
+#: A chunk: its texts' ids and word counts, its distinct words (hashes, frequent ones first), its words as numbers of these.
+CHUNK = "chunk long, doc_ids array<long>, sizes array<long>, vocabulary binary, words binary, n long"
 _FIELDS = [f.split(" ")[0] for f in CHUNK.split(", ")]
 
 
@@ -138,44 +137,49 @@ def backoff_scores(docs: DataFrame, order: int = 3, chunk_bytes: int = 8 << 20,
                 vocabulary, index, often = np.unique(w.hashes(), return_inverse=True, return_counts=True)
                 by = np.argsort(-often, kind="stable")  # frequent words get small numbers
                 vocabulary, index = vocabulary[by], np.argsort(by)[index]
-                yield _chunk({"chunk": here + k, "doc_ids": part.column("doc_id").to_pylist(), "sizes": w.counts.tolist(), "vocabulary": vocabulary.tobytes(), "words": squeeze(index), "n": len(index), "left": []})
+                yield _chunk({"chunk": here + k, "doc_ids": part.column("doc_id").to_pylist(), "sizes": w.counts.tolist(), "vocabulary": vocabulary.tobytes(), "words": squeeze(index), "n": len(index)})
                 k += 1
 
     chunks = scratch.keep(rows.mapInArrow(frugal(write), CHUNK))
     total = chunks.agg(F.sum("n")).first()[0] or 0
     parts = max(shuffle_parts(spark), -(-total // part_words))
 
-    def table(n: int, known: DataFrame) -> DataFrame:
-        """The counts of order n that each chunk asked for: chunk, told."""
+    lefts: dict[int, DataFrame] = {}  # per order, what other texts hold at each position of a chunk
 
-        def ask(batches):
-            for row in _rows(batches):
-                yield from Chunk(row).ask(n, parts)
-
-        asked = known.mapInArrow(frugal(ask), "part int, chunk long, keys binary, counts binary")
-        return asked.repartitionById(parts, F.col("part")).mapInArrow(frugal(count_table), "chunk long, part int, sums binary")
+    def known(*orders: int) -> DataFrame:
+        out = chunks
+        for n in orders:
+            out = out.join(lefts[n], "chunk") if n else out
+        return out
 
     for n in range(1, order + 1):
-        told = scratch.keep(table(n, chunks))
-        answers = told.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "sums"))).alias("told"))
+
+        def ask(batches, n=n):
+            for row in _rows(batches):
+                yield from Chunk(row).ask(n, parts)
 
         def hear(batches, n=n):
             for row in _rows(batches):
                 c = Chunk(row)
                 c.hear(n, [x["sums"] for x in row["told"] or []])
-                if n < order:
-                    yield _chunk(row | {"left": [*(row["left"] or []), squeeze(c.left[-1])]})
-                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]]), pa.array([squeeze(c.left[n])], pa.binary())], ["chunk", f"left{n}"])
+
+        def score(batches, n=n):
+            for row in _rows(batches):
+                c = Chunk(row)
+                c.hear(n, [x["sums"] for x in row["told"] or []])
                 size = np.diff(c.first)
                 sums = c.scores(total) if len(c.words) else np.zeros(len(size))
                 mean = pa.array(sums / np.maximum(size, 1), mask=size == 0)
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(size), pa.array(sums), mean], ["doc_id", "n_words", "log10_sum", "log10_mean"])
 
-        heard = chunks.join(answers, "chunk", "left").select(*_FIELDS, "told")
+        asked = known(n - 1).mapInArrow(frugal(ask), "part int, chunk long, keys binary, counts binary")
+        told = scratch.keep(asked.repartitionById(parts, F.col("part")).mapInArrow(frugal(count_table), "chunk long, part int, sums binary"))
+        answers = told.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "sums"))).alias("told"))
         if n == order:
-            return heard.mapInArrow(frugal(hear), "doc_id long, n_words long, log10_sum double, log10_mean double")
-        before, chunks = chunks, scratch.keep(heard.mapInArrow(frugal(hear), CHUNK))
-        scratch.drop(before, told)
+            return known(*range(1, n)).join(answers, "chunk", "left").mapInArrow(frugal(score), "doc_id long, n_words long, log10_sum double, log10_mean double")
+        lefts[n] = scratch.keep(known(n - 1).join(answers, "chunk", "left").mapInArrow(frugal(hear), f"chunk long, left{n} binary"))
+        scratch.drop(told)
     raise ValueError("order must be 1 or more")
 
 
@@ -204,7 +208,7 @@ def _rows(batches):
 
 
 def _chunk(row: dict) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.binary())]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array([row[f]], k) for f, k in zip(_FIELDS, kinds, strict=True)], _FIELDS)
 
 
