@@ -224,12 +224,6 @@ def account_series(spark, sf):
     return t(spark, sf, "part").select("p_partkey", code.alias("code"), X.series_of(code).alias("series"), X.category_of(code).alias("category"))
 
 
-@query("select o_orderkey, o_custkey, ((row_number() over (partition by o_custkey order by o_orderkey) - 1) // 5)::int as batch from orders")
-def batches(spark, sf):
-    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return t(spark, sf, "orders").select("o_orderkey", "o_custkey", F.floor((n - 1) / 5).cast("int").alias("batch"))
-
-
 @query("""with n as (select user_id as label, arg_max('c' || event_id % 9, event_id) as c from events where event_type = 'click' group by 1)
 select event_id, user_id as label, case when value < 10 and c is not null then c else event_type end as code, case when value < 10 and c is not null then 'llm_retry' else 'llm' end as match_type from events left join n on user_id = label where event_type <> 'click'""")
 def retry_merge(spark, sf):
@@ -272,12 +266,6 @@ def correction_prompt(spark, sf):
     return memory.prompt_lines(rules, "o_custkey")
 
 
-@query("""select n_nationkey as code, n_name as name, row_number() over (order by (not (lower(n_name) = 'india'))::int, n_nationkey)::int as place from nation where contains(lower(n_name), 'india') or contains('note ' || lower(n_name), 'india') or contains('note ' || n_regionkey, 'india')""")
-def account_search(spark, sf):
-    n = t(spark, sf, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"), F.concat(F.lit("note "), F.col("n_name")).alias("description"), F.col("n_nationkey").alias("pos"))
-    return matching.search(n, "India")
-
-
 _CHART = "select (5000 + p_partkey % 5000)::varchar as code, arg_max(p_name, p_partkey) as name, min(p_partkey) as pos from part group by 1"
 
 

@@ -2,28 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.tables import small
+from . import accounts as A
+
+
+def _grams(text: Column) -> Column:
+    """The distinct pieces of five characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 4, F.lit(1))), lambda i: F.substring(text, i, F.lit(5))))
 
 
-def match(labels: DataFrame, accounts: DataFrame) -> DataFrame:
+def _pairs(labels: DataFrame, accounts: DataFrame) -> DataFrame:
+    """label, pos of the pairs that may match, found by equal keys alone: never every label against every account.
+
+    A name that holds another of five letters or more holds its first five; tokens that meet are equal or begin alike.
+    """
+    head = lambda c: F.substring(c, 1, 5)
+    l, a = labels.select("label", "lo", "tokens"), accounts.select("pos", "name", "atokens")
+    keyed = [
+        (l.withColumn("key", F.col("lo")), a.withColumn("key", F.col("name"))),
+        (l.where(F.length("lo") > 4).withColumn("key", head("lo")), a.withColumn("key", F.explode(_grams(F.col("name"))))),
+        (l.withColumn("key", F.explode(_grams(F.col("lo")))), a.where(F.length("name") > 4).withColumn("key", head("name"))),
+        (l.withColumn("key", F.explode(F.transform("tokens", head))), a.withColumn("key", F.explode(F.transform("atokens", head)))),
+    ]
+    return reduce(DataFrame.unionByName, (x.select("label", "key").join(y.select("pos", "key"), "key").select("label", "pos") for x, y in keyed)).distinct()
+
+
+def match(labels: DataFrame, accounts: DataFrame, allow_balance_sheet: bool = True) -> DataFrame:
     """label -> code, confidence, match_type, match_ratio, matched_on, unmatched, alternatives (two at most, if ambiguous).
 
     accounts: code, name, pos (order of loading). Headers and compounds are told first; then the first account in
     order that is equal, contains the label (over 4 letters) or is contained in it; then shares of tokens, the
-    best first, earlier accounts first among equals. The chart of accounts is a dimension of some hundred rows.
+    best first, earlier accounts first among equals. Unless `allow_balance_sheet`, only accounts of income statements count.
     """
+    if not allow_balance_sheet:
+        accounts = A.of_income_statements(accounts)
     l = labels.select("label").distinct().withColumn("lo", F.lower(X.strip(F.col("label")))).withColumn("tokens", X.tokenize(F.col("label")))
     l = l.withColumn("header", X.is_section_header(F.col("label"))).withColumn("compound", X.is_compound(F.col("label")))
     a = accounts.select("code", "pos", F.lower("name").alias("name"), X.tokenize(F.col("name")).alias("atokens"))
     plain = l.where("not header and not compound")
     layer1 = F.when(F.col("lo") == F.col("name"), 1).when((F.length("lo") > 4) & F.col("name").contains(F.col("lo")), 2).when((F.length("name") > 4) & F.col("lo").contains(F.col("name")), 3)
-    # each label against each account of a small, fixed dimension, kept only where a layer hits
     met = F.exists("tokens", lambda p: F.exists("atokens", lambda c: (p == c) | ((F.length(p) >= 5) & (F.length(c) >= 5) & (p.startswith(c) | c.startswith(p)))))
-    hit = plain.join(small(a), layer1.isNotNull() | met)
+    hit = plain.join(_pairs(plain, a), "label").join(a, "pos").where(layer1.isNotNull() | met)
     ratio = F.when(F.size("tokens") > 0, F.size(X.overlap(F.col("tokens"), F.col("atokens"))) / F.size("tokens")).otherwise(0.0)
     hit = hit.withColumn("layer", F.coalesce(layer1, F.lit(4))).withColumn("ratio", ratio)
     w = Window.partitionBy("label").orderBy((F.col("layer") == 4).cast("int"), F.when(F.col("layer") < 4, F.lit(0.0)).otherwise(-F.col("ratio")), "pos")
@@ -52,6 +76,14 @@ def summary(results: DataFrame) -> DataFrame:
     return results.groupBy("confidence", "match_type").agg(F.count("*").alias("n"))
 
 
+def totals(results: DataFrame) -> DataFrame:
+    """One row: total, auto (of high confidence), review (the others), match_rate, and counts by_confidence and by_match_type."""
+    by = {c: results.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(f"by_{c}")) for c in ("confidence", "match_type")}
+    high = F.count_if(F.col("confidence") == "high")
+    whole = results.agg(F.count("*").alias("total"), high.alias("auto"), (F.count("*") - high).alias("review"), F.coalesce(F.try_divide(high, F.count("*")), F.lit(0.0)).alias("match_rate"))
+    return whole.crossJoin(by["confidence"]).crossJoin(by["match_type"])  # one row each
+
+
 def retry_merge(rows: DataFrame, new: DataFrame) -> DataFrame:
     """Rows that need review take the newest result for their label, if there is one."""
     last = new.groupBy("label").agg(F.max_by("code", "seq").alias("new_code"))

@@ -109,6 +109,13 @@ def page_list(answer: str, total: str):
     return F.coalesce(F.transform(kept, lambda x: F.try_variant_get(x, "$", "int")), F.array().cast("array<int>"))
 
 
+def page_marks(documents: DataFrame, page_map: DataFrame) -> DataFrame:
+    """doc_id, page_num, shown of every page from 1 to total_pages; the pages of the map are ticked."""
+    every = documents.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("total_pages").cast("int"))).alias("page_num"))
+    ticked = page_map.select("doc_id", F.col("page_num").cast("int").alias("page_num")).distinct().withColumn("tick", F.lit(" ✓"))
+    return every.join(ticked, ["doc_id", "page_num"], "left").select("doc_id", "page_num", F.concat(F.lit("Page "), "page_num", F.coalesce("tick", F.lit(""))).alias("shown"))
+
+
 def company_metrics(cells: DataFrame) -> DataFrame:
     """company, metric, value of cells (company, statement_type, section_pos, row_pos, label, value_raw of the first period).
 

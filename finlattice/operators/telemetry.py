@@ -60,6 +60,27 @@ def trend(runs: DataFrame, limit: int = 20) -> DataFrame:
     return recent(runs, limit).orderBy("ts", "run_id")
 
 
+def dashboard(runs: DataFrame, now: Column, limit: int = 20, days: int = 7) -> DataFrame:
+    """The most recent runs (run_id, ts, pdf_file, success, seconds, calls, retries), newest first, as a dashboard shows them, each with the last days' totals."""
+    r = runs.where(F.col("ts") > now - F.expr(f"interval {days} days"))
+    totals = r.agg(F.count("*").alias("total_runs"), F.round(F.count_if("success") * 100 / F.count("*"), 1).alias("success_rate"), F.round(F.avg("seconds"), 1).alias("avg_seconds"), F.round(F.avg("retries"), 2).alias("avg_retries"))
+    shown = recent(runs, limit).select("run_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("shown_at"), "pdf_file", "success", "seconds", "calls", "retries")
+    return shown.crossJoin(totals)  # one row
+
+
+def file_counters(files: DataFrame) -> DataFrame:
+    """extracted (documents with any output), xlsx and json files over output files (doc_id, name)."""
+    return files.agg(F.countDistinct("doc_id").alias("extracted"), F.count_if(F.endswith("name", F.lit(".xlsx"))).alias("xlsx"), F.count_if(F.endswith("name", F.lit(".json"))).alias("json"))
+
+
+def usage_state(usage: DataFrame, month: Column, limit: int = 2) -> DataFrame:
+    """What a user may still do: user_id, tier, used (this month), allowed, remaining, progress; a new month starts at 0, pro has no limit."""
+    used = F.when(F.col("month_start") == month, F.col("current_month_count")).otherwise(0)
+    pro = F.col("tier") == "pro"
+    left, share = quota_left(used, limit)
+    return usage.select("user_id", "tier", used.alias("used"), (pro | (used < limit)).alias("allowed"), F.when(~pro, left).alias("remaining"), F.when(~pro, share).alias("progress"))
+
+
 def quota_left(used: Column, limit: int = 2) -> tuple[Column, Column]:
     """What remains of a quota, and the share of it in use."""
     return F.greatest(F.lit(0), limit - used), used / limit

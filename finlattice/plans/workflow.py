@@ -6,6 +6,8 @@ use asks nothing again. Models come in as providers.Ask functions; their prompts
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,14 +63,29 @@ def detect(pages: DataFrame, ask: providers.Ask, types: list[str] = TYPES) -> Da
     by_text = found.select("doc_id", "statement_type", F.posexplode(S.page_list("listed", "total_pages")).alias("page_pos", "page_num"))
     if "image" not in pages.columns:
         return by_text
-    looked = pages.join(kinds.where("not has_text"), "doc_id", "left_semi").where("image is not null")
-    asked = looked.select("doc_id", "page_num", "image", F.lit(f"Does this page hold one of these statements: {names}? Answer with a JSON object of true or false.").alias("prompt"))
-    seen = kept(providers.answers(asked, ask), "detect-image").withColumn("body", X.first_object(X.model_text(F.col("answer"))))
-    flags = seen.select("doc_id", "page_num", F.inline(F.array(*(F.struct(F.lit(t).alias("statement_type"), (F.get_json_object("body", f"$.{t}") == "true").alias("flag")) for t in types)))).where("flag")
+    flags = page_flags(pages.join(kinds.where("not has_text"), "doc_id", "left_semi"), ask, types).where("flag")
     place = (F.row_number().over(Window.partitionBy("doc_id", "statement_type").orderBy("page_num")) - 1).alias("page_pos")
     return by_text.unionByName(flags.select("doc_id", "statement_type", place, F.col("page_num").cast("int").alias("page_num")))
 
 
+def page_flags(pages: DataFrame, ask: providers.Ask, types: list[str] = TYPES) -> DataFrame:
+    """doc_id, page_num, statement_type, flag: what the image of each page is said to hold, all types in one call; unread answers: nothing."""
+    asked = pages.where("image is not null").select("doc_id", "page_num", "image", F.lit(f"Does this page hold one of these statements: {', '.join(types)}? Answer with a JSON object of true or false.").alias("prompt"))
+    seen = kept(providers.answers(asked, ask), "detect-image").withColumn("body", X.first_object(X.model_text(F.col("answer"))))
+    return seen.select("doc_id", "page_num", F.inline(F.array(*(F.struct(F.lit(t).alias("statement_type"), F.coalesce(F.get_json_object("body", f"$.{t}") == "true", F.lit(False)).alias("flag")) for t in types))))
+
+
+def page_is(pages: DataFrame, ask: providers.Ask, statement_type: str = "balance_sheet") -> DataFrame:
+    """doc_id, page_num, yes: whether the image of each page holds one type of statement, a call per page that is answered by yes or no."""
+    asked = pages.where("image is not null").select("doc_id", "page_num", "image", F.lit(f"Does this page hold a {statement_type.replace('_', ' ')}? Answer YES or NO.").alias("prompt"))
+    return kept(providers.answers(asked, ask), "page-is").select("doc_id", "page_num", F.coalesce(providers.says_yes(F.col("answer")), F.lit(False)).alias("yes"))
+
+
+def balance_sheet_pages(pages: DataFrame, ask: providers.Ask) -> DataFrame:
+    """detect() for balance sheets alone."""
+    return detect(pages, ask, ["balance_sheet"])
+
+
 def pages_found(documents: DataFrame, page_map: DataFrame) -> DataFrame:
     """doc_id, n_pages, detect_error: documents without any page end here."""
     n = page_map.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
@@ -130,11 +147,16 @@ def extract_and_judge(pages: DataFrame, page_map: DataFrame, extractor: provider
     return good, verdicts
 
 
-def ask_accounts(items: DataFrame, chart: DataFrame, ask: providers.Ask, rules: DataFrame | None = None, size: int = 25, again: bool = False) -> DataFrame:
-    """doc_id, seq and RECORD: what the model answers for batches of `size` items of a document. Unreadable answers give nothing."""
+def item_batches(items: DataFrame, size: int = 25) -> DataFrame:
+    """doc_id, batch (from 0), lines: the items of a document in order, `size` to a batch, as the JSON that a prompt holds."""
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("section_pos", "row_pos"))
     b = items.withColumn("batch", F.floor((n - 1) / size).cast("int")).groupBy("doc_id", "batch").agg(F.array_sort(F.collect_list(F.struct("section_pos", "row_pos", "label", "section", "values"))).alias("i"))
-    lines = F.to_json(F.transform("i", lambda x: x.dropFields("section_pos", "row_pos")))
+    return b.select("doc_id", "batch", F.to_json(F.transform("i", lambda x: x.dropFields("section_pos", "row_pos"))).alias("lines"))
+
+
+def ask_accounts(items: DataFrame, chart: DataFrame, ask: providers.Ask, rules: DataFrame | None = None, size: int = 25, again: bool = False) -> DataFrame:
+    """doc_id, seq and RECORD: what the model answers for batches of `size` items of a document. Unreadable answers give nothing."""
+    b, lines = item_batches(items, size), F.col("lines")
     head = F.lit(("These labels were unsure before; look again. " if again else "") + "Give each label its account as a JSON list of records (label, account_id, account_name, category, confidence, reasoning, needs_review, is_split).\n")
     b = b.join(small(A.chart_text(chart)))  # one row
     learned = F.lit("")
@@ -196,3 +218,27 @@ def outcome(documents: DataFrame, page_map: DataFrame, statements: DataFrame) ->
 
 def file_name(doc_id: Column, statement_type: Column, at: Column) -> Column:
     return F.concat_ws("_", doc_id, statement_type, F.date_format(at, "yyyyMMdd_HHmmss"))
+
+
+class Result(NamedTuple):
+    """What run() gives: documents with their outcome, page map, statements to save, verdicts, categorised rows and their verdicts (or None)."""
+
+    outcome: DataFrame
+    page_map: DataFrame
+    statements: DataFrame
+    verdicts: DataFrame
+    rows: DataFrame | None
+    row_verdicts: DataFrame | None
+
+
+def run(pages: DataFrame, extractor: providers.Ask, judger: providers.Ask | None = None, chart: DataFrame | None = None, categoriser: providers.Ask | None = None, types: list[str] = TYPES, rules: DataFrame | None = None) -> Result:
+    """The whole flow over pages (doc_id, page_num, text, perhaps image): detect, extract and judge, categorise and judge, outcome.
+
+    Without a chart of accounts and a categoriser nothing is categorised.
+    """
+    page_map = kept(detect(pages, extractor, types), "page-map")
+    statements, verdicts = extract_and_judge(pages, page_map, extractor, judger)
+    rows = row_verdicts = None
+    if chart is not None and categoriser is not None:
+        rows, row_verdicts = categorise(statements, chart, categoriser, judger or categoriser, rules)
+    return Result(outcome(pages, page_map, statements), page_map, statements, verdicts, rows, row_verdicts)

@@ -10,6 +10,7 @@ STATEMENT_TYPES = ["balance_sheet", "income_statement", "cash_flow"]
 STATEMENT = "title string, statement_type string, periods array<string>, sections array<struct<name string, rows array<struct<label string, values array<string>, is_subtotal boolean>>>>"
 RUN = "run_id string, timestamp string, total_duration double, llm_calls int, retries int, success boolean, error_message string"
 EVENT = "timestamp timestamp, event string, run_id string, duration_ms double"
+DROPPED = "path string, modificationTime timestamp, length long, content binary"
 USAGE = "tier string, current_month_count int, month_start string, total_extractions int"
 
 
@@ -51,8 +52,12 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
 
 def accounts(spark: SparkSession, path: str) -> DataFrame:
     """code, name, description, pos of a chart of accounts: one JSON list, in its order. A missing file is an error."""
-    whole = spark.read.text(path, wholetext=True)
-    a = whole.select(F.posexplode(F.from_json("value", "array<struct<code string, name string, description string>>")).alias("pos", "a"))
+    return accounts_of(spark.read.text(path, wholetext=True))
+
+
+def accounts_of(texts: DataFrame) -> DataFrame:
+    """accounts() of the text in `value`."""
+    a = texts.select(F.posexplode(F.from_json("value", "array<struct<code string, name string, description string>>")).alias("pos", "a"))
     return a.select("a.code", "a.name", "a.description", "pos")
 
 
@@ -62,7 +67,13 @@ def rules(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
     Rows follow a line that begins with |---; they need five cells, the sixth is the count (1 if it isn't a
     number). Empty cells keep their place; `compat` drops them, and rows with the word Label, as it once was.
     """
-    f = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("practice_id"), F.split("value", "\r?\n").alias("lines"))
+    f = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("practice_id"), "value")
+    return rules_of(f, compat)
+
+
+def rules_of(texts: DataFrame, compat: bool = False) -> DataFrame:
+    """rules() of texts (practice_id, value)."""
+    f = texts.select("practice_id", F.split("value", "\r?\n").alias("lines"))
     rule_at = F.array_position(F.transform("lines", lambda x: F.trim(x).startswith("|---")), F.lit(True))
     f = f.select("practice_id", rule_at.alias("at"), F.posexplode("lines").alias("pos", "line")).where((F.col("at") > 0) & (F.col("pos") >= F.col("at")))
     line = F.trim("line")
@@ -98,3 +109,14 @@ def usage(spark: SparkSession, path: str) -> DataFrame:
             raise
         return spark.createDataFrame([], f"user_id string, {USAGE}")
     return raw.select(F.explode("users").alias("user_id", "u")).select("user_id", "u.*")
+
+
+def usage_of(texts: DataFrame) -> DataFrame:
+    """usage() of the text in `value`."""
+    users = F.from_json("value", f"struct<users: map<string, struct<{USAGE.replace(' ', ': ').replace(',: ', ', ')}>>>")["users"]
+    return texts.select(F.explode(users).alias("user_id", "u")).select("user_id", "u.*")
+
+
+def report_stream(spark: SparkSession, folder: str, pattern: str = "*.pdf", files_per_trigger: int = 100) -> DataFrame:
+    """Documents that are dropped into a folder, as a stream: path, modificationTime, length, content."""
+    return spark.readStream.format("binaryFile").schema(DROPPED).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).load(folder)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,16 +41,17 @@ def append_log(events: DataFrame, path: str) -> None:
 
 def write_usage(usage: DataFrame, path: str) -> None:
     """Replace the usage file by one document {"users": {user_id: record}}; users of one installation are few."""
-    record = F.struct(*(c for c in usage.columns if c != "user_id"))
-    one = usage.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("user_id", record.alias("r")))).alias("users")), {"ignoreNullFields": "false"}).alias("value"))
-    one.coalesce(1).write.mode("overwrite").text(path)
+    usage_json(usage).coalesce(1).write.mode("overwrite").text(path)
+
 
+def usage_json(usage: DataFrame) -> DataFrame:
+    """One row, `value`: the usage document."""
+    record = F.struct(*(c for c in usage.columns if c != "user_id"))
+    return usage.agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(F.struct("user_id", record.alias("r"))))).alias("users")), {"ignoreNullFields": "false"}).alias("value"))
 
-def clean(folder: str, pattern: str = "*") -> int:
-    """Delete the files of a folder of the driver that match; returns how many."""
-    from pathlib import Path
 
-    gone = [p for p in Path(folder).glob(pattern) if p.is_file()]
-    for p in gone:
-        p.unlink()
-    return len(gone)
+def clean(spark: SparkSession, folder: str, pattern: str = "*") -> int:
+    """Delete the files of a folder, in whatever store it lies, that match; returns how many."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(bool(store.delete(f.getPath(), False)) for f in store.globStatus(path) or [] if f.isFile())

@@ -68,4 +68,4 @@ def test_usage_and_clean(spark, tmp_path):
     assert sorted(files.usage(spark, f"{tmp_path}/usage").collect()) == sorted(u.collect())
     for n in ("a.jpg", "b.jpg", "c.txt"):
         (tmp_path / n).write_text("x")
-    assert sinks.clean(str(tmp_path), "*.jpg") == 2 and (tmp_path / "c.txt").exists()
+    assert sinks.clean(spark, str(tmp_path), "*.jpg") == 2 and (tmp_path / "c.txt").exists()
