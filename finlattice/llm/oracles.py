@@ -41,3 +41,45 @@ z as (select sum(len(ws)) as total from d),
 s as (select k.rid, fsum(k.n * case when k3 > 0 then log10(k3 / greatest(kuv, k3)) when k2 > 0 then log10(k2 / greatest(kv, k2)) + log10(0.4::double)
   else log10(greatest(k1, 0.5::double) / greatest(total - len(ws), 1)) + 2 * log10(0.4::double) end) as s from k join d using (rid), z group by 1)
 select doc_id, len(ws)::bigint as n_words, round(coalesce(s, 0.0), 6) as log10_sum, round(s / len(ws), 6) as log10_mean from d left join s using (rid)"""
+
+
+#: Base measures by plain counting; repeats of six words or more cover the words of the six-word windows found twice, and a
+#: repeat is over 200 words long where a window of 201 words is found twice.
+QUALITY = f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text, {_WORDS.format('text')} as ws from documents),
+w as (select rid, k, i, md5(array_to_string(ws[i:i + k - 1], ' ')) as h from (select rid, ws, k, unnest(range(1, len(ws) - k + 2)) as i from d, (select unnest([3, 6, 201]) as k) where len(ws) >= k)),
+twice as (select rid, k, h from w group by all having count(*) > 1),
+hit as (select rid, k, i from w semi join twice using (rid, k, h)),
+covered as (select rid, k, count(distinct j) as n from (select rid, k, unnest(range(i, i + k)) as j from hit) group by all),
+c as (select rid, max(n) filter (k = 3) as c3, max(n) filter (k = 6) as c6, max(n) filter (k = 201) as c201 from covered group by 1),
+l as (select rid, count(*) - count(distinct line) as n from (select rid, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+b as (select doc_id, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda x: len(x))), 0) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols,
+  coalesce(l.n, 0) as n_dup_lines, coalesce(c3, 0) as n_repeat_words, coalesce(c6, 0) as covered_words, coalesce(c201, 0) > 0 as long_repeat from d left join c using (rid) left join l using (rid)),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
+ not base_failed and not long_repeat and 100 * covered_words <= 30 * n_words as kept, covered_words::bigint as covered_words, long_repeat from f"""
+
+
+def _number(text: str) -> str:
+    return f"('0x' || md5({text})[1:15])::bigint"
+
+
+#: The mixture: exponent by sixty bisections, weights, blocks in seeded order, and of the last block rows by their numbers.
+MIXING = f"""
+with recursive said as (select doc_id, source, coalesce('s:' || source, 'null') as src, greatest(len({_WORDS.format('text')}), 1) as size,
+  concat_ws('|', {", ".join(f"case when {c} is null then '-' else '+' || md5({c}::varchar) end" for c in ("doc_id", "text", "source"))}) as content from documents),
+d as (select *, {_number("'41|' || content")} as spot from said),
+t as (select src, sum(size)::double as n from d group by 1),
+l as (select list(n order by src) as ns, list_max(list(n)) as top, list_sum(list(n)) as total from t),
+b(i, lo, hi) as (select 0, 0.0::double, 1.0::double union all
+  select i + 1, case when ok then lo else mid end, case when ok then mid else hi end from (select i, lo, hi, (lo + hi) / 2 as mid,
+    list_bool_and(list_transform(ns, lambda x: pow(x / top, (lo + hi) / 2) / list_sum(list_transform(ns, lambda y: pow(y / top, (lo + hi) / 2))) * total <= 2.0::double * x * (1 + 1e-9::double))) as ok from b, l) where i < 60),
+z as (select case when list_bool_and(list_transform(ns, lambda x: 1 / len(ns) * total <= 2.0::double * x * (1 + 1e-9::double))) then 0.0::double else (select hi from b where i = 60) end as a from l),
+w as (select src, n, floor(pow(n / top, a) / list_sum(list_transform(ns, lambda y: pow(y / top, a))) * total)::bigint as goal from t, l, z),
+p as (select src, goal // n::bigint as "full", goal % n::bigint as rest, ceil(n / 1048576)::bigint as blocks from w),
+r as (select d.*, "full", rest, spot % blocks as block from d join p using (src)),
+s as (select src, block, "full", rest, sum(size) as n, {_number("concat_ws('|', '41', src, \"full\"::varchar, block::varchar)")} as turn from r group by 1, 2, 3, 4),
+o as (select src, block, n, rest - coalesce(sum(n) over (partition by src order by turn, block rows between unbounded preceding and 1 preceding), 0) as "left" from s),
+h as (select r.*, coalesce("left", 0) as "left", coalesce(o.n, 0) as n, coalesce(sum(size) over (partition by src, block order by spot rows between unbounded preceding and 1 preceding), 0) as head from r join o using (src, block)),
+e as (select *, unnest(range("full" + case when "left" > 0 and head < "left" then 1 else 0 end)) as epoch from h)
+select doc_id, source, epoch::int as epoch, block::int as block, {_number("concat_ws('|', '41', src, epoch::varchar, block::varchar)")} as block_order, size::bigint as n_tokens from e"""

@@ -10,6 +10,8 @@ from . import textcore as T
 from .work import frugal, passes, ship, text_of
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, covered_words long, longest_repeat long"
+#: Words of the longest repeat that a text may hold.
+MAX_LONGEST = 200
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 
@@ -140,7 +142,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, least: int, max_percent: int,
     }
 
 
-def quality_rules(docs: DataFrame, least_words: int = 6, max_covered_percent: int = 30, max_longest: int = 200) -> DataFrame:
+def quality_rules(docs: DataFrame, least_words: int = 6, max_covered_percent: int = 30, max_longest: int = MAX_LONGEST) -> DataFrame:
     """One row per document with its base measures and the suffix-array verdict.
 
     A substring of `least_words` words or more that a text holds twice (overlaps included) is a repeat; the

@@ -37,7 +37,8 @@ def op4_substring_dedup(spark, sf_dir):
 
 
 def op5_quality_rules(spark, sf_dir):
-    return quality.quality_rules(table(spark, sf_dir, "documents"))
+    q = quality.quality_rules(table(spark, sf_dir, "documents"))
+    return q.withColumn("long_repeat", F.col("longest_repeat") > quality.MAX_LONGEST).drop("longest_repeat")
 
 
 def op6_lm_scores(spark, sf_dir):
@@ -83,4 +84,4 @@ select query_id, rank, vec_id, score from (select *, (row_number() over (partiti
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": oracles.SUBSTRING, "op6_lm_scores": oracles.LM_SCORES, "op9_top_k": TOP_K_SQL, "op10_near_duplicates": oracles.NEAR_DUPLICATES}
+    return {"op4_substring_dedup": oracles.SUBSTRING, "op5_quality_rules": oracles.QUALITY, "op6_lm_scores": oracles.LM_SCORES, "op8_mixing": oracles.MIXING, "op9_top_k": TOP_K_SQL, "op10_near_duplicates": oracles.NEAR_DUPLICATES}
