@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv factors against a reference split into hash blocks."""
+"""Substring dedup: texts are factored greedily against reference blocks indexed by phrases; long factors go."""
 
 from __future__ import annotations
 
@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 from . import textcore as T
 from .sharding import settled
-from .work import Scratch, frugal, passes, ship, text_of
+from .work import Scratch, frugal, passes, text_of
 
 #: Words of the phrase by which the reference is indexed.
 PHRASE = 8
+#: Distinct passages under one phrase that a block compares with each other; phrases with more are looked up window by window.
+MAX_KINDS = 256
+#: Pairs of passages that are compared at once.
+PAIRS = 1 << 18
+#: A marked passage (phrase, where it stands in it, its words) or a window (its hash) of a text.
+PIECES = "phrase long, t1 long, t2 long, lo int, anchor int, words binary, h1 long, h2 int, times long"
 #: The identity of a row.
 SPOT = "spot struct<file:long,row:long>"
 
@@ -89,25 +95,105 @@ def names_of(w: T.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _signed = lambda x: pa.array(x.view(np.int64))
 
 
+def aligned(words: list[bytes], anchor: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words (hashes) of passages before and after the phrase at `anchor`, from it outward; where there is none, numbers that no other has."""
+    n = len(words)
+    left, right = ((np.arange(n * reach, dtype=np.uint64) + np.uint64(1 << 63) + np.uint64(k * n * reach)).reshape(n, reach) for k in range(2))
+    for i, (w, a) in enumerate(zip(words, anchor.tolist(), strict=True)):
+        h = np.frombuffer(w, np.uint64) >> np.uint64(1)
+        before, after = h[:a][::-1][:reach], h[a + PHRASE :][:reach]
+        left[i, : len(before)], right[i, : len(after)] = before, after
+    return left, right
+
+
+def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many columns from the first on are equal."""
+    return np.minimum.accumulate(a == b, 1).sum(1)
+
+
+def factored(group: np.ndarray, words: list[bytes], anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors of each passage relative to the others of its group: passage, first word, word after the last, the other passage.
+
+    Passages of a group have one phrase in common, at `anchor`. A factor is the longest run of words around it that
+    another passage has too, if it has `length` words. From the first word on the longest factor is taken, then, at the
+    end of each, the longest one that begins before that boundary and reaches over it: so every window of `length`
+    words that another passage holds lies in a factor.
+    """
+    left, right = aligned(words, anchor, length - PHRASE)
+    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    size = np.diff(np.append(begin, len(group)))
+    first, n = np.repeat(begin, size), np.repeat(size, size)  # per passage, its group
+    ends, out, lo = np.cumsum(n), [], 0
+    while lo < len(group):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+        i = np.repeat(np.arange(lo, hi), n[lo:hi])
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi]) + first[i]
+        i, j = i[i != j], j[i != j]
+        before, after = common(left[i], left[j]), common(right[i], right[j])
+        long = before + PHRASE + after >= length
+        out.append((i[long], (anchor[i] - before)[long], (anchor[i] + PHRASE + after)[long], j[long]))
+        lo = hi
+    i, start, end, j = (np.concatenate(x) for x in zip(*out, strict=True))
+    by = np.lexsort((-end, start, i))
+    i, start, end, j = i[by], start[by], end[by], j[by]
+    # beyond all that begins earlier in the same passage: offsets keep passages apart
+    reach = np.maximum.accumulate(end + i * np.int64(1 << 20))
+    keep = np.append(True, (end + i * np.int64(1 << 20))[1:] > reach[:-1]) if len(i) else np.zeros(0, bool)
+    return i[keep], start[keep], end[keep], j[keep]
+
+
+def _phrases(batches, most: int):
+    """Tables of whole phrases, of `most` rows or one phrase, of batches sorted by phrase."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        if n >= most:
+            same = int((key != held[-1].column(0)[-1].as_py()).argmax()) if key[-1] != held[-1].column(0)[-1].as_py() else len(key)
+            if same:
+                held.append(batch.slice(0, same))
+            if same < len(key):
+                yield pa.Table.from_batches(held)
+                held, n, batch = [], 0, batch.slice(same)
+            else:
+                continue
+        held.append(batch)
+        n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def factors(docs: DataFrame, length: int = 35) -> DataFrame:
+    """doc_id, start, size: the duplicate spans of each row, in words; they may overlap. An equal twin makes a long enough text one factor."""
+    return _parsed(docs, length)[1]
+
+
 def deduplicated(docs: DataFrame, length: int = 35) -> DataFrame:
     """Each row with its kept words: doc_id, n_words, n_removed, kept_text.
 
     A word goes if a window of `length` consecutive words of its text that covers it also starts anywhere else,
     same text included; so every copy of a repeated passage goes, the first too. Null text: no words.
 
-    The reference is the corpus itself. Each window is indexed under its smallest phrase of 8 words by hash;
-    consecutive windows under one phrase form a reference passage, and passages are dealt to blocks by the
-    phrase. This replaces a greedy relative Lempel-Ziv parse: each text is cut at its own smallest phrases, whatever
-    the blocks hold, and its passages are joined to theirs by (phrase, hash), as a parse against every block would
-    read all blocks for each text. Where a passage doesn't stand whole elsewhere although its phrase does, each of
-    its windows is looked up alone. Counts are exact (96-bit hashes of words). Texts with
-    an equal twin go at once, if they are long enough. A passage's copies are counted before they are
-    shuffled, so a phrase in a third of all texts is as many rows as tasks. Repeated rows count as copies of each
-    other; ids may repeat or be null; other columns are not read.
+    The reference is the corpus itself, in blocks. Each window is indexed under its smallest phrase of 8 words by
+    hash; consecutive windows under one phrase form a passage, and passages are dealt to blocks by the phrase. A text
+    meets the blocks that index its phrases, which are all that can hold a window of it. A passage that stands whole
+    elsewhere is one factor. Where its phrase has other passages, it is factored greedily against those of the
+    block (see factored): the longest factor from its first word on, then, at each factor's boundary, the longest one across it. The
+    passages of a phrase that has more than MAX_KINDS of them are too many for one block; each of their windows is
+    looked up by its hash instead, which finds the same. Equality is that of hashes (63 bits for each word of a
+    factor, 96 bits of a window). Texts with an equal twin go at once, if they are long enough. A passage's copies
+    are counted before they are shuffled, so a phrase in a third of all texts is as many rows as tasks. Repeated
+    rows count as copies of each other; ids may repeat or be null; a long text is parsed whole; an empty table gives
+    no rows; other columns are not read, whatever their names.
     """
+    return _parsed(docs, length)[0]
+
+
+def _parsed(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """deduplicated() and factors(), from one parse."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
-    ship(spark)
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     own, ident = settled(own, scratch)
     rows = own.select("doc_id", "text", ident.alias("spot"))
@@ -137,31 +223,34 @@ def deduplicated(docs: DataFrame, length: int = 35) -> DataFrame:
     distinct = scratch.keep(distinct)
     known = distinct.groupBy("phrase").agg(F.count("*").alias("kinds"), F.sum("times").alias("times")).where("times > 1")
     whole = distinct.where("times > 1").select("phrase", "factor")
-    several = known.where("kinds > 1").select("phrase")
+    several = scratch.keep(known.where("kinds > 1").select("phrase", (F.col("kinds") > MAX_KINDS).alias("hot")))
     spans = found.join(whole, ["phrase", "factor"], "left_semi").select("t1", "t2", "lo", "size")
-    # boundaries: passages that stand once under a known phrase, and one copy of those that stand more often there
-    edge = distinct.join(several, "phrase", "left_semi")
-    places = found.join(edge.select("phrase", "factor", "t1", (F.col("times") > 1).alias("often")), ["phrase", "factor", "t1"]).select("t1", "t2", "lo", "size", "often").distinct()
-    places = scratch.keep(places)
-    flagged = places.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "size", "often")).alias("marks"))
+    # passages that stand once under a known phrase, and one copy of those that stand more often there
+    edge = distinct.join(several, "phrase")
+    places = found.join(edge.select("phrase", "factor", "t1", (F.col("times") > 1).alias("often"), "hot"), ["phrase", "factor", "t1"]).select("t1", "t2", "lo", "size", "often", "hot").distinct()
+    flagged = places.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "size", "often", "hot")).alias("marks"))
     flagged = flagged.join(names.select("t1", "t2", "spot"), ["t1", "t2"])  # one row of each text
 
     def look(batches):
-        """Hashes of the windows in the marked passages; rows: text, marks, t1, t2."""
+        """The marked passages: words of those that a block compares, window hashes of the others; rows: text, marks, t1, t2."""
         for batch in batches:
             marks = batch.column(batch.schema.get_field_index("marks"))
             for part, data, offsets in passes([batch.append_column("row", pa.array(np.arange(batch.num_rows)))]):
                 p = Parse(data, offsets, length)
                 for i, row in enumerate(part.column("row").to_pylist()):
                     own = marks.slice(row, 1).flatten()
-                    lo, size, often = (own.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                    lo, size, often, hot = (own.field(k).to_numpy(zero_copy_only=False) for k in range(4))
                     uniq = np.unique(lo, return_index=True)[1]
-                    lo, size, often = lo[uniq].astype(np.int64), size[uniq].astype(np.int64), often[uniq]
-                    n = size - length + 1
-                    start = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    lo, size, often, hot = lo[uniq].astype(np.int64), size[uniq].astype(np.int64), often[uniq], hot[uniq].astype(bool)
+                    at = p.words.first[i] + lo[~hot]
+                    mine = np.searchsorted(p.lo, at)  # passages begin in order
+                    text = p.hashes.tobytes()
+                    yield _pieces(part, i, phrase=_signed(p.key[mine]), lo=lo[~hot], anchor=p.anchor[mine] - at, words=[text[8 * x : 8 * y] for x, y in zip(at, at + size[~hot], strict=True)], times=np.where(often[~hot], 2, 1))
+                    n = size[hot] - length + 1
+                    start = np.repeat(lo[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                     at = p.words.first[i] + start
                     h1, h2 = p.roll.ranges(at, at + length), p.check.ranges(at, at + length)
-                    yield pa.RecordBatch.from_arrays([_signed(h1), pa.array((h2 >> np.uint64(33)).astype(np.int32)), part.column("t1").take(pa.array(np.full(len(at), i))), part.column("t2").take(pa.array(np.full(len(at), i))), pa.array(start.astype(np.int32)), pa.array(np.repeat(np.where(often, 2, 1), n).astype(np.int64))], ["h1", "h2", "t1", "t2", "lo", "times"])
+                    yield _pieces(part, i, lo=start, h1=_signed(h1), h2=(h2 >> np.uint64(33)).astype(np.int32), times=np.repeat(np.where(often[hot], 2, 1), n))
 
     def named(batches):
         for part, data, offsets in passes(batches):
@@ -171,9 +260,25 @@ def deduplicated(docs: DataFrame, length: int = 35) -> DataFrame:
 
     texts = rows.mapInArrow(frugal(named), f"doc_id long, text string, {SPOT}, t1 long, t2 long")
     marked = rows.select("text", "spot").join(flagged, "spot")
-    windows = scratch.keep(marked.select("text", "marks", "t1", "t2").mapInArrow(frugal(look), "h1 long, h2 int, t1 long, t2 long, lo int, times long"))
+    pieces = scratch.keep(marked.select("text", "marks", "t1", "t2").mapInArrow(frugal(look), PIECES))
+
+    def parse(batches):
+        """Factors of the passages that aren't known as a whole, phrase by phrase of a block."""
+        for table in _phrases(batches, 1 << 14):
+            table = table.combine_chunks()
+            once = table.column("times").to_numpy() == 1
+            i, start, end, _ = factored(table.column("phrase").to_numpy(), table.column("words").to_pylist(), table.column("anchor").to_numpy().astype(np.int64), length)
+            i, start, end = i[once[i]], start[once[i]], end[once[i]]
+            if len(i):
+                at = pa.array(i)
+                yield pa.RecordBatch.from_arrays([table.column("t1").combine_chunks().take(at), table.column("t2").combine_chunks().take(at), pa.array((table.column("lo").to_numpy()[i] + start).astype(np.int32)), pa.array((end - start).astype(np.int32))], ["t1", "t2", "lo", "size"])
+
+    block = pieces.where("words is not null").select("phrase", "t1", "t2", "lo", "anchor", "words", "times")
+    block = block.repartition("phrase").sortWithinPartitions("phrase", "t1", "t2", "lo").mapInArrow(frugal(parse), "t1 long, t2 long, lo int, size int")
+    windows = pieces.where("words is null")
     repeated = windows.groupBy("h1", "h2").agg(F.sum("times").alias("times")).where("times > 1").select("h1", "h2")
     ends = windows.where("times = 1").join(repeated, ["h1", "h2"], "left_semi").select("t1", "t2", "lo", F.lit(length).alias("size"))
+    ends = ends.unionByName(block)
     drop = spans.unionByName(ends).join(twins, ["t1", "t2"], "left_anti")
     drop = drop.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "size")).alias("drop"))
     drop = drop.unionByName(twins.select("t1", "t2", F.expr("array(named_struct('lo', -1, 'size', 0))").alias("drop")))
@@ -213,7 +318,21 @@ def deduplicated(docs: DataFrame, length: int = 35) -> DataFrame:
                     kept.append(out[:-1].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(w.counts), pa.array(np.asarray(removed, np.int64)), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return texts.select("doc_id", "text", "t1", "t2").join(drop, ["t1", "t2"], "left").select("doc_id", "text", "drop").mapInArrow(frugal(cut), "doc_id long, n_words long, n_removed long, kept_text string")
+    kept = texts.select("doc_id", "text", "t1", "t2").join(drop, ["t1", "t2"], "left").select("doc_id", "text", "drop").mapInArrow(frugal(cut), "doc_id long, n_words long, n_removed long, kept_text string")
+    numbered = rows.select("text", "spot").mapInArrow(frugal(name), f"t1 long, t2 long, {SPOT}, n long").join(rows.select("doc_id", "spot"), "spot")
+    told = numbered.join(drop.select("t1", "t2", F.inline("drop")), ["t1", "t2"])
+    told = told.select("doc_id", F.greatest("lo", F.lit(0)).alias("start"), F.when(F.col("lo") < 0, F.col("n")).otherwise(F.col("size")).cast("int").alias("size"))
+    return kept, told.where(F.col("size") >= length)
+
+
+def _pieces(part, i: int, **columns) -> pa.RecordBatch:
+    """Rows of PIECES of the text in row i; columns that aren't given are null."""
+    n = len(columns["lo"])
+    t1, t2 = (part.column(c)[i].as_py() for c in ("t1", "t2"))
+    columns |= {"t1": np.full(n, t1, np.int64), "t2": np.full(n, t2, np.int64)}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split(" ") for f in PIECES.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[f], kinds[k]) if f in columns and not isinstance(columns[f], pa.Array) else columns.get(f, pa.nulls(n, kinds[k])) for f, k in fields], [f for f, _ in fields])
 
 
 def digest(kept: DataFrame) -> DataFrame:

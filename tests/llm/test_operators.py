@@ -594,3 +594,43 @@ def test_near_duplicates_of_hot_groups(spark):
                 root[b] = a
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
+
+
+def longest_elsewhere(texts, t, i):
+    """Words from position i of text t that stand anywhere else too, at most."""
+    best, x = 0, texts[t]
+    for u, y in enumerate(texts):
+        for j in range(len(y)):
+            if (u, j) != (t, i):
+                n = 0
+                while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                    n += 1
+                best = max(best, n)
+    return best
+
+
+@pytest.mark.parametrize("kinds", [256, 2])
+def test_factors_by_a_brute_force_parser(spark, monkeypatch, kinds):
+    """Passages that repeat whole, in part, shifted, across other joints and within a text; few kinds of a phrase in a block, or many."""
+    monkeypatch.setattr(substring, "MAX_KINDS", kinds)
+    rng = np.random.default_rng(6)
+    make = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    a, b, c = make(60), make(50), make(9)
+    texts = [make(5) + a + make(4), a[3:50] + make(30), make(7) + a[20:] + b[:30] + make(2), b[10:] + make(3) + b[:40], a[5:45] + c + a[10:50], c * 9, make(34), make(40)]
+    texts += [make(3) + a[i : i + 38] + make(6) for i in range(0, 20, 3)] + [["x"] * 50, make(20) + b[5:45] + a[:36]]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in substring.factors(df).collect():
+        got[r.doc_id].append((r.start, r.size))
+    for t, x in enumerate(texts):
+        spans, i, want = got[t], 0, [False] * len(x)
+        while i < len(x):  # the greedy parse, and each window across a boundary
+            n = longest_elsewhere(texts, t, i)
+            if n >= 35:
+                want[i : i + n] = [True] * n
+            i += 1
+        covered = [False] * len(x)
+        for lo, size in spans:
+            assert size >= 35 and longest_elsewhere(texts, t, lo) >= size
+            covered[lo : lo + size] = [True] * size
+        assert covered == want, t
