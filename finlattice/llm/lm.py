@@ -48,23 +48,43 @@ class Chunk:
     def __init__(self, row: dict):
         self.row = row
         self.first = np.append(0, np.cumsum(np.asarray(row["sizes"], np.int64))).astype(np.int64)
-        self.words = np.frombuffer(row["vocabulary"], np.uint64)[expand(row["words"])]
+        self.vocabulary, self.index = np.frombuffer(row["vocabulary"], np.uint64), expand(row["words"])
+        self.words = self.vocabulary[self.index]
         self.doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        self.left = {n: expand(row[f"left{n}"]) for n in range(1, 99) if row.get(f"left{n}")}
+        self.left = {n: expand(row[f"left{n}"]) for n in range(2, 99) if row.get(f"left{n}")}
+        if row.get("left1"):  # of words it is enough to keep the count of each in the vocabulary
+            self.tell_words(expand(row["left1"]))
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct n-grams that others may hold, in order; the place in them of each such position; these positions.
 
         Others hold an n-gram only if they hold what it begins and what it ends with, so the rest needn't be asked for.
         """
+        if n == 1:
+            keys, back = self.word_keys()
+            return keys, back[self.index], np.arange(len(self.words))
         at, h = T.windows(self.words, self.first, n)
         end = at + n - 1
-        if n > 1:
-            able = (self.left[n - 1][end] > 0) & (self.left[n - 1][end - 1] > 0)
-            end, h = end[able], h[able]
+        able = (self.left[n - 1][end] > 0) & (self.left[n - 1][end - 1] > 0)
+        end, h = end[able], h[able]
         keys, back = np.unique(h ^ np.uint64(n), return_inverse=True)
         return keys, back, end
 
+    def word_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the vocabulary, in order, and the place of each word in them."""
+        _, h = T.windows(self.vocabulary, np.asarray([0, len(self.vocabulary)]), 1)
+        return np.unique(h ^ np.uint64(1), return_inverse=True)
+
+    def tell_words(self, counts: np.ndarray) -> None:
+        """counts: of each word of the vocabulary, in the corpus."""
+        self.left[1] = counts[self.index] - self.own(self.index, len(counts))
+
+    def own(self, number: np.ndarray, below: int, at: np.ndarray | None = None) -> np.ndarray:
+        """How often a text itself holds what stands at each position (a number below `below`)."""
+        doc = self.doc if at is None else self.doc[at]
+        _, back, times = np.unique(doc * np.int64(max(below, 1)) + number, return_inverse=True, return_counts=True)
+        return times[back]
+
     def ask(self, n: int, parts: int):
         """Partition, keys and own counts of the distinct n-grams, a row per partition."""
         keys, back, _ = self.grams(n)
@@ -78,17 +98,18 @@ class Chunk:
             pa.array([pack_keys(keys[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([squeeze(count[a:b]) for a, b in zip(cut, ends, strict=True)], pa.binary()),
         ], ["part", "chunk", "keys", "counts"])
 
-    def hear(self, n: int, sums: list[bytes]) -> None:
-        """Turn the corpus counts of the asked n-grams, partition by partition, into what other texts hold."""
+    def hear(self, n: int, sums: list[bytes]) -> bytes:
+        """Turn the corpus counts of the asked n-grams, partition by partition, into what other texts hold; what to keep of it."""
+        counts = np.concatenate([expand(x) for x in sums]) if sums else np.zeros(0, np.int64)
+        if n == 1:
+            counts = counts[self.word_keys()[1]]
+            self.tell_words(counts)
+            return squeeze(counts)
         _, back, end = self.grams(n)
-        left = np.zeros(len(self.words), np.int64)
+        self.left[n] = np.zeros(len(self.words), np.int64)
         if len(end):
-            counts = np.concatenate([expand(x) for x in sums])
-            # a text's own occurrences
-            mine = self.doc[end] * np.int64(len(counts)) + back
-            _, own, times = np.unique(mine, return_inverse=True, return_counts=True)
-            left[end] = counts[back] - times[own]
-        self.left[n] = left
+            self.left[n][end] = counts[back] - self.own(back, len(counts), end)
+        return squeeze(self.left[n])
 
     def scores(self, total: int) -> np.ndarray:
         """Per text, the sum of log10 scores of its words."""
@@ -161,8 +182,8 @@ def backoff_scores(docs: DataFrame, order: int = 3, chunk_bytes: int = 8 << 20,
         def hear(batches, n=n):
             for row in _rows(batches):
                 c = Chunk(row)
-                c.hear(n, [x["sums"] for x in row["told"] or []])
-                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]]), pa.array([squeeze(c.left[n])], pa.binary())], ["chunk", f"left{n}"])
+                kept = c.hear(n, [x["sums"] for x in row["told"] or []])
+                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]]), pa.array([kept], pa.binary())], ["chunk", f"left{n}"])
 
         def score(batches, n=n):
             for row in _rows(batches):
