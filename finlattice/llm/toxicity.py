@@ -22,11 +22,11 @@ THREATS = "kill hurt destroy beat murder shoot stab töten umbringen verletzen s
 
 #: Symbols of a clause: other, insult, threat verb, target, negation, report.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: Symbols that the grammar adds: reported, negated and targeted insult, threat at a target, reported threat.
-REPORTED, NEGATED, TARGETED, MENACE, RETOLD = range(6, 11)
-SYMBOLS = 11
+#: Symbols that the grammar adds: reported, negated and targeted insult, threat at a target, reported threat, target of an insult before it.
+REPORTED, NEGATED, TARGETED, MENACE, RETOLD, AIMED = range(6, 12)
+SYMBOLS = 12
 #: Outputs that count, in the order of the features.
-SCORED = (INSULT, TARGETED, NEGATED, REPORTED, MENACE, RETOLD)
+SCORED = (INSULT, TARGETED, NEGATED, REPORTED, MENACE, RETOLD, AIMED)
 #: Words over which a negation, a target or a threat reaches.
 NEGATION_REACH, TARGET_REACH, THREAT_REACH = 3, 4, 4
 
@@ -82,9 +82,13 @@ def _negated(state, symbol):
 
 
 def _targeted(state, symbol):
+    """An insult after a target is targeted; a target after an insult that isn't makes it so."""
+    near, insulted = state
     if symbol == TARGET:
-        return TARGET_REACH, symbol
-    return max(0, state - 1), TARGETED if symbol == INSULT and state else symbol
+        return (TARGET_REACH, 0), AIMED if insulted else symbol
+    if symbol == INSULT:
+        return (max(0, near - 1), 0 if near else TARGET_REACH), TARGETED if near else symbol
+    return (max(0, near - 1), max(0, insulted - 1)), symbol
 
 
 def _menaced(state, symbol):
@@ -97,7 +101,7 @@ def _menaced(state, symbol):
 
 def grammar() -> Transducer:
     """Report, negation, target and threat transducers in a cascade; a new clause starts anew."""
-    return Transducer(0, _reported) >> Transducer(0, _negated) >> Transducer(0, _menaced) >> Transducer(0, _targeted)
+    return Transducer(0, _reported) >> Transducer(0, _negated) >> Transducer(0, _menaced) >> Transducer((0, 0), _targeted)
 
 
 class Reader:
@@ -138,7 +142,7 @@ def member(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def grammar_features(data: np.ndarray, offsets: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray], closed: list, tables: tuple) -> np.ndarray:
-    """Per text, the lexicon weight written under each scored symbol (threats weigh 1)."""
+    """Per text, the lexicon weight written under each scored symbol (threats and targets weigh 1)."""
     keys, weights = lexicon
     r = Reader(data, offsets)
     w = r.words
@@ -177,8 +181,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-#: What each scored symbol counts before any label is seen: a targeted insult most, a retold threat least.
-PRIOR = np.asarray([3.0, 3.6, 1.5, 1.5, 2.4, 0.9])
+#: What each scored symbol counts before any label is seen: a targeted insult most, a target after an insult least.
+PRIOR = np.asarray([3.0, 3.6, 1.5, 1.5, 2.4, 0.9, 0.6])
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 3000, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -298,11 +302,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max
     """doc_id, held_out, score, predicted of every row, from its whole text.
 
     Words and word stems that toxic labelled texts hold far more often than chance make the insult lexicon (log
-    odds as weights). Transducers for reported speech, negation, threats and targets, composed, rewrite each
-    clause; the weights written under each outcome are joined by logistic regression with weights of 0 at least.
-    Learning uses at most `max_labelled` labelled rows whose crc32(doc_id) mod 3 is not 1; scores use the text
-    alone. More than `max_lexicon` terms that strong are an error, not cut. Null or empty text: the score without any match. Null id: held_out is false. Rows are scored one by
-    one, without a shuffle; labels without documents are ignored; of several labels the highest counts.
+    odds as weights). Transducers for reported speech, negation, threats and targets (before an insult or after it),
+    composed, rewrite each clause; the weights written under each outcome are joined by logistic regression with
+    weights of 0 at least. Learning uses at most `max_labelled` labelled rows whose crc32(doc_id) mod 3 is not 1, a
+    bounded sample by hash; scores use the text alone. The lexicon is chosen among all terms that strong; more than
+    `max_lexicon` of them are an error, not cut. Null or empty text: the score without any match. Null id: held_out is
+    false. Rows are scored one by one, repeated rows too, a long text whole, without a shuffle; labels without
+    documents are ignored; of several labels the highest counts; without labels of both kinds every score is the
+    share of toxic ones. Other columns are not read, whatever their names; an empty table gives no rows.
     """
     return scored(docs, docs, labels, max_labelled, max_lexicon, threshold)
 

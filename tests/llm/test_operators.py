@@ -634,3 +634,62 @@ def test_factors_by_a_brute_force_parser(spark, monkeypatch, kinds):
             assert size >= 35 and longest_elsewhere(texts, t, lo) >= size
             covered[lo : lo + size] = [True] * size
         assert covered == want, t
+
+
+def brute_toxic(text, lexicon):
+    """The grammar in plain Python: per clause, what each insult, threat and target comes to."""
+    out = collections.Counter()
+    for clause in re.split(r"[.!?;:\n|]", text.lower()):
+        said = negated = threatened = near = insulted = 0
+        for w in re.findall(r"[a-z\u0080-￿']+", clause):
+            kind = "insult" if w in lexicon else next((k for k, v in (("threat", toxicity.THREATS), ("target", toxicity.TARGETS), ("report", toxicity.REPORTS), ("not", toxicity.NEGATIONS)) if w in v), "")
+            weight = lexicon.get(w, 1.0)
+            if kind == "insult" and said:
+                out[toxicity.REPORTED] += weight
+                kind = ""
+            if kind == "threat" and said:
+                out[toxicity.RETOLD] += weight
+                kind = ""
+            if kind == "insult" and negated:
+                out[toxicity.NEGATED] += weight
+                kind = ""
+            menace = kind == "target" and threatened
+            if menace:
+                out[toxicity.MENACE] += weight
+            if kind == "insult":
+                out[toxicity.TARGETED if near else toxicity.INSULT] += weight
+            if kind == "target" and not menace and insulted:
+                out[toxicity.AIMED] += weight
+            plain_target = kind == "target" and not menace
+            said = said or kind == "report"
+            negated = toxicity.NEGATION_REACH if kind == "not" else max(0, negated - 1)
+            threatened = 0 if menace else toxicity.THREAT_REACH if kind == "threat" else max(0, threatened - 1)
+            if plain_target:
+                near, insulted = toxicity.TARGET_REACH, 0
+            elif kind == "insult":
+                near, insulted = max(0, near - 1), 0 if near else toxicity.TARGET_REACH
+            else:
+                near, insulted = max(0, near - 1), max(0, insulted - 1)
+    return [out[s] for s in toxicity.SCORED]
+
+
+def test_toxic_features_by_brute_force():
+    lexicon = {"dolt": 2.0, "oaf": 1.5, "blödian": 1.0}
+    by = sorted(lexicon, key=lambda w: toxicity.hashed([w])[0])
+    feature = toxicity._features((toxicity.hashed(list(lexicon)), np.asarray([lexicon[w] for w in by])))
+    rng = np.random.default_rng(9)
+    pool = [*lexicon, "you", "not", "said", "kill", "tree", "Tu", "house", ".", "\n", "walks", "DOLT", "oafish"]
+    texts = [" ".join(rng.choice(pool, n)) for n in rng.integers(0, 60, 200)] + ["", "dolt you", "you dolt", "tree " * 40_000 + "you dolt"]
+    raw = [t.lower().encode() for t in texts]
+    offsets = np.append(0, np.cumsum([len(x) for x in raw]))
+    got = feature(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    assert got.tolist() == [brute_toxic(t, lexicon) for t in texts]
+
+
+def test_toxicity_of_repeated_rows_and_clashing_names(odd, spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    n = odd.count()
+    got = toxicity.toxicity(odd.withColumns({"score": F.lit("x"), "predicted": F.lit("y")}), labels).collect()
+    assert len(got) == n and all(0 <= r.score <= 1 for r in got)
+    kept = toxicity.without_toxic(odd.select("doc_id", "text", "_key"), odd, labels)
+    assert kept.columns == ["doc_id", "text", "_key"] and kept.count() <= n
