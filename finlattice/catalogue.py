@@ -284,7 +284,7 @@ def account_lookup(spark, sf):
     return accounts.lookup(_chart(spark, sf), "RING")
 
 
-@query(f"""with c as ({_CHART}), h(d, t) as (values ('5', '=== REVENUE ACCOUNTS (5000 series) ==='), ('6', '=== DIRECT COSTS (6000 series) ==='), ('7', '=== OPERATING EXPENSES (7000 series) ==='), ('8', '=== OTHER EXPENSES - DEPRECIATION / AMORTIZATION (8000 series) ==='), ('9', '=== OTHER INCOME / OTHER EXPENSE / INTEREST / TAXES (9000 series) ===')),
+@query(f"""with c as ({_CHART}), h(d, t) as (values ('5', 'Revenue (accounts 5000 to 5999)'), ('6', 'Direct costs (accounts 6000 to 6999)'), ('7', 'Operating expenses (accounts 7000 to 7999)'), ('8', 'Depreciation and other expenses (accounts 8000 to 8999)'), ('9', 'Interest, taxes and other items (accounts 9000 to 9999)')),
 b as (select d, t || coalesce(chr(10) || string_agg(code || ' - ' || name, chr(10) order by code), '') as x from h left join c on starts_with(code, d) group by d, t)
 select string_agg(x, chr(10) || chr(10) order by d) as text from b""")
 def chart_text(spark, sf):

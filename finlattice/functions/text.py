@@ -27,7 +27,7 @@ def parse_value(x: Column) -> Column:
 def stem(word: Column) -> Column:
     """Known stem, else the first suffix rule that matches."""
     w = F.lower(word)
-    known = F.create_map(*(F.lit(x) for s, ws in V.STEMS.items() for k in ws.split() for x in (k, s)))
+    known = F.create_map(*(F.lit(x) for entry in V.STEMS.items() for x in entry))
     ruled = F.coalesce(*(F.when(w.rlike(p), F.regexp_replace(w, p, r)) for p, r in V.STEM_RULES), w)
     return F.coalesce(F.try_element_at(known, w), ruled)
 
@@ -82,7 +82,7 @@ def overlap(label: Column, account: Column) -> Column:
 
 def duck_stem(w: str) -> str:
     """stem() of a lower-case SQL expression, as DuckDB SQL."""
-    cases = " ".join(f"when {w} = '{k}' then '{s}'" for s, ws in V.STEMS.items() for k in ws.split())
+    cases = " ".join(f"when {w} = '{k}' then '{s}'" for k, s in V.STEMS.items())
     rules = " ".join(f"when regexp_matches({w}, '{p}') then regexp_replace({w}, '{p}', '{r}')" for p, r in V.STEM_RULES)
     return f"(case {cases} {rules} else {w} end)"
 

@@ -17,10 +17,15 @@ STEM_RULES = [
     ("ations?$", "ate"), ("ication$", "icate"), ("ings?$", ""), ("ies?$", "y"), ("es?$", ""), ("s$", ""), ("ment$", ""), ("able$", ""), ("ible$", ""), ("tion$", ""), ("sis$", "s"), ("al$", ""), ("ic$", ""),
 ]
 STEMS = {
-    "vaccin": "vaccinations vaccine vaccin", "diagnost": "diagnostics diagnostic diagnose", "board": "boarding board", "cremat": "cremation cremations", "mortuar": "mortuary", "homeopath": "homeopathy homeopathic",
-    "altern": "alternative", "complement": "complementary", "medicin": "medicine medicines", "medic": "medical", "surg": "surgery surgical", "dent": "dentistry dental", "exam": "exams exam examination",
-    "consult": "consultations consultation consult", "food": "food foods", "diet": "dietary diet diets", "drug": "drug drugs", "pharm": "pharmacy pharmaceutical pharmacist", "sale": "sales sale", "revenu": "revenue revenues",
-    "expens": "expense expenses", "cost": "cost costs", "cpp": "cpp", "ei": "ei", "whscc": "whscc", "payroll": "payroll", "tax": "tax taxes", "account": "accounting account", "leg": "legal", "law": "law", "attorney": "attorney",
+    "vaccinations": "vaccin", "vaccine": "vaccin", "vaccin": "vaccin", "diagnostics": "diagnost", "diagnostic": "diagnost", "diagnose": "diagnost",
+    "boarding": "board", "board": "board", "cremation": "cremat", "cremations": "cremat", "mortuary": "mortuar", "homeopathy": "homeopath",
+    "homeopathic": "homeopath", "alternative": "altern", "complementary": "complement", "medicine": "medicin", "medicines": "medicin",
+    "medical": "medic", "surgery": "surg", "surgical": "surg", "dentistry": "dent", "dental": "dent", "exams": "exam", "exam": "exam",
+    "examination": "exam", "consultations": "consult", "consultation": "consult", "consult": "consult", "food": "food", "foods": "food",
+    "dietary": "diet", "diet": "diet", "diets": "diet", "drug": "drug", "drugs": "drug", "pharmacy": "pharm", "pharmaceutical": "pharm",
+    "pharmacist": "pharm", "sales": "sale", "sale": "sale", "revenue": "revenu", "revenues": "revenu", "expense": "expens", "expenses": "expens",
+    "cost": "cost", "costs": "cost", "cpp": "cpp", "ei": "ei", "whscc": "whscc", "payroll": "payroll", "tax": "tax", "taxes": "tax",
+    "accounting": "account", "account": "account", "legal": "leg", "law": "law", "attorney": "attorney",
 }
 CATEGORIES = {"1000": "Asset", "2000": "Asset", "3000": "Liability", "4000": "Equity", "5000": "Revenue", "6000": "Direct Cost", "7000": "Operating Expense", "8000": "Other Expense", "9000": "Other"}
 METRIC_ALIASES = {
@@ -43,12 +48,13 @@ SECTION_WORDS = {
     "7": ["EXPENSE", "OPERATING", "G&A", "GENERAL", "ADMINISTRATIVE", "SELLING", "DISTRIBUTION", "OVERHEAD", "PAYROLL"],
 }
 ALIAS_FILLERS = "revenue expense expenses cost costs services service sales fees total other and the a an".split()
+#: Our own words over the blocks of a chart in a prompt.
 CHART_HEADINGS = {
-    "5": "=== REVENUE ACCOUNTS (5000 series) ===",
-    "6": "=== DIRECT COSTS (6000 series) ===",
-    "7": "=== OPERATING EXPENSES (7000 series) ===",
-    "8": "=== OTHER EXPENSES - DEPRECIATION / AMORTIZATION (8000 series) ===",
-    "9": "=== OTHER INCOME / OTHER EXPENSE / INTEREST / TAXES (9000 series) ===",
+    "5": "Revenue (accounts 5000 to 5999)",
+    "6": "Direct costs (accounts 6000 to 6999)",
+    "7": "Operating expenses (accounts 7000 to 7999)",
+    "8": "Depreciation and other expenses (accounts 8000 to 8999)",
+    "9": "Interest, taxes and other items (accounts 9000 to 9999)",
 }
 REQUIRED_SECTIONS = {
     "balance_sheet": ["ASSET", "LIABILIT", "EQUITY"],

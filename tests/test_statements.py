@@ -116,7 +116,7 @@ def test_accounts(spark):
     names = c.where("code = '7340'").select(accounts.aliases(F.col("name"))).first()[0]
     assert names == ["Flea", "Flea/Tick, Cost", "Tick", "Tick, Cost"]
     text = accounts.chart_text(c).first().text.split("\n\n")
-    assert len(text) == 5 and text[0].split("\n")[1] == "5001 - Vaccine Revenue: " + "d" * 200 and text[1] == "=== DIRECT COSTS (6000 series) ==="
+    assert len(text) == 5 and text[0].split("\n")[1] == "5001 - Vaccine Revenue: " + "d" * 200 and text[1] == "Direct costs (accounts 6000 to 6999)"
     two = c.limit(1).unionByName(c.limit(1).withColumns({"name": F.lit("New"), "pos": F.lit(9)}))
     assert [(r.name, r.pos) for r in accounts.latest(two).collect()] == [("New", 0)]
     assert {r.alias: r.code for r in accounts.alias_index(c).collect()}["tick"] == "7340"
