@@ -101,7 +101,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     has CELL_QUERIES blocks of queries and a group of blocks of rows, each block of queries lies in the cells of all
     groups, each block of rows in those of all queries. Every score is computed in each round and only counts
     leave a task: a histogram of BINS bins over the interval that holds a query's kth score, one for a query and a cell,
-    until an interval is one score wide. Then rows at or above the kth score are ranked, of equal scores the
+    from its highest bin down to the one that holds the cell's own kth row, until an interval is one score wide. Then rows at or above the kth score are ranked, of equal scores the
     smaller ids first; each cell hands on k rows of a query at most, so one vector in a third of all rows stays
     small. Vectors that are null or hold null, NaN or infinite components take no part, nor do null ids; vectors of
     other lengths meet only their like. Repeated ids are candidates of their own and one query (the smallest vector),
@@ -162,7 +162,10 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
         return n if found is None else found + n
 
     def histogram(block, qi, found):
-        key = np.flatnonzero(found)
+        # in each bin below, k rows of this cell alone lie above: it can't hold the kth
+        n = found.reshape(-1, BINS)
+        above = np.cumsum(n[:, ::-1], 1)[:, ::-1] - n
+        key = np.flatnonzero((n > 0) & (above < k))
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block, np.int64)), pa.array(qi[key // BINS]), pa.array((key % BINS).astype(np.int32)), pa.array(found[key].astype(np.int64))], ["q_block", "query_id", "bin", "n"])
 
     while state.where("hi > lo").limit(1).count():
