@@ -14,9 +14,9 @@ from .work import Scratch
 #: A candidate is a run of 16 characters or more of the alphabets of keys and tokens, with padding at its end; runs joined
 #: by dots are one. A `=` ends a run: in api_key=9f86d0... the name is no part of the key. Besides, whatever is
 #: assigned to a name that says it is secret, if it has 6 characters, whatever its alphabet. Before a candidate, up to 48
-#: characters of its line hold the neighbouring words.
+#: characters of its line hold the neighbouring words. Possessive: Java matches such groups in a loop, however many there are.
 _RUN, _ASSIGNED = r"[A-Za-z0-9+/_\-]", r"(?i:pass|password|passwd|passphrase|pwd|secret|token|api_?key|api-key|access_?key|auth|credentials?|private_key)[\"']? ?[:=] ?[\"'`]?"
-TOKEN = rf"{_RUN}{{16,}}(?:\.{_RUN}{{16,}})*(?:=+(?!{_RUN}))?|(?<=[:=][\"'` ]{{0,2}})(?<={_ASSIGNED})[^\s\"'`]{{5,}}[^\s\"'`,;.:)\]}}]"
+TOKEN = rf"{_RUN}{{16,}}+(?:\.{_RUN}{{16,}}+)*+(?:=+(?!{_RUN}))?|(?<=[:=][\"'` ]{{0,2}})(?<={_ASSIGNED})[^\s\"'`]{{5,}}[^\s\"'`,;.:)\]}}]"
 #: Words that stand before secrets, words that stand before other long strings, and pieces of
 #: ordinary words, by which the share of a candidate that a dictionary covers is measured.
 SECRET_WORDS = "token secret password passwd pwd apikey api_key api-key access_key auth bearer credential private".split()

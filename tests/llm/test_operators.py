@@ -693,3 +693,12 @@ def test_toxicity_of_repeated_rows_and_clashing_names(odd, spark):
     assert len(got) == n and all(0 <= r.score <= 1 for r in got)
     kept = toxicity.without_toxic(odd.select("doc_id", "text", "_key"), odd, labels)
     assert kept.columns == ["doc_id", "text", "_key"] and kept.count() <= n
+
+
+def test_secrets_in_very_long_texts(spark):
+    token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = [".".join(["abcdefgh12345678"] * 30_000), "x" * 300_000 + f' token = "{token}"', "password=" + "p!" * 100_000, (f"commit {token} " * 3000)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    n = collections.Counter(r.doc_id for r in secret_scan.scan(df).collect())
+    assert n == {0: 1, 1: 2, 2: 1, 3: 3000}
+    assert {r.doc_id: r.text for r in secret_scan.redact(df).collect()}[1] == "x" * 300_000 + ' token = "[SECRET]"'
