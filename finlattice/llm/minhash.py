@@ -166,13 +166,11 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     classes = scratch.keep(named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node")))
     reps = named.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     banded = scratch.keep(reps.select(F.col("doc_id").alias("node"), "n", F.explode("bands").alias("key")))
-    ends = scratch.keep(banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi"))
-    near = banded.join(ends, "key")
-    nodes = banded.select("node", "n").distinct()
-    pairs = near.select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node <> other").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-    na, nb = nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-    fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    pairs = scratch.keep(pairs.join(na, "a").join(nb, "b").where(fits).select("a", "b").distinct())
+    member = F.struct("node", "n")
+    ends = scratch.keep(banded.groupBy("key").agg(F.min(member).alias("lo"), F.max(member).alias("hi")).where("lo.node < hi.node"))
+    near = banded.join(ends, "key").select("node", "n", F.explode(F.array("lo", "hi")).alias("x")).select("node", "n", F.col("x.node").alias("other"), F.col("x.n").alias("m"))
+    fits = F.expr(f"node <> other and 100 * least(n, m) >= {percent} * greatest(n, m)")
+    pairs = scratch.keep(near.where(fits).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct())
     edges = scratch.keep(linked(pairs, texts, k, percent))
     found = components(edges, scratch)
     # buckets that are not yet one component
