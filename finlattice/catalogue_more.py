@@ -14,7 +14,7 @@ from .catalogue import ORACLES, QUERIES, query, t
 from .functions import text as X
 from .operators import accounts, matching, memory, review, statements, telemetry, validation
 from .plans import comparison, providers, workflow
-from .sources import files, sinks
+from .sources import files, sinks, workbook
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -336,6 +336,84 @@ def statement_types(spark, sf):
     return spark.createDataFrame([(i, k) for i, s in enumerate(given) for k in workflow.statement_types(s)], "i int, kind string").groupBy("i", "kind").agg(F.count("*").alias("n"))
 
 
+_TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
+
+
+@query(f"select unnest({_TABLES}) as stem, unnest([{', '.join('true' if n == 'nation' else 'false' for n in _TABLES)}]) as chosen")
+def report_files(spark, sf):
+    """The tables' own files as a folder of reports."""
+    found = files.reports(spark, sf, "*.parquet").where(F.col("stem").isin(_TABLES)).select(F.col("stem").alias("stem"))
+    one = files.listed(spark, sf, "nation*").where("stem = 'nation'").select("stem").distinct().withColumn("chosen", F.lit(True))
+    return found.distinct().join(one, "stem", "left").select("stem", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+@query("select n_nationkey::varchar as code, n_name as name, case when n_nationkey % 2 = 0 then 'about ' || n_name end as description, n_nationkey::int as pos from nation")
+def chart_documents(spark, sf):
+    """A chart of accounts as one JSON text, parsed."""
+    k = F.col("n_nationkey")
+    account = F.struct(k.cast("string").alias("code"), F.col("n_name").alias("name"), F.when(k % 2 == 0, F.concat(F.lit("about "), "n_name")).alias("description"))
+    one = t(spark, sf, "nation").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), account.alias("a")))), lambda x: x["a"])).alias("value"))  # a chart is one small document
+    return files.accounts_of(one)
+
+
+@query(f"select doc_id, section, row_pos::int as row_pos, label, sub, a || case when short = 0 then ',' || coalesce(b, '-') else '' end as figures from ({_PLACED}) where doc_id % 7 > 0 union all select distinct doc_id, null, null, null, null, null from ({_LINES}) where doc_id % 7 = 0")
+def statement_documents(spark, sf):
+    """Statements written as JSON and parsed; every seventh text is broken."""
+    s = _statements(spark, sf)
+    text = F.when(F.col("doc_id") % 7 == 0, "{broken").otherwise(sinks.statement_json(F.struct("title", "statement_type", "periods", "sections")))
+    back = files.statements_of(s.select("doc_id", text.alias("value")))
+    rows = back.select("doc_id", F.explode_outer("sections").alias("s")).select("doc_id", F.col("s.name").alias("section"), F.posexplode_outer("s.rows").alias("row_pos", "r"))
+    return rows.select("doc_id", "section", "row_pos", F.col("r.label").alias("label"), F.col("r.is_subtotal").alias("sub"), F.array_join("r.values", ",", "-").alias("figures"))
+
+
+@query("select 'r' || event_id as run_id, value as total_duration, (event_id % 7)::int as llm_calls, (event_id % 3)::int as retries, event_type <> 'error' as success, case when event_type = 'error' then 'e' end as error_message from events")
+def run_documents(spark, sf):
+    k = F.col("event_id")
+    run = F.struct(F.concat(F.lit("r"), k).alias("run_id"), F.col("value").alias("total_duration"), (k % 7).alias("llm_calls"), (k % 3).alias("retries"), (F.col("event_type") != "error").alias("success"), F.when(F.col("event_type") == "error", "e").alias("error_message"))
+    return files.runs_of(t(spark, sf, "events").select(F.to_json(run).alias("value"))).drop("timestamp")
+
+
+@query("select ts as timestamp, event_type as event, user_id::varchar as run_id, (event_id % 5000)::double as duration_ms from events where event_id % 4 > 0")
+def event_lines(spark, sf):
+    k = F.col("event_id")
+    line = F.to_json(F.struct(F.col("ts").alias("timestamp"), F.col("event_type").alias("event"), F.col("user_id").cast("string").alias("run_id"), (k % 5000).alias("duration_ms")))
+    return files.events_of(t(spark, sf, "events").select(F.when(k % 4 == 0, "{").otherwise(line).alias("value")))
+
+
+@query("select p_partkey, base64(encode(repeat(p_name, 20))) as shown from part")
+def encoded_images(spark, sf):
+    return t(spark, sf, "part").select("p_partkey", files.encoded(F.encode(F.repeat("p_name", F.lit(20)), "UTF-8")).alias("shown"))
+
+
+@query("""with o as (select o_custkey, o_orderkey, o_orderpriority, o_totalprice, row_number() over (partition by o_custkey order by o_orderkey) as n from orders)
+select 'c' || o_custkey || '.xlsx' as name, 'Orders & <sums>' as sheet, n::int as row_no, 1 as col_no, o_orderkey::varchar as value from o union all select 'c' || o_custkey || '.xlsx', 'Orders & <sums>', n::int, 2, o_orderpriority from o""")
+def workbooks(spark, sf):
+    """A spreadsheet per customer, written and read again."""
+    from pyspark.sql import Window
+
+    o = t(spark, sf, "orders").withColumn("row_no", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    cell = lambda i, c: F.struct(F.lit(i).alias("col_no"), F.col(c).cast("string").alias("value"), F.lit("plain").alias("style"))
+    cells = o.select(F.concat(F.lit("c"), "o_custkey", F.lit(".xlsx")).alias("name"), F.lit("Orders & <sums>").alias("sheet"), "row_no", F.inline(F.array(cell(1, "o_orderkey"), cell(2, "o_orderpriority"))))
+
+    def back(frames):
+        import pandas as pd
+
+        for f in frames:
+            yield pd.DataFrame([(n, *c) for n, content in zip(f["name"], f["content"], strict=True) for c in workbook.read(content)], columns=["name", "sheet", "row_no", "col_no", "value"])
+
+    return workbook.files(cells).mapInPandas(back, "name string, sheet string, row_no int, col_no int, value string")
+
+
+@query("select event_type as node, case when event_id % 9 = 0 then 0 else len(event_type) // 4 end as response_tokens, event_id % 9 > 0 as success, count(*) as n from events group by all")
+def call_events(spark, sf):
+    """Calls as events: nodes, token estimates, failures."""
+    k = F.col("event_id")
+    e = t(spark, sf, "events").select("event_type", F.when(k % 9 > 0, F.col("event_type")).alias("answer"), F.when(k % 9 == 0, "down").alias("error"), F.lit(1.0).alias("ms"))
+    logs = [providers.call_log(e.where(F.col("event_type") == n), n) for n in ("click", "view", "purchase", "error", "signup")]
+    every = logs[0].unionByName(logs[1]).unionByName(logs[2]).unionByName(logs[3]).unionByName(logs[4])
+    return every.groupBy("node", "response_tokens", "success").agg(F.count("*").alias("n"))
+
+
 # -- the workflow over documents: a document's pages are its parts of 300 characters, four at most
 
 _PAGES = "select doc_id, i + 1 as page_num, substr(text, 1 + i * 300, 300) as text from documents, (select unnest([0, 1, 2, 3]) as i) where i = 0 or len(text) > i * 300"

@@ -31,7 +31,12 @@ def outputs_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def as_base64(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", F.base64("content").alias("base64"))
+    return spark.read.format("binaryFile").load(path).select("path", encoded(F.col("content")).alias("base64"))
+
+
+def encoded(content: Column) -> Column:
+    """Base64 in one line."""
+    return F.regexp_replace(F.base64(content), r"\s", "")
 
 
 def page_count(info: Column) -> Column:
@@ -50,6 +55,11 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
     return s.select(F.regexp_extract("_metadata.file_path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("doc_id"), "*")
 
 
+def statements_of(texts: DataFrame) -> DataFrame:
+    """Statements out of texts (doc_id, value); a text that isn't a statement has nulls."""
+    return texts.select("doc_id", F.from_json("value", STATEMENT).alias("s")).select("doc_id", "s.*")
+
+
 def accounts(spark: SparkSession, path: str) -> DataFrame:
     """code, name, description, pos of a chart of accounts: one JSON list, in its order. A missing file is an error."""
     return accounts_of(spark.read.text(path, wholetext=True))
@@ -91,6 +101,16 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN).option("multiLine", True).json(path).select("*", F.col("_metadata.file_modification_time").alias("modified"))
 
 
+def runs_of(texts: DataFrame) -> DataFrame:
+    """Run metrics out of texts (value)."""
+    return texts.select(F.from_json("value", RUN).alias("r")).select("r.*")
+
+
+def events_of(lines: DataFrame) -> DataFrame:
+    """Events out of the lines of a log (value); lines that can't be read are left out."""
+    return lines.select(F.from_json("value", EVENT).alias("e")).where("e.event is not null").select("e.*")
+
+
 def event_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT).json(path)
 
