@@ -16,12 +16,12 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 
 
-def suffix_ranks(tokens: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def suffix_array(tokens: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int]:
     """Suffix array of all texts at once by prefix doubling; a suffix ends with its text.
 
-    tokens: equal numbers are equal words. ends: per word, where its text ends. Returns the array and, per
-    doubling step s, ranks that are equal exactly where 2 ** s words are. Only suffixes not yet told apart
-    are sorted again, so a text without repeats costs two sorts.
+    tokens: equal numbers are equal words. ends: per word, where its text ends. Returns the array and the doubling
+    steps it took: no two suffixes share 2 ** steps words. Only suffixes not yet told apart are sorted again, so a
+    text without repeats costs two sorts; memory is a few numbers a word, whatever the repeats.
     """
     n = len(tokens)
     key = tokens ^ T.mix(doc.astype(np.uint64) + np.uint64(1))
@@ -33,11 +33,10 @@ def suffix_ranks(tokens: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> tuple
     rank[order] = start[np.cumsum(new) - 1]
     size = np.diff(np.append(start, n))
     active = order[np.repeat(size > 1, size)]
-    levels, step = [rank], 1
+    steps = 0
     while len(active):
-        ahead = active + step
-        inside = ahead < ends[active]
-        follow = np.where(inside, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        ahead = active + (1 << steps)
+        follow = np.where(ahead < ends[active], rank[np.minimum(ahead, n - 1)] + 1, 0)
         old = rank[active]
         by = np.lexsort((follow, old))
         active, old, follow = active[by], old[by], follow[by]
@@ -48,32 +47,28 @@ def suffix_ranks(tokens: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> tuple
         at = np.arange(len(active))
         base = at[group][np.cumsum(group) - 1]
         begin = at[fine]
-        own = begin[np.cumsum(fine) - 1]
-        rank = rank.copy()
-        rank[active] = old + (own - base)
+        rank[active] = old + (begin[np.cumsum(fine) - 1] - base)
         size = np.diff(np.append(begin, len(active)))
         active = active[np.repeat(size > 1, size)]
-        levels.append(rank)
-        step *= 2
+        steps += 1
     array = np.empty(n, np.int64)
     array[rank] = np.arange(n)
-    return array, levels
+    return array, steps
 
 
-def common_prefixes(array: np.ndarray, levels: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
-    """Longest common prefix of each suffix with the next one in the array, in words."""
+def common_prefixes(array: np.ndarray, steps: int, tokens: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Longest common prefix of each suffix with the next one in the array, in words, by hashes of ranges, the longest range first."""
     a, b = array[:-1], array[1:]
     out = np.zeros(len(a), np.int64)
-    live = np.flatnonzero(levels[0][a] == levels[0][b])
+    live = np.flatnonzero((tokens[a] == tokens[b]) & (doc[a] == doc[b]))
     a, b = a[live], b[live]
-    ea, eb = ends[a], ends[b]
-    got = np.zeros(len(a), np.int64)
-    n = len(array)
-    for s in range(len(levels) - 1, -1, -1):
+    got, ea, eb = np.zeros(len(a), np.int64), ends[a], ends[b]
+    roll = T.word_roller(tokens)
+    for s in range(steps, -1, -1):
         x, y = a + got, b + got
-        same = (x < ea) & (y < eb)
-        same &= levels[s][np.minimum(x, n - 1)] == levels[s][np.minimum(y, n - 1)]
-        got += same * (1 << s)
+        room = np.flatnonzero((x + (1 << s) <= ea) & (y + (1 << s) <= eb))
+        x, y = x[room], y[room]
+        got[room] += (roll.ranges(x, x + (1 << s)) == roll.ranges(y, y + (1 << s))) * (1 << s)
     out[live] = got
     return out
 
@@ -84,8 +79,8 @@ def repeats(tokens: np.ndarray, first: np.ndarray, doc: np.ndarray, least: int)
     if not len(tokens):
         return np.zeros(docs, np.int64), np.zeros(docs, np.int64)
     ends = np.repeat(first[1:], np.diff(first))
-    array, levels = suffix_ranks(tokens, doc, ends)
-    lcp = common_prefixes(array, levels, ends)
+    array, steps = suffix_array(tokens, doc, ends)
+    lcp = common_prefixes(array, steps, tokens, doc, ends)
     longest = np.zeros(len(tokens), np.int64)
     # a suffix shares most with a neighbour: the ends of the LCP intervals that hold it
     longest[array[:-1]] = lcp
@@ -148,7 +143,8 @@ def quality_rules(docs: DataFrame, least_words: int = 6, max_covered_percent: in
     A substring of `least_words` words or more that a text holds twice (overlaps included) is a repeat; the
     spans of all repeats are united. A text fails if they cover more than `max_covered_percent` of its words or
     if one repeat is longer than `max_longest` words. Null text: none (0 words, base_failed). Repeated rows are
-    judged one by one; an empty table gives no rows; other columns of the input are not read. No shuffle.
+    judged one by one; a long text is judged whole, in memory that grows with its words; an empty table gives no rows;
+    other columns of the input are not read, whatever their names. No shuffle.
     """
 
     ship(docs.sparkSession)

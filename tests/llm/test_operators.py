@@ -702,3 +702,35 @@ def test_secrets_in_very_long_texts(spark):
     n = collections.Counter(r.doc_id for r in secret_scan.scan(df).collect())
     assert n == {0: 1, 1: 2, 2: 1, 3: 3000}
     assert {r.doc_id: r.text for r in secret_scan.redact(df).collect()}[1] == "x" * 300_000 + ' token = "[SECRET]"'
+
+
+def test_packing_by_brute_force(spark):
+    """Token counts, hashed and projected, standardised, cut into cells, in Hilbert order, laid end to end."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(vocabulary())
+    once = [r for r in dict.fromkeys(rows()) if r[0] is not None]
+    ids = {r[0]: tok.encode(r[1] or "", add_special_tokens=False).ids + [1] for r in once}
+    table = packing.projection(max(tok.get_vocab_size(), 2), 29)
+    point = {i: np.asarray([np.float64(np.add.reduceat(table[x, d], [0])[0] / len(x)) for d in range(packing.DIMS)]) for i, x in ids.items()}
+    every = np.stack(list(point.values()))
+    spot = dict(zip((r[0] for r in once), brute_spots(once, ["doc_id", "text"], 29, {"doc_id": 0, "text": 1}), strict=True))
+    cells = {i: [min(1023, int(1024 / (1 + math.exp(-1.7 * (p[d] - every[:, d].mean()) / every[:, d].std())))) for d in range(3)] for i, p in point.items()}
+    key = {i: (int(packing.hilbert(np.asarray([c]), packing.BITS)[0]) << 32) | (spot[i] & 0xFFFFFFFF) for i, c in cells.items()}
+    line, want = 0, set()
+    for i in sorted(ids, key=lambda i: (key[i], i)):
+        start = 0
+        while start < len(ids[i]):
+            n = min(len(ids[i]) - start, 64 - line % 64)
+            want.add((i, start, n, np.asarray(ids[i][start : start + n], "<u4").tobytes(), len(ids[i]), line // 64, line % 64))
+            start, line = start + n, line + n
+    got = packing.pack(spark.createDataFrame(once, SCHEMA), vocabulary(), length=64).collect()
+    assert {(r.doc_id, r.start, r.length, bytes(r.ids), r.doc_tokens, r.sequence_id, r.offset) for r in got} == want
+
+
+def test_quality_of_long_repeats(spark):
+    """One text of 200,000 equal words, and one that repeats a passage of 60,000."""
+    passage = " ".join(f"w{i}" for i in range(60_000))
+    df = spark.createDataFrame([(1, "a " * 200_000), (2, f"{passage} x {passage}")], "doc_id long, text string")
+    got = {r.doc_id: (r.covered_words, r.longest_repeat) for r in quality.quality_rules(df).collect()}
+    assert got == {1: (200_000, 199_999), 2: (120_000, 60_000)}
