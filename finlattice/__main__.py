@@ -1,6 +1,6 @@
 """python -m finlattice: statements out of a folder of reports, or one of them.
 
-Readers and models are given as module:function, for none comes with the library.
+Readers and models are given as module:function; the default reader calls the Poppler tools, and no model comes with the library.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import review, telemetry
-from .plans import workflow
+from .plans import providers, workflow
 from .sources import documents, files, sinks, workbook
 
 
@@ -25,6 +25,10 @@ def function(name: str | None):
     return getattr(importlib.import_module(module), attribute)
 
 
+def model(name: str | None, endpoint: str | None):
+    return providers.ChatEndpoint(endpoint, name) if endpoint and name else function(name)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="finlattice", description="Balance sheets, income statements and cash flows out of reports.")
     p.add_argument("--pdf", help="one report")
@@ -32,9 +36,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--out", default="output", help="where results go (default: output)")
     p.add_argument("--tmp", default="tmp", help="the folder that --clean empties (default: tmp)")
     p.add_argument("--statements", default="all", help="balance_sheet, income_statement, cash_flow, by commas (default: all)")
-    p.add_argument("--reader", help="module:function, bytes -> a text per page")
-    p.add_argument("--renderer", help="module:function, (bytes, page, dpi) -> image; pages without text need it")
-    p.add_argument("--model", help="module:function that answers every prompt")
+    p.add_argument("--reader", default="finlattice.sources.poppler:texts", help="module:function, bytes -> a text per page (default: by Poppler)")
+    p.add_argument("--renderer", help="module:function, (bytes, page, dpi) -> image; pages without text need it, e.g. finlattice.sources.poppler:image")
+    p.add_argument("--model", help="module:function that answers every prompt, or a model's name at --endpoint")
+    p.add_argument("--endpoint", help="the URL of a chat endpoint; models are names there then")
     p.add_argument("--extraction-model", help="for page detection and extraction, instead of --model")
     p.add_argument("--eval-model", help="for judging, instead of --model; without any the rules judge")
     p.add_argument("--chart", help="the chart of accounts, a JSON list; without it nothing is categorised")
@@ -83,16 +88,16 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if a.clean:
         print(f"{sinks.clean(spark, a.tmp)} files deleted")
         return 0
-    extractor, judger = function(a.extraction_model or a.model), function(a.eval_model or a.model)
-    if not a.reader or extractor is None:
-        print("a reader and a model are needed", file=sys.stderr)
+    extractor, judger = model(a.extraction_model or a.model, a.endpoint), model(a.eval_model or a.model, a.endpoint)
+    if extractor is None:
+        print("a model is needed", file=sys.stderr)
         return 1
     pages = pages_of(spark, a.folder, a.pdf, function(a.reader), function(a.renderer))
     if pages.isEmpty():
         print("no reports", file=sys.stderr)
         return 1
     chart = files.accounts(spark, a.chart) if a.chart and not a.no_categorization else None
-    result = workflow.run(pages, extractor, judger, chart, function(a.model) if chart is not None else None, workflow.statement_types(a.statements))
+    result = workflow.run(pages, extractor, judger, chart, model(a.model or a.extraction_model, a.endpoint) if chart is not None else None, workflow.statement_types(a.statements))
     save(result, a.out)
     n = telemetry.outcomes(result.outcome).first()
     print(f"{n.processed} processed, {n.failed} failed, of {n.total}")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +17,28 @@ from pyspark.sql import functions as F
 Ask = Callable[[list, list], list]
 
 
+@dataclass(frozen=True)
+class ChatEndpoint:
+    """A model behind a chat endpoint: JSON with model, messages and stream=false is posted, message.content is the answer.
+
+    Images go along as base64. One call per prompt; a status other than 2xx or an answer of another shape is an error.
+    """
+
+    url: str
+    model: str
+    patience: float = 600.0
+
+    def __call__(self, prompts: list, images: list) -> list:
+        return [self.one(p, i) for p, i in zip(prompts, images, strict=True)]
+
+    def one(self, prompt: str, image) -> str:
+        said = {"role": "user", "content": prompt} | ({"images": [base64.b64encode(bytes(image)).decode()]} if image is not None else {})
+        body = json.dumps({"model": self.model, "messages": [said], "stream": False}).encode()
+        request = urllib.request.Request(self.url, body, {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.patience) as reply:
+            return json.load(reply)["message"]["content"]
+
+
 def answers(requests: DataFrame, ask: Ask, batch: int = 8, pause: float = 0.0) -> DataFrame:
     """Requests (prompt, perhaps image, and other columns) with answer, error and ms instead of prompt and image.
 

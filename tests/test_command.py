@@ -70,3 +70,22 @@ def test_balance_accounts_are_a_choice(spark):
     chart = spark.createDataFrame([("1100", "Inventory", 0), ("7100", "Inventory Loss", 1)], "code string, name string, pos int")
     label = spark.createDataFrame([("Inventory",)], "label string")
     assert matching.match(label, chart).first()["code"] == "1100" and matching.match(label, chart, allow_balance_sheet=False).first()["code"] == "7100"
+
+
+def test_poppler_tools(tmp_path, monkeypatch):
+    from finlattice.sources import poppler
+
+    for name, body in (("pdftotext", 'cat; printf "\\fpage two\\f"'), ("pdftoppm", 'printf "%s " "$@"; cat'), ("pdfinfo", 'echo "Pages:  3"; cat >/dev/null')):
+        (tmp_path / name).write_text(f"#!/bin/sh\n{body}\n")
+        (tmp_path / name).chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:/usr/bin:/bin")
+    assert poppler.texts(b"one") == ["one", "page two"]
+    assert poppler.image(b"x", 2, 72) == b"-png -r 72 -f 2 -l 2 - x"
+    assert poppler.info(b"x") == "Pages:  3\n"
+    (tmp_path / "pdfinfo").write_text("#!/bin/sh\necho broken >&2\nexit 1\n")
+    try:
+        poppler.info(b"x")
+    except ValueError as e:
+        assert str(e) == "pdfinfo: broken"
+    else:
+        raise AssertionError

@@ -100,3 +100,27 @@ def test_workbook(spark, tmp_path):
     got = {(r.row_no, r.col_no): r.value for r in workbook.comparison_cells(wide, "Comparison", "Metric").collect()}
     assert got[1, 2] == "A.B" and got[2, 1] == "assets" and got[3, 3] is None
     assert workbook.column_name(28) == "AB" and workbook.column_number("AB12") == 28
+
+
+def test_chat_endpoint(spark):
+    import http.server
+    import threading
+
+    class Echo(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            said = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            [m] = said["messages"]
+            self.send_response(500 if m["content"] == "bad" else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"message": {"content": f"{said['model']} {m['content']} {m.get('images')}"}}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Echo)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ask = providers.ChatEndpoint(f"http://127.0.0.1:{server.server_port}/chat", "m")
+    df = spark.createDataFrame([(1, "a", None), (2, "b", b"x"), (3, "bad", None)], "i int, prompt string, image binary").coalesce(1)
+    got = {r.i: (r.answer, r.error) for r in providers.answers(df, ask, batch=1).collect()}
+    server.shutdown()
+    assert got[1] == ("m a None", None) and got[2] == ("m b ['eA==']", None) and got[3][0] is None and "500" in got[3][1]
