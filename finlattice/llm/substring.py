@@ -16,7 +16,7 @@ PHRASE = 8
 #: Distinct passages under one phrase that a block compares with each other; phrases with more are looked up window by window.
 MAX_KINDS = 256
 #: Pairs of passages that are compared at once.
-PAIRS = 1 << 18
+PAIRS = 1 << 16
 #: A marked passage (phrase, where it stands in it, its words) or a window (its hash) of a text.
 PIECES = "phrase long, t1 long, t2 long, lo int, anchor int, words binary, h1 long, h2 int, times long"
 #: The identity of a row.
