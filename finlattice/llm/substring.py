@@ -111,28 +111,36 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(a == b, 1).sum(1)
 
 
-def factored(group: np.ndarray, words: list[bytes], anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy factors of each passage relative to the others of its group: passage, first word, word after the last, the other passage.
+def factored(group: np.ndarray, words: list[bytes], anchor: np.ndarray, length: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors of each wanted passage relative to the others of its group: passage, first word, word after the last, the other passage.
 
     Passages of a group have one phrase in common, at `anchor`. A factor is the longest run of words around it that
-    another passage has too, if it has `length` words. From the first word on the longest factor is taken, then, at the
+    another passage has too, if it has `length` words; so half of the words that it needs beside the phrase are equal on
+    one side at least, and only passages that agree there are compared. From the first word on the longest factor is taken, then, at the
     end of each, the longest one that begins before that boundary and reaches over it: so every window of `length`
     words that another passage holds lies in a factor.
     """
     left, right = aligned(words, anchor, length - PHRASE)
-    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    size = np.diff(np.append(begin, len(group)))
-    first, n = np.repeat(begin, size), np.repeat(size, size)  # per passage, its group
-    ends, out, lo = np.cumsum(n), [], 0
-    while lo < len(group):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
-        i = np.repeat(np.arange(lo, hi), n[lo:hi])
-        j = np.arange(len(i)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi]) + first[i]
-        i, j = i[i != j], j[i != j]
-        before, after = common(left[i], left[j]), common(right[i], right[j])
-        long = before + PHRASE + after >= length
-        out.append((i[long], (anchor[i] - before)[long], (anchor[i] + PHRASE + after)[long], j[long]))
-        lo = hi
+    half, out = -(-(length - PHRASE) // 2), []
+    for side in (left, right):
+        key = T.mix(group.view(np.uint64))
+        with np.errstate(over="ignore"):
+            for c in range(half):
+                key = T.mix(key * np.uint64(0x9E3779B97F4A7C15) + side[:, c])
+        by = np.argsort(key, kind="stable")
+        begin = np.flatnonzero(np.append(True, key[by][1:] != key[by][:-1]))
+        size = np.diff(np.append(begin, len(by)))
+        first, n = np.repeat(begin, size), np.where(wanted[by], np.repeat(size, size), 0)  # per passage, those that agree
+        ends, lo = np.cumsum(n), 0
+        while lo < len(by):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+            i = np.repeat(np.arange(lo, hi), n[lo:hi])
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi]) + first[i]
+            i, j = by[i[i != j]], by[j[i != j]]
+            before, after = common(left[i], left[j]), common(right[i], right[j])
+            long = before + PHRASE + after >= length
+            out.append((i[long], (anchor[i] - before)[long], (anchor[i] + PHRASE + after)[long], j[long]))
+            lo = hi
     i, start, end, j = (np.concatenate(x) for x in zip(*out, strict=True))
     by = np.lexsort((-end, start, i))
     i, start, end, j = i[by], start[by], end[by], j[by]
@@ -267,8 +275,7 @@ def _parsed(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         for table in _phrases(batches, 1 << 14):
             table = table.combine_chunks()
             once = table.column("times").to_numpy() == 1
-            i, start, end, _ = factored(table.column("phrase").to_numpy(), table.column("words").to_pylist(), table.column("anchor").to_numpy().astype(np.int64), length)
-            i, start, end = i[once[i]], start[once[i]], end[once[i]]
+            i, start, end, _ = factored(table.column("phrase").to_numpy(), table.column("words").to_pylist(), table.column("anchor").to_numpy().astype(np.int64), length, once)
             if len(i):
                 at = pa.array(i)
                 yield pa.RecordBatch.from_arrays([table.column("t1").combine_chunks().take(at), table.column("t2").combine_chunks().take(at), pa.array((table.column("lo").to_numpy()[i] + start).astype(np.int32)), pa.array((end - start).astype(np.int32))], ["t1", "t2", "lo", "size"])
