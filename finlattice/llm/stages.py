@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import minhash, mixing, packing, secret_scan, toxicity
 from .queries import table, vocabulary
 from .sharding import settled
-from .work import Scratch
+from .work import Scratch, made, spent
 
 #: The columns that every stage but the last returns.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -68,11 +68,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each result is written and reread, and dropped when the next one is."""
+    """All stages; each result is written and reread, and dropped when the next one is, with the stage's own scratch tables."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
+        since, before = made(), docs
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+        spent(since)
         if k:
             scratch.drop(before)
     return docs

@@ -37,6 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_DIR.as_uri()
 
 
+#: The folders made so far; spent() removes those of operators whose results have been written.
+_MADE: list[Scratch] = []
+
+
+def made() -> int:
+    return len(_MADE)
+
+
+def spent(since: int) -> None:
+    """Remove the scratch tables of all operators called since made() said `since`: nothing lazy may read them any more."""
+    for s in _MADE[since:]:
+        fs, p = s._path(s.root)
+        fs.delete(p, True)
+    del _MADE[since:]
+
+
 class Scratch:
     """Written tables of one operator call: lineage is cut by a table that survives lost executors.
 
@@ -48,6 +64,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _MADE.append(self)
 
     def _path(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)

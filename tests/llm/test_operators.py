@@ -734,3 +734,15 @@ def test_quality_of_long_repeats(spark):
     df = spark.createDataFrame([(1, "a " * 200_000), (2, f"{passage} x {passage}")], "doc_id long, text string")
     got = {r.doc_id: (r.covered_words, r.longest_repeat) for r in quality.quality_rules(df).collect()}
     assert got == {1: (200_000, 199_999), 2: (120_000, 60_000)}
+
+
+def test_pipeline_leaves_one_table(spark, tmp_path, monkeypatch):
+    from finlattice.llm import stages, work
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work.shared_dir(type("S", (), {"conf": type("C", (), {"get": lambda *a: None})(), "sparkContext": type("X", (), {"master": "local-cluster[2,1,1024]"})})())
+    monkeypatch.setattr(work, "shared_dir", lambda s: f"file://{tmp_path}/shared")
+    out = stages.run(spark, "/root/testdata/sf0.001")
+    assert out.where("start = 0").count() > 60
+    folders = list((tmp_path / "shared/llm").iterdir())
+    assert [f.name.split("-")[0] for f in folders] == ["pipeline"] and [f.name for f in folders[0].iterdir() if not f.name.startswith(".")] == ["005"]
