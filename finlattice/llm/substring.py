@@ -245,20 +245,23 @@ def _parsed(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
             marks = batch.column(batch.schema.get_field_index("marks"))
             for part, data, offsets in passes([batch.append_column("row", pa.array(np.arange(batch.num_rows)))]):
                 p = Parse(data, offsets, length)
+                words, kept, looked = p.hashes.tobytes(), [], []
                 for i, row in enumerate(part.column("row").to_pylist()):
                     own = marks.slice(row, 1).flatten()
                     lo, size, often, hot = (own.field(k).to_numpy(zero_copy_only=False) for k in range(4))
                     uniq = np.unique(lo, return_index=True)[1]
-                    lo, size, often, hot = lo[uniq].astype(np.int64), size[uniq].astype(np.int64), often[uniq], hot[uniq].astype(bool)
-                    at = p.words.first[i] + lo[~hot]
-                    mine = np.searchsorted(p.lo, at)  # passages begin in order
-                    text = p.hashes.tobytes()
-                    yield _pieces(part, i, phrase=_signed(p.key[mine]), lo=lo[~hot], anchor=p.anchor[mine] - at, words=[text[8 * x : 8 * y] for x, y in zip(at, at + size[~hot], strict=True)], times=np.where(often[~hot], 2, 1))
+                    lo, size, times, hot = lo[uniq].astype(np.int64), size[uniq].astype(np.int64), np.where(often[uniq], 2, 1), hot[uniq].astype(bool)
+                    kept.append(np.stack([np.full(len(lo), i), lo, size, times])[:, ~hot])
                     n = size[hot] - length + 1
                     start = np.repeat(lo[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    at = p.words.first[i] + start
-                    h1, h2 = p.roll.ranges(at, at + length), p.check.ranges(at, at + length)
-                    yield _pieces(part, i, lo=start, h1=_signed(h1), h2=(h2 >> np.uint64(33)).astype(np.int32), times=np.repeat(np.where(often[hot], 2, 1), n))
+                    looked.append(np.stack([np.full(len(start), i), start, np.repeat(times[hot], n)]))
+                i, lo, size, times = np.concatenate(kept, 1)
+                at = p.words.first[i] + lo
+                mine = np.searchsorted(p.lo, at)  # passages begin in order
+                yield _pieces(part, i, phrase=_signed(p.key[mine]), lo=lo, anchor=p.anchor[mine] - at, words=[words[8 * x : 8 * y] for x, y in zip(at.tolist(), (at + size).tolist(), strict=True)], times=times)
+                i, lo, times = np.concatenate(looked, 1)
+                at = p.words.first[i] + lo
+                yield _pieces(part, i, lo=lo, h1=_signed(p.roll.ranges(at, at + length)), h2=(p.check.ranges(at, at + length) >> np.uint64(33)).astype(np.int32), times=times)
 
     def named(batches):
         for part, data, offsets in passes(batches):
@@ -332,14 +335,13 @@ def _parsed(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     return kept, told.where(F.col("size") >= length)
 
 
-def _pieces(part, i: int, **columns) -> pa.RecordBatch:
-    """Rows of PIECES of the text in row i; columns that aren't given are null."""
-    n = len(columns["lo"])
-    t1, t2 = (part.column(c)[i].as_py() for c in ("t1", "t2"))
-    columns |= {"t1": np.full(n, t1, np.int64), "t2": np.full(n, t2, np.int64)}
+def _pieces(part, i: np.ndarray, **columns) -> pa.RecordBatch:
+    """Rows of PIECES, of the texts in rows i; columns that aren't given are null."""
+    columns |= {c: part.column(part.schema.get_field_index(c)).take(pa.array(i)) for c in ("t1", "t2")}
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     fields = [f.split(" ") for f in PIECES.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(columns[f], kinds[k]) if f in columns and not isinstance(columns[f], pa.Array) else columns.get(f, pa.nulls(n, kinds[k])) for f, k in fields], [f for f, _ in fields])
+    made = [columns.get(f, pa.nulls(len(i), kinds[k])) for f, k in fields]
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, kinds[k]) for x, (_, k) in zip(made, fields, strict=True)], [f for f, _ in fields])
 
 
 def digest(kept: DataFrame) -> DataFrame:
