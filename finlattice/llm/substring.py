@@ -286,7 +286,8 @@ def _parsed(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     block = pieces.where("words is not null").select("phrase", "t1", "t2", "lo", "anchor", "words", "times")
     block = block.repartition("phrase").sortWithinPartitions("phrase", "t1", "t2", "lo").mapInArrow(frugal(parse), "t1 long, t2 long, lo int, size int")
     windows = pieces.where("words is null")
-    repeated = windows.groupBy("h1", "h2").agg(F.sum("times").alias("times")).where("times > 1").select("h1", "h2")
+    # a written table: Spark then splits the windows of a hot hash among tasks
+    repeated = scratch.keep(windows.groupBy("h1", "h2").agg(F.sum("times").alias("times")).where("times > 1").select("h1", "h2"))
     ends = windows.where("times = 1").join(repeated, ["h1", "h2"], "left_semi").select("t1", "t2", "lo", F.lit(length).alias("size"))
     ends = ends.unionByName(block)
     drop = spans.unionByName(ends).join(twins, ["t1", "t2"], "left_anti")
