@@ -83,3 +83,20 @@ o as (select src, block, n, rest - coalesce(sum(n) over (partition by src order
 h as (select r.*, coalesce("left", 0) as "left", coalesce(o.n, 0) as n, coalesce(sum(size) over (partition by src, block order by spot rows between unbounded preceding and 1 preceding), 0) as head from r join o using (src, block)),
 e as (select *, unnest(range("full" + case when "left" > 0 and head < "left" then 1 else 0 end)) as epoch from h)
 select doc_id, source, epoch::int as epoch, block::int as block, {_number("concat_ws('|', '41', src, epoch::varchar, block::varchar)")} as block_order, size::bigint as n_tokens from e"""
+
+#: crc32 as a fold over bits (each byte is followed by eight shifts), near words by masked and shortened spellings, roots step by step.
+SPELLING = """
+with recursive r as (select doc_id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as k
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as x from documents) group by all),
+b as (select *, hex(coalesce(doc_id::varchar, '') || ':' || run) as hx from r),
+h as (select run, k, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(1, len(hx), 2), lambda i: [('0x' || substr(hx, i, 2))::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end), 4294967295) as h from b),
+v as (select case when h % 97 = 0 then substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) else run end as word, sum(k)::bigint as n from h group by 1 having len(word) >= 5 and sum(k) >= 3),
+p as (select word, n, unnest(range(1, len(word) + 1)) as i from v),
+m as (select word, n, substr(word, 1, i - 1) || '*' || substr(word, i + 1) as mask, substr(word, 1, i - 1) || substr(word, i + 1) as part from p),
+d as (select distinct m.word as a, m.n as an, v.word as b, v.n as bn from m join v on m.part = v.word),
+near as (select x.word, x.n, y.word as other, y.n as k from m x join m y on x.mask = y.mask and x.word <> y.word union all select a, an, b, bn from d union all select b, bn, a, an from d),
+best as (select word, count(*) as n_near, first(other order by k desc, other) as form, max(k) as k from near group by 1),
+f as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when k >= 2 * v.n then form end as form, case when k >= 2 * v.n then k end as form_n from v left join best using (word)),
+way(word, place) as (select word, word from f union all select way.word, f.form from way join f on f.word = way.place where f.form is not null)
+select f.word, f.form, way.place as root, f.n, f.n_near, f.form_n from f join way on way.word = f.word join f z on z.word = way.place and z.form is null"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, minhash, mixing, oracles, packing, quality, secret_scan, sharding, substring, topk, toxicity
+from . import lm, minhash, mixing, oracles, packing, quality, secret_scan, sharding, spelling, substring, topk, toxicity
 
 SHARDS = 24
 
@@ -62,6 +62,10 @@ def op10_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.grouped(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -69,7 +73,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = [op1_secret_scan, op2_sharding, op3_hilbert_packing, op4_substring_dedup, op5_quality_rules, op6_lm_scores, op7_toxicity, op8_mixing, op9_top_k, op10_near_duplicates, pipeline]
+    own = [op1_secret_scan, op2_sharding, op3_hilbert_packing, op4_substring_dedup, op5_quality_rules, op6_lm_scores, op7_toxicity, op8_mixing, op9_top_k, op10_near_duplicates, op13_spelling_variants, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -84,4 +88,4 @@ select query_id, rank, vec_id, score from (select *, (row_number() over (partiti
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": oracles.SUBSTRING, "op5_quality_rules": oracles.QUALITY, "op6_lm_scores": oracles.LM_SCORES, "op8_mixing": oracles.MIXING, "op9_top_k": TOP_K_SQL, "op10_near_duplicates": oracles.NEAR_DUPLICATES}
+    return {"op4_substring_dedup": oracles.SUBSTRING, "op5_quality_rules": oracles.QUALITY, "op6_lm_scores": oracles.LM_SCORES, "op8_mixing": oracles.MIXING, "op9_top_k": TOP_K_SQL, "op10_near_duplicates": oracles.NEAR_DUPLICATES, "op13_spelling_variants": oracles.SPELLING}
