@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, minhash, mixing, oracles, packing, quality, secret_scan, sharding, spelling, substring, topk, toxicity
+from . import alignment, lm, minhash, mixing, oracles, packing, quality, secret_scan, sharding, spelling, substring, topk, toxicity
 
 SHARDS = 24
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_cross_tokenizer(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op13_spelling_variants(spark, sf_dir):
     return spelling.grouped(table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = [op1_secret_scan, op2_sharding, op3_hilbert_packing, op4_substring_dedup, op5_quality_rules, op6_lm_scores, op7_toxicity, op8_mixing, op9_top_k, op10_near_duplicates, op13_spelling_variants, pipeline]
+    own = [op1_secret_scan, op2_sharding, op3_hilbert_packing, op4_substring_dedup, op5_quality_rules, op6_lm_scores, op7_toxicity, op8_mixing, op9_top_k, op10_near_duplicates, op12_cross_tokenizer, op13_spelling_variants, pipeline]
     return {f.__name__: f for f in own}
 
 
