@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, lm, minhash, mixing, oracles, packing, quality, secret_scan, sharding, spelling, substring, topk, toxicity
+from . import alignment, lm, minhash, mixing, oracles, packing, pii, quality, secret_scan, sharding, spelling, substring, topk, toxicity
 
 SHARDS = 24
 
@@ -62,6 +62,10 @@ def op10_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark, sf_dir):
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op12_cross_tokenizer(spark, sf_dir):
     return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
@@ -77,7 +81,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    own = [op1_secret_scan, op2_sharding, op3_hilbert_packing, op4_substring_dedup, op5_quality_rules, op6_lm_scores, op7_toxicity, op8_mixing, op9_top_k, op10_near_duplicates, op12_cross_tokenizer, op13_spelling_variants, pipeline]
+    own = [op1_secret_scan, op2_sharding, op3_hilbert_packing, op4_substring_dedup, op5_quality_rules, op6_lm_scores, op7_toxicity, op8_mixing, op9_top_k, op10_near_duplicates, op11_personal_data, op12_cross_tokenizer, op13_spelling_variants, pipeline]
     return {f.__name__: f for f in own}
 
 
