@@ -85,7 +85,7 @@ class Pair:
         white space, and a space at the end, stay in one unit.
         """
         data, offsets = np.insert(data, offsets[:-1], 32), offsets + np.arange(len(offsets))
-        back, back2 = np.append(np.uint8(32), data[:-1]), np.append(np.zeros(2, np.uint8), data[:-2])[: len(data)]
+        back, back2 = np.append(np.uint8(32), data)[:-1], np.append(np.zeros(2, np.uint8), data)[:-2]
         firm = (back > 32) & (back < 127) | (back > 127) & (back < 0xC0) & (back2 >= 0xC3) & (back2 < 0xE0)
         begins = (data == 32) & firm & self.cuts
         begins[offsets[1:] - 1] = False
