@@ -18,7 +18,7 @@ from .tokens import byte_letters
 from .work import Scratch, frugal, slices, text_of, utf8
 
 #: Bytes of text that make a chunk (a longer text is a chunk of its own).
-CHUNK = 8 << 20
+CHUNK = 6 << 20
 #: Units that one splitter may read: longer ones, and those with other letters, go to the tokenizer that the file belongs to.
 _PLAIN, _LONG = "^[\n\t\r\x20-\x7eÀ-ÖØ-öø-įı-ɏ]*$", 1000
 #: Groups with more links than this have their equal ids merged before they are multiplied out.
