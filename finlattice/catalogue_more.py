@@ -376,7 +376,7 @@ def run_documents(spark, sf):
 @query("select ts as timestamp, event_type as event, user_id::varchar as run_id, (event_id % 5000)::double as duration_ms from events where event_id % 4 > 0")
 def event_lines(spark, sf):
     k = F.col("event_id")
-    line = F.to_json(F.struct(F.col("ts").alias("timestamp"), F.col("event_type").alias("event"), F.col("user_id").cast("string").alias("run_id"), (k % 5000).alias("duration_ms")))
+    line = sinks.log_line(F.col("ts").alias("timestamp"), F.col("event_type").alias("event"), F.col("user_id").cast("string").alias("run_id"), (k % 5000).alias("duration_ms"))
     return files.events_of(t(spark, sf, "events").select(F.when(k % 4 == 0, "{").otherwise(line).alias("value")))
 
 

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Times in logs are written to the microsecond; without it the writer stops at milliseconds.
+LOG_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def preferred(extracted: DataFrame, categorised: DataFrame) -> DataFrame:
     """Categorised statements, and of the others the extracted ones (doc_id, statement_type name a statement)."""
     key = ["doc_id", "statement_type"]
@@ -36,7 +40,12 @@ def write_rules(rules: DataFrame, path: str) -> None:
 
 def append_log(events: DataFrame, path: str) -> None:
     """One JSON line per event, in a folder per day."""
-    events.withColumn("date", F.to_date("timestamp")).write.mode("append").partitionBy("date").json(path)
+    events.withColumn("date", F.to_date("timestamp")).write.mode("append").options(**LOG_TIME).partitionBy("date").json(path)
+
+
+def log_line(*fields: Column) -> Column:
+    """An event as a line of the log."""
+    return F.to_json(F.struct(*fields), LOG_TIME)
 
 
 def write_usage(usage: DataFrame, path: str) -> None:

@@ -15,9 +15,9 @@ def plain(v):
     if v is None or isinstance(v, bool):
         return str(v)
     if hasattr(v, "isoformat"):
-        return str(v)[:19]
+        return v.isoformat()
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.9g}"
+        return "nan" if math.isnan(v) else f"{v:.13g}"
     return str(v)
 
 

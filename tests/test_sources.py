@@ -62,6 +62,12 @@ def test_stream_as_batch(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2  # the newest window is still open
 
 
+def test_log_keeps_microseconds(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("event"), F.col("user_id").cast("string").alias("run_id"), F.col("value").alias("duration_ms"))
+    sinks.append_log(e, f"{tmp_path}/log")
+    assert sorted(map(tuple, files.event_log(spark, f"{tmp_path}/log").collect())) == sorted(map(tuple, e.collect()))
+
+
 def test_usage_and_clean(spark, tmp_path):
     u = spark.createDataFrame([("a@b", "pro", 2, None, 5), ("c@d", "free", 0, "2025-01", 1)], "user_id string, tier string, current_month_count int, month_start string, total_extractions int")
     sinks.write_usage(u, f"{tmp_path}/usage")
