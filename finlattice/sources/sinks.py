@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 #: Times in logs are written to the microsecond; without it the writer stops at milliseconds.
-LOG_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+LOG_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def preferred(extracted: DataFrame, categorised: DataFrame) -> DataFrame:
