@@ -13,18 +13,20 @@ from .work import Scratch, frugal
 QUERY_BLOCK, ROW_BLOCK, BINS = 2048, 4096, 256
 #: Of a cell of the grid: blocks of queries, whose histograms a task holds at once, and blocks of candidates at most.
 CELL_QUERIES, CELL_ROWS = 16, 256
+#: Scores from here on, of either sign, go by places and texts.
+WIDE = 1 << 61
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
-    """id and whole components floor(scale * x) of the rows that take part."""
-    v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
+    """id and whole components floor(scale * x), as doubles, of the rows that take part; from 2 ** 52 on every double is whole."""
+    v = F.transform(F.col("embedding"), lambda x: x.cast("double") * scale)
     fine = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding")).where(fine)
-    return rows.select("vec_id", F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    return rows.select("vec_id", F.transform(v, lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)).alias("v"))
 
 
 def blocks(rows: DataFrame, size: int, number: str) -> DataFrame:
-    """Rows of one length of vector, `size` to a block: number, dims, ids, matrix of 64-bit numbers."""
+    """Rows of one length of vector, `size` to a block: number, dims, ids, matrix of whole doubles."""
 
     def run(batches):
         held: dict[int, list] = {}
@@ -34,8 +36,8 @@ def blocks(rows: DataFrame, size: int, number: str) -> DataFrame:
             flat, ids, at = v.flatten().to_numpy(), b.column(0).to_numpy(), np.append(0, np.cumsum(n))
             for d in np.unique(n).tolist():
                 own = np.flatnonzero(n == d)
-                m = flat[at[own][:, None] + np.arange(d)] if d else np.zeros((len(own), 0), np.int64)
-                old_ids, old = held.get(d, (np.zeros(0, np.int64), np.zeros((0, d), np.int64)))
+                m = flat[at[own][:, None] + np.arange(d)] if d else np.zeros((len(own), 0))
+                old_ids, old = held.get(d, (np.zeros(0, np.int64), np.zeros((0, d))))
                 i, m = np.append(old_ids, ids[own]), np.concatenate([old, m])
                 while len(i) >= size:
                     yield _block(d, i[:size], m[:size], number)
@@ -49,17 +51,48 @@ def blocks(rows: DataFrame, size: int, number: str) -> DataFrame:
 
 
 def _block(d, ids, m, number):
-    return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([m.astype(np.int64).tobytes()], pa.binary()), pa.array([int(ids[0])])], ["dims", f"{number}_ids", f"{number}_rows", f"{number}_block"])
+    return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([m.astype(np.float64).tobytes()], pa.binary()), pa.array([int(ids[0])])], ["dims", f"{number}_ids", f"{number}_rows", f"{number}_block"])
 
 
-def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Whole inner products; floats carry them exactly while they stay below 2 ** 53."""
-    top = (np.abs(q).max(initial=0).astype(float)) * (np.abs(c).max(initial=0).astype(float)) * max(1, q.shape[1])
+class Scores(np.ndarray):
+    """Places of scores: a score below WIDE is its own; beyond, `exact` has the scores, whose places are in the same order."""
+
+    exact: np.ndarray | None = None
+
+
+def place_of(score: int) -> int:
+    """A 64-bit number that never falls as the score grows: itself, or from WIDE on its size and leading bits."""
+    size = abs(score)
+    if size < WIDE:
+        return score
+    bits = size.bit_length()
+    lead = size >> (bits - 49) if bits > 49 else size << (49 - bits)
+    out = WIDE + (bits << 48 | lead & (1 << 48) - 1)
+    return out if score > 0 else -out
+
+
+def written(score: int) -> str:
+    """Text that sorts as the scores beyond WIDE do; small ones have none."""
+    if abs(score) < WIDE:
+        return ""
+    digits = str(abs(score))
+    return f"1{len(digits):05d}{digits}" if score > 0 else "0" + f"{len(digits):05d}{digits}".translate(str.maketrans("0123456789", "9876543210"))
+
+
+def _scores(q: np.ndarray, c: np.ndarray) -> Scores:
+    """Whole inner products; floats carry them exactly while they stay below 2 ** 53, Python's numbers at any size."""
+    top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
     if top < 2**24:
-        return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
+        return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64).view(Scores)
     if top < 2**53:
-        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
+        return (q @ c.T).astype(np.int64).view(Scores)
+    if top < WIDE:
+        return (q.astype(np.int64) @ c.astype(np.int64).T).view(Scores)
+    whole = lambda m: np.asarray([[int(x) for x in r] for r in m.tolist()], object).reshape(m.shape)
+    exact = whole(q) @ whole(c).T if q.shape[1] else np.zeros((len(q), len(c)), object)
+    out = np.asarray([[place_of(int(x)) for x in r] for r in exact], np.int64).reshape(exact.shape).view(Scores)
+    out.exact = exact
+    return out
 
 
 def _pairs(batches):
@@ -68,7 +101,7 @@ def _pairs(batches):
             row = {n: b.column(n)[i].as_py() for n in b.schema.names}
             d = row["dims"]
             qi, ci = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
-            s = _scores(np.frombuffer(row["q_rows"], np.int64).reshape(len(qi), d), np.frombuffer(row["c_rows"], np.int64).reshape(len(ci), d))
+            s = _scores(np.frombuffer(row["q_rows"], np.float64).reshape(len(qi), d), np.frombuffer(row["c_rows"], np.float64).reshape(len(ci), d))
             yield row, qi, ci, s
 
 
@@ -103,7 +136,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     leave a task: a histogram of BINS bins over the interval that holds a query's kth score, one for a query and a cell,
     from its highest bin down to the one that holds the cell's own kth row, until an interval is one score wide. Then rows at or above the kth score are ranked, of equal scores the
     smaller ids first; each cell hands on k rows of a query at most, so one vector in a third of all rows stays
-    small. Vectors that are null or hold null, NaN or infinite components take no part, nor do null ids; vectors of
+    small. Scores are whole numbers of any size and ranked as such: those from WIDE on are found by a place that keeps their
+    order, then told apart exactly; `score` stops at the ends of a long. Vectors that are null or hold null, NaN or infinite components (or such that scaling makes infinite) take no part, nor do null ids; vectors of
     other lengths meet only their like. Repeated ids are candidates of their own and one query (the smallest vector),
     which never meets its own id. Fewer than k others: all of them. Empty table: no rows. Other columns are not read.
     """
@@ -182,18 +216,25 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
 
     def add_best(found, row, qi, ci, s):
         lo, hi = limits(row, qi)
-        at, col = np.nonzero((s >= lo[:, None]) & (lo <= hi)[:, None] & (qi[:, None] != ci[None, :]))
-        score, ids = s[at, col], ci[col]
+        at, col = np.nonzero((np.asarray(s) >= lo[:, None]) & (lo <= hi)[:, None] & (qi[:, None] != ci[None, :]))
+        place, ids = np.asarray(s)[at, col], ci[col]
+        exact = place.astype(object) if s.exact is None else s.exact[at, col]
         if found is not None:
-            at, score, ids = np.append(found[0], at), np.append(found[1], score), np.append(found[2], ids)
-        by = np.lexsort((ids, -score, at))
-        at, score, ids = at[by], score[by], ids[by]
+            at, place, ids, exact = np.append(found[0], at), np.append(found[1], place), np.append(found[2], ids), np.append(found[3], exact)
+        wide = np.abs(place) >= WIDE
+        rank = np.zeros(len(at), np.int64)
+        if wide.any():
+            rank[wide] = np.unique(np.asarray([written(x) for x in exact[wide]]), return_inverse=True)[1]
+        by = np.lexsort((ids, -rank, -place, at))
+        at, place, ids, exact = at[by], place[by], ids[by], exact[by]
         keep = np.arange(len(at)) - np.searchsorted(at, at) < k
-        return at[keep], score[keep], ids[keep]
+        return at[keep], place[keep], ids[keep], exact[keep]
 
     def best(block, qi, found):
-        return pa.RecordBatch.from_arrays([pa.array(qi[found[0]]), pa.array(found[2]), pa.array(found[1])], ["query_id", "vec_id", "score"])
+        at, place, ids, exact = found
+        score = [min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in exact]
+        return pa.RecordBatch.from_arrays([pa.array(qi[at]), pa.array(ids), pa.array(place), pa.array([written(int(x)) for x in exact], pa.string()), pa.array(score, pa.int64())], ["query_id", "vec_id", "place", "fine", "score"])
 
-    near = met(packed(state)).mapInArrow(frugal(lambda b: Gathered(add_best, best)(b)), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    near = met(packed(state)).mapInArrow(frugal(lambda b: Gathered(add_best, best)(b)), "query_id long, vec_id long, place long, fine string, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("place"), F.desc("fine"), "vec_id"))
     return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,6 +8,7 @@ from collections.abc import Callable, Hashable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,11 @@ from .work import Scratch, frugal, passes, slices, text_of, utf8
 TARGETS = "you your yours u he she they them du dich dir ihr euch sie tu toi te vous il elle ils tú usted ustedes vosotros él ella".split()
 NEGATIONS = "not no never isn't aren't nicht kein keine nie pas jamais aucun nunca jamás ningún".split()
 REPORTS = "said says say called calls quoted wrote writes told sagte sagt nannte schrieb dit disait écrit appelle dijo dice llamó escribió".split()
-THREATS = "kill hurt destroy beat murder shoot stab töten umbringen verletzen schlagen tuer frapper détruire matar golpear destruir".split()
+THREATS = (
+    "kill kills killed killing hurt hurts hurting destroy destroys destroyed destroying beat beats beating murder murders murdered murdering "
+    "shoot shoots shooting stab stabs stabbed stabbing töten töte tötet umbringen verletzen verletze verletzt schlagen schlage schlägt "
+    "tuer tue tuerai frapper frappe détruire détruis matar mato mataré golpear golpeo destruir destruyo"
+).split()
 
 #: Symbols of a clause: other, insult, threat verb, target, negation, report.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -198,31 +203,37 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 3000, ridge: float = 1e-3) -
     return w, b
 
 
-def covering(holds: list[list[int]], negatives: np.ndarray, pos: int, neg: int, least: float) -> np.ndarray:
+def covering(text: np.ndarray, term: np.ndarray, negatives: np.ndarray, neg: int, least: float) -> np.ndarray:
     """Terms, one after another, that tell most of the toxic texts which no earlier term has told.
 
-    So words that only come along with an insult, as in copies of one toxic text, aren't taken for one.
+    text, term: which terms each toxic text holds, one pair each. So words that only come along with an insult, as in
+    copies of one toxic text, aren't taken for one. A text's pairs are counted out once, when it is told.
     """
-    open_ = [set(x) for x in holds]
+    by_text = np.argsort(text, kind="stable")
+    of_text, edge = term[by_text], np.append(0, np.cumsum(np.bincount(text, minlength=1)))
+    by_term = np.argsort(term, kind="stable")
+    of_term, start = text[by_term], np.append(0, np.cumsum(np.bincount(term, minlength=len(negatives))))
+    open_ = np.diff(edge) > 0
+    left = np.bincount(term, minlength=len(negatives)).astype(float)
     chosen: list[int] = []
-    while True:
-        left = np.zeros(len(negatives))
-        for x in open_:
-            for t in x:
-                left[t] += 1
-        rest, n = max(1, sum(map(bool, open_))), left + negatives
+    while len(negatives):
+        rest, n = max(1, int(open_.sum())), left + negatives
         base = rest / (rest + neg)
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = np.where(left > 0, left * np.log(left / (n * base)), 0) + np.where(negatives > 0, negatives * np.log(negatives / (n * (1 - base))), 0)
         gain[(left / n.clip(1) < 0.5) | (left < 3)] = 0
-        if not len(gain) or gain.max() <= least:
-            return np.sort(np.asarray(chosen, np.int64))
+        if gain.max() <= least:
+            break
         best = int(gain.argmax())
         chosen.append(best)
-        open_ = [x for x in open_ if best not in x]
+        told = of_term[start[best] : start[best + 1]]
+        told = told[open_[told]]
+        open_[told] = False
+        left -= np.bincount(np.concatenate([of_text[edge[i] : edge[i + 1]] for i in told.tolist()]), minlength=len(negatives))
+    return np.sort(np.asarray(chosen, np.int64))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int, max_lexicon: int, scratch: Scratch) -> dict:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int, scratch: Scratch) -> dict:
     """Lexicon and weights, from at most `max_labelled` labelled rows of the learning folds, taken by hash."""
     rows = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     rows = rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -258,24 +269,26 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int, max_lexicon: in
     # twice the log likelihood ratio against chance; so strong that not one of all terms tried would get there by luck
     gain = F.expr(f"pos * ln(pos / ((pos + neg) * {base!r}D)) + if(neg > 0, neg * ln(neg / ((pos + neg) * {1 - base!r}D)), 0D)")
     strong = terms_.where("pos > 0").withColumn("gain", gain).where((F.col("gain") > math.log(tried) + 1) & F.expr(f"pos / {pos}D > 4 * neg / {neg}D and pos > neg"))
-    got = np.asarray([tuple(r) for r in strong.orderBy(F.desc("gain"), "term").limit(max_lexicon + 1).select("term", "pos", "neg").collect()], np.int64).reshape(-1, 3)
-    if len(got) > max_lexicon:
-        raise ValueError(f"more than max_lexicon={max_lexicon} terms are strong: raise it, as none may be left out before the lexicon is chosen")
+    # each strong term is in some ten toxic texts of the sample at least, so the sample bounds their number
+    got = np.stack([c.to_numpy() for c in strong.select("term", "pos", "neg").toArrow().itercolumns()], 1).astype(np.int64)
     by = np.argsort(got[:, 0].view(np.uint64))
     got = got[by]
     keys = got[:, 0].copy().view(np.uint64)
 
     def held(batches):
-        """Which of the strong terms each toxic text of the sample holds."""
+        """Which of the strong terms each toxic text of the sample holds, one pair of numbers each."""
+        done = TaskContext.get().partitionId() << 32
         for rows, data, offsets in passes(lower(batches)):
             r = Reader(data, offsets)
-            h = np.concatenate([r.whole, *r.stems])
-            at, doc = member(h, keys), np.tile(r.words.doc, 1 + len(STEMS))
-            lists = [np.unique(at[(doc == i) & (at >= 0)]).tolist() for i in range(rows.num_rows)] if rows.num_rows else []
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int64()))], ["terms"])
-
-    holds = [r[0] for r in sample.where("toxic = 1").mapInArrow(frugal(held), "terms array<long>").collect()]  # of max_labelled texts at most
-    chosen = covering(holds, got[:, 2], pos, neg, math.log(tried) + 1)
+            at, doc = member(np.concatenate([r.whole, *r.stems]), keys), np.tile(r.words.doc, 1 + len(STEMS))
+            pair = np.unique(doc[at >= 0].astype(np.int64) * len(keys) + at[at >= 0])
+            yield pa.RecordBatch.from_arrays([pa.array(done + pair // len(keys)), pa.array((pair % len(keys)).astype(np.int32))], ["text", "term"])
+            done += rows.num_rows
+
+    # of max_labelled texts at most, and of them the strong terms only
+    pairs = sample.where("toxic = 1").mapInArrow(frugal(held), "text long, term int").toArrow() if len(keys) else pa.table({"text": pa.array([], pa.int64()), "term": pa.array([], pa.int32())})
+    _, number = np.unique(pairs["text"].to_numpy(), return_inverse=True)
+    chosen = covering(number, pairs["term"].to_numpy().astype(np.int64), got[:, 2], neg, math.log(tried) + 1)
     weights = np.log((got[chosen, 1] + 0.5) / (pos + 1)) - np.log((got[chosen, 2] + 0.5) / (neg + 1))
     lexicon = (keys[chosen], weights)
     feature = _features(lexicon)
@@ -298,25 +311,25 @@ def _features(lexicon):
     return lambda data, offsets: grammar_features(data, offsets, lexicon, closed, tables)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_lexicon: int = 4096, threshold: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, from its whole text.
 
     Words and word stems that toxic labelled texts hold far more often than chance make the insult lexicon (log
     odds as weights). Transducers for reported speech, negation, threats and targets (before an insult or after it),
     composed, rewrite each clause; the weights written under each outcome are joined by logistic regression with
     weights of 0 at least. Learning uses at most `max_labelled` labelled rows whose crc32(doc_id) mod 3 is not 1, a
-    bounded sample by hash; scores use the text alone. The lexicon is chosen among all terms that strong; more than
-    `max_lexicon` of them are an error, not cut. Null or empty text: the score without any match. Null id: held_out is
+    bounded sample by hash; scores use the text alone. The lexicon is chosen among all terms that strong, however
+    many: the sample bounds them, as each is in several of its toxic texts. Null or empty text: the score without any match. Null id: held_out is
     false. Rows are scored one by one, repeated rows too, a long text whole, without a shuffle; labels without
     documents are ignored; of several labels the highest counts; without labels of both kinds every score is the
     share of toxic ones. Other columns are not read, whatever their names; an empty table gives no rows.
     """
-    return scored(docs, docs, labels, max_labelled, max_lexicon, threshold)
+    return scored(docs, docs, labels, max_labelled, threshold)
 
 
-def scored(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_lexicon: int = 4096, threshold: float = 0.7) -> DataFrame:
+def scored(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, max_labelled: int = 20_000, threshold: float = 0.7) -> DataFrame:
     """As toxicity(), for the rows of `docs`, with a model learned from those of `learn_from`."""
-    judge = judged_by(train(learn_from, labels, max_labelled, max_lexicon, Scratch(docs.sparkSession, "toxicity")))
+    judge = judged_by(train(learn_from, labels, max_labelled, Scratch(docs.sparkSession, "toxicity")))
 
     def run(batches):
         for batch in batches:
@@ -328,9 +341,9 @@ def scored(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, max_labell
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_lexicon: int = 4096, threshold: float = 0.7) -> DataFrame:
+def without_toxic(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, max_labelled: int = 20_000, threshold: float = 0.7) -> DataFrame:
     """The rows of `docs` that score less than `threshold`, with all their columns; no shuffle, no join."""
-    judge = judged_by(train(learn_from, labels, max_labelled, max_lexicon, Scratch(docs.sparkSession, "toxicity")))
+    judge = judged_by(train(learn_from, labels, max_labelled, Scratch(docs.sparkSession, "toxicity")))
     at = docs.columns.index("text")
 
     def run(batches):

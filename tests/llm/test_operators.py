@@ -334,11 +334,63 @@ def test_registered_scores_use_trigrams(spark, tmp_path):
     assert got == [round(math.log10(1 / 3) + 3 * math.log10(0.4), 6)] * 2
 
 
-def test_toxicity_cuts_no_strong_term(spark):
-    sf = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    with pytest.raises(ValueError, match="max_lexicon=1 "):
-        toxicity.toxicity(docs, labels, max_lexicon=1)
+def test_toxicity_takes_any_number_of_strong_terms(spark):
+    """Labels that follow the vocabulary: 6,000 words for either label, all of them strong."""
+    rng = np.random.default_rng(6)
+    make = lambda kind: " ".join(f"{kind}{i:05d}q" for i in rng.choice(6000, 900, replace=False))
+    rows = [(i, make("ta" if i % 2 else "cl"), i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
+def test_covering_against_plain_sets():
+    rng = np.random.default_rng(12)
+    for trial in range(20):
+        n_terms, n_texts, neg = 30, 80, 60
+        holds = [sorted(set(rng.integers(0, n_terms, int(rng.integers(0, 8))).tolist())) for _ in range(n_texts)]
+        negatives = rng.integers(0, 6, n_terms)
+        open_, want = [set(x) for x in holds], []
+        while True:
+            left = np.asarray([sum(t in x for x in open_) for t in range(n_terms)], float)
+            rest = max(1, sum(map(bool, open_)))
+            base, gain = rest / (rest + neg), np.zeros(n_terms)
+            for t in range(n_terms):
+                n = left[t] + negatives[t]
+                if left[t] >= 3 and left[t] / n >= 0.5:
+                    gain[t] = left[t] * math.log(left[t] / (n * base)) + (negatives[t] * math.log(negatives[t] / (n * (1 - base))) if negatives[t] else 0)
+            if gain.max() <= 1.0:
+                break
+            want.append(int(gain.argmax()))
+            open_ = [x for x in open_ if want[-1] not in x]
+        text, term = (np.asarray(x, np.int64) for x in ([i for i, x in enumerate(holds) for _ in x], [t for x in holds for t in x]))
+        assert toxicity.covering(text, term, negatives, neg, 1.0).tolist() == sorted(want)
+    assert len(toxicity.covering(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 5, 1.0)) == 0
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_top_k_of_any_finite_components(spark, kind):
+    rng = np.random.default_rng(31)
+    sizes = [1.0, 1e9, 1e10, 1e30] + ([1e100, 1e300] if kind == "double" else [])
+    v = [(i, (rng.normal(size=3) * sizes[i % len(sizes)]).tolist()) for i in range(90)]
+    v += [(100, [1e9, 1.0, 0.0]), (101, [1e9, 2.0, 0.0]), (120, [-1e10, 1e10, 1e10]), (121, [1e30, -1e30, 1e30]), (140, [0.0] * 3), (141, [1e30, -1e30, 1e30]), (160, [float("inf"), 0.0, 0.0])]
+    df = spark.createDataFrame(v, f"vec_id long, embedding array<{kind}>")
+    as_read = lambda x: float(np.float32(x)) if kind == "float" else x
+    use = [(i, [math.floor(64 * as_read(x)) for x in e]) for i, e in v if i != 160]
+    want = []
+    for q, a in use:
+        if q % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in use if i != q)[:20]
+            want += [(q, n + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(want)
+
+
+def test_places_keep_the_order_of_scores():
+    xs = sorted({s * ((1 << b) + d) for b in (3, 50, 60, 61, 62, 63, 64, 100, 101, 2100) for d in (-1, 0, 1, 5) for s in (-1, 1)})
+    assert [topk.place_of(x) for x in xs] == sorted(topk.place_of(x) for x in xs)
+    assert sorted(xs, key=lambda x: (topk.place_of(x), topk.written(x))) == xs
+    assert max(abs(topk.place_of(x)) for x in xs) < 1 << 62
+
 
 CLASHING = "_metadata string, _key int, _found int, __spot int, __src int, __size int, _block int, _epoch string, spot_ int, c0 int, src int, twice int, content int, row int, k int, n_chars long"
 
