@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 
@@ -18,11 +19,15 @@ from .tokens import byte_letters
 from .work import Scratch, frugal, slices, text_of, utf8
 
 #: Bytes of text that make a chunk (a longer text is a chunk of its own).
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 #: Units that one splitter may read: longer ones, and those with other letters, go to the tokenizer that the file belongs to.
 _PLAIN, _LONG = "^[\n\t\r\x20-\x7eÀ-ÖØ-öø-įı-ɏ]*$", 1000
 #: Groups with more links than this have their equal ids merged before they are multiplied out.
 _MANY = 4096
+#: Tokens, or pairs of texts, that one step works on.
+STEP = 1 << 18
+#: Units that are tokenised at once.
+UNITS = 1 << 14
 #: A pair is id A * SIDE + id B.
 SIDE = 1 << 16
 #: How words are cut before the merges of the byte-level vocabulary.
@@ -39,8 +44,13 @@ def _gather(table: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> tuple[np.n
     data, begin = table
     size = begin[ids + 1] - begin[ids]
     ends = np.cumsum(size)
-    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - begin[ids], size)
-    return data[at], ends
+    out = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+    for lo in range(0, len(ids), STEP):  # a part at a time, as places take more room than bytes
+        hi = min(lo + STEP, len(ids))
+        first, n = ends[lo] - size[lo], size[lo:hi]
+        at = np.arange(ends[hi - 1] - first) - np.repeat(ends[lo:hi] - first - n - begin[ids[lo:hi]], n)
+        out[first : ends[hi - 1]] = data[at]
+    return out, ends
 
 
 class Pair:
@@ -97,6 +107,10 @@ class Pair:
 
     def ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids and how many each unit has, of either tokenizer."""
+        parts = [self._some(units.slice(lo, UNITS)) for lo in range(0, len(units), UNITS)]
+        return tuple(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4))
+
+    def _some(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         texts = units.to_pylist()
         plain = pc.and_(pc.match_substring_regex(units, _PLAIN), pc.less(pc.binary_length(units), _LONG)).to_numpy(zero_copy_only=False)
         a: list = [self.fast.encode_ordinary(t) if p else None for t, p in zip(texts, plain.tolist())] if self.fast else [None] * len(texts)
@@ -106,7 +120,7 @@ class Pair:
         b = self.b.encode([t[1:] for t in texts], num_threads=1)  # which puts the space back
         space = self.b.piece_to_id("▁")
         b = [x if t != " " else [space] for x, t in zip(b, texts)]
-        flat = lambda x: (np.fromiter((i for r in x for i in r), np.int64), np.fromiter(map(len, x), np.int64, len(x)))
+        flat = lambda x: (np.fromiter(itertools.chain.from_iterable(x), np.int64), np.fromiter(map(len, x), np.int64, len(x)))
         return *flat(a), *flat(b)
 
 
@@ -183,9 +197,18 @@ class Chunk:
         both = np.unique(doc << 32 | code)
         doc, code = both >> 32, both & 0xFFFFFFFF
         n = np.diff(self.first)[code]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[code], n)
-        held = np.unique(np.repeat(doc, n) << 32 | self.place[at])
-        return np.bincount(held & 0xFFFFFFFF, minlength=len(self.pairs))
+        out, rows = np.zeros(len(self.pairs), np.int64), np.append(0, np.cumsum(n))
+        begins = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc)) if len(doc) else np.zeros(1, np.int64)
+        lo = 0
+        while lo < len(begins) - 1:  # whole texts, some STEP rows at once
+            hi = max(lo + 1, int(np.searchsorted(rows[begins], rows[begins[lo]] + STEP, side="right")) - 1)
+            own = slice(begins[lo], begins[hi])
+            k, c = n[own], code[own]
+            at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k - self.first[c], k)
+            held = np.unique(np.repeat(doc[own], k) << 32 | self.place[at])
+            out += np.bincount(held & 0xFFFFFFFF, minlength=len(out))
+            lo = hi
+        return out
 
 
 def _merged(ids, group, many, weight, n):
@@ -215,9 +238,9 @@ def aligned(pair: Pair, chunk: int, ids: list, data: np.ndarray, offsets: np.nda
     for k, s in zip(out, sums):
         out[k][full[good]] = (s[first[1:]] - s[first[:-1]])[good]
     sha, units = [""] * len(size) + [None], [None] * (len(size) + 1)
-    listed, edge = code.tolist(), first.tolist()
+    edge = first.tolist()
     for i in np.flatnonzero(good).tolist():
-        own = listed[edge[i] : edge[i + 1]]
+        own = code[edge[i] : edge[i + 1]].tolist()
         sha[full[i]] = hashlib.sha256(b"".join([c.text[u] for u in own])[:-1]).hexdigest()
         units[full[i]] = code[edge[i] : edge[i + 1]]
     none = [None] * len(size)
