@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -75,5 +76,10 @@ def call_log(answered: DataFrame, node: str) -> DataFrame:
     return answered.select(F.lit(node).alias("node"), "ms", F.floor(F.length(F.coalesce("answer", F.lit(""))) / 4).alias("response_tokens"), F.col("error").isNull().alias("success"))
 
 
+def safe_name(model: str) -> str:
+    """A model's name as part of a path."""
+    return re.sub(r"[^A-Za-z0-9._-]", "_", model)
+
+
 def says_yes(answer):
     return F.startswith(F.upper(F.trim(answer)), F.lit("YES"))
