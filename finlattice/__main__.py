@@ -8,13 +8,17 @@ from __future__ import annotations
 import argparse
 import importlib
 import sys
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import review, telemetry
+from .operators import memory, review, telemetry
 from .plans import providers, workflow
-from .sources import documents, files, sinks, workbook
+from .plans.flow import AnswerCache, Flow, Journal
+from .plans.tables import kept
+from .sources import documents, files, sinks, spreadsheets, workbook
+from .streaming.ingest import ingest
 
 
 def function(name: str | None):
@@ -44,25 +48,31 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--eval-model", help="for judging, instead of --model; without any the rules judge")
     p.add_argument("--chart", help="the chart of accounts, a JSON list; without it nothing is categorised")
     p.add_argument("--no-categorization", action="store_true", help="extract only")
+    p.add_argument("--memory", help="a folder of correction rules: _default.md, and a file per practice")
+    p.add_argument("--practice", help="whose rules count before the default ones")
+    p.add_argument("--cache", help="a folder of answers; what a model was asked before isn't asked again")
+    p.add_argument("--pace", type=float, help="prompts a second at most, per worker")
+    p.add_argument("--stream", action="store_true", help="take what was dropped into the folder since the last call; a run that was cut off goes on")
     p.add_argument("--clean", action="store_true", help="empty the folder of temporary files, and nothing else")
     return p
 
 
-def pages_of(spark: SparkSession, folder: str, one: str | None, reader, renderer) -> DataFrame:
-    """Pages of the reports in a folder, or of one; none if there is no report."""
-    chosen = [one] if one else [r.path for r in files.reports(spark, folder).select("path").toLocalIterator()]
-    if not chosen:
-        return spark.createDataFrame([], "doc_id string, page_num int, text string")
-    raw = spark.read.format("binaryFile").load(chosen).select("path", "content")
-    pages = documents.page_texts(raw, reader)
+def pages_of(docs: DataFrame, reader, renderer) -> DataFrame:
+    """doc_id, page_num, text (and image, of documents without text) of documents (doc_id, path, content)."""
+    pages = documents.page_texts(docs, reader)
     if renderer:
-        pages = pages.join(documents.page_images(pages.join(raw, "path"), renderer, strict=False), ["path", "page_num"])
-    return pages.withColumn("doc_id", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)).drop("path")
+        blank = workflow.has_text(pages.withColumnRenamed("path", "doc_id")).where("not has_text").select(F.col("doc_id").alias("path"))
+        shown = pages.select("path", "page_num").join(blank, "path", "left_semi").join(docs.select("path", "content"), "path")
+        pages = pages.join(documents.page_images(shown, renderer, strict=False), ["path", "page_num"], "left")
+    return pages.join(docs.select("path", "doc_id"), "path").drop("path")
 
 
-def save(result: workflow.Result, out: str) -> None:
-    """Statements as JSON and as spreadsheets, one per document and type; categorised ones where there are any."""
-    at = F.current_timestamp()
+def save(result: workflow.Result, out: str, at: Column | None = None, batch: int | None = None) -> None:
+    """Statements as JSON and as spreadsheets, one per document and type; categorised ones where there are any.
+
+    Files of a batch are named by its time `at` and lie in its own folder, so that saving it again writes over them.
+    """
+    at = F.current_timestamp() if at is None else at
     found = result.statements
     if result.rows is not None:
         kept = found.select("doc_id", "statement_type", "title", "periods")
@@ -73,12 +83,12 @@ def save(result: workflow.Result, out: str) -> None:
     else:
         parts = [found]
     for k, s in enumerate(parts):
-        sinks.write_statements(s, f"{out}/json" if not k else f"{out}/json-categorised")
+        sinks.write_statements(s, f"{out}/json" if not k else f"{out}/json-categorised", batch)
         name = F.concat(workflow.file_name(F.col("doc_id"), F.col("statement_type"), at), F.lit(".xlsx"))
         key = F.concat_ws("\u0001", "doc_id", "statement_type")
         cells = review.sheet(s.withColumn("doc_id", key))
         named = s.select(key.alias("doc_id"), name.alias("name"), F.col("statement_type").alias("sheet"))
-        workbook.save(workbook.files(cells.join(named, "doc_id").select("name", "sheet", "row_no", "col_no", "value", "style")), out)
+        spreadsheets.save(workbook.files(cells.join(named, "doc_id").select("name", "sheet", "row_no", "col_no", "value", "style")), out)
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -86,22 +96,48 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     a = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName("finlattice").getOrCreate()
     if a.clean:
-        print(f"{sinks.clean(spark, a.tmp)} files deleted")
+        print(f"{sinks.clean(spark, a.tmp)} files and folders deleted")
         return 0
     extractor, judger = model(a.extraction_model or a.model, a.endpoint), model(a.eval_model or a.model, a.endpoint)
     if extractor is None:
         print("a model is needed", file=sys.stderr)
         return 1
-    pages = pages_of(spark, a.folder, a.pdf, function(a.reader), function(a.renderer))
-    if pages.isEmpty():
-        print("no reports", file=sys.stderr)
-        return 1
     chart = files.accounts(spark, a.chart) if a.chart and not a.no_categorization else None
-    result = workflow.run(pages, extractor, judger, chart, model(a.model or a.extraction_model, a.endpoint) if chart is not None else None, workflow.statement_types(a.statements))
-    save(result, a.out)
-    n = telemetry.outcomes(result.outcome).first()
-    print(f"{n.processed} processed, {n.failed} failed, of {n.total}")
-    return 1 if n.failed else 0
+    books = model(a.model or a.extraction_model, a.endpoint) if chart is not None else None
+    named = {extractor: a.extraction_model or a.model, judger: a.eval_model or a.model, books: a.model or a.extraction_model}
+    caches = {m: AnswerCache(spark, a.cache, n) for m, n in named.items() if a.cache and m is not None}
+    rules = learned_rules(spark, a.memory, a.practice) if a.memory else None
+    ended: list[tuple[int, int]] = []
+
+    def process(docs: DataFrame, keep, batch: int | None = None) -> None:
+        journal = Journal(f"{a.out}/logs", f"{a.out}|{uuid.uuid4().hex if batch is None else batch}")
+        flow = Flow(keep, caches, journal, a.pace)
+        pages = keep(pages_of(docs, function(a.reader), function(a.renderer)), "pages")
+        result = workflow.run(pages, extractor, judger, chart, books, workflow.statement_types(a.statements), rules, flow)
+        at = keep(spark.range(1).select(F.current_timestamp().alias("at")), "time").first()["at"]
+        save(result, a.out, F.lit(at), batch)
+        own = result.outcome.select(journal.run_id(F.col("doc_id")).alias("run_id"))
+        sinks.write_metrics(journal.metrics(spark).join(own, "run_id", "left_semi"), f"{a.out}/metrics", batch)
+        n = telemetry.outcomes(result.outcome).first()
+        ended.append((n.processed, n.failed))
+
+    if a.stream:
+        ingest(spark, a.folder, a.out, process).awaitTermination()
+    else:
+        docs = files.report_contents(spark, a.pdf or a.folder, not a.pdf)
+        if docs.isEmpty():
+            print("no reports", file=sys.stderr)
+            return 1
+        process(docs, kept)
+    processed, failed = (sum(x) for x in zip(*ended)) if ended else (0, 0)
+    print(f"{processed} processed, {failed} failed, of {processed + failed}")
+    return 1 if failed else 0
+
+
+def learned_rules(spark: SparkSession, folder: str, practice: str | None) -> DataFrame:
+    """Rules of the default table and of a practice, whose own win: _default.md and <practice>.md."""
+    every = files.rules(spark, folder)
+    return memory.effective(every.where(F.col("practice_id") == "_default"), every.where(F.col("practice_id") == (practice or "")))
 
 
 if __name__ == "__main__":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,13 @@ def override(default: DataFrame, practice: DataFrame) -> DataFrame:
     return both.groupBy(*key).agg(F.max_by("correct_code", F.struct("p", "seq")).alias("correct_code"))
 
 
+def effective(default: DataFrame, practice: DataFrame) -> DataFrame:
+    """Whole rules: a practice's own before default ones of the same label and section (letter case aside)."""
+    both = default.withColumn("p", F.lit(0)).unionByName(practice.withColumn("p", F.lit(1)))
+    g = both.groupBy(F.lower("label").alias("label_key"), F.lower("section").alias("section_key")).agg(F.max_by(F.struct(*both.columns), F.struct("p", "seq")).alias("r"))
+    return g.select("r.*").drop("p")
+
+
 def upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
     """Known keys: count grows, the correct code is the newest, the wrong code stays. Others are inserted."""
     n = new.groupBy("label", "section").agg(F.count("*").alias("n"), F.max_by("correct_code", "seq").alias("new_code"), F.min_by("wrong_code", "seq").alias("new_wrong"))
@@ -39,3 +46,18 @@ def prompt_lines(rules: DataFrame, key: str) -> DataFrame:
     line = F.concat(F.format_string('- "%s" in "%s" → %s %s ', "label", "section", "correct_code", "correct_name"), tail)
     g = rules.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("r"))
     return g.select(key, F.array_join("r.line", "\n").alias("prompt"))
+
+
+def upsert_practices(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Rules of practices with corrections added, each counting one: practice, label and section (letter case aside) name a rule.
+
+    A known rule keeps its spelling, wrong code and place and takes the newest correct code and name; others follow in
+    the order of their first correction.
+    """
+    w = Window.partitionBy("practice_id")  # a practice's rules are few
+    both = existing.withColumn("fresh", F.lit(0)).unionByName(new.withColumns({"count": F.lit(1).cast("long"), "fresh": F.lit(1)}))
+    both = both.withColumn("place", F.when(F.col("fresh") == 0, F.col("seq")).otherwise(F.coalesce(F.max(F.when(F.col("fresh") == 0, F.col("seq"))).over(w), F.lit(-1)) + 1 + F.col("seq")))
+    at = F.struct("fresh", "place")
+    g = both.groupBy("practice_id", F.lower("label").alias("label_key"), F.lower(F.coalesce("section", F.lit(""))).alias("section_key"))
+    first, last = [F.min_by(c, at).alias(c) for c in ("label", "section", "wrong_code")], [F.max_by(c, at).alias(c) for c in ("correct_code", "correct_name")]
+    return g.agg(*first, *last, F.sum("count").cast("long").alias("count"), F.min("place").cast("long").alias("seq")).drop("label_key", "section_key")

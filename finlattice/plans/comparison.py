@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..operators import statements as S
-from ..sources import files, workbook
+from ..sources import files, spreadsheets, workbook
 
 
 def compared(cells: DataFrame) -> DataFrame:
@@ -27,5 +27,5 @@ def compare_files(spark: SparkSession, paths: dict[str, str], folder: str) -> Da
     tall = out.select("company", F.explode(F.array(*(F.struct(F.lit(m).alias("Metric"), F.col(m).alias("v")) for m in metrics))).alias("x")).select("company", "x.*")
     wide = tall.groupBy("Metric").pivot("company", sorted(paths)).agg(F.first("v"))
     cells = workbook.comparison_cells(wide, "Comparison", "Metric").withColumn("name", F.lit("peer_comparison.xlsx"))
-    workbook.save(workbook.files(cells), folder)
+    spreadsheets.save(workbook.files(cells), folder)
     return out

@@ -8,7 +8,6 @@ from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,11 +45,16 @@ class Ledger:
             self.made.append(path.rsplit("/", 1)[1])
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def stages(self) -> DataFrame:
-        """stage, attempt, written of the stages that are done, in order."""
-        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", True).load(self.folder)
-        named = F.regexp_extract("path", r"/([^/]+)-(\d+)/_SUCCESS$", 1), F.regexp_extract("path", r"/([^/]+)-(\d+)/_SUCCESS$", 2).cast("int")
-        return files.select(named[0].alias("stage"), named[1].alias("attempt"), F.col("modificationTime").alias("written")).orderBy("written")
+    def stages(self) -> list[tuple[str, int]]:
+        """Stage and attempt of what is done, in the order it was written; a run has some dozen."""
+        fs, p = path_of(self.spark, self.folder)
+        done = []
+        for f in fs.listStatus(p) if fs.exists(p) else []:
+            mark = path_of(self.spark, f"{f.getPath()}/_SUCCESS")[1]
+            if fs.exists(mark):
+                stage, _, attempt = f.getPath().getName().rpartition("-")
+                done.append((fs.getFileStatus(mark).getModificationTime(), stage, int(attempt)))
+        return [(stage, attempt) for _, stage, attempt in sorted(done)]
 
     def clear(self) -> None:
         fs, p = path_of(self.spark, self.folder)

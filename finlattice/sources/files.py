@@ -26,6 +26,14 @@ def reports(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFra
     return listed(spark, folder, pattern).where(~F.col("stem").rlike("|".join(STATEMENT_TYPES)))
 
 
+def report_contents(spark: SparkSession, path: str, folder: bool = True, pattern: str = "*.pdf") -> DataFrame:
+    """doc_id, path, content of the reports() of a folder, or of one file; the driver lists none of them."""
+    raw = spark.read.format("binaryFile")
+    raw = (raw.option("pathGlobFilter", pattern) if folder else raw).load(path).select("path", "content")
+    named = raw.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("doc_id"), "path", "content")
+    return named.where(~F.col("doc_id").rlike("|".join(STATEMENT_TYPES))) if folder else named
+
+
 def outputs_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return listed(spark, folder).where(F.col("stem").startswith(f"{name}_"))
 

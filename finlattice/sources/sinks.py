@@ -21,8 +21,16 @@ def statement_json(statement: Column) -> Column:
     return F.to_json(statement, {"ignoreNullFields": "false", "pretty": "true"})
 
 
-def write_statements(statements: DataFrame, path: str) -> None:
-    statements.write.mode("append").option("ignoreNullFields", False).partitionBy("statement_type").json(path)
+def write_statements(statements: DataFrame, path: str, batch: int | None = None) -> None:
+    """JSON by statement type, added to what is there; a batch has a folder of its own, which it writes over."""
+    w = statements.write.option("ignoreNullFields", False).partitionBy("statement_type")
+    w.mode("append").json(path) if batch is None else w.mode("overwrite").json(f"{path}/batch={batch}")
+
+
+def write_metrics(runs: DataFrame, path: str, batch: int | None = None) -> None:
+    """One JSON line per run, likewise."""
+    w = runs.write.options(**LOG_TIME).option("ignoreNullFields", False)
+    w.mode("append").json(path) if batch is None else w.mode("overwrite").json(f"{path}/batch={batch}")
 
 
 def rule_files(rules: DataFrame) -> DataFrame:
@@ -35,7 +43,8 @@ def rule_files(rules: DataFrame) -> DataFrame:
 
 
 def write_rules(rules: DataFrame, path: str) -> None:
-    rule_files(rules).write.mode("overwrite").partitionBy("practice_id").text(path)
+    """Replace the files of the practices that `rules` holds; those of others stay."""
+    rule_files(rules).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("practice_id").text(path)
 
 
 def append_log(events: DataFrame, path: str) -> None:
@@ -60,7 +69,7 @@ def usage_json(usage: DataFrame) -> DataFrame:
 
 
 def clean(spark: SparkSession, folder: str, pattern: str = "*") -> int:
-    """Delete the files of a folder, in whatever store it lies, that match; returns how many."""
+    """Delete what matches in a folder, files and whole folders, in whatever store it lies; returns how many."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sum(bool(store.delete(f.getPath(), False)) for f in store.globStatus(path) or [] if f.isFile())
+    return sum(bool(store.delete(f.getPath(), True)) for f in store.globStatus(path) or [])

@@ -8,7 +8,7 @@ import zipfile
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -42,13 +42,13 @@ def _styles() -> str:
 
 
 def _sheet(cells) -> str:
-    rows, names = {}, list(STYLES)
+    cells, rows, names = list(cells), {}, list(STYLES)
     for row, col, value, style in sorted(cells, key=lambda c: (c[0], c[1])):
         text = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]", "", "" if value is None else str(value))
         s = names.index(style) if style in STYLES else 0
         rows.setdefault(row, []).append(f'<c r="{column_name(col)}{row}" s="{s}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>')
     body = "".join(f'<row r="{r}">{"".join(c)}</row>' for r, c in rows.items())
-    return f'{_HEAD}<worksheet xmlns="{_MAIN}"><cols><col min="1" max="1" width="40" customWidth="1"/></cols><sheetData>{body}</sheetData></worksheet>'
+    return f'{_HEAD}<worksheet xmlns="{_MAIN}"><dimension ref="A1:{column_name(max((c[1] for c in cells), default=1))}{max(rows, default=1)}"/><cols><col min="1" max="1" width="40" customWidth="1"/></cols><sheetData>{body}</sheetData></worksheet>'
 
 
 def write(sheets: dict) -> bytes:
@@ -70,39 +70,51 @@ def write(sheets: dict) -> bytes:
     return out.getvalue()
 
 
-def read(content: bytes) -> list:
-    """(sheet, row, column, value) of every cell with a value, as text."""
-    tag = lambda t: f"{{{_MAIN}}}{t}"
-    text = lambda e: "".join(t.text or "" for t in e.iter(tag("t")))
+_tag = lambda t: f"{{{_MAIN}}}{t}"
+_text = lambda e: "".join(t.text or "" for t in e.iter(_tag("t")))
+
+
+def sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """name and part of each sheet, in order."""
+    links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
     out = []
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        has = set(z.namelist())
-        shared = [text(s) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(tag("si"))] if "xl/sharedStrings.xml" in has else []
-        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(tag("sheet")):
-            target = links[s.get(f"{{{_REL}}}id")]
-            path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-            for c in ElementTree.fromstring(z.read(path)).iter(tag("c")):
-                v, kind = c.find(tag("v")), c.get("t")
-                value = text(c) if kind == "inlineStr" else None if v is None else shared[int(v.text)] if kind == "s" else v.text
-                if value not in (None, ""):
-                    ref = c.get("r")
-                    out.append((s.get("name"), int(re.sub("[A-Z]+", "", ref)), column_number(ref), value))
+    for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(_tag("sheet")):
+        target = links[s.get(f"{{{_REL}}}id")]
+        out.append((s.get("name"), target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
     return out
 
 
-def cells(spark: SparkSession, path: str) -> DataFrame:
-    """path, sheet, row_no, col_no, value of all cells of spreadsheet files."""
-
-    def run(frames):
-        import pandas as pd
+def _shared(z: zipfile.ZipFile) -> list[str]:
+    if "xl/sharedStrings.xml" not in z.namelist():
+        return []
+    with z.open("xl/sharedStrings.xml") as f:
+        return [_text(e) for _, e in ElementTree.iterparse(f) if e.tag == _tag("si")]
+
+
+def cells_of(z: zipfile.ZipFile, part: str, first: int = 1, last: int | None = None):
+    """(row, column, value) of the cells with a value of a sheet, as text, from row `first` to `last`; read as a stream."""
+    shared = None
+    with z.open(part) as f:
+        for _, e in ElementTree.iterparse(f):
+            if e.tag != _tag("row"):
+                continue
+            number = int(e.get("r") or 0)
+            if last is not None and number > last:
+                return
+            for c in e.iter(_tag("c")) if number >= first else ():
+                v, kind = c.find(_tag("v")), c.get("t")
+                if kind == "s" and shared is None:
+                    shared = _shared(z)
+                value = _text(c) if kind == "inlineStr" else None if v is None else shared[int(v.text)] if kind == "s" else v.text
+                if value not in (None, ""):
+                    yield number, column_number(c.get("r")), value
+            e.clear()
 
-        for f in frames:
-            rows = [(p, *c) for p, content in zip(f["path"], f["content"]) for c in read(content)]
-            yield pd.DataFrame(rows, columns=["path", "sheet", "row_no", "col_no", "value"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, sheet string, row_no int, col_no int, value string")
+def read(content: bytes) -> list:
+    """(sheet, row, column, value) of every cell with a value, as text."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        return [(name, *cell) for name, part in sheets(z) for cell in cells_of(z, part)]
 
 
 def files(cells: DataFrame) -> DataFrame:
@@ -125,17 +137,3 @@ def comparison_cells(wide: DataFrame, sheet: str, order: str) -> DataFrame:
     body = wide.select((F.row_number().over(Window.orderBy(order)) + 1).alias("row_no"), F.array(*(value(F.col(f"`{c}`"), i, "plain") for i, c in enumerate(wide.columns, 1))).alias("c"))
     head = wide.sparkSession.range(1).select(F.lit(1).alias("row_no"), F.array(*(value(F.lit(c), i, "header") for i, c in enumerate(wide.columns, 1))).alias("c"))
     return head.unionByName(body).select(F.lit(sheet).alias("sheet"), "row_no", F.inline("c"))
-
-
-def save(spreadsheets: DataFrame, folder: str) -> list:
-    """Write files() to a folder of the driver, one at a time; returns the paths."""
-    import os
-
-    os.makedirs(folder, exist_ok=True)
-    paths = []
-    for r in spreadsheets.toLocalIterator():
-        path = os.path.join(folder, os.path.basename(r["name"]))
-        with open(path, "wb") as f:
-            f.write(r["content"])
-        paths.append(path)
-    return paths

@@ -5,7 +5,7 @@ import json
 from finlattice.__main__ import main
 from finlattice.operators import matching
 from finlattice.plans import comparison
-from finlattice.sources import files, workbook
+from finlattice.sources import files, spreadsheets
 
 
 def read(content):
@@ -53,7 +53,7 @@ def test_comparison_of_files(spark, tmp_path):
         (tmp_path / f"{c}.json").write_text(json.dumps({"title": c, "statement_type": "income_statement", "periods": ["2024"], "sections": [{"name": "S", "rows": rows}]}))
     out = comparison.compare_files(spark, {c: f"{tmp_path}/{c}.json" for c in "ab"}, str(tmp_path / "out"))
     assert {r.company: (r.revenue, r.gross_profit, r.gross_margin) for r in out.collect()} == {"a": (100.0, -50.0, -50.0), "b": (50.0, -25.0, -50.0)}
-    cells = {(r.row_no, r.col_no): r.value for r in workbook.cells(spark, str(tmp_path / "out")).collect()}
+    cells = {(r.row_no, r.col_no): r.value for r in spreadsheets.cells(spark, str(tmp_path / "out")).collect()}
     assert [cells[1, i] for i in (1, 2, 3)] == ["Metric", "a", "b"]
     assert spark.read.json(f"{tmp_path}/out/peer_comparison").count() == 2
 

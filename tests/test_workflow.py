@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from finlattice.operators import review
 from finlattice.plans import providers, tables, workflow
-from finlattice.sources import documents, workbook
+from finlattice.sources import documents, spreadsheets, workbook
 
 CHART = [("5001", "Vaccine Revenue", None, 0), ("7340", "Rent", None, 1)]
 
@@ -93,8 +93,9 @@ def test_documents(spark):
 def test_workbook(spark, tmp_path):
     s = spark.createDataFrame([("d", "T & <x>", ["a"], [("S", [("l", ["1"], False)])])], "doc_id string, title string, periods array<string>, sections " + workflow.SECTIONS)
     cells = review.sheet(s).withColumns({"name": F.lit("d.xlsx"), "sheet": F.lit("Cash/flow")})
-    [path] = workbook.save(workbook.files(cells), str(tmp_path))
-    back = {tuple(r)[1:] for r in workbook.cells(spark, str(tmp_path)).collect()}
+    spreadsheets.save(workbook.files(cells), str(tmp_path))
+    [path] = tmp_path.glob("*")
+    back = {tuple(r)[1:] for r in spreadsheets.cells(spark, str(tmp_path)).collect()}
     assert back == {("Cash_flow", 1, 1, "T & <x>"), ("Cash_flow", 2, 1, "Line Item"), ("Cash_flow", 2, 2, "a"), ("Cash_flow", 3, 1, "S"), ("Cash_flow", 4, 1, "l"), ("Cash_flow", 4, 2, "1")}
     wide = spark.createDataFrame([("revenue", 1.0, None), ("assets", 2.0, 3.0)], "Metric string, `A.B` double, C double")
     got = {(r.row_no, r.col_no): r.value for r in workbook.comparison_cells(wide, "Comparison", "Metric").collect()}
