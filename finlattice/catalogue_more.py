@@ -414,14 +414,15 @@ def call_events(spark, sf):
     return every.groupBy("node", "response_tokens", "success").agg(F.count("*").alias("n"))
 
 
-# -- the workflow over documents: a document's pages are its parts of 300 characters, four at most
+# -- the workflow over documents: a document's pages are its parts of 300 characters
 
-_PAGES = "select doc_id, i + 1 as page_num, substr(text, 1 + i * 300, 300) as text from documents, (select unnest([0, 1, 2, 3]) as i) where i = 0 or len(text) > i * 300"
+_PAGES = "select doc_id, i + 1 as page_num, substr(text, 1 + i * 300, 300) as text from (select doc_id, text, unnest(range(0, greatest(1, (len(text) + 299) // 300))) as i from documents)"
 
 
 def _pages(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", "text", F.explode(F.array(*map(F.lit, range(4)))).alias("i"))
-    return d.where((F.col("i") == 0) | (F.length("text") > F.col("i") * 300)).select("doc_id", (F.col("i") + 1).alias("page_num"), F.expr("substring(text, 1 + i * 300, 300)").alias("text"))
+    last = F.greatest(F.lit(0), F.floor((F.length("text") + 299) / 300).cast("int") - 1)
+    d = t(spark, sf, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    return d.select("doc_id", (F.col("i") + 1).alias("page_num"), F.expr("substring(text, 1 + i * 300, 300)").alias("text"))
 
 
 def _detector(prompts, images):
@@ -430,7 +431,7 @@ def _detector(prompts, images):
     for p in prompts:
         body = p.split("\n\n", 1)[1]
         pages = [int(n) for n, first in re.findall(r"(?:^|\n---\n\n)Page (\d+):\n(.?)", body) if first and first in "aeiouAEIOU"]
-        out.append("<think>{}</think>```json\n" + json.dumps({"income_statement": pages, "cash_flow": [2, 9, "x"]}) + "\n```")
+        out.append("<think>{}</think>```json\n" + json.dumps({"income_statement": pages, "cash_flow": [2, 0, "x"]}) + "\n```")
     return out
 
 

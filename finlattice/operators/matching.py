@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,28 +14,60 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 4, F.lit(1))), lambda i: F.substring(text, i, F.lit(5))))
 
 
-def _pairs(labels: DataFrame, accounts: DataFrame) -> DataFrame:
-    """label, pos of the pairs that may match, found by equal keys alone: never every label against every account.
+#: A token that more accounts hold is common: it meets labels by kinds of accounts, not by each of them.
+COMMON = 64
+#: Accounts that an answer names at most: the best and two more.
+NAMED = 3
+
+
+def _rarest(pieces: DataFrame, key: str) -> DataFrame:
+    """Of each `key` its piece that fewest names hold; none if a piece is in no name."""
+    g = pieces.groupBy(key).agg(F.min_by("piece", F.struct("names", "piece")).alias("piece"), F.min("names").alias("names"))
+    return g.where("names > 0").select(key, "piece")
+
+
+def _inside(l: DataFrame, a: DataFrame) -> DataFrame:
+    """label, pos where one may hold the other (five letters at least): all pieces of the inner are in the outer, so its rarest is enough."""
+    grams = a.select("pos", F.explode(_grams(F.col("name"))).alias("piece"))
+    held = grams.groupBy("piece").agg(F.count("*").alias("names"))
+    name = _rarest(grams.where(F.length("piece") == 5).join(held, "piece"), "pos")
+    pieces = l.where(F.length("lo") > 4).select("label", F.explode(_grams(F.col("lo"))).alias("piece"))
+    label = _rarest(pieces.join(held, "piece", "left").na.fill(0, ["names"]), "label")
+    return pieces.join(name, "piece").select("label", "pos").unionByName(label.join(grams, "piece").select("label", "pos"))
+
+
+def _token_pairs(l: DataFrame, a: DataFrame, common: int) -> DataFrame:
+    """label, pos where tokens may meet: equal or of the same first five letters.
 
-    A name that holds another of five letters or more holds its first five; tokens that meet are equal or begin alike.
+    Rare ones meet one by one. Accounts of the same common tokens are one kind, of which the first NAMED speak: an
+    answer names no more, and the others of a kind match no better than they unless a rare token says so.
     """
     head = lambda c: F.substring(c, 1, 5)
+    heads = lambda c: F.array_distinct(F.transform(c, head))
+    lk, ak = l.select("label", F.explode(heads("tokens")).alias("key")), a.select("pos", "atokens", F.explode(heads("atokens")).alias("key"))
+    often = ak.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > common).select("key")
+    rare = lk.join(ak.join(often, "key", "left_anti").select("key", "pos"), "key").select("label", "pos")
+    shared = ak.join(often, "key").groupBy("pos").agg(F.first("atokens").alias("atokens"), F.collect_set("key").alias("keys"))  # an account's tokens are few
+    kind = shared.select("pos", "keys", F.array_sort(F.filter("atokens", lambda t: F.array_contains(F.col("keys"), head(t)))).alias("kind"))
+    first = kind.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("pos"))).where(F.col("n") <= NAMED)
+    met = lk.join(first.select("pos", F.explode("keys").alias("key")), "key").select("label", "pos")
+    return rare.unionByName(met)
+
+
+def _pairs(labels: DataFrame, accounts: DataFrame, common: int) -> DataFrame:
+    """label, pos of the pairs that may match: equal names, one inside the other by its rarest piece, tokens by rarity."""
     l, a = labels.select("label", "lo", "tokens"), accounts.select("pos", "name", "atokens")
-    keyed = [
-        (l.withColumn("key", F.col("lo")), a.withColumn("key", F.col("name"))),
-        (l.where(F.length("lo") > 4).withColumn("key", head("lo")), a.withColumn("key", F.explode(_grams(F.col("name"))))),
-        (l.withColumn("key", F.explode(_grams(F.col("lo")))), a.where(F.length("name") > 4).withColumn("key", head("name"))),
-        (l.withColumn("key", F.explode(F.transform("tokens", head))), a.withColumn("key", F.explode(F.transform("atokens", head)))),
-    ]
-    return reduce(DataFrame.unionByName, (x.select("label", "key").join(y.select("pos", "key"), "key").select("label", "pos") for x, y in keyed)).distinct()
+    equal = l.select("label", F.col("lo").alias("name")).join(a.select("pos", "name"), "name").select("label", "pos")
+    return equal.unionByName(_inside(l, a)).unionByName(_token_pairs(l, a, common)).distinct()
 
 
-def match(labels: DataFrame, accounts: DataFrame, allow_balance_sheet: bool = True) -> DataFrame:
+def match(labels: DataFrame, accounts: DataFrame, allow_balance_sheet: bool = True, common: int = COMMON) -> DataFrame:
     """label -> code, confidence, match_type, match_ratio, matched_on, unmatched, alternatives (two at most, if ambiguous).
 
     accounts: code, name, pos (order of loading). Headers and compounds are told first; then the first account in
     order that is equal, contains the label (over 4 letters) or is contained in it; then shares of tokens, the
     best first, earlier accounts first among equals. Unless `allow_balance_sheet`, only accounts of income statements count.
+    Tokens that over `common` accounts hold are looked up by kind of account; it changes no answer.
     """
     if not allow_balance_sheet:
         accounts = A.of_income_statements(accounts)
@@ -47,7 +77,7 @@ def match(labels: DataFrame, accounts: DataFrame, allow_balance_sheet: bool = Tr
     plain = l.where("not header and not compound")
     layer1 = F.when(F.col("lo") == F.col("name"), 1).when((F.length("lo") > 4) & F.col("name").contains(F.col("lo")), 2).when((F.length("name") > 4) & F.col("lo").contains(F.col("name")), 3)
     met = F.exists("tokens", lambda p: F.exists("atokens", lambda c: (p == c) | ((F.length(p) >= 5) & (F.length(c) >= 5) & (p.startswith(c) | c.startswith(p)))))
-    hit = plain.join(_pairs(plain, a), "label").join(a, "pos").where(layer1.isNotNull() | met)
+    hit = plain.join(_pairs(plain, a, common), "label").join(a, "pos").where(layer1.isNotNull() | met)
     ratio = F.when(F.size("tokens") > 0, F.size(X.overlap(F.col("tokens"), F.col("atokens"))) / F.size("tokens")).otherwise(0.0)
     hit = hit.withColumn("layer", F.coalesce(layer1, F.lit(4))).withColumn("ratio", ratio)
     w = Window.partitionBy("label").orderBy((F.col("layer") == 4).cast("int"), F.when(F.col("layer") < 4, F.lit(0.0)).otherwise(-F.col("ratio")), "pos")

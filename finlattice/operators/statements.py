@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
+from ..functions.aliases import metrics_of
 
 RATIOS = [("gross_margin", "gross_profit", "revenue", 100, 1), ("operating_margin", "operating_income", "revenue", 100, 1), ("net_margin", "net_income", "revenue", 100, 1), ("debt_to_equity", "total_debt", "total_equity", 1, 2), ("return_on_equity", "net_income", "total_equity", 100, 1), ("return_on_assets", "net_income", "total_assets", 100, 1)]
 
@@ -26,17 +27,16 @@ def line_items(statements: DataFrame) -> DataFrame:
     return r.where(~F.coalesce("r.is_subtotal", F.lit(False)) & (F.col("r.label") != "")).select("doc_id", "section_pos", "section", "row_index", "r.label", "r.values")
 
 
-def metric_values(cells: DataFrame, key: str) -> DataFrame:
+def metric_values(cells: DataFrame, *keys: str) -> DataFrame:
     """First row in document order whose label contains an alias of a metric, or is contained in it.
 
-    cells: key, section_pos, row_pos, label, value_raw of the first period. The aliases are a fixed table.
+    cells: keys, section_pos, row_pos, label, value_raw of the first period. Labels go through an automaton of all aliases
+    (functions.aliases), batch by batch: no label meets each alias.
     """
-    spark = cells.sparkSession
-    alias = spark.createDataFrame([(m, a, i) for m, xs in V.METRIC_ALIASES.items() for i, a in enumerate(xs)], "metric string, alias string, alias_pos int")
     label = F.lower(X.strip(F.col("label")))
-    hit = cells.where("value_raw is not null and value_raw <> ''").join(F.broadcast(alias), label.contains(F.col("alias")) | F.col("alias").contains(label))
-    first = hit.groupBy(key, "metric").agg(F.min_by("value_raw", F.struct("section_pos", "row_pos", "alias_pos")).alias("raw"))
-    return first.select(key, "metric", X.parse_value(F.col("raw")).alias("value"))
+    hit = cells.where("value_raw is not null and value_raw <> ''").select(*keys, "section_pos", "row_pos", "value_raw", F.inline(metrics_of(label)))
+    first = hit.groupBy(*keys, "metric").agg(F.min_by("value_raw", F.struct("section_pos", "row_pos", "alias_pos")).alias("raw"))
+    return first.select(*keys, "metric", X.parse_value(F.col("raw")).alias("value"))
 
 
 def ratios(wide: DataFrame) -> DataFrame:
@@ -121,9 +121,9 @@ def company_metrics(cells: DataFrame) -> DataFrame:
 
     Income statements speak for every metric, balance sheets for their own where the former don't, cash flows over both for theirs.
     """
-    of = lambda kind: metric_values(cells.where(F.col("statement_type") == kind), "company").where("value is not null")
-    ranked = of("income_statement").withColumn("rank", F.lit(1)).unionByName(of("balance_sheet").where(F.col("metric").isin(V.BALANCE_METRICS)).withColumn("rank", F.lit(2)))
-    ranked = ranked.unionByName(of("cash_flow").where(F.col("metric").isin(V.CASH_METRICS)).withColumn("rank", F.lit(0)))
+    kind = F.col("statement_type")
+    rank = F.when(kind == "income_statement", 1).when((kind == "balance_sheet") & F.col("metric").isin(V.BALANCE_METRICS), 2).when((kind == "cash_flow") & F.col("metric").isin(V.CASH_METRICS), 0)
+    ranked = metric_values(cells, "company", "statement_type").where("value is not null").withColumn("rank", rank).where("rank is not null")
     return ranked.groupBy("company", "metric").agg(F.min_by("value", "rank").alias("value"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -90,3 +90,63 @@ def output_types(files: DataFrame, types: list[str]) -> DataFrame:
     """name, statement_type, kind of output files whose name holds the name of a type."""
     hit = F.filter(F.array(*map(F.lit, types)), lambda t: F.col("name").contains(t))
     return files.select("name", F.explode(hit).alias("statement_type"), F.lower(F.substring_index("name", ".", -1)).alias("kind"))
+
+
+def observed_quality(rows: DataFrame, name: str = "quality") -> tuple[DataFrame, Observation]:
+    """`rows` as they are, and the counters of quality_counters() over all of them, known once the rows have been written."""
+    seen = Observation(name)
+    posted = F.col("code").isNotNull() & ~F.col("header")
+    counts = [F.count(F.lit(1)).alias("total"), F.count_if(~F.col("header")).alias("postable"), F.count_if(posted).alias("mapped"), F.count_if(posted & (F.col("confidence") == "high")).alias("high"), F.count_if("needs_review").alias("review")]
+    return rows.observe(seen, *counts), seen
+
+
+def observed_verdicts(verdicts: DataFrame, name: str = "verdicts") -> tuple[DataFrame, Observation]:
+    """`verdicts` as they are; once written: statements, passed, whether all did, and the mean score."""
+    seen = Observation(name)
+    mean = F.try_divide(F.aggregate(F.map_values("scores"), F.lit(0.0), lambda a, x: a + x), F.size("scores"))
+    ok = F.coalesce("passed", F.lit(False))
+    return verdicts.observe(seen, F.count(F.lit(1)).alias("statements"), F.count_if(ok).alias("passed"), F.coalesce(F.bool_and(ok), F.lit(False)).alias("all_passed"), F.avg(mean).alias("score")), seen
+
+
+def sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
+    """key, started, ended, events, seconds of runs that say no end: one ends when nothing comes for `gap`.
+
+    Batches and streams alike; `late` sets a stream's watermark. Rows without a key or time count nowhere.
+    """
+    e = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    e = e.withWatermark(ts, late) if late else e
+    g = e.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("events"))
+    return g.select(key, "started", "ended", "events", F.round((F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / 1000000, 3).alias("seconds"))
+
+
+def sliding_stats(runs: DataFrame, days: int = 7, every: str = "1 day", late: str | None = None) -> DataFrame:
+    """run_stats() of the `days` before each step: window_end, total_runs, success_rate, avg_seconds, calls. Batches and streams alike."""
+    r = runs.withWatermark("ts", late) if late else runs
+    g = r.groupBy(F.window("ts", f"{days} days", every).alias("w")).agg(F.count("*").alias("total_runs"), F.round(F.count_if("success") * 100 / F.count("*"), 1).alias("success_rate"), F.round(F.avg("seconds"), 2).alias("avg_seconds"), F.sum("calls").alias("calls"))
+    return g.select(F.col("w.end").alias("window_end"), "total_runs", "success_rate", "avg_seconds", "calls")
+
+
+def upgraded(usage: DataFrame, users: DataFrame, at: Column) -> DataFrame:
+    """The usage table after `users` (user_id) became pro at a time; who wasn't known has used nothing yet."""
+    u = users.select("user_id").distinct().withColumn("_pro", F.lit(True))
+    old = usage if "upgraded_at" in usage.columns else usage.withColumn("upgraded_at", F.lit(None).cast("string"))
+    j = old.join(u, "user_id", "full_outer")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("current_month_count", "total_extractions")}
+    return j.withColumns(zero | {"tier": F.when(F.col("_pro"), "pro").otherwise(F.col("tier")), "month_start": F.coalesce("month_start", F.date_format(at, "yyyy-MM")), "upgraded_at": F.when(F.col("_pro"), at.cast("string")).otherwise(F.col("upgraded_at"))}).select(old.columns)
+
+
+def recorded(usage: DataFrame, attempts: DataFrame, limit: int = 2) -> DataFrame:
+    """The usage table after attempts (user_id, month as yyyy-MM): allowed ones count, a new month starts at 0.
+
+    Free users may do `limit` a month, those of the month that the table is at included; pro users any number. Months
+    before the table's own are late and leave its month as it is.
+    """
+    n = attempts.where("user_id is not null and month is not null").groupBy("user_id", "month").agg(F.count("*").cast("int").alias("n"))
+    j = n.join(usage.select("user_id", "tier", "current_month_count", "month_start"), "user_id", "left")
+    used = F.when(F.col("month") == F.col("month_start"), F.col("current_month_count")).otherwise(0)
+    done = F.when(F.col("tier") == "pro", F.col("n")).otherwise(F.greatest(F.lit(0), F.least(F.col("n"), limit - used)))
+    m = j.withColumn("used", used).withColumn("done", done).groupBy("user_id").agg(F.sum("done").cast("int").alias("_done"), F.max("month").alias("_month"), F.max_by(F.col("used") + F.col("done"), "month").cast("int").alias("_used"))
+    out = usage.join(m, "user_id", "full_outer")
+    newer = F.col("_month").isNotNull() & (F.col("_month") >= F.coalesce("month_start", F.lit("")))
+    values = {"tier": F.coalesce("tier", F.lit("free")), "total_extractions": F.coalesce("total_extractions", F.lit(0)) + F.coalesce("_done", F.lit(0)), "current_month_count": F.when(newer, F.col("_used")).otherwise(F.col("current_month_count")), "month_start": F.when(newer, F.col("_month")).otherwise(F.col("month_start"))}
+    return out.withColumns(values).select(usage.columns)

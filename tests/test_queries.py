@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from finlattice import catalogue_more as catalogue
+from finlattice import catalogue_jobs as catalogue
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
