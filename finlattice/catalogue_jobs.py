@@ -143,14 +143,15 @@ def cached_answers(spark, sf):
     return flow.ask(requests, _upper, "second").select("p_partkey", "answer", (F.col("ms") > 0).alias("asked"))
 
 
-@query("select p_name as label, '5' || lpad(min(p_partkey)::varchar, 8, '0') as code from part where p_partkey % 2 = 1 and p_name not like '%/%' group by 1")
+@query("""with a as (select p_name, min(p_partkey) as k from part where p_partkey % 2 = 1 group by 1), l as (select distinct p_name as label from part)
+select label, '5' || lpad(min(k)::varchar, 8, '0') as code from l join a on contains(p_name, label) or contains(label, p_name) group by 1""")
 def income_accounts_only(spark, sf):
     """allow_balance_sheet=False: of accounts named like parts, those of the balance sheet (every second, and first in order) never match."""
     k = F.col("p_partkey")
     part = t(spark, sf, "part")
     chart = part.select(F.concat(F.when(k % 2 == 0, "1").otherwise("5"), F.lpad(k.cast("string"), 8, "0")).alias("code"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("description"), F.when(k % 2 == 0, k - 1_000_000_000).otherwise(k).cast("int").alias("pos"))
     m = matching.match(part.select(F.col("p_name").alias("label")), chart, allow_balance_sheet=False)
-    return m.where("match_type = 'exact'").select("label", "code")
+    return m.where("match_type in ('exact', 'exact_substring')").select("label", "code")
 
 
 # -- files made from tables, and what the scans, writers and the command line make of them
