@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import minhash, mixing, packing, secret_scan, toxicity
 from .queries import table, vocabulary
 from .sharding import settled
-from .work import Scratch, made, spent
+from .work import Scratch, collected
 
 #: The columns that every stage but the last returns.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -72,9 +72,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        since, before = made(), docs
-        docs = scratch.keep(stage(spark, docs, sf_dir))
-        spent(since)
+        before = docs
+        with collected() as spent:
+            docs = scratch.keep(stage(spark, docs, sf_dir))
+            spent()
         if k:
             scratch.drop(before)
     return docs

@@ -6,9 +6,12 @@ import atexit
 import ctypes
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -37,20 +40,55 @@ def shared_dir(spark: SparkSession) -> str:
     return LOCAL_DIR.as_uri()
 
 
-#: The folders made so far; spent() removes those of operators whose results have been written.
-_MADE: list[Scratch] = []
+#: Where the operators called by this thread note their folders, inside `with collected()`.
+_NOTED: ContextVar[list[Scratch] | None] = ContextVar("noted", default=None)
 
 
-def made() -> int:
-    return len(_MADE)
+@contextmanager
+def collected() -> Iterator[Callable[[], None]]:
+    """The scratch tables of the operators called inside, by this thread alone: the function given removes them.
 
+    It is called when the results have been written, as nothing lazy may read the tables any more. Operators that run
+    in other threads meanwhile keep theirs.
+    """
+    own: list[Scratch] = []
+
+    def spent() -> None:
+        for s in own:
+            fs, p = s._path(s.root)
+            fs.delete(p, True)
+        own.clear()
+
+    token = _NOTED.set(own)
+    try:
+        yield spent
+    finally:
+        _NOTED.reset(token)
 
-def spent(since: int) -> None:
-    """Remove the scratch tables of all operators called since made() said `since`: nothing lazy may read them any more."""
-    for s in _MADE[since:]:
-        fs, p = s._path(s.root)
-        fs.delete(p, True)
-    del _MADE[since:]
+
+class _Cleanup:
+    """CLEANUP is on in a session while any of its threads writes a step; the last one out puts back what was there."""
+
+    def __init__(self):
+        self.lock, self.writers, self.before = threading.Lock(), 0, "false"
+
+    @contextmanager
+    def on(self, spark: SparkSession) -> Iterator[None]:
+        with self.lock:
+            if not self.writers:
+                self.before = spark.conf.get(CLEANUP, "false")
+            self.writers += 1
+            spark.conf.set(CLEANUP, "true")
+        try:
+            yield
+        finally:
+            with self.lock:
+                self.writers -= 1
+                if not self.writers:
+                    spark.conf.set(CLEANUP, self.before)
+
+
+_cleanup = _Cleanup()
 
 
 class Scratch:
@@ -64,7 +102,9 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        _MADE.append(self)
+        noted = _NOTED.get()
+        if noted is not None:
+            noted.append(self)
 
     def _path(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -76,12 +116,8 @@ class Scratch:
         writer = df.write.option("compression", "zstd")
         for k, v in options.items():
             writer = writer.option(k, v)
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        with _cleanup.on(self.spark):
             writer.parquet(path)
-        finally:
-            self.spark.conf.set(CLEANUP, before)
         if self.n == 1:
             fs, p = self._path(self.root)
             fs.deleteOnExit(p)
