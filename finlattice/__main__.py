@@ -136,8 +136,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
 
 def learned_rules(spark: SparkSession, folder: str, practice: str | None) -> DataFrame:
     """Rules of the default table and of a practice, whose own win: _default.md and <practice>.md."""
-    every = files.rules(spark, folder)
-    return memory.effective(every.where(F.col("practice_id") == "_default"), every.where(F.col("practice_id") == (practice or "")))
+    default = files.rule_file(spark, f"{folder}/_default.md")
+    return memory.effective(default, files.rule_file(spark, f"{folder}/{practice}.md") if practice else default.limit(0))
 
 
 if __name__ == "__main__":

@@ -89,6 +89,21 @@ def rules(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
     return rules_of(f, compat)
 
 
+def rule_file(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
+    """rules() of one small file, which the driver reads: scans pass over names that begin with _, such as _default.md. No file: no rules."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    text = ""
+    if store.exists(p):
+        stream = store.open(p)
+        try:
+            text = spark._jvm.java.lang.String(stream.readAllBytes(), "UTF-8")
+        finally:
+            stream.close()
+    name = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    return rules_of(spark.createDataFrame([(name, str(text))], "practice_id string, value string"), compat)
+
+
 def rules_of(texts: DataFrame, compat: bool = False) -> DataFrame:
     """rules() of texts (practice_id, value)."""
     f = texts.select("practice_id", F.split("value", "\r?\n").alias("lines"))

@@ -1,17 +1,31 @@
 """The command line over a folder of stand-in reports, and the comparison of files."""
 
 import json
+import tempfile
+from pathlib import Path
 
-from finlattice.__main__ import main
+from pyspark.sql import functions as F
+
+from finlattice.__main__ import learned_rules, main
 from finlattice.operators import matching
 from finlattice.plans import comparison
 from finlattice.sources import files, spreadsheets
 
+#: Where a model in a worker writes what it is asked.
+NOTED = Path(tempfile.gettempdir()) / "finlattice-test-noted.txt"
+
 
 def read(content):
     return bytes(content).decode().split("|")
 
 
+def noted(prompts, images):
+    """answer(), which writes down what it is asked."""
+    with open(NOTED, "a") as f:
+        f.writelines(p + "\n" for p in prompts)
+    return answer(prompts, images)
+
+
 def answer(prompts, images):
     out = []
     for p in prompts:
@@ -47,6 +61,46 @@ def test_command_line(spark, tmp_path):
     assert main(["--clean", "--tmp", str(tmp_path)], spark) == 0 and not (tmp_path / "x.tmp").exists()
 
 
+def test_command_line_logs_caches_and_learned_rules(spark, tmp_path):
+    folder, out, memory = tmp_path / "in", tmp_path / "out", tmp_path / "memory"
+    folder.mkdir()
+    memory.mkdir()
+    (folder / "acme.pdf").write_bytes(("Sales " * 30 + "|cash").encode())
+    head = "| Label | Section | Wrong | Correct | Name | Count |\n|---|---|---|---|---|---|\n"
+    (memory / "_default.md").write_text(head + "| Rent | ALL | 1 | 2 | Two | 1 |\n| Fuel | ALL | 5 | 6 | Six | 1 |\n")
+    (memory / "acme.md").write_text(head + "| rent | all | 7340 | 7000 | Seven | 3 |\n")
+    chart = tmp_path / "chart.json"
+    chart.write_text(json.dumps([{"code": "7340", "name": "Rent"}]))
+    args = ["--folder", str(folder), "--out", str(out), "--reader", "test_command:read", "--model", "test_command:noted", "--chart", str(chart), "--memory", str(memory), "--practice", "acme", "--cache", f"{tmp_path}/cache", "--pace", "1000"]
+    NOTED.write_text("")
+    assert main(args, spark) == 0
+    run = spark.read.json(f"{out}/metrics").collect()
+    assert [(r.pdf_file, r.status, r.success) for r in run] == [("acme", "completed", True)] and run[0].llm_calls >= 4
+    logged = {r.event: r.n for r in spark.read.json(f"{out}/logs").groupBy("event").agg(F.count("*").alias("n")).collect()}
+    assert logged["run_started"] == logged["run_completed"] == 1 and logged["llm_call"] == run[0].llm_calls
+    got = {r.label: (r.wrong_code, r.correct_code) for r in learned_rules(spark, str(memory), "acme").collect()}
+    assert got == {"rent": ("7340", "7000"), "Fuel": ("5", "6")}
+    prompts = NOTED.read_text()
+    assert "7000 Seven (NEVER 7340)" in prompts and "6 Six (previously" in prompts
+    n = len(prompts)
+    assert main(args, spark) == 0 and len(NOTED.read_text()) == n  # every answer was known
+
+
+def test_command_line_as_a_stream(spark, tmp_path):
+    folder, out = tmp_path / "in", tmp_path / "out"
+    folder.mkdir()
+    args = ["--stream", "--folder", str(folder), "--out", str(out), "--reader", "test_command:read", "--model", "test_command:answer", "--statements", "income_statement"]
+    (folder / "acme.pdf").write_bytes(("Sales " * 30).encode())
+    assert main(args, spark) == 0 and main(args, spark) == 0
+    (folder / "beta.pdf").write_bytes(("Sales " * 31).encode())
+    (folder / "gamma.pdf").write_bytes(b"nothing")
+    assert main(args, spark) == 1
+    names = sorted(p.name.rsplit("_", 2)[0] for p in out.glob("*.xlsx"))
+    assert names == ["acme_income_statement", "beta_income_statement"]
+    assert sorted(r.doc_id for r in spark.read.json(f"{out}/json").collect()) == ["acme", "beta"]
+    assert sorted((r.pdf_file, r.success) for r in spark.read.json(f"{out}/metrics").collect()) == [("acme", True), ("beta", True), ("gamma", False)]
+
+
 def test_comparison_of_files(spark, tmp_path):
     for c, n in (("a", 100), ("b", 50)):
         rows = [{"label": "Total revenue", "values": [str(n)]}, {"label": "Gross profit", "values": [f"({n // 2})"]}]
