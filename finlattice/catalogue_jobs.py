@@ -5,6 +5,8 @@ Each job works in a fresh folder of the cluster's shared one, which goes when th
 
 from __future__ import annotations
 
+import contextlib
+import io
 import json
 import uuid
 
@@ -233,7 +235,8 @@ def command_line(spark, sf):
     from .__main__ import main
 
     out = _folder(spark, "command")
-    main(["--folder", _dropped(spark, sf), "--out", out, "--reader", "finlattice.catalogue_jobs:_pages_of", "--model", "finlattice.catalogue_jobs:_model"], spark)
+    with contextlib.redirect_stdout(io.StringIO()):
+        main(["--folder", _dropped(spark, sf), "--out", out, "--reader", "finlattice.catalogue_jobs:_pages_of", "--model", "finlattice.catalogue_jobs:_model"], spark)
     return _saved(spark, out)
 
 

@@ -328,12 +328,17 @@ def page_marks(spark, sf):
     return statements.page_marks(o, marks)
 
 
-@query("""with i(i, s) as (values (0, 'all'), (1, ' Cash_Flow, x,cash_flow'), (2, ''), (3, 'income_statement,all'), (4, 'nothing')),
-l as (select i, unnest(case s when 'all' then ['balance_sheet', 'income_statement', 'cash_flow'] when '' then ['balance_sheet', 'income_statement', 'cash_flow'] when 'nothing' then ['balance_sheet', 'income_statement', 'cash_flow'] when 'income_statement,all' then ['income_statement', 'balance_sheet', 'income_statement', 'cash_flow'] else ['cash_flow', 'cash_flow'] end) as kind from i)
-select i, kind, count(*) as n from l group by 1, 2""")
+_ASKED = ["all", " Cash_Flow, x,cash_flow", "", "income_statement,all", "nothing"]
+_EVERY = "['balance_sheet', 'income_statement', 'cash_flow']"
+
+
+@query(f"""with l as (select p_partkey, unnest(case p_partkey % 6 when 0 then {_EVERY} when 1 then ['cash_flow', 'cash_flow'] when 3 then ['income_statement', 'balance_sheet', 'income_statement', 'cash_flow'] else {_EVERY} end) as kind from part)
+select p_partkey, kind, count(*) as n from l group by 1, 2""")
 def statement_types(spark, sf):
-    given = ["all", " Cash_Flow, x,cash_flow", "", "income_statement,all", "nothing"]
-    return spark.createDataFrame([(i, k) for i, s in enumerate(given) for k in workflow.statement_types(s)], "i int, kind string").groupBy("i", "kind").agg(F.count("*").alias("n"))
+    """Requests of five kinds and null ones, by part."""
+    k = F.col("p_partkey")
+    asked = F.get(F.array(*map(F.lit, _ASKED)), (k % 6).cast("int"))
+    return t(spark, sf, "part").select("p_partkey", F.explode(workflow.types_of(asked)).alias("kind")).groupBy("p_partkey", "kind").agg(F.count("*").alias("n"))
 
 
 _TABLES = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]

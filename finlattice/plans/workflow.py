@@ -36,6 +36,14 @@ def statement_types(text: str | None) -> list[str]:
     return out or list(TYPES)
 
 
+def types_of(text: Column) -> Column:
+    """statement_types() of a column."""
+    names = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.lower(F.trim(x)))
+    every = F.array(*map(F.lit, TYPES))
+    listed = F.flatten(F.transform(names, lambda x: F.when(x == "all", every).when(F.array_contains(every, x), F.array(x)).otherwise(F.array().cast("array<string>"))))
+    return F.when(F.size(listed) == 0, every).otherwise(listed)
+
+
 def has_text(pages: DataFrame) -> DataFrame:
     """doc_id, total_pages, has_text: over 100 characters on all pages together."""
     return pages.groupBy("doc_id").agg(F.count("*").alias("total_pages"), (F.coalesce(F.sum(F.length("text")), F.lit(0)) > 100).alias("has_text"))

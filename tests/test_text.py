@@ -39,3 +39,11 @@ def test_series(spark):
 
 def test_model_text(spark):
     assert values(spark, ['<think>x\n</think>```json\n{"a": 1}\n```', '{"a": 1}', '```{"a": 1}```'], X.model_text) == ['{"a": 1}'] * 3
+
+
+def test_requested_types(spark):
+    from finlattice.plans import workflow
+
+    given = ["all", " Cash_Flow, x,cash_flow", "", None, "income_statement,all", "nothing", ",", "CASH_FLOW"]
+    got = [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x string").select("i", workflow.types_of(F.col("x")).alias("t")).orderBy("i").collect()]
+    assert got == [workflow.statement_types(x) for x in given]
