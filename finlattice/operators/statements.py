@@ -156,20 +156,29 @@ def merge_statements(pages: DataFrame) -> DataFrame:
     The first page that has sections is the base. A later page's section goes to every section of its name, else to the
     end; values aren't moved to other periods. Pages that failed (null sections) take no part.
     """
-    ok = pages.where("sections is not null")
-    g = ok.groupBy("doc_id", "statement_type").agg(F.array_sort(F.collect_list(F.struct("page_pos", "title", F.coalesce("periods", F.array().cast("array<string>")).alias("periods"), "sections"))).alias("p"))
-    kind = "array<struct<name:string,rows:array<struct<label:string,values:array<string>,is_subtotal:boolean>>>>"
-    as_kind = lambda c: c.cast(kind)
+    key, rows_type = ["doc_id", "statement_type"], "array<struct<label:string,values:array<string>,is_subtotal:boolean>>"
+    none, no_periods = F.array().cast(rows_type), F.array().cast("array<string>")
+    ok = pages.where("sections is not null").repartition(*key)  # the steps below need no other exchange
+    page = F.struct("page_pos", "title", F.coalesce("periods", no_periods).alias("periods"))
+    g = ok.groupBy(*key).agg(F.array_sort(F.collect_list(page)).alias("p"))
     first, rest = F.col("p")[0], F.slice("p", 2, F.size("p"))
-    none = F.array().cast("array<struct<label:string,values:array<string>,is_subtotal:boolean>>")
-
-    def add(acc, s):
-        grown = F.transform(acc, lambda x: F.when(x["name"].eqNullSafe(s["name"]), F.struct(x["name"].alias("name"), F.concat(F.coalesce(x["rows"], none), F.coalesce(s["rows"], none)).alias("rows"))).otherwise(x))
-        return as_kind(F.when(F.exists(acc, lambda x: x["name"].eqNullSafe(s["name"])), grown).otherwise(F.concat(acc, F.array(s))))
-
-    sections = F.aggregate(as_kind(F.flatten(F.transform(rest, lambda q: q["sections"]))), as_kind(first["sections"]), add)
     periods = F.aggregate(F.transform(rest, lambda q: q["periods"]), first["periods"], union_periods)
-    return g.select("doc_id", "statement_type", first["title"].alias("title"), periods.alias("periods"), sections.alias("sections"))
+    heads = g.select(*key, first["title"].alias("title"), periods.alias("periods"))
+    base = F.col("page_pos") == F.min("page_pos").over(Window.partitionBy(*key))
+    s = ok.select(*key, "page_pos", "sections", base.alias("base"))  # a step of its own: a page without sections may be the base
+    s = s.select(*key, "page_pos", "base", F.posexplode("sections").alias("at", "s"))
+    s = s.select(*key, "base", F.struct("page_pos", "at").alias("place"), F.col("s.name").alias("name"), F.col("s.rows").cast(rows_type).alias("rows"))
+    # all sections of one name: the base page's, and what later pages add to each of them, or else to the first of their own
+    one = F.array_sort(F.collect_list(F.when(F.col("base"), F.struct("place", "rows"))))
+    more = F.array_sort(F.collect_list(F.when(~F.col("base"), F.struct("place", "rows"))))
+    n = s.groupBy(*key, "name").agg(one.alias("own"), more.alias("more"))
+    targets = F.when(F.size("own") > 0, F.col("own")).otherwise(F.slice("more", 1, 1))
+    added = F.when(F.size("own") > 0, F.col("more")).otherwise(F.slice("more", 2, F.greatest(F.size("more"), F.lit(1))))
+    n = n.select(*key, "name", F.explode(targets).alias("t"), F.flatten(F.transform(added, lambda x: F.coalesce(x["rows"], none))).alias("added"), (F.size(added) > 0).alias("grown"))
+    section = F.struct(F.col("t.place").alias("place"), "name", F.when(F.col("grown"), F.concat(F.coalesce("t.rows", none), "added")).otherwise(F.col("t.rows")).alias("rows"))
+    merged = n.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(section), lambda x, y: F.when(x["place"] < y["place"], -1).otherwise(1)), lambda x: x.dropFields("place")).alias("sections"))
+    empty = F.array().cast(f"array<struct<name:string,rows:{rows_type}>>")
+    return heads.join(merged, key, "left").select(*key, "title", "periods", F.coalesce("sections", empty).alias("sections"))
 
 
 def shown_rows(statements: DataFrame) -> DataFrame:

@@ -165,3 +165,33 @@ def test_categorise(spark):
     assert max(c for _, c in plain) == 3 and plain[6, 3] == "7"
     shown = {x.label: x.figures for x in S.shown_rows(income).collect()}
     assert shown["Revenue"] == [""] and shown["Odd"] == ["6"]
+
+
+def test_merged_pages_against_plain_lists(spark):
+    """Pages without sections, failed pages, names twice on a page, null names and rows."""
+    import random
+
+    rng, rows = random.Random(1), []
+    for d in range(40):
+        for p in range(rng.randrange(1, 5)):
+            one = lambda k: (rng.choice(["A", "B", "C", None]), None if rng.random() < 0.1 else [(f"l{d}{p}{k}{i}", ["1"], False) for i in range(rng.randrange(3))])
+            rows.append((f"d{d}", "cash_flow", p * 2, f"t{p}", None if rng.random() < 0.2 else rng.sample(["1", "2", "3"], 2), None if rng.random() < 0.15 else [one(k) for k in range(rng.randrange(5))]))
+    want = {}
+    for d, _, _, title, periods, sections in rows:
+        if sections is None:
+            continue
+        if d not in want:
+            want[d] = (title, list(periods or []), [[n, r] for n, r in sections])
+            continue
+        _, known, merged = want[d]
+        known += [x for x in periods or [] if x not in known]
+        for n, r in sections:
+            same = [m for m in merged if m[0] == n]
+            for m in same:
+                m[1] = (m[1] or []) + (r or [])
+            if not same:
+                merged.append([n, r])
+    df = spark.createDataFrame(rows, "doc_id string, statement_type string, page_pos int, title string, periods array<string>, sections array<struct<name string, rows array<struct<label string, values array<string>, is_subtotal boolean>>>>")
+    got = S.merge_statements(df).collect()
+    plain = lambda rs: None if rs is None else [tuple(x) for x in rs]
+    assert {r.doc_id: (r.title, r.periods, [[s.name, plain(s.rows)] for s in r.sections]) for r in got} == {d: (t, p, [[n, r] for n, r in s]) for d, (t, p, s) in want.items()}
