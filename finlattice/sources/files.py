@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +16,28 @@ DROPPED = "path string, modificationTime timestamp, length long, content binary"
 USAGE = "tier string, current_month_count int, month_start string, total_extractions int"
 
 
-def listed(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, stem, length, modified of the files in a folder, newest first; contents aren't read."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+def listed(spark: SparkSession, folder: str, pattern: str = "*", whole: bool = False) -> DataFrame:
+    """path, stem, length, modified of the files in a folder, newest first; contents aren't read.
+
+    With `whole`, a folder in it, such as a table of several files, is one entry too: its files' length together and
+    the time of the newest.
+    """
+    if whole:
+        root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+        f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        entry = F.regexp_extract(F.substring("path", len(root) + 2, 1 << 30), "^[^/]+", 0)
+        f = f.select(entry.alias("entry"), "length", "modificationTime").where(F.col("entry").rlike("^" + fnmatch.translate(pattern)))
+        f = f.groupBy(F.concat(F.lit(f"{root}/"), "entry").alias("path")).agg(F.sum("length").alias("length"), F.max("modificationTime").alias("modificationTime"))
+    else:
+        f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     return f.select("path", stem.alias("stem"), "length", F.col("modificationTime").alias("modified")).orderBy(F.desc("modified"), "path")
 
 
-def reports(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
+def reports(spark: SparkSession, folder: str, pattern: str = "*.pdf", whole: bool = False) -> DataFrame:
     """Files to process: none whose stem names a statement type, for those are parts of others."""
-    return listed(spark, folder, pattern).where(~F.col("stem").rlike("|".join(STATEMENT_TYPES)))
+    return listed(spark, folder, pattern, whole).where(~F.col("stem").rlike("|".join(STATEMENT_TYPES)))
 
 
 def report_contents(spark: SparkSession, path: str, folder: bool = True, pattern: str = "*.pdf") -> DataFrame:
