@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import os
 import re
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +21,8 @@ FORMAT = "finlattice_spreadsheet"
 CELLS = "path string, sheet string, row_no int, col_no int, value string"
 #: A sheet of more XML than this is read by several tasks, a range of rows each.
 SPLIT_BYTES = 8 << 20
+#: Of more files than FEW the small ones are read whole, many by a task: of PACKED bytes together, where opening one counts as OPEN more.
+FEW, SMALL_BYTES, PACKED, OPEN = 64, 512 << 10, 32 << 20, 64 << 10
 
 
 def store_of(path: str):
@@ -39,6 +44,16 @@ class Rows(InputPartition):
         super().__init__((self.path, self.sheet, self.first))
 
 
+@dataclass
+class Files(InputPartition):
+    """Small spreadsheets of the folder, by name."""
+
+    names: list
+
+    def __post_init__(self):
+        super().__init__(self.names[0])
+
+
 class CellReader(DataSourceReader):
     """Cells of the spreadsheets of a folder or of one. Filters on sheet and row_no choose partitions, one on col_no cells."""
 
@@ -66,14 +81,25 @@ class CellReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Rows]:
+    def partitions(self) -> list[Rows | Files]:
         from pyarrow import fs
 
         store, path = store_of(self.path)
         info = store.get_file_info(path)
         found = [info] if info.is_file else store.get_file_info(fs.FileSelector(path)) if info.type != fs.FileType.NotFound else []
-        out = []
-        for f in sorted((f.path for f in found if f.is_file and f.path.endswith(".xlsx")), key=str):
+        found = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith(".xlsx"))
+        small = self.split // 16 if self.split < SPLIT_BYTES else SMALL_BYTES
+        packed = [f for f in found if f[1] <= small] if len(found) > FEW else []
+        out, names, size = [], [], 0
+        for f, n in packed:
+            if names and size + n + OPEN > PACKED:
+                out.append(Files(names))
+                names, size = [], 0
+            names.append(f.rsplit("/", 1)[1])
+            size += n + OPEN
+        if names:
+            out.append(Files(names))
+        for f, _ in found if not packed else [f for f in found if f[1] > small]:
             with store.open_input_file(f) as raw, zipfile.ZipFile(raw) as z:  # its directory and list of sheets only
                 for sheet, part in workbook.sheets(z):
                     if self.sheets is None or sheet in self.sheets:
@@ -92,24 +118,44 @@ class CellReader(DataSourceReader):
         step = max(1, -(-n // -(-size // self.split)))
         return [(a, a + step - 1 if a + step <= n else None) for a in range(1, n + 1, step)]
 
-    def read(self, p: Rows | None) -> Iterator[tuple]:
+    def read(self, p: Rows | Files | None) -> Iterator:
+        import pyarrow as pa
+
+        rows = self.cells(p)
+        while some := list(itertools.islice(rows, 20_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()))], ["path", "sheet", "row_no", "col_no", "value"])
+
+    def cells(self, p: Rows | Files | None) -> Iterator[tuple]:
         if p is None:  # there is no spreadsheet, or none that the filters leave
             return
-        store, _ = store_of(self.path)
-        first, last = max(p.first, self.first), min((x for x in (p.last, self.last) if x is not None), default=None)
-        with store.open_input_file(p.path) as raw, zipfile.ZipFile(raw) as z:
-            for row, col, value in workbook.cells_of(z, p.part, first, last):
-                if self.columns is None or col in self.columns:
-                    yield p.path, p.sheet, row, col, value
+        store, root = store_of(self.path)
+        if isinstance(p, Rows):
+            last = min((x for x in (p.last, self.last) if x is not None), default=None)
+            with store.open_input_file(p.path) as raw, zipfile.ZipFile(raw) as z:
+                yield from self.of_sheet(z, p.path, p.sheet, p.part, max(p.first, self.first), last)
+            return
+        for name in p.names:
+            path = f"{root.rstrip('/')}/{name}"
+            with store.open_input_file(path) as raw:
+                content = raw.read()
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for sheet, part in workbook.sheets(z):
+                    if self.sheets is None or sheet in self.sheets:
+                        yield from self.of_sheet(z, path, sheet, part, self.first, self.last)
+
+    def of_sheet(self, z: zipfile.ZipFile, path: str, sheet: str, part: str, first: int, last: int | None) -> Iterator[tuple]:
+        for row, col, value in workbook.cells_of(z, part, first, last):
+            if self.columns is None or col in self.columns:
+                yield path, sheet, row, col, value
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list
+    folder: str
 
 
 class FileWriter(DataSourceWriter):
-    """Rows (name, content) as files: tasks write to a folder of the job's own; commit moves the files, a failure leaves none."""
+    """Rows (name, content) as files: each task writes to a folder of its own; commit moves the files, a failure leaves none."""
 
     def __init__(self, options):
         self.path, self.job = options["path"], uuid.uuid4().hex
@@ -119,35 +165,28 @@ class FileWriter(DataSourceWriter):
 
     def write(self, rows: Iterator) -> Written:
         store, root = store_of(self.path)
-        store.create_dir(self.work(root), recursive=True)
-        done = []
+        folder = f"{self.work(root)}/{uuid.uuid4().hex}"
+        store.create_dir(folder, recursive=True)
         try:
             for r in rows:
                 name = os.path.basename(r["name"])
                 if not name or r["content"] is None:
                     raise ValueError("a file needs a name and content")
-                at = f"{self.work(root)}/{uuid.uuid4().hex}"
-                done.append((at, name))
-                with store.open_output_stream(at) as f:
+                with store.open_output_stream(f"{folder}/{name}") as f:
                     f.write(bytes(r["content"]))
         except BaseException:
-            self.remove(store, [at for at, _ in done])
+            store.delete_dir(folder)
             raise
-        return Written(done)
-
-    @staticmethod
-    def remove(store, paths: list) -> None:
-        for p in paths:
-            try:
-                store.delete_file(p)
-            except (FileNotFoundError, OSError):
-                pass  # it was never opened
+        return Written(folder)
 
     def commit(self, messages: list) -> None:
+        from pyarrow import fs
+
         store, root = store_of(self.path)
-        for m in messages:
-            for at, name in m.files if m else []:
-                store.move(at, f"{root.rstrip('/')}/{name}")  # names only: no content passes the driver
+        with ThreadPoolExecutor(16) as pool:
+            for m in messages:  # names only, a task's at a time: no content passes the driver
+                found = [f.path for f in store.get_file_info(fs.FileSelector(m.folder))] if m else []
+                list(pool.map(lambda at: store.move(at, f"{root.rstrip('/')}/{at.rsplit('/', 1)[1]}"), found))
         self.abort([])
 
     def abort(self, messages: list) -> None:
