@@ -413,7 +413,7 @@ def train(labelled: list | None = None, hidden: int = HIDDEN, epochs: int = EPOC
 
 _AT, _DOT = r"(?:@|\s*[\[({]\s*at\s*[\])}]\s*|\s+at\s+|\s+@\s+)", r"(?:\.|\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*|\s+dot\s+)"
 _EMAIL = re.compile(rf"[a-z0-9._%+-]+{_AT}[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+", re.I)
-_IP = re.compile(r"\d{1,3}(?:(?:\s*\.\s*|[\[(](?:\.|dot)[\])])\d{1,3}){3}")
+_IP = re.compile(r"[0-9]{1,3}(?:(?:\s*\.\s*|[\[(](?:\.|dot)[\])])[0-9]{1,3}){3}")
 _PHONE = re.compile(r"(?:\+|00)?[\d(](?:[\s().\-/_]{0,3}\d)+")
 _CARD = re.compile(r"\d(?:[\s.\-/_]{0,3}\d)+")
 
@@ -437,19 +437,29 @@ def parts(kind: int, text: str) -> list[tuple[int, int]]:
     return [m.span() for m in (_EMAIL, _IP, _CARD, _PHONE)[kind].finditer(text) if confirmed(kind, m[0])]
 
 
-def windows(c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, text) of the windows that may hold personal data: some digits, an at sign or a word for it or for a dot."""
-    low = T.LOWER[c]
-    n = len(c)
-    shifted = lambda k: np.append(low[k:], np.zeros(min(k, n), np.uint8))
-    b, d, e = shifted(1), shifted(2), shifted(3)
-    sign = (low == 64) | np.isin(low, (40, 91, 123)) & (b == 97) & (d == 116) & np.isin(e, (41, 93, 125)) | (low == 100) & (b == 111) & (d == 116) & ~((e >= 97) & (e <= 122))
-    digits, signs = np.append(0, np.cumsum(_DIGIT[c])), np.append(0, np.cumsum(sign))
+def grid(c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, text) of every window of the texts of a pass."""
     half = WINDOW // 2
     size = np.diff(at)
     many = np.where(size > 0, np.maximum(-(-(size - half) // half), 1), 0)
     doc = np.repeat(np.arange(len(size)), many)
-    start = at[:-1][doc] + half * (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many))
+    return at[:-1][doc] + half * (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)), doc
+
+
+_EDGE = _flags(bytes([*range(9, 14), *range(28, 33), *range(128, 256)]) + b"()[]{}")
+
+
+def windows(c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of grid() in which anything can be confirmed(); what the model says of others would be dropped.
+
+    Each kind but email has four digits at least; an email has an at sign, or `at` between white space or brackets.
+    """
+    start, doc = grid(c, at)
+    low, edge, n = T.LOWER[c], _EDGE[c], len(c)
+    sign = low == 64
+    if n > 3:
+        sign[1:-2] |= (low[1:-2] == 97) & (low[2:-1] == 116) & edge[:-3] & edge[3:]
+    digits, signs = np.append(0, np.cumsum(_DIGIT[c])), np.append(0, np.cumsum(sign))
     end = np.minimum(start + WINDOW, at[1:][doc])
     may = (digits[end] - digits[start] >= 4) | (signs[end] > signs[start])
     return start[may], doc[may]
@@ -477,36 +487,55 @@ def reconciled(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
     return out[::-1]
 
 
-def learned(model: Model, c: np.ndarray, at: np.ndarray, raw: np.ndarray, first: np.ndarray, base: tuple, batch: int = 2048) -> list[tuple[int, int, int]]:
-    """(kind, start, end) that the model adds to the base spans of a pass. raw: all bytes; first: where each character begins."""
-    start, doc = windows(c, at)
+def learned(model: Model, c: np.ndarray, at: np.ndarray, raw: np.ndarray, first: np.ndarray, base: tuple, batch: int = 2048, which=windows) -> list[tuple[int, int, int]]:
+    """(kind, start, end) that the model adds to the base spans of a pass. raw: all bytes; first: where each character begins.
+
+    Every window that can hold a confirmed span is decoded (`which`: windows, or grid, with the same result). A span that
+    a window's edge cuts is whole in the next window, unless it is longer than half a window: then the windows of twice the
+    width that hold its middle are decoded, and so on until one holds the span or the text.
+    """
+    start, doc = which(c, at)
     taken = np.zeros(len(c) + 1, bool)
     for s, e in zip(base[1].tolist(), base[2].tolist()):
         taken[s:e] = True
     symbol = np.where(taken[:-1], 4, _SYMBOL[c])  # what is found already reads as a foreign word
-    said: dict[int, list] = {}
-    for lo in range(0, len(start), batch):
-        s, d = start[lo : lo + batch], doc[lo : lo + batch]
-        place = s[:, None] + np.arange(WINDOW)
-        inside = place < at[1:][d][:, None]
-        x = np.where(inside, symbol[np.minimum(place, len(c) - 1)], 0)
-        path, margin = model.decode(x)
-        begin = (path % 2 == 1)
-        goes = (path > 0) & ~begin
-        over = np.cumsum(margin, 1)
-        stop = np.ones_like(goes)
-        stop[:, :-1] = ~goes[:, 1:]
-        for i, j in zip(*(a.tolist() for a in np.nonzero(begin))):
-            e = j + int(stop[i, j:].argmax()) + 1
-            cut = j == 0 and s[i] > at[d[i]] or e == WINDOW and s[i] + WINDOW < at[d[i] + 1]
-            if not cut and inside[i, e - 1]:
-                said.setdefault(int(d[i]), []).append((int(path[i, j]) // 2, int(s[i]) + j, int(s[i]) + e, float(over[i, e - 1] - (over[i, j - 1] if j else 0))))
+    said: dict[int, dict] = {}
+    width = WINDOW
+    while len(start):
+        wider = set()
+        step = max(1, batch * WINDOW // width)
+        for lo in range(0, len(start), step):
+            s, d = start[lo : lo + step], doc[lo : lo + step]
+            place = s[:, None] + np.arange(width)
+            inside = place < at[1:][d][:, None]
+            x = np.where(inside, symbol[np.minimum(place, len(c) - 1)], 0)
+            path, margin = model.decode(x)
+            begin = (path % 2 == 1)
+            goes = (path > 0) & ~begin
+            over = np.cumsum(margin, 1)
+            stop = np.ones_like(goes)
+            stop[:, :-1] = ~goes[:, 1:]
+            for i, j in zip(*(a.tolist() for a in np.nonzero(begin & inside))):
+                e = j + int(stop[i, j:].argmax()) + 1
+                at0, at1 = int(at[d[i]]), int(at[d[i] + 1])
+                if j == 0 and s[i] > at0 or e == width and s[i] + width < at1:
+                    if e - j > width // 2:
+                        k = (int(s[i]) + (j + e) // 2 - at0) // width
+                        wider |= {(at0 + max(k - 1, 0) * width, int(d[i])), (at0 + k * width, int(d[i]))}
+                elif inside[i, e - 1]:
+                    weight = float(over[i, e - 1] - (over[i, j - 1] if j else 0))
+                    if weight > 0:
+                        span = int(path[i, j]) // 2, int(s[i]) + j, int(s[i]) + e
+                        own = said.setdefault(int(d[i]), {})
+                        own[span] = max(weight, own.get(span, 0.0))
+        start, doc = (np.asarray(x, np.int64) for x in zip(*sorted(wider, key=lambda w: (w[1], w[0])))) if wider else (np.zeros(0, np.int64),) * 2
+        width *= 2
     out = []
     for spans in said.values():
-        for k, s, e in reconciled([x for x in spans if x[3] > 0]):
-            for i, j in parts(k, raw[first[s] : first[e]].tobytes().decode()):
-                if not taken[s + i : s + j].any():
-                    out.append((k, s + i, s + j))
+        good = []
+        for (k, s, e), weight in spans.items():  # only what is confirmed competes
+            good += [(k, s + i, s + j, weight) for i, j in parts(k, raw[first[s] : first[e]].tobytes().decode()) if not taken[s + i : s + j].any()]
+        out += reconciled(good)
     return out
 
 
@@ -517,10 +546,10 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, text, spans (kind, start, end in code points, end exclusive, learned; by kind and start) of every row.
 
     Four fixed patterns give base spans: email, ip (parts up to 255), card (16 to 19 digits by Luhn), phone (8 to 15 digits).
-    Then windows of WINDOW characters, one every half window, that hold four digits, an at sign or a word for it go through
-    a bidirectional LSTM over characters with CRF transitions (base spans read as foreign words there); each is decoded, spans cut by a window's edge are left
-    to the next one, and of all windows of a text the spans are kept that weigh most together without overlap. Of such
-    a span stays what has its kind's parts (parts()) and touches no base span. The model is trained from labelled_spans(),
+    Then windows of WINDOW characters, one every half window, go through a bidirectional LSTM over characters with CRF
+    transitions (base spans read as foreign words there), but for those in which nothing could be confirmed; longer spans get
+    wider windows. Of what is decoded stays what has its kind's parts (parts()) and touches no base span, and of that
+    the spans of a text that weigh most together without overlap. The model is trained from labelled_spans(),
     LABELLED made-up windows, unless given: no table holds labelled spans.
 
     Null texts are empty and have no spans; texts of any length are read whole; repeated rows count each; an empty table
