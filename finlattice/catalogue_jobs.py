@@ -252,7 +252,7 @@ def ingested_reports(spark, sf):
         save(result, out, F.lit("2025-01-01").cast("timestamp"), batch)
 
     for _ in range(2):
-        ingest.ingest(spark, folder, out, process, files_per_trigger=1000).awaitTermination()
+        ingest.ingest(spark, folder, out, process, bytes_per_trigger=256 << 20).awaitTermination()
     return _saved(spark, out)
 
 

@@ -179,6 +179,7 @@ def usage_of(texts: DataFrame) -> DataFrame:
     return texts.select(F.explode(users).alias("user_id", "u")).select("user_id", "u.*")
 
 
-def report_stream(spark: SparkSession, folder: str, pattern: str = "*.pdf", files_per_trigger: int = 100) -> DataFrame:
+def report_stream(spark: SparkSession, folder: str, pattern: str = "*.pdf", files_per_trigger: int = 100, bytes_per_trigger: int | None = None) -> DataFrame:
     """Documents that are dropped into a folder, as a stream: path, modificationTime, length, content."""
-    return spark.readStream.format("binaryFile").schema(DROPPED).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).load(folder)
+    size = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", files_per_trigger)
+    return spark.readStream.format("binaryFile").schema(DROPPED).option("pathGlobFilter", pattern).option(*size).load(folder)

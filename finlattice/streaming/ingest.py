@@ -49,10 +49,11 @@ def batch_of(process: Process, out: str) -> Callable[[DataFrame, int], None]:
     return run
 
 
-def ingest(spark: SparkSession, folder: str, out: str, process: Process, pattern: str = "*.pdf", files_per_trigger: int = 100) -> StreamingQuery:
+def ingest(spark: SparkSession, folder: str, out: str, process: Process, pattern: str = "*.pdf", files_per_trigger: int = 100, bytes_per_trigger: int | None = None) -> StreamingQuery:
     """Take the documents that lie in a folder, batch by batch, then stop; the next call takes what was dropped since.
 
-    Progress is in out/_checkpoint, settled documents in out/_settled, the stages of an unfinished batch in out/_work.
+    A batch has at most `files_per_trigger` documents or, if given, `bytes_per_trigger` instead: it costs some dozen jobs,
+    so small documents want many to a batch. Progress is in out/_checkpoint, settled documents in out/_settled, the stages of an unfinished batch in out/_work.
     """
-    stream = files.report_stream(spark, folder, pattern, files_per_trigger)
+    stream = files.report_stream(spark, folder, pattern, files_per_trigger, bytes_per_trigger)
     return stream.writeStream.foreachBatch(batch_of(process, out)).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start()
