@@ -46,11 +46,12 @@ TABLE = [(m, a, i) for m, aliases in V.METRIC_ALIASES.items() for i, a in enumer
 
 
 def metrics_of(label: Column) -> Column:
-    """metric and alias_pos of each alias that a lower-case label holds or is held by; null: none."""
+    """metric and alias_pos of the first alias of each metric that a lower-case label holds or is held by; null: none."""
     return F.pandas_udf(_metrics, HITS)(label)
 
 
 def _metrics(labels: pd.Series) -> pd.Series:
     known = Aliases.of_metrics()
-    hits = {x: [{"metric": TABLE[i][0], "alias_pos": TABLE[i][2]} for i in known.which(x)] for x in labels.dropna().unique()}
+    first = {x: {TABLE[i][0]: TABLE[i][2] for i in reversed(known.which(x))} for x in labels.dropna().unique()}
+    hits = {x: [{"metric": m, "alias_pos": i} for m, i in at.items()] for x, at in first.items()}
     return labels.map(lambda x: hits.get(x, []) if x is not None else [])
