@@ -167,7 +167,7 @@ def spreadsheet_source(spark, sf):
     o = t(spark, sf, "orders").withColumn("row_no", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
     cell = lambda i, c: F.struct(F.lit(i).alias("col_no"), F.col(c).cast("string").alias("value"), F.lit("plain").alias("style"))
     to = _folder(spark, "spreadsheets")
-    spreadsheets.save(workbook.files(o.select(F.concat(F.lit("c"), "o_custkey", F.lit(".xlsx")).alias("name"), F.lit("Orders").alias("sheet"), "row_no", F.inline(F.array(cell(1, "o_orderkey"), cell(2, "o_orderpriority"))))), to)
+    spreadsheets.save(workbook.files(o.select(F.concat(F.lit("c"), "o_custkey", F.lit(".xlsx")).alias("name"), F.lit("Orders").alias("sheet"), "row_no", F.inline(F.array(cell(1, "o_orderkey"), cell(2, "o_orderpriority"))))), to, per_folder=1000)
     return spreadsheets.cells(spark, to).where("row_no % 2 = 1 or col_no = 2").select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "sheet", "row_no", "col_no", "value")
 
 

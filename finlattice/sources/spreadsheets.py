@@ -23,6 +23,8 @@ CELLS = "path string, sheet string, row_no int, col_no int, value string"
 SPLIT_BYTES = 8 << 20
 #: Of more files than FEW the small ones are read whole, many by a task: of PACKED bytes together, where opening one counts as OPEN more.
 FEW, SMALL_BYTES, PACKED, OPEN = 64, 512 << 10, 32 << 20, 64 << 10
+#: Where a folder's files lie if they were dealt into folders: the driver knows these by name, tasks list what is in them.
+DEALT = "dealt"
 
 
 def store_of(path: str):
@@ -32,6 +34,14 @@ def store_of(path: str):
     return fs.FileSystem.from_uri(path if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) else os.path.abspath(path))
 
 
+def dealt(store, root: str) -> list[str]:
+    """The folders that files of `root` were dealt into."""
+    from pyarrow import fs
+
+    found = store.get_file_info(fs.FileSelector(f"{root.rstrip('/')}/{DEALT}", allow_not_found=True))
+    return sorted(f.path for f in found if f.type == fs.FileType.Directory)
+
+
 @dataclass
 class Rows(InputPartition):
     path: str
@@ -54,6 +64,16 @@ class Files(InputPartition):
         super().__init__(self.names[0])
 
 
+@dataclass
+class Dealt(InputPartition):
+    """A folder that spreadsheets were dealt into."""
+
+    folder: str
+
+    def __post_init__(self):
+        super().__init__(self.folder)
+
+
 class CellReader(DataSourceReader):
     """Cells of the spreadsheets of a folder or of one. Filters on sheet and row_no choose partitions, one on col_no cells."""
 
@@ -81,7 +101,7 @@ class CellReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Rows | Files]:
+    def partitions(self) -> list[Rows | Files | Dealt]:
         from pyarrow import fs
 
         store, path = store_of(self.path)
@@ -90,7 +110,7 @@ class CellReader(DataSourceReader):
         found = sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith(".xlsx"))
         small = self.split // 16 if self.split < SPLIT_BYTES else SMALL_BYTES
         packed = [f for f in found if f[1] <= small] if len(found) > FEW else []
-        out, names, size = [], [], 0
+        out, names, size = [] if info.is_file else [Dealt(f) for f in dealt(store, path)], [], 0
         for f, n in packed:
             if names and size + n + OPEN > PACKED:
                 out.append(Files(names))
@@ -118,14 +138,14 @@ class CellReader(DataSourceReader):
         step = max(1, -(-n // -(-size // self.split)))
         return [(a, a + step - 1 if a + step <= n else None) for a in range(1, n + 1, step)]
 
-    def read(self, p: Rows | Files | None) -> Iterator:
+    def read(self, p: Rows | Files | Dealt | None) -> Iterator:
         import pyarrow as pa
 
         rows = self.cells(p)
         while some := list(itertools.islice(rows, 20_000)):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()))], ["path", "sheet", "row_no", "col_no", "value"])
 
-    def cells(self, p: Rows | Files | None) -> Iterator[tuple]:
+    def cells(self, p: Rows | Files | Dealt | None) -> Iterator[tuple]:
         if p is None:  # there is no spreadsheet, or none that the filters leave
             return
         store, root = store_of(self.path)
@@ -134,8 +154,13 @@ class CellReader(DataSourceReader):
             with store.open_input_file(p.path) as raw, zipfile.ZipFile(raw) as z:
                 yield from self.of_sheet(z, p.path, p.sheet, p.part, max(p.first, self.first), last)
             return
-        for name in p.names:
-            path = f"{root.rstrip('/')}/{name}"
+        if isinstance(p, Dealt):
+            from pyarrow import fs
+
+            paths = sorted(f.path for f in store.get_file_info(fs.FileSelector(p.folder)) if f.is_file and f.path.endswith(".xlsx"))
+        else:
+            paths = [f"{root.rstrip('/')}/{name}" for name in p.names]
+        for path in paths:
             with store.open_input_file(path) as raw:
                 content = raw.read()
             with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -155,25 +180,37 @@ class Written(WriterCommitMessage):
 
 
 class FileWriter(DataSourceWriter):
-    """Rows (name, content) as files: each task writes to a folder of its own; commit moves the files, a failure leaves none."""
+    """Rows (name, content) as files: each task writes to a folder of its own; commit moves the files, a failure leaves none.
+
+    With perFolder, small files are dealt into folders of so many (of PACKED bytes at most), which commit moves whole;
+    large ones stay in the folder itself, where readers plan them by sheet and rows.
+    """
 
     def __init__(self, options):
-        self.path, self.job = options["path"], uuid.uuid4().hex
+        self.path, self.job, self.per = options["path"], uuid.uuid4().hex, int(options.get("perFolder", 0))
 
     def work(self, root: str) -> str:
         return f"{root.rstrip('/')}/_temporary-{self.job}"
 
     def write(self, rows: Iterator) -> Written:
         store, root = store_of(self.path)
-        folder = f"{self.work(root)}/{uuid.uuid4().hex}"
+        own = uuid.uuid4().hex
+        folder = f"{self.work(root)}/{own}"
         store.create_dir(folder, recursive=True)
+        at, n, size = "", self.per, 0
         try:
             for r in rows:
                 name = os.path.basename(r["name"])
                 if not name or r["content"] is None:
                     raise ValueError("a file needs a name and content")
-                with store.open_output_stream(f"{folder}/{name}") as f:
-                    f.write(bytes(r["content"]))
+                content, to = bytes(r["content"]), folder
+                if self.per and len(content) <= SMALL_BYTES:
+                    if n == self.per or size + len(content) > PACKED:
+                        at, n, size = f"{folder}/{DEALT}/{own}-{uuid.uuid4().hex[:8]}", 0, 0
+                        store.create_dir(at, recursive=True)
+                    to, n, size = at, n + 1, size + len(content)
+                with store.open_output_stream(f"{to}/{name}") as f:
+                    f.write(content)
         except BaseException:
             store.delete_dir(folder)
             raise
@@ -185,8 +222,13 @@ class FileWriter(DataSourceWriter):
         store, root = store_of(self.path)
         with ThreadPoolExecutor(16) as pool:
             for m in messages:  # names only, a task's at a time: no content passes the driver
-                found = [f.path for f in store.get_file_info(fs.FileSelector(m.folder))] if m else []
+                found = [f.path for f in store.get_file_info(fs.FileSelector(m.folder)) if f.is_file] if m else []
                 list(pool.map(lambda at: store.move(at, f"{root.rstrip('/')}/{at.rsplit('/', 1)[1]}"), found))
+                whole = dealt(store, m.folder) if m else []
+                if whole:
+                    store.create_dir(f"{root.rstrip('/')}/{DEALT}", recursive=True)
+                for at in whole:
+                    store.move(at, f"{root.rstrip('/')}/{DEALT}/{at.rsplit('/', 1)[1]}")
         self.abort([])
 
     def abort(self, messages: list) -> None:
@@ -221,7 +263,11 @@ def cells(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> Dat
     return spark.read.format(FORMAT).option("path", path).option("splitBytes", split_bytes).load()
 
 
-def save(spreadsheets: DataFrame, folder: str) -> None:
-    """Add files (name, content) to a folder in any store; each is written by an executor and shows when all are written."""
+def save(spreadsheets: DataFrame, folder: str, per_folder: int = 0) -> None:
+    """Add files (name, content) to a folder in any store; each is written by an executor and shows when all are written.
+
+    More files than the driver should list are dealt into folders of `per_folder`, in folder/dealt, if the store can
+    rename folders. cells() finds them there; names must be new then, for none is looked up to be replaced.
+    """
     spreadsheets.sparkSession.dataSource.register(SpreadsheetSource)
-    spreadsheets.select("name", "content").write.format(FORMAT).mode("append").option("path", folder).save()
+    spreadsheets.select("name", "content").write.format(FORMAT).mode("append").option("path", folder).option("perFolder", per_folder).save()

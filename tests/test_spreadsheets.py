@@ -58,3 +58,31 @@ def test_shared_strings_and_numbers(tmp_path, spark):
         for name, text in parts.items():
             z.writestr(name, text)
     assert [tuple(c)[1:] for c in spreadsheets.cells(spark, str(tmp_path)).collect()] == [("S", 3, 2, "one"), ("S", 3, 3, "4.5")]
+
+
+def test_the_driver_knows_folders_and_not_files(spark, tmp_path, monkeypatch):
+    from finlattice import catalogue_jobs
+
+    monkeypatch.setattr(catalogue_jobs, "_folder", lambda spark, name: f"{tmp_path}/{name}")
+    assert catalogue_jobs.QUERIES["spreadsheet_source"](spark, "/root/testdata/sf0.001").count()
+    made, root = sorted(tmp_path.rglob("*.xlsx")), tmp_path / "spreadsheets"
+    planned = spreadsheets.CellReader({"path": str(root)}).partitions()
+    assert len(made) > 100 and not any(p.name in str(planned) for p in made) and len(planned) <= 8
+    assert [p.name for p in root.iterdir()] == ["dealt"]
+
+
+def test_dealt_files(spark, tmp_path):
+    c = spark.range(95).select(F.concat("id", F.lit(".xlsx")).alias("name"), F.lit("S").alias("sheet"), F.lit(1).alias("row_no"), F.lit(1).alias("col_no"), F.col("id").cast("string").alias("value"), F.lit("plain").alias("style"))
+    large = spark.range(1, 30_000).select(F.lit("large.xlsx").alias("name"), F.lit("L").alias("sheet"), F.col("id").cast("int").alias("row_no"), F.lit(1).alias("col_no"), F.sha2(F.col("id").cast("string"), 512).alias("value"), F.lit("plain").alias("style"))
+    out = tmp_path / "out"
+    spreadsheets.save(workbook.files(c.where("id < 90").unionByName(large)), str(out), per_folder=10)
+    spreadsheets.save(workbook.files(c.where("id >= 90")), str(out))
+    assert sorted(p.name for p in out.iterdir()) == [*(f"{i}.xlsx" for i in range(90, 95)), "dealt", "large.xlsx"]
+    assert sum(len(list(d.iterdir())) for d in (out / "dealt").iterdir()) == 90 and max(len(list(d.iterdir())) for d in (out / "dealt").iterdir()) <= 10
+    back = spreadsheets.cells(spark, str(out), split_bytes=1 << 20)
+    assert sorted((r.path.rsplit("/", 1)[1], r.row_no, r.value) for r in back.where("sheet = 'S'").collect()) == sorted((f"{i}.xlsx", 1, str(i)) for i in range(95))
+    assert sorted((r.row_no, r.value) for r in back.where("sheet = 'L'").collect()) == sorted((r.row_no, r.value) for r in large.collect())
+    bad = spark.createDataFrame([(f"{i}", b"x" if i != 7 else None) for i in range(12)], "name string, content binary").repartition(3)
+    with pytest.raises(Exception, match="content"):
+        spreadsheets.save(bad, str(tmp_path / "bad"), per_folder=2)
+    assert not (tmp_path / "bad").exists() or list((tmp_path / "bad").iterdir()) == []
