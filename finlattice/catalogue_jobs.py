@@ -171,13 +171,13 @@ def spreadsheet_source(spark, sf):
     return spreadsheets.cells(spark, to).where("row_no % 2 = 1 or col_no = 2").select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "sheet", "row_no", "col_no", "value")
 
 
-def _dropped(spark, sf):
+def _dropped(spark, sf, per_folder=0):
     """A report per supplier, with a part named after a statement beside every third, in a fresh folder."""
     s = t(spark, sf, "supplier").select(F.replace("s_name", F.lit("#"), F.lit("_")).alias("name"), F.col("s_suppkey").alias("k"), F.concat(F.rpad(F.concat("s_name", F.lit(" ")), 120, "report "), F.lit("|"), F.col("s_nationkey").cast("string")).alias("text"))
     whole = s.select(F.concat("name", F.lit(".pdf")).alias("name"), F.encode("text", "UTF-8").alias("content"))
     parts = s.where("k % 3 = 0").select(F.concat("name", F.lit("_cash_flow.pdf")).alias("name"), F.encode(F.lit("x"), "UTF-8").alias("content"))
     to = _folder(spark, "dropped")
-    spreadsheets.save(whole.unionByName(parts), to)
+    spreadsheets.save(whole.unionByName(parts), to, per_folder)
     return to
 
 
@@ -245,7 +245,7 @@ def ingested_reports(spark, sf):
     """The same as a stream of batches, called twice; nothing is taken twice."""
     from .__main__ import pages_of, save
 
-    out, folder = _folder(spark, "ingested"), _dropped(spark, sf)
+    out, folder = _folder(spark, "ingested"), _dropped(spark, sf, per_folder=1000)
 
     def process(docs, ledger, batch):
         result = workflow.run(ledger(pages_of(docs, _pages_of, None), "pages"), _model, _model, flow=Flow(ledger))

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .spreadsheets import dealt, store_of
+
 STATEMENT_TYPES = ["balance_sheet", "income_statement", "cash_flow"]
 STATEMENT = "title string, statement_type string, periods array<string>, sections array<struct<name string, rows array<struct<label string, values array<string>, is_subtotal boolean>>>>"
 RUN = "run_id string, timestamp string, total_duration double, llm_calls int, retries int, success boolean, error_message string"
 EVENT = "timestamp string, event string, run_id string, duration_ms double"
-DROPPED = "path string, modificationTime timestamp, length long, content binary"
+NAMES = "path string, modificationTime timestamp, length long"
+DROPPED = f"{NAMES}, content binary"
 USAGE = "tier string, current_month_count int, month_start string, total_extractions int"
 
 
@@ -183,3 +187,68 @@ def report_stream(spark: SparkSession, folder: str, pattern: str = "*.pdf", file
     """Documents that are dropped into a folder, as a stream: path, modificationTime, length, content."""
     size = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", files_per_trigger)
     return spark.readStream.format("binaryFile").schema(DROPPED).option("pathGlobFilter", pattern).option(*size).load(folder)
+
+
+def listed_by_tasks(folder: str) -> bool:
+    """Whether names() can list a folder: no pattern, and in a store that Python workers can open."""
+    from pyarrow import ArrowException
+
+    try:
+        return not re.search(r"[*?\[{]", folder) and bool(store_of(folder))
+    except (ArrowException, OSError):
+        return False
+
+
+def _roots(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """A folder as Spark's scans name it, and in its store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/"), store_of(folder)[1].rstrip("/")
+
+
+def names(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """path, modificationTime, length of the files in a folder and in those it was dealt into, as Spark's scans say them; each folder is listed by a task."""
+    shown, root = _roots(spark, folder)
+    folders = ["", *(f[len(root) :] for f in dealt(store_of(folder)[0], root))]
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store = store_of(folder)[0]
+        for b in batches:
+            for within in b.column(0).to_pylist():
+                found = [(f"{shown}{within}/{f.base_name}", f.base_name, f.mtime_ns // 1_000_000, f.size) for f in store.get_file_info(fs.FileSelector(root + within)) if f.is_file and f.base_name[0] not in "._"]
+                for i in range(0, len(found), 20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found[i : i + 20_000]), (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["path", "name", "ms", "length"])
+
+    matches = spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()
+    found = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(len(folders), 1000)).mapInArrow(run, "path string, name string, ms long, length long")
+    return found.where(F.col("name").rlike(f"^(?:{matches})$")).select("path", F.timestamp_millis("ms").alias("modificationTime"), "length")
+
+
+def contents(found: DataFrame, folder: str, tasks: int) -> DataFrame:
+    """Files of names() with their content; those that are gone are left out."""
+    shown, root = _roots(found.sparkSession, folder)
+
+    def run(batches):
+        store = store_of(folder)[0]
+        for b in batches:
+            done, size = [], 0
+            for i, path in enumerate(b.column("path").to_pylist()):
+                try:
+                    with store.open_input_file(root + path[len(shown) :]) as f:
+                        done.append((i, f.read()))
+                except FileNotFoundError:
+                    continue
+                size += len(done[-1][1])
+                if size > 8 << 20:
+                    yield with_content(b, done)
+                    done, size = [], 0
+            yield with_content(b, done)
+
+    def with_content(b, done):
+        import pyarrow as pa
+
+        return b.take(pa.array([i for i, _ in done], pa.int64())).append_column("content", pa.array([c for _, c in done], pa.binary()))
+
+    return found.select("path", "modificationTime", "length").repartition(tasks).mapInArrow(run, DROPPED)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +25,22 @@ def settled(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.schema(SETTLED + ", batch long").parquet(f"{out}/_settled")
 
 
-def batch_of(process: Process, out: str) -> Callable[[DataFrame, int], None]:
-    """What foreachBatch does. A batch that is given again goes on in its own ledger and writes over its own files.
+def note(spark: SparkSession, folder: str, out: str, pattern: str, files_per_batch: int, bytes_per_batch: int | None) -> None:
+    """Add the names of documents that aren't in out/_noted yet to it, those of a batch as one file; the driver lists none of them."""
+    fs, at = path_of(spark, f"{out}/_noted")
+    fs.mkdirs(at)
+    known, found = spark.read.schema(files.NAMES).parquet(f"{out}/_noted"), f"{out}/_work/found"
+    files.names(spark, folder, pattern).join(known, ["path", "modificationTime", "length"], "left_anti").write.mode("overwrite").parquet(found)
+    new = spark.read.schema(files.NAMES).parquet(found)
+    n = new.agg(F.count("*").alias("files"), F.sum("length").alias("bytes")).first()
+    if n["files"]:
+        batches = math.ceil(n["bytes"] / bytes_per_batch) if bytes_per_batch else math.ceil(n["files"] / files_per_batch)
+        new.repartition(max(batches, 1)).write.mode("append").option("maxRecordsPerFile", 0 if bytes_per_batch else files_per_batch).parquet(f"{out}/_noted")
+    fs.delete(path_of(spark, found)[1], True)
+
+
+def batch_of(process: Process, out: str, read: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """What foreachBatch does; `read` adds their content to documents that come as names. A batch that is given again goes on in its own ledger and writes over its own files.
 
     The ledger's first stage fixes which documents are the batch's: new by path, time and length. A name is dropped
     twice with another content: it is a new document. The batch is settled last; then its ledger goes.
@@ -37,10 +52,11 @@ def batch_of(process: Process, out: str) -> Callable[[DataFrame, int], None]:
         fs, done = path_of(spark, f"{mark}/_SUCCESS")
         if fs.exists(done):
             return
-        d = dropped.select("path", F.col("modificationTime").alias("modified"), "length", "content")
-        d = d.withColumn("doc_id", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)).dropDuplicates(["path", "modified", "length"])
+        key = ["path", "modificationTime", "length"]
+        d = dropped.dropDuplicates(key).join(settled(spark, out).withColumnRenamed("modified", "modificationTime"), key, "left_anti")
+        d = (read(d) if read else d).select("path", F.col("modificationTime").alias("modified"), "length", "content", F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("doc_id"))
         ledger = Ledger(spark, f"{out}/_work/batch-{batch}")
-        new = ledger(d.join(settled(spark, out), ["path", "modified", "length"], "left_anti"), "documents")
+        new = ledger(d, "documents")
         if not new.isEmpty():
             process(new.select("doc_id", "path", "content"), ledger, batch)
         new.select(*(c.split()[0] for c in SETTLED.split(", "))).write.mode("overwrite").parquet(mark)
@@ -50,10 +66,17 @@ def batch_of(process: Process, out: str) -> Callable[[DataFrame, int], None]:
 
 
 def ingest(spark: SparkSession, folder: str, out: str, process: Process, pattern: str = "*.pdf", files_per_trigger: int = 100, bytes_per_trigger: int | None = None) -> StreamingQuery:
-    """Take the documents that lie in a folder, batch by batch, then stop; the next call takes what was dropped since.
+    """Take the documents that lie in a folder, and in those it was dealt into, batch by batch, then stop; the next call takes what was dropped since.
 
-    A batch has at most `files_per_trigger` documents or, if given, `bytes_per_trigger` instead: it costs some dozen jobs,
-    so small documents want many to a batch. Progress is in out/_checkpoint, settled documents in out/_settled, the stages of an unfinished batch in out/_work.
+    A batch has at most `files_per_trigger` documents or, if given, about `bytes_per_trigger` instead: it costs some dozen jobs,
+    so small documents want many to a batch. Names are noted in out/_noted first, and are what is streamed; contents are read by
+    the tasks of a batch. Where Python workers can't open the store, or the folder is a pattern, Spark's file stream lists the
+    documents on the driver. Progress is in out/_checkpoint, settled documents in out/_settled, the stages of an unfinished batch in out/_work.
     """
-    stream = files.report_stream(spark, folder, pattern, files_per_trigger, bytes_per_trigger)
-    return stream.writeStream.foreachBatch(batch_of(process, out)).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start()
+    if files.listed_by_tasks(folder):
+        note(spark, folder, out, pattern, files_per_trigger, bytes_per_trigger)
+        stream = spark.readStream.schema(files.NAMES).option("maxFilesPerTrigger", 1).parquet(f"{out}/_noted")
+        read = lambda d: files.contents(d, folder, spark.sparkContext.defaultParallelism)
+    else:
+        stream, read = files.report_stream(spark, folder, pattern, files_per_trigger, bytes_per_trigger), None
+    return stream.writeStream.foreachBatch(batch_of(process, out, read)).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start()

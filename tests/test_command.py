@@ -143,3 +143,34 @@ def test_poppler_tools(tmp_path, monkeypatch):
         assert str(e) == "pdfinfo: broken"
     else:
         raise AssertionError
+
+
+def test_documents_are_listed_by_tasks_and_settle_once(spark, tmp_path):
+    from finlattice.sources import spreadsheets
+    from finlattice.streaming import ingest
+
+    folder, out, seen = tmp_path / "in", tmp_path / "out", []
+    docs = spark.range(25).select(F.concat(F.lit("d"), "id", F.lit(".pdf")).alias("name"), F.encode(F.concat(F.lit("text "), "id"), "UTF-8").alias("content"))
+    spreadsheets.save(docs, str(folder), per_folder=4)
+    (folder / "flat.pdf").write_bytes(b"flat")
+    (folder / "other.txt").write_bytes(b"no report")
+    (folder / "_hidden.pdf").write_bytes(b"no report")
+
+    def process(d, ledger, batch):
+        seen.append(sorted((r.doc_id, bytes(r.content).decode(), r.path) for r in d.collect()))
+
+    def call(**options):
+        seen.clear()
+        ingest.ingest(spark, str(folder), str(out), process, **options).awaitTermination()
+        return sorted(r[:2] for batch in seen for r in batch)
+
+    assert call(files_per_trigger=10) == sorted([("flat", "flat"), *((f"d{i}", f"text {i}") for i in range(25))])
+    assert len(seen) >= 3 and max(map(len, seen)) <= 10
+    paths = {r[2] for batch in seen for r in batch}
+    assert paths == {r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(str(folder)).select("path").collect()}
+    assert ".pdf" not in "".join(p.read_text() for p in (out / "_checkpoint").rglob("*") if p.is_file() and not p.name.endswith(".crc"))
+    assert call() == [] and seen == []
+    (folder / "flat.pdf").write_bytes(b"flat again")
+    (folder / "new.pdf").write_bytes(b"new")
+    assert call(bytes_per_trigger=1 << 20) == [("flat", "flat again"), ("new", "new")] and len(seen) == 1
+    assert ingest.settled(spark, str(out)).count() == 28
