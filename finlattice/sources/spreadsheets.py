@@ -25,6 +25,8 @@ SPLIT_BYTES = 8 << 20
 FEW, SMALL_BYTES, PACKED, OPEN = 64, 512 << 10, 32 << 20, 64 << 10
 #: Where a folder's files lie if they were dealt into folders: the driver knows these by name, tasks list what is in them.
 DEALT = "dealt"
+#: A task's files wait for commit in folders of so many, one of which is listed at a time.
+LISTED = 1000
 
 
 def store_of(path: str):
@@ -188,6 +190,7 @@ class FileWriter(DataSourceWriter):
 
     def __init__(self, options):
         self.path, self.job, self.per = options["path"], uuid.uuid4().hex, int(options.get("perFolder", 0))
+        self.most = self.per or LISTED
 
     def work(self, root: str) -> str:
         return f"{root.rstrip('/')}/_temporary-{self.job}"
@@ -197,18 +200,18 @@ class FileWriter(DataSourceWriter):
         own = uuid.uuid4().hex
         folder = f"{self.work(root)}/{own}"
         store.create_dir(folder, recursive=True)
-        at, n, size = "", self.per, 0
+        k, n, size = -1, self.most, 0
         try:
             for r in rows:
                 name = os.path.basename(r["name"])
                 if not name or r["content"] is None:
                     raise ValueError("a file needs a name and content")
                 content, to = bytes(r["content"]), folder
-                if self.per and len(content) <= SMALL_BYTES:
-                    if n == self.per or size + len(content) > PACKED:
-                        at, n, size = f"{folder}/{DEALT}/{own}-{uuid.uuid4().hex[:8]}", 0, 0
-                        store.create_dir(at, recursive=True)
-                    to, n, size = at, n + 1, size + len(content)
+                if not self.per or len(content) <= SMALL_BYTES:
+                    if n == self.most or self.per and size + len(content) > PACKED:
+                        k, n, size = k + 1, 0, 0
+                        store.create_dir(f"{folder}/{own}-{k:06d}")
+                    to, n, size = f"{folder}/{own}-{k:06d}", n + 1, size + len(content)
                 with store.open_output_stream(f"{to}/{name}") as f:
                     f.write(content)
         except BaseException:
@@ -220,15 +223,16 @@ class FileWriter(DataSourceWriter):
         from pyarrow import fs
 
         store, root = store_of(self.path)
+        root = root.rstrip("/")
+        inside = lambda folder, kind: sorted(f.path for f in store.get_file_info(fs.FileSelector(folder)) if f.type == kind)
         with ThreadPoolExecutor(16) as pool:
-            for m in messages:  # names only, a task's at a time: no content passes the driver
-                found = [f.path for f in store.get_file_info(fs.FileSelector(m.folder)) if f.is_file] if m else []
-                list(pool.map(lambda at: store.move(at, f"{root.rstrip('/')}/{at.rsplit('/', 1)[1]}"), found))
-                whole = dealt(store, m.folder) if m else []
-                if whole:
-                    store.create_dir(f"{root.rstrip('/')}/{DEALT}", recursive=True)
-                for at in whole:
-                    store.move(at, f"{root.rstrip('/')}/{DEALT}/{at.rsplit('/', 1)[1]}")
+            for m in filter(None, messages):  # names only, of one folder at a time: no content passes the driver
+                folders = inside(m.folder, fs.FileType.Directory)
+                if self.per and folders:
+                    store.create_dir(f"{root}/{DEALT}", recursive=True)
+                    list(pool.map(lambda at: store.move(at, f"{root}/{DEALT}/{at.rsplit('/', 1)[1]}"), folders))
+                for folder in [m.folder] if self.per else folders:
+                    list(pool.map(lambda at: store.move(at, f"{root}/{at.rsplit('/', 1)[1]}"), inside(folder, fs.FileType.File)))
         self.abort([])
 
     def abort(self, messages: list) -> None:

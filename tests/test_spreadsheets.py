@@ -86,3 +86,12 @@ def test_dealt_files(spark, tmp_path):
     with pytest.raises(Exception, match="content"):
         spreadsheets.save(bad, str(tmp_path / "bad"), per_folder=2)
     assert not (tmp_path / "bad").exists() or list((tmp_path / "bad").iterdir()) == []
+
+
+def test_commit_lists_a_bounded_number_of_names_at_a_time(tmp_path):
+    writer = spreadsheets.FileWriter({"path": f"{tmp_path}/out"})
+    m = writer.write(iter([{"name": f"{i % 2400}.xlsx", "content": str(i).encode()} for i in range(2500)]))
+    waiting = [len(list(d.iterdir())) for d in (tmp_path / "out").rglob("*") if d.is_dir()]
+    assert max(waiting) <= 1000
+    writer.commit([m, None])
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {f"{i}.xlsx": str(i + 2400 if i < 100 else i) for i in range(2400)}
