@@ -71,9 +71,14 @@ def ingest(spark: SparkSession, folder: str, out: str, process: Process, pattern
     A batch has at most `files_per_trigger` documents or, if given, about `bytes_per_trigger` instead: it costs some dozen jobs,
     so small documents want many to a batch. Names are noted in out/_noted first, and are what is streamed; contents are read by
     the tasks of a batch. Where Python workers can't open the store, or the folder is a pattern, Spark's file stream lists the
-    documents on the driver. Progress is in out/_checkpoint, settled documents in out/_settled, the stages of an unfinished batch in out/_work.
+    documents on the driver; so it does for an `out` that was begun so, whose checkpoint is of that stream. Progress is in out/_checkpoint, settled documents in out/_settled, the stages of an unfinished batch in out/_work.
     """
-    if files.listed_by_tasks(folder):
+    fs, noted = path_of(spark, f"{out}/_noted")
+    begun_by_files = fs.exists(path_of(spark, f"{out}/_checkpoint")[1]) and not fs.exists(noted)
+    by_tasks = files.listed_by_tasks(folder)
+    if by_tasks and begun_by_files and files.dealt(files.store_of(folder)[0], files.store_of(folder)[1]):
+        raise ValueError("documents were dealt into folders, where the file stream that this output was begun by doesn't look")
+    if by_tasks and not begun_by_files:
         note(spark, folder, out, pattern, files_per_trigger, bytes_per_trigger)
         stream = spark.readStream.schema(files.NAMES).option("maxFilesPerTrigger", 1).parquet(f"{out}/_noted")
         read = lambda d: files.contents(d, folder, spark.sparkContext.defaultParallelism)

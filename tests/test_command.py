@@ -174,3 +174,17 @@ def test_documents_are_listed_by_tasks_and_settle_once(spark, tmp_path):
     (folder / "new.pdf").write_bytes(b"new")
     assert call(bytes_per_trigger=1 << 20) == [("flat", "flat again"), ("new", "new")] and len(seen) == 1
     assert ingest.settled(spark, str(out)).count() == 28
+
+
+def test_an_output_begun_by_the_file_stream_goes_on(spark, tmp_path):
+    from finlattice.streaming import ingest
+
+    folder, out, seen = tmp_path / "in", tmp_path / "out", []
+    folder.mkdir()
+    process = lambda d, ledger, batch: seen.extend(r.doc_id for r in d.collect())
+    (folder / "a.pdf").write_bytes(b"x")
+    files.report_stream(spark, str(folder)).writeStream.foreachBatch(ingest.batch_of(process, str(out))).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start().awaitTermination()
+    (folder / "b.pdf").write_bytes(b"x")
+    for _ in range(2):
+        ingest.ingest(spark, str(folder), str(out), process).awaitTermination()
+    assert seen == ["a", "b"]
